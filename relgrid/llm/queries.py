@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from relgrid.llm import langid, licenses, media, packing, quality
+from relgrid.llm import jaccard, langid, licenses, media, packing, quality
 from relgrid.llm.common import documents
 
 TOKENIZER = "byte_bpe_50k.json"
@@ -59,5 +59,9 @@ def op9_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.score(docs, quality.train(docs, labels), keep=[F.col("doc_id"), held.alias("held_out")])
 
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_packing, op2_licenses, op4_media, op8_langid, op9_quality)}
+def op10_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return jaccard.join(documents(spark, sf_dir))
+
+
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_packing, op2_licenses, op4_media, op8_langid, op9_quality, op10_jaccard)}
 SQL: dict[str, str] = {}
