@@ -2,12 +2,13 @@
 
 from __future__ import annotations
 
+import hashlib
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from relgrid.llm import jaccard, langid, licenses, media, packing, quality
+from relgrid.llm import jaccard, langid, licenses, media, packing, quality, suffixdup
 from relgrid.llm.common import documents
 
 TOKENIZER = "byte_bpe_50k.json"
@@ -41,6 +42,15 @@ def op2_licenses(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def _digest(raw: bytes, runs: list, kept: bytes) -> tuple:
+    return len(raw), len(raw) - len(kept), len(runs), hashlib.sha256(kept).hexdigest()
+
+
+def op3_suffixdup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    frame = suffixdup.removed(documents(spark, sf_dir).select("doc_id", "text"))
+    return suffixdup.cut(frame, "text", "n_bytes bigint, n_removed bigint, n_spans bigint, kept_sha256 string", _digest).drop("text")
+
+
 def op4_media(spark: SparkSession, sf_dir: str) -> DataFrame:
     return media.stored_features(documents(spark, sf_dir))
 
@@ -63,5 +73,5 @@ def op10_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
     return jaccard.join(documents(spark, sf_dir))
 
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_packing, op2_licenses, op4_media, op8_langid, op9_quality, op10_jaccard)}
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_packing, op2_licenses, op3_suffixdup, op4_media, op8_langid, op9_quality, op10_jaccard)}
 SQL: dict[str, str] = {}
