@@ -13,7 +13,6 @@ An empty table gives no pieces. Window ids are unique, not gapless: the task's n
 
 from __future__ import annotations
 
-import re
 import zlib
 from collections import defaultdict
 from collections.abc import Iterator
@@ -27,71 +26,67 @@ from pyspark.sql import types as T
 
 from relgrid.llm.vec import portions
 
-WINDOW, END, BUFFER, PIECES_KEPT = 2048, 1, 1024, 500_000
-_ODD_SPACE = re.compile("[\t\r\x0b\x0c\x1c-\x1f\x85\xa0  -     　]")
-
-
-def _plain(text: str) -> bool:
-    """Every space stands alone between two other characters that aren't white space, and nothing may be a special token."""
-    return text[0] != " " != text[-1] and not ("  " in text or " \n" in text or "\n " in text or "<|" in text or _ODD_SPACE.search(text))
+WINDOW, END, BUFFER, CHECKED, LONG_WORD = 2048, 1, 1024, 50, 2000
+def _byte_symbols() -> dict[str, int]:
+    """The characters by which byte-level vocabularies write bytes: printable bytes are themselves, the others follow from 256 on."""
+    printable = {*range(33, 127), *range(161, 173), *range(174, 256)}
+    rest = iter(range(256, 512))
+    return {chr(b if b in printable else next(rest)): b for b in range(256)}
 
 
 class Tokens:
-    """Ids of texts, as little-endian unsigned 32-bit bytes.
+    """Ids of texts under a byte-level BPE file, as little-endian unsigned 32-bit bytes.
 
-    The pre-tokeniser always cuts before a single space between two other characters, so a text's ids are those of its
-    pieces cut there. New pieces are encoded together, in one string, whose ids are cut up again by the tokens' lengths in bytes;
-    pieces met before are looked up. A text with other white space, or what may be a special token, is encoded as it stands.
+    What `tokenizers` gives for the file is the definition. The same file's vocabulary also makes a `tiktoken` encoder, which
+    gives the same ids in a quarter of the time; the first texts of each process are encoded by both, and if they ever
+    differ, or for a text with what may be a special token or with a very long word, tokenizers does it.
     """
 
     def __init__(self, path: str) -> None:
         from tokenizers import Tokenizer
 
         self.encoder = Tokenizer.from_file(path)
-        vocabulary = self.encoder.get_vocab()
-        self.width = np.zeros(max(vocabulary.values(), default=0) + 1, np.int64)  # a byte-level token has a character for each byte
-        for token, number in vocabulary.items():
-            self.width[number] = len(token)
-        self.known: dict[str, bytes] = {}
-
-    def _learn(self, pieces: set[str]) -> None:
-        """pieces: each but the empty one starts with a space, or is the start of a text."""
-        new = [p for p in pieces if p not in self.known]
-        if len(self.known) + len(new) > PIECES_KEPT:
-            self.known.clear()
-            new = list(pieces)
-        inner = [p for p in new if p[:1] == " "]
-        for at in range(0, len(inner), 2000):
-            part = inner[at : at + 2000]
-            ids = np.array(self.encoder.encode_batch_fast(["".join(part)], add_special_tokens=False)[0].ids, "<u4")
-            ends = np.searchsorted(np.cumsum(self.width[ids]), np.cumsum([len(p.encode()) for p in part])) + 1
-            flat, start = ids.tobytes(), 0
-            for piece, end in zip(part, (4 * ends).tolist(), strict=True):
-                self.known[piece] = flat[start:end]
-                start = end
-        if outer := [p for p in new if p[:1] != " "]:
-            self.known.update(zip(outer, self._whole(outer), strict=True))
-
-    def _whole(self, texts: list[str]) -> list[bytes]:
-        return [np.array(e.ids, "<u4").tobytes() for e in self.encoder.encode_batch_fast(texts, add_special_tokens=False)]
-
-    def ids(self, texts: list[str]) -> list[bytes]:
-        out: list[bytes] = [b""] * len(texts)
-        split: list[tuple[int, list[str]]] = []
-        for k, text in enumerate(texts):
-            if not text:
-                continue
-            if _plain(text) and "\0" not in text:
-                split.append((k, text.replace(" ", "\0 ").split("\0")))
-            else:
-                out[k] = self._whole([text])[0]
-        self._learn(set().union(*(pieces for _, pieces in split)))
-        find = self.known.__getitem__
-        for k, pieces in split:
-            out[k] = b"".join(map(find, pieces))
+        self.fast, self.checks = self._fast(), CHECKED
+
+    def _fast(self) -> object | None:
+        import public_tokenizers
+        import tiktoken
+
+        symbols = _byte_symbols()
+        special = {t.content for t in self.encoder.get_added_tokens_decoder().values()}
+        try:
+            ranks = {bytes(symbols[c] for c in token): k for token, k in self.encoder.get_vocab().items() if token not in special}
+            return tiktoken.Encoding("file", pat_str=public_tokenizers.PATTERN, mergeable_ranks=ranks, special_tokens={})
+        except (KeyError, ValueError):  # not byte-level
+            return None
+
+    def _slow(self, text: str) -> bytes:
+        return np.array(self.encoder.encode(text, add_special_tokens=False).ids, "<u4").tobytes()
+
+    def ids(self, text: str) -> bytes:
+        if not text:
+            return b""
+        if self.fast is None or "<|" in text or max(map(len, text.split(" "))) > LONG_WORD:
+            return self._slow(text)
+        out = np.array(self.fast.encode_ordinary(text), "<u4").tobytes()
+        if self.checks:
+            self.checks -= 1
+            if out != (sure := self._slow(text)):
+                self.fast = None
+                return sure
         return out
 
 
+_ready: dict[str, Tokens] = {}
+
+
+def tokens(path: str) -> Tokens:
+    """The tokeniser at the path, loaded once in a worker process."""
+    if path not in _ready:
+        _ready[path] = Tokens(path)
+    return _ready[path]
+
+
 def closest(counts: dict[int, int], room: int) -> tuple[int, dict[int, int]]:
     """The largest sum of a multiset of lengths (each at most counts[length] times) not over room, and the counts that make it."""
     full = (1 << (room + 1)) - 1
@@ -191,7 +186,7 @@ def pack(rows: DataFrame, tokenizer: str, doc_id: str = "doc_id", text: str = "t
     last = int(end).to_bytes(4, "little")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        tokens, packer = Tokens(tokenizer), Packer(TaskContext.get().partitionId() << 33, window)
+        encoder, packer = tokens(tokenizer), Packer(TaskContext.get().partitionId() << 33, window)
         live: dict[int, list] = {}  # ids of documents of which pieces wait: [bytes, id, tokens still to be placed]
         kind = None
 
@@ -213,8 +208,8 @@ def pack(rows: DataFrame, tokenizer: str, doc_id: str = "doc_id", text: str = "t
         key, out = 0, []
         for batch in portions(batches):
             kind = batch.schema.field(0).type
-            for ident, ids in zip(batch.column(0).to_pylist(), tokens.ids(batch.column(1).to_pylist()), strict=True):
-                ids += last
+            for ident, value in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
+                ids = encoder.ids(value or "") + last
                 live[key] = [ids, ident, len(ids) // 4]
                 out += finished(packer.add(key, len(ids) // 4))
                 key += 1
