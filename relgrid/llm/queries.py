@@ -8,7 +8,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from relgrid.llm import jaccard, langid, licenses, media, packing, quality, suffixdup
+from relgrid.llm import chat, decontam, jaccard, langid, licenses, lmscore, media, packing, quality, suffixdup
 from relgrid.llm.common import documents
 
 TOKENIZER = "byte_bpe_50k.json"
@@ -55,6 +55,27 @@ def op4_media(spark: SparkSession, sf_dir: str) -> DataFrame:
     return media.stored_features(documents(spark, sf_dir))
 
 
+def op5_chat(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return chat.link(spark.read.parquet(f"{sf_dir}/conversations.parquet"))
+
+
+#: For conversations in which no message is a JSON object, as in the tables.
+OP5_SQL = """
+SELECT conv_id, turn, role, 0::INTEGER AS level, 0::BIGINT AS n_calls, 0::BIGINT AS n_linked, 0::BIGINT AS n_invalid,
+       to_json({'content': text, 'role': role, 'turn': turn})::VARCHAR AS message
+FROM conversations
+"""
+
+
+def op6_decontam(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return decontam.search(documents(spark, sf_dir), spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
+
+
+def op7_lmscore(spark: SparkSession, sf_dir: str) -> DataFrame:
+    good = spark.read.parquet(f"{sf_dir}/labels.parquet").where("quality = 1 and toxic = 0").select("doc_id")
+    return lmscore.score(documents(spark, sf_dir), good, keep=[F.col("doc_id")])
+
+
 def op8_langid(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = documents(spark, sf_dir)
     held = F.coalesce(langid.fold("doc_id", 4) == 2, F.lit(False))
@@ -73,5 +94,5 @@ def op10_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
     return jaccard.join(documents(spark, sf_dir))
 
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_packing, op2_licenses, op3_suffixdup, op4_media, op8_langid, op9_quality, op10_jaccard)}
-SQL: dict[str, str] = {}
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_packing, op2_licenses, op3_suffixdup, op4_media, op5_chat, op6_decontam, op7_lmscore, op8_langid, op9_quality, op10_jaccard)}
+SQL: dict[str, str] = {"op5_chat": OP5_SQL}
