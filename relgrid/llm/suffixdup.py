@@ -1,14 +1,17 @@
 """Removal of repeated strings: every byte that a string of `LENGTH` bytes covers which also starts anywhere else.
 
 Anchors. Of every window of LENGTH bytes, the stretch of GRAM bytes in it with the least hash (the leftmost, if equal) is its anchor. Equal windows
-have their anchors at the same place, so a repeated window's anchor is repeated, and the window lies in the anchor's context: the
-anchor with what a window can reach on both sides. About one place in seventy-five is an anchor; only these are shuffled.
-
-Contexts. An anchor's context that occurs twice as a whole makes all its bytes repeated. What is left are the contexts that occur once,
-around the edges of repeated stretches. Their bytes are fetched, and the suffixes of all contexts of an anchor that begin at the same
-offset are sorted (suffixes.py): a suffix shares most with a neighbour in that order. How far a suffix's best match
-reaches can only grow with the offset, so from the rightmost window each look at an order settles a stretch of windows at once: back to where the match with
-that neighbour begins, or up to where a match would have to reach. Each match is verified byte by byte.
+have their anchors at the same place, so a repeated window's anchor is repeated. An anchor's context is what the windows
+that have it as their anchor cover. About one place in seventy-five is an anchor; only these are shuffled.
+
+Contexts. A context that occurs twice as a whole makes all its bytes repeated. What is left are the contexts that occur once,
+around the edges of repeated stretches, whose bytes are fetched. In each anchor's group one context, of those that occur often if there are any, is the pivot. Prefix
+polynomial hashes and a binary search give every context's common extensions with it to both sides, and so the windows
+that both hold. A window that holds more than that can only be shared with contexts that differ from the pivot at the same place in the
+same way, which is where nearly all are alone. The others are taken on in smaller groups, and after PIVOTS rounds by a suffix sort
+(suffixes.py): suffixes of a group's contexts from one offset on are merge-sorted by such comparisons, and one shares most
+with a neighbour in that order. How far its best match reaches can only grow with the offset, so from the rightmost window each look at an order settles a stretch of windows
+at once. Each match that counts is verified byte by byte.
 
 Results are those of texts, so equal texts get equal ones; a text of LENGTH bytes or more that occurs in two rows is removed
 whole. Defined results: null and empty texts, and texts of under LENGTH bytes, keep all their bytes. Matches never cross
@@ -33,8 +36,8 @@ LENGTH, GRAM = 200, 50
 REACH = LENGTH - GRAM  # bytes of a context before its anchor
 FRAME = REACH + LENGTH
 _CHUNK, _PLACE = 1 << 20, U64((1 << 24) - 1)
-#: Contexts that are sorted together.
-GROUPED = 20_000
+#: Contexts that are settled together, at least, and rounds with pivots before the suffix sort.
+GROUPED, PIVOTS = 8_000, 3
 
 
 def _sliding_min(x: np.ndarray, width: int) -> np.ndarray:
@@ -48,12 +51,11 @@ def _sliding_min(x: np.ndarray, width: int) -> np.ndarray:
     return np.minimum(back[:n], ahead[width - 1 : width - 1 + n])
 
 
-def anchors(buf: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """(document, place in it, hash of the anchor, hash of the context) of all anchors of the documents in the buffer."""
-    empty = np.zeros(0, np.int64)
+def anchors(buf: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, ...]:
+    """(document, place in it, bytes of context before the place, bytes from it on, hash of the anchor, of the context) of all anchors."""
     sizes = np.diff(offsets)
     if len(buf) < LENGTH or not (sizes >= LENGTH).any():
-        return empty, empty, empty, empty
+        return (np.zeros(0, np.int64),) * 6
     prefix = prefix_hash(buf)
     n = len(buf) - GRAM + 1
     grams = mix(span_hash(prefix, np.arange(n), np.arange(GRAM, GRAM + n)))
@@ -61,32 +63,103 @@ def anchors(buf: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarra
     np.add.at(step, offsets[:-1][sizes >= LENGTH], 1)
     np.add.at(step, (offsets[1:] - LENGTH + 1)[sizes >= LENGTH], -1)
     valid = np.cumsum(step[:-1]) > 0
-    found = []
+    places, windows = [], []
     for at in range(0, len(buf) - LENGTH + 1, _CHUNK):
-        windows = min(_CHUNK, len(buf) - LENGTH + 1 - at)
-        part = grams[at : at + windows + REACH]
+        size = min(_CHUNK, len(buf) - LENGTH + 1 - at)
+        part = grams[at : at + size + REACH]
         least = _sliding_min((part & ~_PLACE) | np.arange(len(part), dtype=np.uint64), REACH + 1)
-        place = (least & _PLACE).astype(np.int64)[valid[at : at + windows]] + at
-        if len(place):
-            found.append(place[np.r_[True, place[1:] != place[:-1]]])
-    place = np.unique(np.concatenate(found)) if found else empty
+        own = np.flatnonzero(valid[at : at + size])
+        places.append((least[own] & _PLACE).astype(np.int64) + at)
+        windows.append(own + at)
+    place, window = np.concatenate(places), np.concatenate(windows)
+    head = np.flatnonzero(np.r_[True, place[1:] != place[:-1]])
+    begin, end = window[head], window[np.append(head[1:], len(window)) - 1] + LENGTH
+    place = place[head]
     doc = np.searchsorted(offsets, place, "right") - 1
-    begin, end = np.maximum(place - REACH, offsets[doc]), np.minimum(place + LENGTH, offsets[doc + 1])
     context = mix(span_hash(prefix, begin, end) + (place - begin).astype(U64) * U64(0x9E3779B97F4A7C15) + (end - place).astype(U64) * U64(0xC2B2AE3D27D4EB4F))
-    return doc, place - offsets[doc], grams[place].view(np.int64), context.view(np.int64)
+    return doc, place - offsets[doc], place - begin, end - place, grams[place].view(np.int64), context.view(np.int64)
+
+
+def _check(frames: np.ndarray, x: np.ndarray, y: np.ndarray, first: np.ndarray, last: np.ndarray) -> None:
+    """Verifies that frames x and y agree from column first to column last (exclusive)."""
+    columns = np.arange(FRAME)
+    for at in range(0, len(x), 20_000):
+        some = slice(at, at + 20_000)
+        inside = (columns >= first[some, None]) & (columns < last[some, None])
+        if ((frames[x[some]] != frames[y[some]]) & inside).any():
+            raise RuntimeError("two different strings have one hash")
+
 
+def _pivot(frames: np.ndarray, suffixes: Suffixes, low: np.ndarray, high: np.ndarray, rank: np.ndarray, who: np.ndarray, group: np.ndarray, a: np.ndarray, b: np.ndarray) -> tuple[list[np.ndarray], tuple[np.ndarray, ...]]:
+    """One round over members: contexts `who` in ascending groups, asking for windows a to b (none if a > b).
 
-def _settle(frames: np.ndarray, low: np.ndarray, high: np.ndarray, group: np.ndarray, single: np.ndarray) -> list[np.ndarray]:
+    Gives the stretches (context, first, last) shared with the group's pivot, the member of greatest rank, and the members of the
+    next round's groups with what they still ask for.
+    """
+    order = np.lexsort((rank[who], group))
+    who, group, a, b = who[order], group[order], a[order], b[order]
+    last = np.flatnonzero(np.r_[group[1:] != group[:-1], True])
+    pivot_row = np.repeat(last, np.diff(np.r_[-1, last]))
+    rest = np.flatnonzero(np.arange(len(who)) != pivot_row)
+    x, y = who[rest], who[pivot_row[rest]]
+    middle = x * FRAME + REACH
+    right = suffixes.common(middle, y * FRAME + REACH, np.minimum(high[x], high[y]) - REACH)
+    left = suffixes.common_left(middle, y * FRAME + REACH, REACH - np.maximum(low[x], low[y]))
+    out = []
+    for owner, mine in ((x, rest), (y, pivot_row[rest])):
+        first, final = np.maximum(a[mine], REACH - left), np.minimum(b[mine], right - GRAM)
+        good = first <= final
+        _check(frames, x[good], y[good], first[good], final[good] + LENGTH)
+        out.append(np.unique(np.stack([owner[good], first[good], final[good]], 1), axis=0))
+    prefix = suffixes.prefix
+    parts = []
+    # Beyond the pivot's extension: members that go on there with the same byte. To the right, then to the left.
+    for side, more, key, na, nb in (
+        (0, right < high[x] - REACH, lambda i: span_hash(prefix, middle[i], middle[i] + right[i] + 1), np.maximum(a[rest], right - GRAM + 1), b[rest]),
+        (1, left < REACH - low[x], lambda i: span_hash(prefix, middle[i] - left[i] - 1, middle[i]), a[rest], np.minimum(b[rest], np.minimum(REACH - left - 1, right - GRAM))),
+    ):
+        i = np.flatnonzero(more)
+        if not len(i):
+            continue
+        code = mix(key(i) + mix(group[rest[i]].astype(U64) * U64(2) + U64(side)) + (right if side == 0 else left)[i].astype(U64))
+        _, code = np.unique(code, return_inverse=True)
+        asks = na[i] <= nb[i]
+        n = np.bincount(code)
+        live = (n[code] > 1) & (np.bincount(code, asks) > 0)[code]
+        parts.append((x[i][live], code[live] * 2 + side, na[i][live], nb[i][live]))
+    joined = tuple(np.concatenate(c) for c in zip(*parts, strict=True)) if parts else (np.zeros(0, np.int64),) * 4
+    by = np.argsort(joined[1], kind="stable")
+    return out, tuple(c[by] for c in joined)
+
+
+def repeated_windows(frames: np.ndarray, low: np.ndarray, high: np.ndarray, group: np.ndarray, single: np.ndarray, pivots: int = PIVOTS) -> np.ndarray:
     """(context, first, last): stretches of window offsets that are repeated, for the contexts that occur once.
 
-    frames: contexts (rows of FRAME bytes, valid from low to high), in ascending groups.
+    frames: contexts (rows of FRAME bytes, valid from low to high, the anchor at REACH), in ascending groups.
     """
     suffixes = Suffixes(frames.reshape(-1))
+    rank = (high - low) + np.where(single, 0, FRAME)
+    members = (np.arange(len(low)), group, np.where(single, low, FRAME), np.where(single, high - LENGTH, -1))
+    out: list[np.ndarray] = []
+    for _ in range(pivots):
+        if len(members[0]):
+            found, members = _pivot(frames, suffixes, low, high, rank, *members)
+            out += found
+    if len(members[0]):
+        who, part, a, b = members
+        found = _settle(frames[who], low[who], high[who], part, a, b)
+        out += [np.stack([who[f[:, 0]], f[:, 1], f[:, 2]], 1) for f in found]
+    return np.concatenate(out) if out else np.zeros((0, 3), np.int64)
+
+
+def _settle(frames: np.ndarray, low: np.ndarray, high: np.ndarray, group: np.ndarray, a: np.ndarray, b: np.ndarray) -> list[np.ndarray]:
+    """(context, first, last): stretches of windows between a and b that another of the group's contexts holds, by suffix sorts."""
+    suffixes = Suffixes(frames.reshape(-1))
     first_of = np.r_[np.flatnonzero(np.r_[True, group[1:] != group[:-1]]), len(group)]
     number = np.repeat(np.arange(len(first_of) - 1), np.diff(first_of))
-    right = high - LENGTH  # the rightmost window not settled
+    right = b.copy()  # the rightmost window not settled
     out = []
-    live = np.flatnonzero(single & (right >= low))
+    live = np.flatnonzero(right >= a)
     while len(live):
         wanted = np.unique(number[live] * FRAME + right[live])  # orders: of a group, at an offset
         g, o = wanted // FRAME, wanted % FRAME
@@ -105,16 +178,13 @@ def _settle(frames: np.ndarray, low: np.ndarray, high: np.ndarray, group: np.nda
         hit = (n >= LENGTH) & (y >= 0)
         if hit.any():
             xs, ys, os = x[hit], y[hit], at[hit]
-            columns = np.arange(LENGTH)
-            true = (frames[xs[:, None], os[:, None] + columns] == frames[ys[:, None], os[:, None] + columns]).all(1)
-            if not true.all():
-                raise RuntimeError("two different strings have one hash")
-            back = suffixes.common_left(xs * FRAME + os, ys * FRAME + os, os - np.maximum(low[xs], low[ys]))
+            back = suffixes.common_left(xs * FRAME + os, ys * FRAME + os, os - np.maximum(np.maximum(low[xs], low[ys]), a[xs]))
+            _check(frames, xs, ys, os - back, os + LENGTH)
             out.append(np.stack([xs, os - back, os], 1))
             right[xs] = os - back - 1
         miss = x[~hit]
         right[miss] = np.minimum(at[~hit] - 1, at[~hit] + n[~hit] - LENGTH)
-        live = live[right[live] >= low[live]]
+        live = live[right[live] >= a[live]]
     return out
 
 
@@ -135,44 +205,51 @@ def _distinct_texts(rows: DataFrame) -> DataFrame:
 
 
 def _occurrences(texts: DataFrame, brief: bool) -> DataFrame:
-    """Anchors of all texts: with `brief` (anchor, hp), else (anchor, ctx, h1, h2, pos). hp: a hash of text and place."""
+    """Anchors of all texts: with `brief` (anchor, hp), else (anchor, ctx, h1, h2, pos, reach). hp: a hash of text and place."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in portions(batches):
             buf, offsets = utf8(batch.column(2))
-            doc, place, anchor, context = anchors(buf, offsets)
+            doc, place, before, after, anchor, context = anchors(buf, offsets)
             h1, h2 = batch.column(0).to_numpy()[doc], batch.column(1).to_numpy()[doc]
             if brief:
                 hp = mix(mix(h1.view(U64) ^ mix(h2.view(U64))) + place.astype(U64))
                 yield pa.RecordBatch.from_arrays([pa.array(anchor, pa.int64()), pa.array(hp.view(np.int64), pa.int64())], names=["anchor", "hp"])
             else:
-                yield pa.RecordBatch.from_arrays([pa.array(x, pa.int64()) for x in (anchor, context, h1, h2, place)], names=["anchor", "ctx", "h1", "h2", "pos"])
+                yield pa.RecordBatch.from_arrays([*(pa.array(x, pa.int64()) for x in (anchor, context, h1, h2, place)), pa.array(before * 256 + after, pa.int32())], names=["anchor", "ctx", "h1", "h2", "pos", "reach"])
 
-    return texts.mapInArrow(run, "anchor bigint, hp bigint" if brief else "anchor bigint, ctx bigint, h1 bigint, h2 bigint, pos bigint")
+    return texts.mapInArrow(run, "anchor bigint, hp bigint" if brief else "anchor bigint, ctx bigint, h1 bigint, h2 bigint, pos bigint, reach int")
 
 
 def _edge_frames(texts: DataFrame, edges: DataFrame) -> DataFrame:
-    """The bytes of the contexts `edges` (anchor, multi, h1, h2, pos): with frame and low, from one of the text's rows."""
-    wanted = edges.groupBy("h1", "h2").agg(F.collect_list(F.struct("anchor", "ctx", "multi", "pos")).alias("at"))  # as many as a text has anchors
+    """The bytes of the contexts `edges`, each from one row of its text."""
+    wanted = edges.groupBy("h1", "h2").agg(F.collect_list(F.struct("anchor", "ctx", "multi", "pos", "reach")).alias("at"))  # as many as a text has anchors
     joined = texts.join(wanted, ["h1", "h2"])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         seen: set[tuple[int, int]] = set()
         for batch in portions(batches):
-            rows: list[tuple] = []
-            for h1, h2, text, at in zip(*(batch.column(k).to_pylist() for k in range(4)), strict=True):
-                if (h1, h2) in seen:
-                    continue
-                seen.add((h1, h2))
-                raw = text.encode()
-                for x in at:
-                    begin = max(0, x["pos"] - REACH)
-                    rows.append((x["anchor"], x["ctx"], x["multi"], h1, h2, x["pos"], REACH - (x["pos"] - begin), raw[begin : x["pos"] + LENGTH]))
-            if rows:
-                kinds = (pa.int64(), pa.int64(), pa.bool_(), pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.binary())
-                yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*rows, strict=True), kinds, strict=True)], names=["anchor", "ctx", "multi", "h1", "h2", "pos", "low", "frame"])
-
-    return joined.select("h1", "h2", "text", "at").mapInArrow(run, "anchor bigint, ctx bigint, multi boolean, h1 bigint, h2 bigint, pos bigint, low bigint, frame binary")
+            new = []
+            for key in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
+                new.append(key not in seen)
+                seen.add(key)
+            batch = batch.filter(pa.array(new, pa.bool_()))
+            if not batch.num_rows:
+                continue
+            buf, offsets = utf8(batch.column(2))
+            lists = batch.column(3)
+            at = lists.flatten()
+            row = np.repeat(np.arange(len(lists)), np.diff(lists.offsets.to_numpy()))
+            place, reach = at.field("pos").to_numpy(), at.field("reach").to_numpy().astype(np.int64)
+            begin, size = offsets[row] + place - reach // 256, reach // 256 + reach % 256
+            ends = np.zeros(len(size) + 1, np.int64)
+            np.cumsum(size, out=ends[1:])
+            data = buf[np.repeat(begin - ends[:-1], size) + np.arange(ends[-1])]
+            frames = pa.Array.from_buffers(pa.binary(), len(size), [None, pa.py_buffer(ends.astype(np.int32)), pa.py_buffer(data)])
+            key = lambda k: batch.column(k).take(pa.array(row))  # noqa: B023, E731
+            yield pa.RecordBatch.from_arrays([at.field("anchor"), at.field("ctx"), at.field("multi"), key(0), key(1), at.field("pos"), at.field("reach"), frames], names=["anchor", "ctx", "multi", "h1", "h2", "pos", "reach", "frame"])
+
+    return joined.select("h1", "h2", "text", "at").mapInArrow(run, "anchor bigint, ctx bigint, multi boolean, h1 bigint, h2 bigint, pos bigint, reach int, frame binary")
 
 
 def _edge_spans(frames: DataFrame) -> DataFrame:
@@ -180,17 +257,17 @@ def _edge_spans(frames: DataFrame) -> DataFrame:
 
     def spans(rows: pa.Table) -> pa.RecordBatch:
         anchor, ctx = rows["anchor"].to_numpy(), rows["ctx"].to_numpy()
-        _, pick = np.unique(np.stack([anchor, ctx]), axis=1, return_index=True)  # sorted by anchor; a context once
+        pick = np.lexsort((ctx, anchor))
+        pick = pick[np.r_[True, (anchor[pick][1:] != anchor[pick][:-1]) | (ctx[pick][1:] != ctx[pick][:-1])]]  # a context once
         rows, anchor = rows.take(pa.array(pick)), anchor[pick]
-        low = rows["low"].to_numpy()
+        low = REACH - rows["reach"].to_numpy().astype(np.int64) // 256
         buf, offsets = _binary(rows["frame"])
         size = np.diff(offsets)
         frames = np.zeros((len(anchor), FRAME), np.uint8)
-        at = np.repeat(np.arange(len(anchor)) * FRAME + low - offsets[:-1], size) + np.arange(len(buf))
-        frames.reshape(-1)[at] = buf
-        single = ~rows["multi"].to_numpy(zero_copy_only=False)
-        found = _settle(frames, low, low + size, anchor, single)
-        found = np.concatenate(found) if found else np.zeros((0, 3), np.int64)
+        frames.reshape(-1)[np.repeat(np.arange(len(anchor)) * FRAME + low - offsets[:-1], size) + np.arange(len(buf))] = buf
+        single = ~rows["multi"].to_numpy(zero_copy_only=False) if isinstance(rows["multi"], pa.Array) else ~rows["multi"].to_numpy()
+        group = np.cumsum(np.r_[0, anchor[1:] != anchor[:-1]])
+        found = repeated_windows(frames, low, low + size, group, single.astype(bool))
         owner, begin = found[:, 0], rows["pos"].to_numpy()[found[:, 0]] - REACH
         return pa.RecordBatch.from_arrays([pa.array(x, pa.int64()) for x in (rows["h1"].to_numpy()[owner], rows["h2"].to_numpy()[owner], begin + found[:, 1], begin + found[:, 2] + LENGTH)], names=["h1", "h2", "a", "b"])
 
@@ -229,9 +306,9 @@ def repeated(rows: DataFrame) -> DataFrame:
     texts = _distinct_texts(rows)
     again = _occurrences(texts, True).groupBy("anchor").agg(F.min("hp").alias("x"), F.max("hp").alias("y")).where("x <> y").select("anchor")
     found = written(_occurrences(texts, False).join(again, "anchor"), "anchors")
-    place = F.struct("h1", "h2", "pos")
+    place = F.struct("h1", "h2", "pos", "reach")
     contexts = written(found.groupBy("anchor", "ctx").agg((F.min(place) != F.max(place)).alias("multi"), F.min(place).alias("p")).select("anchor", "ctx", "multi", "p.*"), "contexts")
-    whole = found.join(contexts.where("multi").select("anchor", "ctx"), ["anchor", "ctx"]).select("h1", "h2", (F.col("pos") - REACH).alias("a"), (F.col("pos") + LENGTH).alias("b"))
+    whole = found.join(contexts.where("multi").select("anchor", "ctx"), ["anchor", "ctx"]).select("h1", "h2", F.expr("pos - reach div 256").alias("a"), F.expr("pos + reach % 256").alias("b"))
     mixed = contexts.groupBy("anchor").agg(F.count("*").alias("n"), F.min("multi").alias("all")).where("n > 1 and not all").select("anchor")
     edges = _edge_spans(_edge_frames(texts, contexts.join(mixed, "anchor")))
     copies = rows.where(F.octet_length("text") >= LENGTH).groupBy(F.xxhash64("text").alias("h1"), F.xxhash64(F.lit(1), "text").alias("h2")).count().where("count > 1").select("h1", "h2", F.lit(0).cast("long").alias("a"), F.lit(1 << 60).alias("b"))
