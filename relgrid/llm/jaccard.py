@@ -8,6 +8,8 @@ Index lists by position: if a list's member is the first that two sets share, al
 positions add up to at most the difference that t allows, and what follows must hold the whole overlap. Members that fail
 this against each other are skipped without being compared.
 
+Before texts are fetched, pairs whose parity maps differ in more bits than t allows members to differ are dropped.
+
 Answers from a similar set: each list has a leader. A list's members are compared with its leader, which yields their exact
 differences. For two sets that are both similar to one leader, the difference follows from their differences with it, without either
 set: D(y, z) = D(y, L) xor D(z, L). So inside a leader's ball only those that the leader itself doesn't link are
@@ -35,7 +37,11 @@ from relgrid.llm.common import written
 from relgrid.llm.tables import sum_tables
 from relgrid.llm.vec import LOWER, SPACE, U64, mix, portions, shingle_hashes, utf8, word_hashes, word_spans
 
-COUNT_BITS = 22
+COUNT_BITS = 23
+#: Bits of a set's parity map. Each member flips one bit, so two maps differ in no more bits than the sets do in members.
+MAP_BITS = 1024
+#: Beyond so many differing bits, large sets are taken to be outside a ball (links don't depend on that).
+MAP_FULL = 430
 #: A leader's ball holds the sets at least this similar to it (percent); rows of a ball that one task takes on.
 BALL, BLOCK = 60, 4096
 #: Up to so many ids are broadcast (8 bytes each) to fetch texts; more are joined by shuffling.
@@ -56,7 +62,7 @@ def _need(n: Column | np.ndarray | int, t: int) -> Column | np.ndarray | int:
 
 
 def _sets(docs: DataFrame, order: np.ndarray, k: int, t: int) -> DataFrame:
-    """(id, n, s1, s2, prefix): size, 128-bit signature, and the first members in the order."""
+    """(id, n, s1, s2, prefix, map): size, 128-bit signature, the first members in the order, and the parity map."""
     shared = docs.sparkSession.sparkContext.broadcast(order)  # 2^COUNT_BITS bytes
     mask = U64((1 << COUNT_BITS) - 1)
 
@@ -64,11 +70,13 @@ def _sets(docs: DataFrame, order: np.ndarray, k: int, t: int) -> DataFrame:
         rank = shared.value
         for batch in portions(batches):
             hashes, offsets = shingles(batch.column(1), k)
-            n, s1, s2, prefix = [], [], [], []
+            n, s1, s2, prefix, maps = [], [], [], [], []
             for a, b in zip(offsets[:-1].tolist(), offsets[1:].tolist(), strict=True):
                 own = np.unique(hashes[a:b])
                 m = len(own)
                 n.append(m)
+                flips = np.bincount((own >> U64(50)).astype(np.int64) & (MAP_BITS - 1), minlength=MAP_BITS) & 1
+                maps.append(np.packbits(flips.astype(np.uint8)).view(np.int64))
                 s1.append(int(mix(own + U64(1)).sum(dtype=U64).astype(np.int64)) if m else 0)
                 s2.append(int(mix(own ^ U64(0xA5A5A5A5A5A5A5A5)).sum(dtype=U64).astype(np.int64)) if m else 0)
                 if m:
@@ -78,9 +86,9 @@ def _sets(docs: DataFrame, order: np.ndarray, k: int, t: int) -> DataFrame:
                 else:
                     prefix.append(np.zeros(0, np.int64))
             flat = pa.ListArray.from_arrays(np.concatenate([[0], np.cumsum([len(p) for p in prefix])]).astype(np.int32), pa.array(np.concatenate(prefix) if prefix else np.zeros(0, np.int64)))
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(n, pa.int64()), pa.array(s1, pa.int64()), pa.array(s2, pa.int64()), flat], names=["id", "n", "s1", "s2", "prefix"])
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(n, pa.int64()), pa.array(s1, pa.int64()), pa.array(s2, pa.int64()), flat, pa.array(maps, pa.list_(pa.int64()))], names=["id", "n", "s1", "s2", "prefix", "map"])
 
-    return docs.mapInArrow(run, f"id {docs.schema['id'].dataType.simpleString()}, n bigint, s1 bigint, s2 bigint, prefix array<bigint>")
+    return docs.mapInArrow(run, f"id {docs.schema['id'].dataType.simpleString()}, n bigint, s1 bigint, s2 bigint, prefix array<bigint>, map array<bigint>")
 
 
 def _order(docs: DataFrame, k: int) -> np.ndarray:
@@ -93,7 +101,7 @@ def _order(docs: DataFrame, k: int) -> np.ndarray:
             np.add.at(out, (hashes & U64((1 << COUNT_BITS) - 1)).astype(np.int64), 1)
         return out
 
-    return np.log2(sum_tables(docs.select("text"), fill, (1 << COUNT_BITS,)) + 1.0).astype(np.uint8)
+    return np.log2(sum_tables(docs.select("text"), fill, (1 << COUNT_BITS,)) + np.float32(1), dtype=np.float32).astype(np.uint8)
 
 
 def _compare(docs: DataFrame, pairs: DataFrame, k: int, t: int) -> DataFrame:
@@ -126,6 +134,13 @@ def _compare(docs: DataFrame, pairs: DataFrame, k: int, t: int) -> DataFrame:
     return joined.select("a", "b", "ta", "tb").mapInArrow(run, f"a {kind}, b {kind}, na bigint, nb bigint, d bigint, linked boolean, diff array<bigint>")
 
 
+def _map_distance(pairs: DataFrame, sets: DataFrame) -> DataFrame:
+    """The pairs (a, b, ...) with na, nb and bits: in how many bits their parity maps differ."""
+    side = lambda x: sets.select(F.col("id").alias(x), F.col("n").alias("n" + x), F.col("map").alias("m" + x))
+    bits = F.expr("aggregate(zip_with(ma, mb, (x, y) -> bit_count(x ^ y)), 0, (s, x) -> s + x)")
+    return pairs.join(side("a"), "a").join(side("b"), "b").withColumn("bits", bits).drop("ma", "mb")
+
+
 class _Parts:
     """Union-find over small integers."""
 
@@ -207,12 +222,18 @@ def join(rows: DataFrame, doc_id: str = "doc_id", text: str = "text", k: int = 3
     docs = rows.select(F.col(doc_id).alias("id"), F.col(text).cast("string").alias("text"))
     sets = written(_sets(docs, _order(docs, k), k, t), "sets")
     usable = sets.where("n > 0 and id is not null")
-    first = usable.withColumn("r", F.row_number().over(Window.partitionBy("s1", "s2").orderBy("id"))).where("r = 1")
+    first = usable.withColumn("r", F.row_number().over(Window.partitionBy("s1", "s2").orderBy("id"))).where("r = 1").drop("r")
     listed = first.select("id", "n", F.posexplode("prefix").alias("pos", "token"))
     leaders = listed.groupBy("token").agg(F.count("*").alias("m"), F.min(F.struct("id", "n")).alias("l")).where("m > 1").select("token", F.col("l.id").alias("leader"), F.col("l.n").alias("ln"))
     lists = written(listed.join(leaders, "token"), "lists")
 
+    # Members that a leader may link, and those that may be in its ball.
+    reps = first.select("id", "n", "map")
     pairs = lists.where("id <> leader and 100 * least(n, ln) >= %d * greatest(n, ln)" % BALL).select(F.col("leader").alias("a"), F.col("id").alias("b")).distinct()
+    total, smaller, larger = F.expr("na + nb"), F.least("na", "nb"), F.greatest("na", "nb")
+    may_link = (100 * smaller >= t * larger) & (F.col("bits") <= F.floor(total * (100 - t) / (100 + t)))
+    may_be_near = F.col("bits") <= F.least(F.floor(total * (100 - BALL) / (100 + BALL)), F.lit(MAP_FULL))
+    pairs = written(_map_distance(pairs, reps).where(may_link | may_be_near).select("a", "b"), "pairs")
     compared = written(_compare(docs, pairs, k, t), "compared")
     links = compared.where("linked").select("a", "b").union(_within_balls(compared, t))
 
@@ -234,7 +255,7 @@ def join(rows: DataFrame, doc_id: str = "doc_id", text: str = "text", k: int = 3
         & (~F.col("uknown") | (F.expr("vd - ud") <= most))
     )
     rest = side("u").join(side("v"), "token").where(fits).select(F.least("uid", "vid").alias("a"), F.greatest("uid", "vid").alias("b")).distinct()
-    rest = written(rest, "pairs")
+    rest = written(_map_distance(rest, reps).where(may_link).select("a", "b"), "pairs")
     if not rest.isEmpty():
         links = links.union(_compare(docs, rest, k, t).where("linked").select("a", "b"))
     labels = graph.components(links)
