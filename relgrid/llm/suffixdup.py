@@ -188,27 +188,38 @@ def _settle(frames: np.ndarray, low: np.ndarray, high: np.ndarray, group: np.nda
     return out
 
 
-def _distinct_texts(rows: DataFrame) -> DataFrame:
-    """(h1, h2, text) of texts that can hold a repeat, each once per task."""
-    keyed = rows.where(F.octet_length("text") >= LENGTH).select(F.xxhash64("text").alias("h1"), F.xxhash64(F.lit(1), "text").alias("h2"), "text")
+def _keyed(rows: DataFrame) -> DataFrame:
+    """(h1, h2, text) of texts that can hold a repeat."""
+    return rows.where(F.octet_length("text") >= LENGTH).select(F.xxhash64("text").alias("h1"), F.xxhash64(F.lit(1), "text").alias("h2"), "text")
+
+
+def _first_seen(batch: pa.RecordBatch, seen: set[tuple[int, int]]) -> pa.RecordBatch:
+    """The rows whose (h1, h2) this task hasn't met before: a group of copies is one row per task."""
+    new = []
+    for key in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
+        new.append(key not in seen)
+        seen.add(key)
+    return batch.filter(pa.array(new, pa.bool_()))
+
+
+def _distinct_texts(texts: DataFrame) -> DataFrame:
+    """The texts, each once per task."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         seen: set[tuple[int, int]] = set()
         for batch in batches:
-            new = []
-            for key in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
-                new.append(key not in seen)
-                seen.add(key)
-            yield batch.filter(pa.array(new, pa.bool_()))
+            yield _first_seen(batch, seen)
 
-    return keyed.mapInArrow(run, "h1 bigint, h2 bigint, text string")
+    return texts.mapInArrow(run, "h1 bigint, h2 bigint, text string")
 
 
 def _occurrences(texts: DataFrame, brief: bool) -> DataFrame:
     """Anchors of all texts: with `brief` (anchor, hp), else (anchor, ctx, h1, h2, pos, reach). hp: a hash of text and place."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in portions(batches):
+        seen: set[tuple[int, int]] = set()
+        for batch in portions(batches, limit=1 << 19):
+            batch = _first_seen(batch, seen)
             buf, offsets = utf8(batch.column(2))
             doc, place, before, after, anchor, context = anchors(buf, offsets)
             h1, h2 = batch.column(0).to_numpy()[doc], batch.column(1).to_numpy()[doc]
@@ -224,16 +235,12 @@ def _occurrences(texts: DataFrame, brief: bool) -> DataFrame:
 def _edge_frames(texts: DataFrame, edges: DataFrame) -> DataFrame:
     """The bytes of the contexts `edges`, each from one row of its text."""
     wanted = edges.groupBy("h1", "h2").agg(F.collect_list(F.struct("anchor", "ctx", "multi", "pos", "reach")).alias("at"))  # as many as a text has anchors
-    joined = texts.join(wanted, ["h1", "h2"])
+    joined = _distinct_texts(texts).join(wanted, ["h1", "h2"])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         seen: set[tuple[int, int]] = set()
-        for batch in portions(batches):
-            new = []
-            for key in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
-                new.append(key not in seen)
-                seen.add(key)
-            batch = batch.filter(pa.array(new, pa.bool_()))
+        for batch in portions(batches, limit=1 << 19):
+            batch = _first_seen(batch, seen)
             if not batch.num_rows:
                 continue
             buf, offsets = utf8(batch.column(2))
@@ -303,7 +310,7 @@ def _binary(column: pa.ChunkedArray) -> tuple[np.ndarray, np.ndarray]:
 
 def repeated(rows: DataFrame) -> DataFrame:
     """(h1, h2, spans): for each text of `rows` (column text) with repeated bytes, spans that cover them, in any order."""
-    texts = _distinct_texts(rows)
+    texts = _keyed(rows)
     again = _occurrences(texts, True).groupBy("anchor").agg(F.min("hp").alias("x"), F.max("hp").alias("y")).where("x <> y").select("anchor")
     found = written(_occurrences(texts, False).join(again, "anchor"), "anchors")
     place = F.struct("h1", "h2", "pos", "reach")
