@@ -1,8 +1,9 @@
 """Benchmark decontamination by latent semantic retrieval.
 
 1. Words are hashed to FEATURES slots and counted over all documents; that gives the inverse frequencies.
-2. Passages of all documents as TF-IDF rows A: every task adds up its part of A'(A Omega) for one random matrix Omega, and the sum gives
-   the leading singular vectors and values of A in one pass (the Nystrom form of the randomised SVD).
+2. The latent space is fitted on the passages of about FIT_ROWS documents (those whose texts' hashes are in a share of the range that
+   gives so many), as TF-IDF rows A: every task adds up its part of A'(A Omega) for one random matrix Omega, and the
+   sum gives the leading singular vectors and values of A in one pass (the Nystrom form of the randomised SVD).
 3. Documents and benchmark items are compared in that latent space, whitened: windows of 16, 32 and 64 words, every 8 words, against the items
    (long ones in parts). A cosine of COSINE or more makes a candidate.
 4. Each candidate is checked on the words themselves: the longest common subsequence of item and surroundings, and whether
@@ -25,11 +26,13 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from relgrid.llm.tables import sum_tables
-from relgrid.llm.vec import LOWER, NON_WORD, U64, portions, utf8, word_hashes, word_spans
+from relgrid.llm.vec import LOWER, NON_WORD, U64, portions, segments, utf8, word_hashes, word_spans
 
-FEATURES, RANK, SKETCH, ITEMS = 1 << 15, 40, 48, 5000
-STEP, SCALES, FITTED = 8, (16, 32, 64), 32  # words between windows, in windows, in the passages that the SVD sees
-COSINE, SURE, LIKELY, ANSWER, MIN_WORDS = 0.5, 0.8, 0.65, 0.5, 5
+FEATURES, RANK, SKETCH, ITEMS = 1 << 15, 64, 80, 5000
+#: Documents on which the space is fitted, about, and most tasks that fit it. Counts and the search cover all documents.
+FIT_ROWS, FIT_TASKS = 10_000, 16
+STEP, SCALES, FITTED, BLOCKS = 8, (16, 32, 64), 32, 4096  # words between windows, in windows, in the passages that the SVD sees; blocks summed at once
+COSINE, SURE, LIKELY, ANSWER, MIN_WORDS = 0.6, 0.8, 0.65, 0.5, 5
 
 
 def words(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
@@ -87,7 +90,9 @@ def fit(rows: DataFrame, text: str = "text") -> Space | None:
             out[by[head]] += np.add.reduceat(y[passage[order]], head, axis=0) * weight[by[head]][:, None]
         return out
 
-    z = sum_tables(texts, product, (FEATURES, SKETCH), dtype="float64", wire="float32")
+    share = min(1.0, FIT_ROWS / max(1, texts.count()))
+    sample = texts.where(F.pmod(F.xxhash64("text"), F.lit(1_000_000)) < int(share * 1_000_000)) if share < 1 else texts
+    z = sum_tables(sample.coalesce(FIT_TASKS), product, (FEATURES, SKETCH), dtype="float64", wire="float32")
     shift = np.finfo(np.float32).eps * np.linalg.norm(z)
     z = z + shift * omega
     middle = omega.T.astype(float) @ z
@@ -125,6 +130,8 @@ class Item:
     masks: dict
     answer: dict
     answer_n: int
+    slots: np.ndarray  # of up to 64 different words
+    untracked: int  # words beyond those
 
 
 def _masks(seq: list[int]) -> dict[int, int]:
@@ -150,7 +157,9 @@ class Index:
             at = max(body.rfind(c) for c in ".!?\n") + 1
             tail = words(pa.array([body[at:]], pa.string()))[0] if at else seq[-max(1, len(seq) // 4) :]
             answer = (tail if len(tail) else seq[-1:]).tolist()
-            self.items.append(Item(ident, len(seq), _masks(seq.tolist()), _masks(answer), len(answer)))
+            masks = _masks(seq.tolist())
+            tracked = list(masks)[:64]
+            self.items.append(Item(ident, len(seq), masks, _masks(answer), len(answer), _slot(np.array(tracked, U64)), len(seq) - len(tracked)))
             longest = SCALES[-1]
             for a in range(0, len(seq), longest):
                 part = seq[a : a + longest]
@@ -160,44 +169,78 @@ class Index:
                 parts[scale].append((len(self.items) - 1, space.vectors[_slot(part)].sum(0)))
         self.parts = {s: (np.array([i for i, _ in p]), _unit(np.stack([v for _, v in p]))) for s, p in parts.items() if p}
 
-    def candidates(self, hashes: np.ndarray, first: np.ndarray) -> Iterator[tuple[int, int, int, int, float]]:
-        """(document, item, first word, words, cosine) of windows that are near an item."""
+    def candidates(self, hashes: np.ndarray, first: np.ndarray) -> tuple[np.ndarray, ...]:
+        """(document, item, first word in the document, words, cosine) of windows that are near an item."""
         start, block = _blocks(first, STEP)
-        if not len(start):
-            return
-        sums = np.add.reduceat(self.space.vectors[_slot(hashes)], start, axis=0)
-        total = np.zeros((len(sums) + 1, sums.shape[1]))
-        np.cumsum(sums, axis=0, out=total[1:])
-        doc = np.repeat(np.arange(len(first) - 1), np.diff(block))
-        for scale, (owner, vectors) in self.parts.items():
-            last = np.minimum(np.arange(len(start)) + scale // STEP, block[doc + 1])
-            full = (last - np.arange(len(start)) == scale // STEP) | (np.arange(len(start)) == block[doc])
-            at = np.flatnonzero(full)
-            for a in range(0, len(at), 20_000):
-                some = at[a : a + 20_000]
-                near = _unit((total[last[some]] - total[some]).astype(np.float32)) @ vectors.T
+        out = [(np.zeros(0, np.int64),) * 4 + (np.zeros(0),)]
+        slot = _slot(hashes)
+        # Runs of whole documents with about BLOCKS blocks, so that sums stay in cache.
+        cut = np.unique(np.minimum(np.searchsorted(block, np.arange(0, len(start) + BLOCKS, BLOCKS)), len(first) - 1))
+        for low, high in zip(cut, cut[1:], strict=False):
+            a, b = block[low], block[high]
+            here = np.arange(a, b)
+            if not len(here):
+                continue
+            doc = low + segments(np.diff(block[low : high + 1]))
+            ends = block[doc + 1]
+            size = np.minimum(first[doc + 1] - start[a:b], STEP)
+            sums = self.space.vectors[slot[start[a:b]]]
+            for j in range(1, STEP):
+                some = np.flatnonzero(size > j)
+                sums[some] += self.space.vectors[slot[start[a:b][some] + j]]
+            blocks = 1
+            for scale in SCALES:
+                while blocks < scale // STEP:
+                    longer = sums.copy()
+                    inside = here[:-blocks] + blocks < ends[:-blocks]
+                    longer[:-blocks][inside] += sums[blocks:][inside]
+                    sums, blocks = longer, blocks * 2
+                if scale not in self.parts:
+                    continue
+                owner, vectors = self.parts[scale]
+                at = np.flatnonzero((here + blocks <= ends) | (here == block[doc]))
+                near = _unit(sums[at]) @ vectors.T
                 w, i = np.nonzero(near >= COSINE)
-                for x, k in zip(w.tolist(), i.tolist(), strict=True):
-                    d = int(doc[some[x]])
-                    yield d, int(owner[k]), int(start[some[x]] - first[d]), scale, float(near[x, k])
+                d = doc[at[w]]
+                out.append((d, owner[i], start[a:b][at[w]] - first[d], np.full(len(w), scale), near[w, i]))
+        return tuple(np.concatenate(c) for c in zip(*out, strict=True))
+
+    def plausible(self, hashes: np.ndarray, first: np.ndarray, doc: np.ndarray, item: np.ndarray, at: np.ndarray, size: np.ndarray) -> tuple[np.ndarray, ...]:
+        """(candidate, first word, end in the document) of those whose surroundings hold enough different words of the item for its subsequence."""
+        slot, bits = _slot(hashes), np.zeros(FEATURES, U64)
+        order = np.argsort(item, kind="stable")
+        cuts = np.flatnonzero(np.r_[True, item[order][1:] != item[order][:-1]]) if len(order) else []
+        kept = [(np.zeros(0, np.int64),) * 3]
+        for a, b in zip(cuts, np.append(cuts[1:], len(order)), strict=True) if len(order) else ():
+            some, own = order[a:b], self.items[item[order[a]]]
+            bits[own.slots] = U64(1) << np.arange(len(own.slots), dtype=U64)
+            reach = np.maximum(own.n - size[some], 0) + own.n // 4 + STEP
+            length = first[doc[some] + 1] - first[doc[some]]
+            begin, end = np.maximum(0, at[some] - reach), np.minimum(length, at[some] + size[some] + reach)
+            n = end - begin
+            edge = np.cumsum(n) - n
+            index = np.repeat(first[doc[some]] + begin - edge, n) + np.arange(n.sum())
+            found = np.bitwise_count(np.bitwise_or.reduceat(bits[slot[index]], edge))
+            bits[own.slots] = 0
+            good = found + own.untracked >= LIKELY * own.n
+            kept.append((some[good], begin[good], end[good]))
+        return tuple(np.concatenate(c) for c in zip(*kept, strict=True))
 
     def matches(self, hashes: np.ndarray, first: np.ndarray) -> Iterator[tuple[int, int, float, float, float, int, int]]:
         """(document, item, cosine, lcs, answer, first word, words): of each document and item the best that passes the checks."""
         best: dict[tuple[int, int], tuple] = {}
-        for d, k, at, size, cosine in self.candidates(hashes, first):
+        doc, owner, place, size, cosines = self.candidates(hashes, first)
+        for c, a, b in zip(*(x.tolist() for x in self.plausible(hashes, first, doc, owner, place, size)), strict=True):
+            d, k, cosine = int(doc[c]), int(owner[c]), float(cosines[c])
             item = self.items[k]
-            reach = max(item.n - size, 0) + item.n // 4 + STEP
-            a, b = max(0, at - reach), min(int(first[d + 1] - first[d]), at + size + reach)
             region = hashes[first[d] + a : first[d] + b].tolist()
-            if sum(w in item.masks for w in region) < LIKELY * item.n:
-                continue
             share = lcs(item.masks, item.n, region) / item.n
             if share < LIKELY:
                 continue
             answer = lcs(item.answer, item.answer_n, region) / item.answer_n
             if share >= SURE or answer >= ANSWER:
                 found = (share, cosine, answer, a, b - a)
-                if (d, k) not in best or found[0] > best[d, k][0]:
+                if (d, k) not in best or found[:2] > best[d, k][:2]:
                     best[d, k] = found
         for (d, k), (share, cosine, answer, a, n) in sorted(best.items()):
             yield d, k, cosine, share, answer, a, n
