@@ -266,3 +266,14 @@ def join(rows: DataFrame, doc_id: str = "doc_id", text: str = "text", k: int = 3
     linked = light.where("n_shingles > 0 and doc_id is not null").join(named, ["s1", "s2"]).select("doc_id", "n_shingles", "component_id")
     alone = light.where("n_shingles = 0 or doc_id is null").select("doc_id", "n_shingles", F.when(F.col("n_shingles") == 0, F.col("doc_id")).alias("component_id"))
     return linked.union(alone)
+
+
+def representatives(rows: DataFrame, doc_id: str = "doc_id", text: str = "text", k: int = 5, percent: int = 80) -> DataFrame:
+    """The rows, all columns, of the document with the smallest id of each group (rows with a null id stay; of a repeated id, one row)."""
+    found = join(rows, doc_id, text, k, percent)
+    gone = written(found.where("component_id <> doc_id").select(F.col("doc_id").alias(doc_id)).distinct(), "gone")
+    few = gone.count() <= BROADCAST_IDS
+    kept = rows.join(F.broadcast(gone) if few else gone, doc_id, "left_anti").select(rows.columns)
+    if rows.groupBy(doc_id).count().where(F.col(doc_id).isNotNull() & (F.col("count") > 1)).isEmpty():
+        return kept
+    return kept.where(F.col(doc_id).isNotNull()).dropDuplicates([doc_id]).union(kept.where(F.col(doc_id).isNull()))

@@ -14,14 +14,14 @@ from relgrid.llm.common import documents
 TOKENIZER = "byte_bpe_50k.json"
 
 
-def _tokenizer() -> str:
+def tokenizer_path() -> str:
     import public_tokenizers
 
     return public_tokenizers.path(TOKENIZER)
 
 
 def op1_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return packing.pack(documents(spark, sf_dir), _tokenizer())
+    return packing.pack(documents(spark, sf_dir), tokenizer_path())
 
 
 def op2_licenses(spark: SparkSession, sf_dir: str) -> DataFrame:

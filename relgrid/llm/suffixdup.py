@@ -365,3 +365,18 @@ def cut(frame: DataFrame, text: str, outputs: str, make: object) -> DataFrame:
             yield pa.RecordBatch.from_arrays([*(batch.column(k) for k in range(width)), *columns], names=[*batch.schema.names[:width], *kinds.names])
 
     return frame.mapInArrow(run, T.StructType([*fields, *added.fields]))
+
+
+def cleaned(rows: DataFrame, text: str = "text", n_chars: str = "n_chars") -> DataFrame:
+    """The rows, all columns, with repeats cut out of the text, and its characters counted anew where there is a column for that."""
+    frame = removed(rows, text)
+    kept = cut(frame, text, "kept__ string, cut__ boolean", lambda raw, runs, kept: (kept.decode("utf-8", "ignore"), bool(runs)))
+    out = []
+    for field in rows.schema.fields:
+        column = F.col(f"`{field.name}`")
+        if field.name == text:
+            column = F.when(F.col("cut__"), F.col("kept__")).otherwise(column)
+        elif field.name == n_chars:
+            column = F.when(F.col("cut__"), F.length("kept__")).otherwise(column).cast(field.dataType)
+        out.append(column.alias(field.name))
+    return kept.select(out)
