@@ -50,7 +50,7 @@ def save(path: str, schema: policy.Schema, tuples: DataFrame, revision: int, pro
     stored = spark.read.schema(SCHEMA).parquet(f"{path}/tuples")
     manifest = {"format": FORMAT, "schema": policy.text(schema), "schema_hash": policy.schema_hash(schema), "revision": revision, "profile": profile, "checksum": checksum(stored)}
     system, make = _files(spark, path)
-    part, final = make(f"{path}/_manifest.json.part"), make(f"{path}/_manifest.json")
+    part, final = make(f"{path}/manifest.json.part"), make(f"{path}/manifest.json")
     out = system.create(part, True)
     out.write(bytearray(json.dumps(manifest, sort_keys=True).encode()))
     out.close()
@@ -61,9 +61,9 @@ def save(path: str, schema: policy.Schema, tuples: DataFrame, revision: int, pro
 
 def manifest(spark: SparkSession, path: str) -> dict:
     system, make = _files(spark, path)
-    if not system.exists(make(f"{path}/_manifest.json")):
+    if not system.exists(make(f"{path}/manifest.json")):
         raise ArtifactError("missing", f"no artifact at {path}")
-    text = "\n".join(r.value for r in spark.read.text(f"{path}/_manifest.json").collect())
+    text = "\n".join(r.value for r in spark.read.text(f"{path}/manifest.json").collect())
     try:
         found = json.loads(text)
     except ValueError as e:
