@@ -25,3 +25,16 @@ def written(frame: DataFrame, what: str) -> DataFrame:
 
 def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/documents.parquet")
+
+
+#: Bytes of a record batch between Spark and a Python worker. Spark's own bound, 64 MB, is held several times over in each task.
+BATCH_BYTES = 8 << 20
+
+
+def small_batches(frame: DataFrame) -> DataFrame:
+    """The frame; its session now passes batches of BATCH_BYTES at most, unless it is set to smaller ones already."""
+    conf, key = frame.sparkSession.conf, "spark.sql.execution.arrow.maxBytesPerBatch"
+    digits = "".join(c for c in str(conf.get(key)) if c.isdigit())
+    if not 0 < int(digits or 0) <= BATCH_BYTES:
+        conf.set(key, str(BATCH_BYTES))
+    return frame

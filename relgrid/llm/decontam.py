@@ -25,6 +25,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from relgrid.llm.common import small_batches
 from relgrid.llm.tables import sum_tables
 from relgrid.llm.vec import LOWER, NON_WORD, U64, portions, segments, utf8, word_hashes, word_spans
 
@@ -57,7 +58,7 @@ class Space:
 
 def fit(rows: DataFrame, text: str = "text") -> Space | None:
     """The latent space of all rows' passages; None if there are no words."""
-    texts = rows.select(F.col(text).cast("string").alias("text"))
+    texts = small_batches(rows).select(F.col(text).cast("string").alias("text"))
 
     def count(batches: Iterator[pa.RecordBatch]) -> np.ndarray:
         out = np.zeros(FEATURES, np.int64)
@@ -261,7 +262,7 @@ def _item_blocks(items: DataFrame, item_id: str, text: str) -> Iterator[tuple[li
 def search(rows: DataFrame, items: DataFrame, doc_id: str = "doc_id", text: str = "text", item_id: str = "item_id", item_text: str = "text", space: Space | None = None) -> DataFrame:
     """(doc_id, item_id, cosine, lcs, answer, first_word, n_words) for every document and item that the document holds or paraphrases."""
     spark = rows.sparkSession
-    docs = rows.select(F.col(doc_id).alias("doc_id"), F.col(text).cast("string").alias("text"))
+    docs = small_batches(rows).select(F.col(doc_id).alias("doc_id"), F.col(text).cast("string").alias("text"))
     schema = T.StructType([docs.schema["doc_id"], T.StructField("item_id", items.schema[item_id].dataType), *T.StructType.fromDDL("cosine double, lcs double, answer double, first_word bigint, n_words bigint").fields])
     space = space or fit(docs)
     out = spark.createDataFrame([], schema)

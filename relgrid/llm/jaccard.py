@@ -33,7 +33,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from relgrid.llm import graph
-from relgrid.llm.common import written
+from relgrid.llm.common import small_batches, written
 from relgrid.llm.tables import sum_tables
 from relgrid.llm.vec import LOWER, SPACE, U64, mix, portions, shingle_hashes, utf8, word_hashes, word_spans
 
@@ -68,7 +68,7 @@ def _sets(docs: DataFrame, order: np.ndarray, k: int, t: int) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         rank = shared.value
-        for batch in portions(batches):
+        for batch in portions(batches, limit=1 << 19):
             hashes, offsets = shingles(batch.column(1), k)
             n, s1, s2, prefix, maps = [], [], [], [], []
             for a, b in zip(offsets[:-1].tolist(), offsets[1:].tolist(), strict=True):
@@ -96,7 +96,7 @@ def _order(docs: DataFrame, k: int) -> np.ndarray:
 
     def fill(batches: Iterator[pa.RecordBatch]) -> np.ndarray:
         out = np.zeros(1 << COUNT_BITS, np.int32)
-        for batch in portions(batches):
+        for batch in portions(batches, limit=1 << 19):
             hashes, _ = shingles(batch.column(0), k)
             np.add.at(out, (hashes & U64((1 << COUNT_BITS) - 1)).astype(np.int64), 1)
         return out
@@ -219,7 +219,7 @@ def _within_balls(compared: DataFrame, t: int) -> DataFrame:
 def join(rows: DataFrame, doc_id: str = "doc_id", text: str = "text", k: int = 3, percent: int = 90) -> DataFrame:
     """(doc_id, n_shingles, component_id) of every row; two documents link at a Jaccard similarity of `percent` or more."""
     t = percent
-    docs = rows.select(F.col(doc_id).alias("id"), F.col(text).cast("string").alias("text"))
+    docs = small_batches(rows).select(F.col(doc_id).alias("id"), F.col(text).cast("string").alias("text"))
     sets = written(_sets(docs, _order(docs, k), k, t), "sets")
     usable = sets.where("n > 0 and id is not null")
     first = usable.withColumn("r", F.row_number().over(Window.partitionBy("s1", "s2").orderBy("id"))).where("r = 1").drop("r")

@@ -21,6 +21,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from relgrid.llm.common import small_batches
+
 #: Bounds of the sample on which dictionaries are fitted, per language: so many texts of at most so many bytes, cut to one length for all.
 SAMPLE_ROWS, SAMPLE_BYTES, DICTIONARY_BYTES = 200, 8192, 1 << 17
 WINDOW = 4096
@@ -90,7 +92,7 @@ class Encoder:
 def classify(rows: DataFrame, dictionaries: dict[str, bytes], text: str = "text", margin: float = MARGIN, keep: list[Column] | None = None) -> DataFrame:
     """Every row's `keep` columns with lang_pred, score and rejected."""
     shared = rows.sparkSession.sparkContext.broadcast(dictionaries)  # languages x sample_rows x sample_bytes at most
-    kept = rows.select(*(keep or []), F.col(text).cast("string").alias("__text"))
+    kept = small_batches(rows).select(*(keep or []), F.col(text).cast("string").alias("__text"))
     fields = [f for f in kept.schema.fields if f.name != "__text"]
     width = len(fields)
 
@@ -115,7 +117,7 @@ def fold(doc_id: str, parts: int) -> Column:
 
 def accepted(rows: DataFrame, dictionaries: dict[str, bytes], text: str = "text", margin: float = MARGIN) -> DataFrame:
     """The rows, all columns as they are, without those that classify() would reject."""
-    shared = rows.sparkSession.sparkContext.broadcast(dictionaries)
+    shared = small_batches(rows).sparkSession.sparkContext.broadcast(dictionaries)
     at = rows.columns.index(text)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

@@ -24,6 +24,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from relgrid.llm.common import small_batches
 from relgrid.llm.vec import LOWER, NON_WORD
 
 #: The phrases that count as base matches, and their labels.
@@ -135,7 +136,7 @@ MATCH = "array<struct<label:string,start:bigint,words:bigint,edits:bigint,simila
 
 def scan(rows: DataFrame, text: str = "text", keep: list[Column] | None = None) -> DataFrame:
     """Every row's `keep` columns with n_words, base (array of word and label) and notices (array of matches with spans in words)."""
-    kept = rows.select(*(keep or []), F.col(text).cast("string").alias("__text"))
+    kept = small_batches(rows).select(*(keep or []), F.col(text).cast("string").alias("__text"))
     fields = kept.schema.fields[:-1]
     width = len(fields)
     added = T.StructType.fromDDL(f"n_words bigint, base array<struct<start:bigint,label:string>>, notices {MATCH}")

@@ -19,6 +19,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from relgrid.llm.common import small_batches
 from relgrid.llm.decontam import words
 from relgrid.llm.tables import sum_tables
 from relgrid.llm.vec import U64, mix, portions
@@ -81,7 +82,7 @@ def score(rows: DataFrame, target_ids: DataFrame, doc_id: str = "doc_id", text:
     ids = target_ids.select(F.col(target_ids.columns[0]).alias("id")).where("id is not null").distinct()
     few = ids.count() <= BROADCAST_IDS
     marked = ids.withColumn("target", F.lit(True))
-    texts = rows.select(F.col(doc_id).alias("id"), F.col(text).cast("string").alias("text")).join(F.broadcast(marked) if few else marked, "id", "left").select("text", F.coalesce("target", F.lit(False)).alias("target"))
+    texts = small_batches(rows).select(F.col(doc_id).alias("id"), F.col(text).cast("string").alias("text")).join(F.broadcast(marked) if few else marked, "id", "left").select("text", F.coalesce("target", F.lit(False)).alias("target"))
     shared = spark.sparkContext.broadcast(Model(count(texts)))  # 2 x (VOCABULARY + BIGRAMS) numbers
     kept = rows.select(*(keep or []), F.col(text).cast("string").alias("text__"))
     fields = kept.schema.fields[:-1]

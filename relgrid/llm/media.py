@@ -31,7 +31,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.datasource import DataSource, DataSourceArrowWriter, DataSourceReader, InputPartition, WriterCommitMessage
 from pyspark.sql.types import StructType
 
-from relgrid.llm.common import shared_dir
+from relgrid.llm.common import shared_dir, small_batches
 
 WIDTH = 64
 READ = "archive string, member_offset bigint, name string, media binary, error string"
@@ -264,7 +264,7 @@ class MediaArchive(DataSource):
 def store(rows: DataFrame, path: str, doc_id: str = "doc_id", text: str = "text") -> None:
     """Writes each row's payload to archives in the directory; members are named by id and unpadded size."""
     rows.sparkSession.dataSource.register(MediaArchive)
-    kept = rows.select(F.coalesce(F.col(doc_id).cast("string"), F.lit("null")).alias("i"), F.coalesce(F.col(text).cast("string"), F.lit("")).cast("binary").alias("t"))
+    kept = small_batches(rows).select(F.coalesce(F.col(doc_id).cast("string"), F.lit("null")).alias("i"), F.coalesce(F.col(text).cast("string"), F.lit("")).cast("binary").alias("t"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:

@@ -24,6 +24,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from relgrid.llm.common import small_batches
 from relgrid.llm.vec import portions
 
 WINDOW, END, BUFFER, CHECKED, LONG_WORD = 2048, 1, 1024, 50, 2000
@@ -181,7 +182,7 @@ OUT = "start bigint, length bigint, ids_crc32 bigint, doc_tokens bigint, sequenc
 
 def pack(rows: DataFrame, tokenizer: str, doc_id: str = "doc_id", text: str = "text", window: int = WINDOW, end: int = END, with_ids: bool = False) -> DataFrame:
     """Pieces of all rows: doc_id, start, length, ids_crc32, doc_tokens, sequence_id, offset, and with_ids their ids (array<int>)."""
-    kept = rows.select(F.col(doc_id).alias("doc_id"), F.col(text).cast("string").alias("text"))
+    kept = small_batches(rows).select(F.col(doc_id).alias("doc_id"), F.col(text).cast("string").alias("text"))
     schema = T.StructType([kept.schema["doc_id"], *T.StructType.fromDDL(OUT + (", ids array<int>" if with_ids else "")).fields])
     last = int(end).to_bytes(4, "little")
 

@@ -20,6 +20,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from relgrid.llm.common import small_batches
 from relgrid.llm.vec import SPACE, portions, segments, utf8, word_hashes, word_spans
 
 #: Bound of the sample on which the model is fitted: the labelled rows with the smallest hashes.
@@ -201,7 +202,7 @@ def fit(x: np.ndarray, y: np.ndarray) -> Model:
 def train(rows: DataFrame, labels: DataFrame, doc_id: str = "doc_id", text: str = "text", label: str = "quality", sample_rows: int = SAMPLE_ROWS) -> Model:
     """A model from the rows whose ids the labels hold; labels: at most `sample_rows` of them, by the ids' hashes."""
     chosen = labels.select(F.col(doc_id).alias("i"), F.col(label).cast("int").alias("y")).where("i is not null and y is not null").groupBy("i").agg(F.max("y").alias("y")).orderBy(F.xxhash64("i"), "i").limit(sample_rows)
-    texts = rows.select(F.col(doc_id).alias("i"), F.col(text).cast("string").alias("text")).join(F.broadcast(chosen), "i")  # sample_rows rows of two numbers
+    texts = small_batches(rows).select(F.col(doc_id).alias("i"), F.col(text).cast("string").alias("text")).join(F.broadcast(chosen), "i")  # sample_rows rows of two numbers
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in portions(batches):
@@ -217,7 +218,7 @@ def train(rows: DataFrame, labels: DataFrame, doc_id: str = "doc_id", text: str
 
 def score(rows: DataFrame, model: Model, text: str = "text", keep: list[Column] | None = None) -> DataFrame:
     """Every row's `keep` columns with score and predicted."""
-    kept = rows.select(*(keep or []), F.col(text).cast("string").alias("text__"))
+    kept = small_batches(rows).select(*(keep or []), F.col(text).cast("string").alias("text__"))
     fields = kept.schema.fields[:-1]
     width = len(fields)
     shared = rows.sparkSession.sparkContext.broadcast(model)  # FEATURES x BINS and PAIRS x PAIR_BINS^2 numbers

@@ -28,7 +28,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from relgrid.llm.common import written
+from relgrid.llm.common import small_batches, written
 from relgrid.llm.suffixes import Suffixes
 from relgrid.llm.vec import U64, mix, portions, prefix_hash, span_hash, utf8
 
@@ -335,7 +335,7 @@ def merged(spans: list[dict] | None, size: int) -> list[tuple[int, int]]:
 
 def removed(rows: DataFrame, text: str = "text") -> DataFrame:
     """The rows, all columns, with repeats (array of a, b): the removed runs of bytes of each text."""
-    named = rows.select(*(F.col(f"`{c}`").alias(f"c{k}") for k, c in enumerate(rows.columns)))
+    named = small_batches(rows).select(*(F.col(f"`{c}`").alias(f"c{k}") for k, c in enumerate(rows.columns)))
     at = f"c{rows.columns.index(text)}"
     base = named.withColumn("text", F.coalesce(F.col(at).cast("string"), F.lit("")))
     spans = written(repeated(base.select("text")), "repeats")
