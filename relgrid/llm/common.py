@@ -28,7 +28,7 @@ def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 #: Bytes of a record batch between Spark and a Python worker. Spark's own bound, 64 MB, is held several times over in each task.
-BATCH_BYTES = 8 << 20
+BATCH_BYTES = 4 << 20
 
 
 def small_batches(frame: DataFrame) -> DataFrame:

@@ -43,7 +43,7 @@ MAP_BITS = 1024
 #: Beyond so many differing bits, large sets are taken to be outside a ball (links don't depend on that).
 MAP_FULL = 430
 #: A leader's ball holds the sets at least this similar to it (percent); rows of a ball that one task takes on.
-BALL, BLOCK = 60, 4096
+BALL, BLOCK = 60, 1024
 #: Up to so many ids are broadcast (8 bytes each) to fetch texts; more are joined by shuffling.
 BROADCAST_IDS = 1_000_000
 
@@ -159,31 +159,28 @@ class _Parts:
         return x != y
 
 
-def ball_links(n: np.ndarray, diffs: list[np.ndarray], linked: np.ndarray, left: np.ndarray, t: int) -> list[tuple[int, int]]:
+def ball_links(n: np.ndarray, members: np.ndarray, offsets: np.ndarray, linked: np.ndarray, left: np.ndarray, t: int) -> list[tuple[int, int]]:
     """Links within a ball between a member of `left` that the leader doesn't link, and any other: enough to join all parts.
 
-    n, diffs, linked: sizes, differences with the leader, and whether the leader links, of all members. The overlap of the
-    differences is counted by index lists over their members; sizes that can't fit are skipped first.
+    n, linked: sizes, and whether the leader links, of all members; members, offsets: their differences with the leader, one
+    after another. The overlap of differences is counted by index lists over what differs; sizes that can't fit are skipped first.
     """
-    size = np.array([len(x) for x in diffs])
-    owner = np.repeat(np.arange(len(n)), size)
-    members = np.concatenate(diffs) if len(diffs) else np.zeros(0, np.int64)
+    size = np.diff(offsets)
     by = np.argsort(members, kind="stable")
-    keys, owner = members[by], owner[by]
+    keys, owner = members[by], np.repeat(np.arange(len(n)), size)[by]
     parts, out = _Parts(len(n)), []
     inner = np.flatnonzero(linked)
-    for x in inner[1:]:
-        parts.join(int(inner[0]), int(x))
-    for y in np.flatnonzero(left & ~linked):
-        own = diffs[y]
+    for x in inner[1:].tolist():
+        parts.join(int(inner[0]), x)
+    for y in np.flatnonzero(left & ~linked).tolist():
+        own = members[offsets[y] : offsets[y + 1]]
         lo, hi = np.searchsorted(keys, own, "left"), np.searchsorted(keys, own, "right")
-        shared = np.bincount(np.concatenate([owner[a:b] for a, b in zip(lo, hi, strict=True)]), minlength=len(n)) if len(own) else np.zeros(len(n), np.int64)
-        d = size[y] + size - 2 * shared
+        lists = np.concatenate([owner[a:b] for a, b in zip(lo.tolist(), hi.tolist(), strict=True)]) if len(own) else owner[:0]
+        d = size[y] + size - 2 * np.bincount(lists, minlength=len(n))
         both = n[y] + n
-        found = np.flatnonzero(100 * (both - d) >= t * (both + d))
-        for z in found:
-            if z != y and parts.join(int(y), int(z)):
-                out.append((int(y), int(z)))
+        for z in np.flatnonzero(100 * (both - d) >= t * (both + d)).tolist():
+            if z != y and parts.join(y, z):
+                out.append((y, z))
     return out
 
 
@@ -200,14 +197,15 @@ def _within_balls(compared: DataFrame, t: int) -> DataFrame:
     right = held.withColumn("j", at(blocks("m"))).withColumn("i", F.explode(F.sequence(F.lit(0), blocks("outer") - 1))).withColumn("left", F.lit(False))
 
     def run(table: pa.Table) -> pa.Table:
-        rows = table.select(["id", "n", "linked", "diff", "left"]).combine_chunks()
+        rows = table.select(["id", "n", "linked", "diff", "left"])
         seen: dict = {}
         for k, (ident, left) in enumerate(zip(rows["id"].to_pylist(), rows["left"].to_pylist(), strict=True)):
             seen[ident] = (k, left or seen.get(ident, (0, False))[1])
-        names = list(seen)
-        rows = rows.take(pa.array([seen[x][0] for x in names]))
-        diffs = [np.array(x, np.int64) for x in rows["diff"].to_pylist()]
-        links = ball_links(rows["n"].to_numpy(), diffs, rows["linked"].to_numpy(), np.array([seen[x][1] for x in names]), t)
+        rows = rows.take(pa.array([k for k, _ in seen.values()])).combine_chunks()
+        diffs = rows["diff"].combine_chunks() if isinstance(rows["diff"], pa.ChunkedArray) else rows["diff"]
+        diffs = diffs.chunk(0) if isinstance(diffs, pa.ChunkedArray) else diffs
+        offsets = diffs.offsets.to_numpy().astype(np.int64)
+        links = ball_links(rows["n"].to_numpy(), diffs.values.to_numpy()[offsets[0] : offsets[-1]], offsets - offsets[0], rows["linked"].to_numpy(), np.array([x for _, x in seen.values()]), t)
         ids = rows["id"].combine_chunks()
         pick = lambda side: ids.take(pa.array([x[side] for x in links], pa.int64()))
         return pa.table({"a": pick(0), "b": pick(1)})

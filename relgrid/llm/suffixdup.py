@@ -37,7 +37,7 @@ REACH = LENGTH - GRAM  # bytes of a context before its anchor
 FRAME = REACH + LENGTH
 _CHUNK, _PLACE = 1 << 20, U64((1 << 24) - 1)
 #: Contexts that are settled together, at least, and rounds with pivots before the suffix sort.
-GROUPED, PIVOTS = 8_000, 3
+GROUPED, PIVOTS = 2_000, 3
 
 
 def _sliding_min(x: np.ndarray, width: int) -> np.ndarray:
@@ -281,9 +281,7 @@ def _edge_spans(frames: DataFrame) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: list[pa.RecordBatch] = []
         n = 0
-        for batch in batches:
-            if not batch.num_rows:
-                continue
+        for batch in (b.slice(at, GROUPED) for b in batches for at in range(0, b.num_rows, GROUPED)):
             # Whole groups only: rows are sorted by anchor, so the last anchor's may go on in the next batch.
             keys = batch.column(0).to_numpy()
             cut = int(np.searchsorted(keys, keys[-1]))

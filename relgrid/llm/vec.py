@@ -11,6 +11,9 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 
+# Workers live on between tasks: buffers of the system's allocator go back to it when they are freed.
+pa.set_memory_pool(pa.system_memory_pool())
+
 U64 = np.uint64
 BASE = 0x9E3779B97F4A7C15 | 1  # odd, so that it has an inverse modulo 2^64
 _rng = np.random.default_rng(20240607)
