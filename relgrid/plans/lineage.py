@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import atexit
+import contextlib
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
@@ -13,8 +15,20 @@ def shared_dir(spark: SparkSession) -> str:
     return given.rstrip("/") if given else spark.conf.get("spark.sql.warehouse.dir").rstrip("/") + "/_shared"
 
 
+def remove_at_exit(spark: SparkSession, path: str) -> str:
+    """The path, which is deleted when this driver ends: frames that read it may be used until then."""
+
+    def remove() -> None:
+        with contextlib.suppress(Exception):  # the JVM may be gone, and a folder that stays does no harm
+            where = spark._jvm.org.apache.hadoop.fs.Path(path)
+            where.getFileSystem(spark._jsc.hadoopConfiguration()).delete(where, True)
+
+    atexit.register(remove)
+    return path
+
+
 def cut(frame: DataFrame) -> DataFrame:
     """The frame as a table written in the shared folder: plans stay short, and a lost executor costs a reread."""
-    path = f"{shared_dir(frame.sparkSession)}/round-{uuid.uuid4().hex}"
+    path = remove_at_exit(frame.sparkSession, f"{shared_dir(frame.sparkSession)}/round-{uuid.uuid4().hex}")
     frame.write.parquet(path)
     return frame.sparkSession.read.schema(frame.schema).parquet(path)
