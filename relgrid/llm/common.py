@@ -6,19 +6,18 @@ import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
+from relgrid.plans.lineage import remove_at_exit, shared_dir
 
-def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share: spark.checkpoint.dir, or, where it is unset (tests), one in the warehouse."""
-    given = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
-    if given:
-        return given.rstrip("/")
-    return spark.conf.get("spark.sql.warehouse.dir").rstrip("/") + "/_shared"
+
+def scratch(spark: SparkSession, what: str) -> str:
+    """A new path in the folder that driver and executors share; what is there goes when the driver ends."""
+    return remove_at_exit(spark, f"{shared_dir(spark)}/relgrid-{what}-{uuid.uuid4().hex}")
 
 
 def written(frame: DataFrame, what: str) -> DataFrame:
     """The frame, written as Parquet in the shared folder and read again: lineage ends here, and a lost executor loses nothing."""
     spark = frame.sparkSession
-    path = f"{shared_dir(spark)}/relgrid-{what}-{uuid.uuid4().hex}"
+    path = scratch(spark, what)
     frame.write.option("compression", "zstd").parquet(path)
     return spark.read.schema(frame.schema).parquet(path)
 

@@ -31,7 +31,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.datasource import DataSource, DataSourceArrowWriter, DataSourceReader, InputPartition, WriterCommitMessage
 from pyspark.sql.types import StructType
 
-from relgrid.llm.common import shared_dir, small_batches
+from relgrid.llm.common import scratch, small_batches
 
 WIDTH = 64
 READ = "archive string, member_offset bigint, name string, media binary, error string"
@@ -314,6 +314,6 @@ def describe(members: DataFrame) -> DataFrame:
 
 def stored_features(rows: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
     """Stores every row in the shared folder, reads it back and describes it."""
-    path = f"{shared_dir(rows.sparkSession)}/media-{uuid.uuid4().hex}"
+    path = scratch(rows.sparkSession, "media")
     store(rows, path, doc_id, text)
     return describe(load(rows.sparkSession, path))
