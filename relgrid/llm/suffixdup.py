@@ -309,7 +309,8 @@ def _binary(column: pa.ChunkedArray) -> tuple[np.ndarray, np.ndarray]:
 def repeated(rows: DataFrame) -> DataFrame:
     """(h1, h2, spans): for each text of `rows` (column text) with repeated bytes, spans that cover them, in any order."""
     texts = _keyed(rows)
-    again = _occurrences(texts, True).groupBy("anchor").agg(F.min("hp").alias("x"), F.max("hp").alias("y")).where("x <> y").select("anchor")
+    # Written, so that the join deals both sides anew and can split a hot anchor.
+    again = written(_occurrences(texts, True).groupBy("anchor").agg(F.min("hp").alias("x"), F.max("hp").alias("y")).where("x <> y").select("anchor"), "again")
     found = written(_occurrences(texts, False).join(again, "anchor"), "anchors")
     place = F.struct("h1", "h2", "pos", "reach")
     contexts = written(found.groupBy("anchor", "ctx").agg((F.min(place) != F.max(place)).alias("multi"), F.min(place).alias("p")).select("anchor", "ctx", "multi", "p.*"), "contexts")
