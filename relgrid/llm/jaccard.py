@@ -259,7 +259,8 @@ def join(rows: DataFrame, doc_id: str = "doc_id", text: str = "text", k: int = 3
     labels = graph.components(links)
 
     classes = usable.groupBy("s1", "s2").agg(F.min("id").alias("rep"))
-    named = classes.join(labels, classes.rep == labels.id, "left").select("s1", "s2", F.coalesce("label", "rep").alias("component_id"))
+    # Written, so that the join deals both sides anew and can split a large group of copies.
+    named = written(classes.join(labels, classes.rep == labels.id, "left").select("s1", "s2", F.coalesce("label", "rep").alias("component_id")), "named")
     light = sets.select(F.col("id").alias("doc_id"), F.col("n").alias("n_shingles"), "s1", "s2")
     linked = light.where("n_shingles > 0 and doc_id is not null").join(named, ["s1", "s2"]).select("doc_id", "n_shingles", "component_id")
     alone = light.where("n_shingles = 0 or doc_id is null").select("doc_id", "n_shingles", F.when(F.col("n_shingles") == 0, F.col("doc_id")).alias("component_id"))
