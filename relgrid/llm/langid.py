@@ -27,6 +27,7 @@ from relgrid.llm.common import small_batches
 SAMPLE_ROWS, SAMPLE_BYTES, DICTIONARY_BYTES = 200, 8192, 1 << 17
 WINDOW = 4096
 LEVEL = 6
+PARTS = 32
 #: Rejected: a runner-up within this share of the winner's bytes.
 MARGIN = 0.004
 UNDECIDED = "und"
@@ -44,7 +45,10 @@ def fit(rows: DataFrame, text: str = "text", lang: str = "lang", sample_rows: in
     spark = rows.sparkSession
     known = rows.select(F.col(text).alias("t"), F.col(lang).alias("l")).where("l is not null and t is not null and octet_length(t) between 1 and " + str(int(sample_bytes)))
     keyed = known.select("l", F.xxhash64("t").alias("h"))
-    first = keyed.distinct().withColumn("r", F.row_number().over(Window.partitionBy("l").orderBy("h"))).where(F.col("r") <= sample_rows)
+    # In parts first, so that a language's final ranking reads PARTS x sample_rows rows however many tasks there are.
+    first = keyed.distinct().withColumn("part", F.pmod("h", F.lit(PARTS)))
+    for by in (["l", "part"], ["l"]):
+        first = first.withColumn("r", F.row_number().over(Window.partitionBy(by).orderBy("h"))).where(F.col("r") <= sample_rows)
     chosen = first.select("l", "h").collect()  # languages x sample_rows
     if not chosen:
         return {}
