@@ -21,7 +21,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from relgrid.errors import EvaluationError, SchemaError
-from relgrid.plans.lineage import cut
+from relgrid.plans.lineage import cut, cut_counted
 from relgrid.plans.policy import Computed, Exclusion, Expression, Intersection, Schema, This, Union, ViaTuples, leaves
 
 Node = tuple[str, str]
@@ -85,6 +85,8 @@ class Evaluator:
         self.reached: DataFrame | None = None
         self.subjects: object = None
         self.members: dict[Node, DataFrame] = {}
+        #: Counters of the last evaluation: rows found in each round, by kind of work.
+        self.counters: dict[str, list[int]] = {}
 
     # -- the graph of nodes
 
@@ -163,7 +165,9 @@ class Evaluator:
                     moves.append(self._links(node, relation, to, kind).select(F.lit("#".join(node)).alias("g"), F.col("resource_id").alias("gid"), F.lit("#".join(to)).alias("h"), F.col("via").alias("hid")))
         edges = reduce(DataFrame.union, moves) if moves else None
         stays = self.spark.createDataFrame(same, "g string, h string") if same else None
-        seen = new = cut(keys.select("g", "gid").distinct())
+        seen, n = cut_counted(keys.select("g", "gid").distinct())
+        new, rows = seen, self.counters.setdefault("reached", [])
+        rows.append(n)
         for _ in range(10_000):
             found = []
             if edges is not None:
@@ -172,8 +176,9 @@ class Evaluator:
                 found.append(new.join(F.broadcast(stays), "g").select(F.col("h").alias("g"), "gid"))  # one row per pair of relations
             if not found:
                 return seen
-            new = cut(reduce(DataFrame.union, found).distinct().join(seen, ["g", "gid"], "left_anti"))
-            if new.isEmpty():
+            new, n = cut_counted(reduce(DataFrame.union, found).distinct().join(seen, ["g", "gid"], "left_anti"))
+            rows.append(n)
+            if not n:
                 return seen
             seen = seen.union(new)
         raise EvaluationError("depth", "objects did not stop being reached")
@@ -214,7 +219,7 @@ class Evaluator:
         """Members of the nodes. subjects: None, a list of (type, id, relation), or a frame of them; keys: a frame (g, gid) of the objects asked for."""
         for node in nodes:
             self.schema.rewrite(*node)
-        self.subjects, self.reached, self.members = subjects, None, {}
+        self.subjects, self.reached, self.members, self.counters = subjects, None, {}, {}
         if keys is not None:
             self.reached = self.reach(keys, nodes)
         graph = self.closure(nodes)
@@ -244,7 +249,9 @@ class Evaluator:
         inside = set(part)
         tag = lambda n, f: f.withColumn("g", F.lit("#".join(n)))
         outer = {n: m for n, m in self.members.items() if n not in inside}
-        seen = new = cut(reduce(DataFrame.union, [tag(n, self._expression(n, self.schema.rewrite(*n), outer, outer)) for n in part]))
+        seen, count = cut_counted(reduce(DataFrame.union, [tag(n, self._expression(n, self.schema.rewrite(*n), outer, outer)) for n in part]))
+        new, rows = seen, self.counters.setdefault("members", [])
+        rows.append(count)
         moves, same = [], []
         for n in part:
             for kind, relation, to, _ in steps[n]:
@@ -263,8 +270,9 @@ class Evaluator:
                 if self.reached is not None:
                     moved = moved.join(self.reached.select("g", F.col("gid").alias("resource_id")), ["g", "resource_id"], "left_semi").select(*MEMBER, "g")
                 found.append(moved)
-            new = cut(reduce(DataFrame.union, found).distinct().join(seen, [*MEMBER, "g"], "left_anti"))
-            if new.isEmpty():
+            new, count = cut_counted(reduce(DataFrame.union, found).distinct().join(seen, [*MEMBER, "g"], "left_anti"))
+            rows.append(count)
+            if not count:
                 break
             if depth > self.limits.depth:
                 raise EvaluationError("depth", f"members of {part} were still found after {self.limits.depth} rounds")
@@ -277,9 +285,10 @@ class Evaluator:
         known = {**self.members, **{n: self._empty() for n in part}}
         sizes = dict.fromkeys(part, 0)
         for _ in range(self.limits.depth + 1):
-            found = {n: cut(self._expression(n, self.schema.rewrite(*n), known, negative)) for n in part}
-            grown = {n: f.count() for n, f in found.items()}
-            known |= found
+            found = {n: cut_counted(self._expression(n, self.schema.rewrite(*n), known, negative)) for n in part}
+            grown = {n: count for n, (_, count) in found.items()}
+            self.counters.setdefault("repeated", []).append(sum(grown.values()))
+            known |= {n: f for n, (f, _) in found.items()}
             if grown == sizes:
                 return {n: known[n] for n in part}
             sizes = grown

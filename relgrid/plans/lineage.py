@@ -6,7 +6,8 @@ import atexit
 import contextlib
 import uuid
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, Observation, SparkSession
+from pyspark.sql import functions as F
 
 
 def shared_dir(spark: SparkSession) -> str:
@@ -32,3 +33,10 @@ def cut(frame: DataFrame) -> DataFrame:
     path = remove_at_exit(frame.sparkSession, f"{shared_dir(frame.sparkSession)}/round-{uuid.uuid4().hex}")
     frame.write.parquet(path)
     return frame.sparkSession.read.schema(frame.schema).parquet(path)
+
+
+def cut_counted(frame: DataFrame) -> tuple[DataFrame, int]:
+    """cut(), and the number of rows, counted as they are written."""
+    seen = Observation()
+    out = cut(frame.observe(seen, F.count(F.lit(1)).alias("n")))
+    return out, seen.get["n"]

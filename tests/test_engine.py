@@ -144,6 +144,14 @@ def test_depth_guard(spark):
     assert code(lambda: short.check(Object("d", "0"), "v", Subject.user("u"))) == (EvaluationError, "depth")
 
 
+def test_counters(spark):
+    dsl = 'namespace d { relation p {} relation v { rewrite union(this, tuple_to_userset(tupleset: "p", computed_userset: "v")) } }'
+    e = engine(spark, dsl, *[f"d:{k}#p@d:{k + 1}#v" for k in range(3)], "d:3#v@user:u").evaluator()
+    keys = spark.createDataFrame([("d#v", "0")], "g string, gid string")
+    e.evaluate([("d", "v")], [("user", "u", None)], keys)
+    assert e.counters == {"reached": [1, 1, 1, 1, 0], "members": [1, 1, 1, 1, 0]}
+
+
 def test_self_exclusion(spark):
     dsl = 'namespace d { relation p {} relation all {} relation v { rewrite exclusion(computed_userset(relation: "all"), tuple_to_userset(tupleset: "p", computed_userset: "v")) } }'
     e = engine(spark, dsl, "d:1#all@user:u", "d:2#all@user:u", "d:3#all@user:u", "d:1#p@d:2#v", "d:2#p@d:3#v")
