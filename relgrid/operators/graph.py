@@ -21,10 +21,6 @@ def _external(members: DataFrame) -> DataFrame:
     return members.withColumn("subject_relation", F.nullif("subject_relation", F.lit("")))
 
 
-def _keys(frame: DataFrame) -> DataFrame:
-    return frame.select(F.concat_ws("#", "resource_type", "relation").alias("g"), F.col("resource_id").alias("gid"))
-
-
 def _one(evaluator: Evaluator, resource: Object, relations: list[str]) -> DataFrame:
     return evaluator.spark.createDataFrame([(f"{resource.type}#{r}", resource.id) for r in relations], "g string, gid string")
 
@@ -33,8 +29,8 @@ def check(evaluator: Evaluator, requests: DataFrame) -> DataFrame:
     """The requests (six columns) with `allowed`. Requests of unknown relations are an error; repeated ones are answered each."""
     asked = [(r.resource_type, r.relation) for r in requests.select("resource_type", "relation").distinct().collect()]  # relations of the schema
     inner = requests.withColumn("subject_relation", F.coalesce("subject_relation", F.lit("")))
-    subjects = inner.select(MEMBER[1:]).distinct()
-    found = evaluator.evaluate(asked, subjects, _keys(requests).distinct())
+    pairs = inner.select(F.concat_ws("#", "resource_type", "relation").alias("g"), F.col("resource_id").alias("gid"), *MEMBER[1:])
+    found = evaluator.evaluate(asked, None, pairs)
     members = None
     for (kind, relation), m in found.items():
         m = m.select(F.lit(kind).alias("resource_type"), "resource_id", F.lit(relation).alias("relation"), *MEMBER[1:])

@@ -7,7 +7,8 @@ in the last. Others repeat their plan until nothing is added. Where a part exclu
 that the policy leaves keys undefined.
 
 Two restrictions are applied before anything is joined: to the subjects asked for, on the rows that introduce subjects (no
-operator changes one), and to the objects that the asked-for ones can reach, exclude sides included.
+operator changes one), and to the objects that the asked-for ones can reach, exclude sides included. Where pairs of object
+and subject are asked for, the subject travels with the object, so that no step makes more pairs than were asked for and their reach.
 
 Inside, an absent subject relation is the empty string, so keys join as they are.
 """
@@ -83,6 +84,7 @@ class Evaluator:
         for row in found:
             self.stored.setdefault((row.resource_type, row.relation), []).append((row.subject_type, row.subject_relation))
         self.reached: DataFrame | None = None
+        self.pairs = False
         self.subjects: object = None
         self.members: dict[Node, DataFrame] = {}
         #: Counters of the last evaluation: rows found in each round, by kind of work.
@@ -131,6 +133,15 @@ class Evaluator:
         keys = self.reached.where((F.col("g") == "#".join(asked_by))).select(F.col("gid").alias("resource_id"))
         return rows.join(keys, "resource_id", "left_semi")
 
+    def _asked(self, node: Node) -> DataFrame:
+        """(resource_id, subject) of the pairs asked for on a node."""
+        return self.reached.where(F.col("g") == "#".join(node)).select(F.col("gid").alias("resource_id"), *MEMBER[1:])
+
+    def _asked_only(self, members: DataFrame, node: Node) -> DataFrame:
+        if self.pairs:
+            return members.join(self._asked(node), MEMBER, "left_semi")
+        return self._restricted(members, node)
+
     def _emitted(self, node: Node) -> DataFrame:
         """The subjects that a node's rows introduce: a user for every row of type user, and the userset where there is a relation."""
         rows = self._restricted(self._rows(node), node)
@@ -138,6 +149,8 @@ class Evaluator:
         userset = F.when(F.col("subject_relation").isNotNull(), F.struct("subject_type", "subject_id", "subject_relation"))
         subject = F.explode(F.array_compact(F.array(user, userset)))
         out = rows.select("resource_id", subject.alias("s")).select("resource_id", "s.*")
+        if self.pairs:
+            return self._asked_only(out, node)
         if isinstance(self.subjects, list):
             wanted = [reduce(Column.__and__, (F.col(c) == F.lit(v or "") for c, v in zip(MEMBER[1:], s, strict=True))) for s in self.subjects]
             return out.where(reduce(Column.__or__, wanted, F.lit(False)))
@@ -154,7 +167,8 @@ class Evaluator:
     # -- restriction to reachable objects
 
     def reach(self, keys: DataFrame, nodes: list[Node]) -> DataFrame:
-        """(g, gid): the keys (g "type#relation", gid) and all objects whose members they may need."""
+        """(g, gid): the keys (g "type#relation", gid) and all objects whose members they may need. Further columns, the subjects of pairs, go along."""
+        along = [c for c in keys.columns if c not in ("g", "gid")]
         graph = self.closure(nodes)
         moves, same = [], []
         for node in graph:
@@ -165,18 +179,18 @@ class Evaluator:
                     moves.append(self._links(node, relation, to, kind).select(F.lit("#".join(node)).alias("g"), F.col("resource_id").alias("gid"), F.lit("#".join(to)).alias("h"), F.col("via").alias("hid")))
         edges = reduce(DataFrame.union, moves) if moves else None
         stays = self.spark.createDataFrame(same, "g string, h string") if same else None
-        seen, n = cut_counted(keys.select("g", "gid").distinct())
+        seen, n = cut_counted(keys.select("g", "gid", *along).distinct())
         new, rows = seen, self.counters.setdefault("reached", [])
         rows.append(n)
         for _ in range(10_000):
             found = []
             if edges is not None:
-                found.append(new.join(edges, ["g", "gid"]).select(F.col("h").alias("g"), F.col("hid").alias("gid")))
+                found.append(new.join(edges, ["g", "gid"]).select(F.col("h").alias("g"), F.col("hid").alias("gid"), *along))
             if stays is not None:
-                found.append(new.join(F.broadcast(stays), "g").select(F.col("h").alias("g"), "gid"))  # one row per pair of relations
+                found.append(new.join(F.broadcast(stays), "g").select(F.col("h").alias("g"), "gid", *along))  # one row per pair of relations
             if not found:
                 return seen
-            new, n = cut_counted(reduce(DataFrame.union, found).distinct().join(seen, ["g", "gid"], "left_anti"))
+            new, n = cut_counted(reduce(DataFrame.union, found).distinct().join(seen, ["g", "gid", *along], "left_anti"))
             rows.append(n)
             if not n:
                 return seen
@@ -193,12 +207,12 @@ class Evaluator:
                 out = [self._emitted(node)]
                 for to in sorted(set(self.stored.get(node, ()))):
                     if self.schema.has(*to) and to in known:
-                        out.append(self._through(self._links(node, relation, to, "rows"), known[to]))
+                        out.append(self._through(node, self._links(node, relation, to, "rows"), known[to]))
                 return reduce(DataFrame.union, out).distinct()
             case Computed(target):
-                return self._restricted(known.get((kind, target), self._empty()), node)
+                return self._asked_only(known.get((kind, target), self._empty()), node)
             case ViaTuples(tupleset, target):
-                out = [self._through(self._links(node, tupleset, to, "through"), known[to]) for k, r, to, _ in self.steps(node) if k == "through" and r == tupleset and to[1] == target and to in known]
+                out = [self._through(node, self._links(node, tupleset, to, "through"), known[to]) for k, r, to, _ in self.steps(node) if k == "through" and r == tupleset and to[1] == target and to in known]
                 return reduce(DataFrame.union, out, self._empty()).distinct()
             case Union(operands):
                 return reduce(DataFrame.union, [self._expression(node, x, known, negative) for x in operands]).distinct()
@@ -209,19 +223,24 @@ class Evaluator:
                 return self._expression(node, base, known, negative).join(self._expression(node, exclude, negative, known), MEMBER, "left_anti")
         raise TypeError(e)
 
-    @staticmethod
-    def _through(links: DataFrame, members: DataFrame) -> DataFrame:
+    def _through(self, node: Node, links: DataFrame, members: DataFrame) -> DataFrame:
+        if self.pairs:
+            asked = self._asked(node).join(links, "resource_id")
+            return asked.join(members.withColumnRenamed("resource_id", "via"), ["via", *MEMBER[1:]], "left_semi").select(MEMBER)
         return links.join(members.withColumnRenamed("resource_id", "via"), "via").select(MEMBER)
 
     # -- fixpoints
 
     def evaluate(self, nodes: list[Node], subjects: object = None, keys: DataFrame | None = None) -> dict[Node, DataFrame]:
-        """Members of the nodes. subjects: None, a list of (type, id, relation), or a frame of them; keys: a frame (g, gid) of the objects asked for."""
+        """Members of the nodes. subjects: None, a list of (type, id, relation), or a frame of them; keys: a frame (g, gid) of the
+        objects asked for, or with the three subject columns the pairs asked for."""
         for node in nodes:
             self.schema.rewrite(*node)
         self.subjects, self.reached, self.members, self.counters = subjects, None, {}, {}
+        self.pairs = False
         if keys is not None:
             self.reached = self.reach(keys, nodes)
+            self.pairs = "subject_id" in keys.columns
         graph = self.closure(nodes)
         for part in parts(graph):
             self._part(part, graph)
@@ -261,14 +280,18 @@ class Evaluator:
                     moves.append(self._links(n, relation, to, kind).select("resource_id", "via", F.lit("#".join(n)).alias("h"), F.lit("#".join(to)).alias("g")))
         links = cut(reduce(DataFrame.union, moves)) if moves else None
         stays = F.broadcast(self.spark.createDataFrame(same, "h string, g string")) if same else None
+        by = ["g", *(MEMBER if self.pairs else MEMBER[:1])]
+
+        def only(f: DataFrame) -> DataFrame:
+            """What was asked for."""
+            return f if self.reached is None else f.join(self.reached.withColumnRenamed("gid", "resource_id"), by, "left_semi").select(*MEMBER, "g")
+
         for depth in range(1, 1 << 30):
             found = []
             if links is not None:
-                found.append(new.withColumnRenamed("resource_id", "via").join(links, ["g", "via"]).select(*MEMBER, F.col("h").alias("g")))
+                found.append(only(new.withColumnRenamed("resource_id", "via").join(links, ["g", "via"]).select(*MEMBER, F.col("h").alias("g"))))
             if stays is not None:
-                moved = new.join(stays, "g").select(*MEMBER, F.col("h").alias("g"))
-                if self.reached is not None:
-                    moved = moved.join(self.reached.select("g", F.col("gid").alias("resource_id")), ["g", "resource_id"], "left_semi").select(*MEMBER, "g")
+                moved = only(new.join(stays, "g").select(*MEMBER, F.col("h").alias("g")))
                 found.append(moved)
             new, count = cut_counted(reduce(DataFrame.union, found).distinct().join(seen, [*MEMBER, "g"], "left_anti"))
             rows.append(count)

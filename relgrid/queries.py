@@ -306,7 +306,7 @@ def rel46_union(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query(with_members("SELECT o.resource_id, o.subject_type, o.subject_id, o.subject_relation FROM t o JOIN t p ON o.resource_type = 'order' AND o.relation = 'owner' AND p.resource_type = 'order' AND p.relation = 'parent' AND p.resource_id = o.resource_id JOIN nv ON nv.n = p.subject_id AND nv.st = 'user' AND nv.si = o.subject_id"))
 def rel47_intersection(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Owners who can also view the nation. Owners are few per order, so the subjects are bound to them."""
+    """Owners who can also view the nation, asked as pairs."""
     e = _evaluator(spark, sf_dir)
     owners = _tuples(spark, sf_dir).where("resource_type = 'order' and relation = 'owner'")
     requests = owners.withColumn("relation", F.lit("owner_view"))
