@@ -126,3 +126,24 @@ def test_lm_scores(spark, docs):
 def test_lm_odd(spark, odd, none):
     ids = spark.createDataFrame([], "doc_id bigint")
     assert lmscore.score(odd, ids, keep=[odd.doc_id]).count() == 7 and lmscore.score(none, ids).count() == 0
+
+
+def test_lm_many_words(spark, docs):
+    """More words than smoothing allows for, and bigrams in chunks of several tasks: losses as by exact counts."""
+    rng = random.Random(6)
+    texts = {k: " ".join(f"w{rng.randrange(400_000)}" for _ in range(5000)) for k in range(160)}
+    seqs = {k: t.split() for k, t in texts.items()}
+    single, pairs = Counter(), Counter()
+    for seq in seqs.values():
+        single.update(seq)
+        pairs.update(zip(seq, seq[1:], strict=False))
+    assert len(single) > lmscore.VOCABULARY
+    total = sum(single.values()) + lmscore.UNSEEN * len(single)
+    share = lambda w: (single[w] + lmscore.UNSEEN) / total
+    frame = docs([(k, t, None) for k, t in texts.items()]).repartition(3)
+    rows = lmscore.score(frame, spark.createDataFrame([], "doc_id bigint"), keep=[frame.doc_id]).collect()
+    assert len(rows) == len(texts)
+    for r in rows[:20]:
+        seq = seqs[r.doc_id]
+        loss = -math.log2(share(seq[0])) - sum(math.log2((pairs[a, b] + lmscore.PRIOR * share(b)) / (single[a] + lmscore.PRIOR)) for a, b in zip(seq, seq[1:], strict=False))
+        assert r.n_words == len(seq) and math.isclose(r.background_loss, loss / len(seq), rel_tol=1e-6)
