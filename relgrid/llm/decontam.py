@@ -5,7 +5,9 @@
    gives so many), as TF-IDF rows A: every task adds up its part of A'(A Omega) for one random matrix Omega, and the
    sum gives the leading singular vectors and values of A in one pass (the Nystrom form of the randomised SVD).
 3. Documents and benchmark items are compared in that latent space, whitened: windows of 16, 32 and 64 words, every 8 words, against the items
-   (long ones in parts). A cosine of COSINE or more makes a candidate.
+   (long ones in parts). A cosine of COSINE or more makes a candidate. Short items fill too little of a window for that, and
+   edits lower it, so a stretch that shares enough pairs of adjacent words with an item is a candidate too. Half of what must be left
+   of them when all but LIKELY of the item's words are replaced is enough, so nothing that step 4 accepts is lost by replacing words.
 4. Each candidate is checked on the words themselves: the longest common subsequence of item and surroundings, and whether
    the item's answer (its last sentence, or last quarter) is there too. That catches paraphrases that keep most words in order.
 
@@ -27,13 +29,15 @@ from pyspark.sql import types as T
 
 from relgrid.llm.common import small_batches
 from relgrid.llm.tables import sum_tables
-from relgrid.llm.vec import LOWER, NON_WORD, U64, portions, segments, utf8, word_hashes, word_spans
+from relgrid.llm.vec import LOWER, NON_WORD, U64, mix, portions, segments, utf8, word_hashes, word_spans
 
 FEATURES, RANK, SKETCH, ITEMS = 1 << 15, 64, 80, 5000
 #: Documents on which the space is fitted, about, and most tasks that fit it. Counts and the search cover all documents.
 FIT_ROWS, FIT_TASKS = 10_000, 16
 STEP, SCALES, FITTED, BLOCKS = 8, (16, 32, 64), 32, 4096  # words between windows, in windows, in the passages that the SVD sees; blocks summed at once
 COSINE, SURE, LIKELY, ANSWER, MIN_WORDS = 0.6, 0.8, 0.65, 0.5, 5
+#: Bits of the filter on pairs of words, pairs looked at together, most pairs that a candidate must share, most places of one pair in an item.
+FILTER, PAIRS, SHARED, PLACES = 1 << 22, 1 << 20, 4, 4
 
 
 def words(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
@@ -133,6 +137,12 @@ class Item:
     answer_n: int
     slots: np.ndarray  # of up to 64 different words
     untracked: int  # words beyond those
+    vector: np.ndarray
+
+
+def _adjacent(hashes: np.ndarray) -> np.ndarray:
+    """A hash for each word and the next one."""
+    return mix(hashes[:-1] * U64(0x9E3779B97F4A7C15) + hashes[1:])
 
 
 def _masks(seq: list[int]) -> dict[int, int]:
@@ -148,7 +158,7 @@ class Index:
     def __init__(self, space: Space, idents: list, texts: list[str | None]) -> None:
         column = pa.array([t or "" for t in texts], pa.string())
         hashes, first = words(column)
-        self.space, self.items = space, []
+        self.space, self.items, kept = space, [], []
         parts: dict[int, list[tuple[int, np.ndarray]]] = {s: [] for s in SCALES}
         for k, ident in enumerate(idents):
             seq = hashes[first[k] : first[k + 1]]
@@ -159,8 +169,9 @@ class Index:
             tail = words(pa.array([body[at:]], pa.string()))[0] if at else seq[-max(1, len(seq) // 4) :]
             answer = (tail if len(tail) else seq[-1:]).tolist()
             masks = _masks(seq.tolist())
+            kept.append(seq)
             tracked = list(masks)[:64]
-            self.items.append(Item(ident, len(seq), masks, _masks(answer), len(answer), _slot(np.array(tracked, U64)), len(seq) - len(tracked)))
+            self.items.append(Item(ident, len(seq), masks, _masks(answer), len(answer), _slot(np.array(tracked, U64)), len(seq) - len(tracked), _unit(space.vectors[_slot(seq)].sum(0)[None])[0]))
             longest = SCALES[-1]
             for a in range(0, len(seq), longest):
                 part = seq[a : a + longest]
@@ -169,6 +180,61 @@ class Index:
                 scale = next((s for s in SCALES if len(part) <= 1.5 * s), longest)
                 parts[scale].append((len(self.items) - 1, space.vectors[_slot(part)].sum(0)))
         self.parts = {s: (np.array([i for i, _ in p]), _unit(np.stack([v for _, v in p]))) for s, p in parts.items() if p}
+        pairs: dict[int, list[tuple[int, int]]] = {}
+        for k, seq in enumerate(kept):
+            own: dict[int, list[int]] = {}
+            for at, pair in enumerate(_adjacent(seq).tolist()):
+                own.setdefault(pair, []).append(at)
+            for pair, places in own.items():
+                pairs.setdefault(pair, []).extend((k, at) for at in places[:PLACES])
+        self.pairs = np.array(sorted(pairs), U64)
+        entries = [e for pair in self.pairs.tolist() for e in pairs[pair]]
+        self.entry_item, self.entry_at = np.array(entries, np.int64).reshape(-1, 2).T
+        self.entries = np.r_[0, np.cumsum([len(pairs[pair]) for pair in self.pairs.tolist()], dtype=np.int64)]
+        self.filter = np.zeros(FILTER, bool)
+        self.filter[(self.pairs & U64(FILTER - 1)).astype(np.int64)] = True
+        self.n = np.array([i.n for i in self.items], np.int64)
+        left = np.ceil(LIKELY * self.n).astype(np.int64)
+        self.needed = np.clip((left - (self.n - left) - 1) // 2, 1, SHARED)
+
+    def seeds(self, hashes: np.ndarray, first: np.ndarray) -> tuple[np.ndarray, ...]:
+        """(document, item, first word, words, nan) of stretches that share pairs of adjacent words with an item, at about the same distance."""
+        out = [(np.zeros(0, np.int64),) * 4]
+        if len(self.pairs) and len(hashes) > 1:
+            pair = _adjacent(hashes)
+            place = np.flatnonzero(self.filter[(pair & U64(FILTER - 1)).astype(np.int64)])
+            known = np.minimum(np.searchsorted(self.pairs, pair[place]), len(self.pairs) - 1)
+            doc = np.searchsorted(first, place, "right") - 1
+            good = (self.pairs[known] == pair[place]) & (place + 1 < first[doc + 1])
+            place, known, doc = place[good], known[good], doc[good]
+            n = self.entries[known + 1] - self.entries[known]
+            so_far = np.cumsum(n)
+            a = 0
+            while a < len(place):
+                b = max(a + 1, int(np.searchsorted(so_far, (so_far[a - 1] if a else 0) + PAIRS, "right")))
+                if b < len(place):  # whole documents
+                    low = int(np.searchsorted(doc, doc[b]))
+                    b = low if low > a else int(np.searchsorted(doc, doc[b], "right"))
+                out.append(self._together(first, place[a:b], known[a:b], doc[a:b], n[a:b]))
+                a = b
+        found = tuple(np.concatenate(c) for c in zip(*out, strict=True))
+        return *found, np.full(len(found[0]), np.nan)
+
+    def _together(self, first: np.ndarray, place: np.ndarray, known: np.ndarray, doc: np.ndarray, n: np.ndarray) -> tuple[np.ndarray, ...]:
+        entry = np.repeat(self.entries[known] - (np.cumsum(n) - n), n) + np.arange(n.sum())
+        item, doc = self.entry_item[entry], np.repeat(doc, n)
+        width = STEP // 2 + self.n[item] // 8  # two of them are in reach of `plausible`
+        bucket = (np.repeat(place, n) - first[doc] - self.entry_at[entry]) // width
+        lowest = int(bucket.min()) - 1
+        span = int(bucket.max()) - lowest + 1
+        key = ((doc - doc[0]) * len(self.items) + item) * span + bucket - lowest
+        key, counts = np.unique(np.concatenate([key, key - 1]), return_counts=True)
+        rest, bucket = np.divmod(key, span)
+        item = rest % len(self.items)
+        enough = counts >= self.needed[item]
+        doc, item, bucket = (rest // len(self.items) + doc[0])[enough], item[enough], bucket[enough] + lowest
+        at = np.clip((bucket + 1) * (STEP // 2 + self.n[item] // 8), 0, first[doc + 1] - first[doc] - 1)
+        return doc, item, at, self.n[item]
 
     def candidates(self, hashes: np.ndarray, first: np.ndarray) -> tuple[np.ndarray, ...]:
         """(document, item, first word in the document, words, cosine) of windows that are near an item."""
@@ -230,7 +296,7 @@ class Index:
     def matches(self, hashes: np.ndarray, first: np.ndarray) -> Iterator[tuple[int, int, float, float, float, int, int]]:
         """(document, item, cosine, lcs, answer, first word, words): of each document and item the best that passes the checks."""
         best: dict[tuple[int, int], tuple] = {}
-        doc, owner, place, size, cosines = self.candidates(hashes, first)
+        doc, owner, place, size, cosines = (np.concatenate(c) for c in zip(self.candidates(hashes, first), self.seeds(hashes, first), strict=True))
         for c, a, b in zip(*(x.tolist() for x in self.plausible(hashes, first, doc, owner, place, size)), strict=True):
             d, k, cosine = int(doc[c]), int(owner[c]), float(cosines[c])
             item = self.items[k]
@@ -240,6 +306,9 @@ class Index:
                 continue
             answer = lcs(item.answer, item.answer_n, region) / item.answer_n
             if share >= SURE or answer >= ANSWER:
+                if cosine != cosine:
+                    low = first[d] + int(place[c])
+                    cosine = float(_unit(self.space.vectors[_slot(hashes[low : min(low + item.n, first[d + 1])])].sum(0)[None])[0] @ item.vector)
                 found = (share, cosine, answer, a, b - a)
                 if (d, k) not in best or found[:2] > best[d, k][:2]:
                     best[d, k] = found

@@ -77,6 +77,33 @@ def test_singular_values(corpus):
     assert abs(space.singular[0] - true[0]) < 0.1 * true[0] and (space.singular <= true[: len(space.singular)] * 1.01).all()
 
 
+def test_short_and_edited_items(spark, sf_dir):
+    """Recall of items of every length from MIN_WORDS words on, as they are and with a fifth of the words replaced, in texts of the table."""
+    rng = random.Random(9)
+    texts = [r.text for r in spark.read.parquet(f"{sf_dir}/documents.parquet").collect() if len(words(r.text)) > 80]
+    hashes, first = decontam.words(decontam.pa.array(texts))
+    space = decontam.fit(spark.createDataFrame([(t,) for t in texts], "text string"))
+    made = {}
+    for n in (5, 6, 8, 10, 12, 15, 20, 30, 60):
+        for edited in (False, True):
+            for _ in range(40):
+                seq = words(rng.choice(texts))
+                at = rng.randrange(len(seq) - n + 1) if len(seq) > n else 0
+                item = seq[at : at + n]
+                leak = list(item)
+                for k in rng.sample(range(len(item)), len(item) // 5 if edited else 0):
+                    leak[k] = f"other{k}"
+                host = words(rng.choice(texts))
+                cut = rng.randrange(len(host))
+                made[n, edited, len(made)] = " ".join(item), " ".join(host[:cut] + leak + host[cut:])
+    index = decontam.Index(space, list(made), [item for item, _ in made.values()])
+    hashes, first = decontam.words(decontam.pa.array([t for _, t in made.values()]))
+    found = {(d, k) for d, k, *_ in index.matches(hashes, first)}
+    hit = Counter((n, edited) for k, (n, edited, _) in enumerate(made) if (k, k) in found)
+    print("recall", {key: x / 40 for key, x in sorted(hit.items())})
+    assert all(hit[n, edited] >= 0.9 * 40 for n, edited, _ in made)
+
+
 def test_decontam_odd(spark, odd, none):
     items = spark.createDataFrame([(1, "a a a a a a a a a a"), (2, "")], "item_id bigint, text string")
     assert {r.doc_id for r in decontam.search(odd, items).collect()} == {4}
