@@ -1,8 +1,7 @@
 """Benchmark decontamination by latent semantic retrieval.
 
 1. Words are hashed to FEATURES slots and counted over all documents; that gives the inverse frequencies.
-2. The latent space is fitted on the passages of about FIT_ROWS documents (those whose texts' hashes are in a share of the range that
-   gives so many), as TF-IDF rows A: every task adds up its part of A'(A Omega) for one random matrix Omega, and the
+2. The latent space is fitted on the passages of all documents, as TF-IDF rows A: every task adds up its part of A'(A Omega) for one random matrix Omega, and the
    sum gives the leading singular vectors and values of A in one pass (the Nystrom form of the randomised SVD).
 3. Documents and benchmark items are compared in that latent space, whitened: windows of 16, 32 and 64 words, every 8 words, against the items
    (long ones in parts). A cosine of COSINE or more makes a candidate. Short items fill too little of a window for that, and
@@ -32,9 +31,9 @@ from relgrid.llm.tables import sum_tables
 from relgrid.llm.vec import LOWER, NON_WORD, U64, mix, portions, segments, utf8, word_hashes, word_spans
 
 FEATURES, RANK, SKETCH, ITEMS = 1 << 15, 64, 80, 5000
-#: Documents on which the space is fitted, about, and most tasks that fit it. Counts and the search cover all documents.
-FIT_ROWS, FIT_TASKS = 10_000, 16
-STEP, SCALES, FITTED, BLOCKS = 8, (16, 32, 64), 32, 4096  # words between windows, in windows, in the passages that the SVD sees; blocks summed at once
+#: Most tasks that fit the space, each sending one FEATURES x SKETCH table.
+FIT_TASKS = 64
+STEP, SCALES, FITTED, BLOCKS, PASSAGES = 8, (16, 32, 64), 32, 4096, 256  # words between windows, in windows, in the passages that the SVD sees; blocks and passages summed at once
 COSINE, SURE, LIKELY, ANSWER, MIN_WORDS = 0.6, 0.8, 0.65, 0.5, 5
 #: Bits of the filter on pairs of words, pairs looked at together, most pairs that a candidate must share, most places of one pair in an item.
 FILTER, PAIRS, SHARED, PLACES = 1 << 22, 1 << 20, 4, 4
@@ -83,21 +82,23 @@ def fit(rows: DataFrame, text: str = "text") -> Space | None:
         out = np.zeros((FEATURES, SKETCH), np.float32)
         for batch in portions(batches, limit=1 << 19):
             hashes, first = words(batch.column(0))
-            if not len(hashes):
-                continue
-            slot, start = _slot(hashes), _blocks(first, FITTED)[0]
-            norm = np.sqrt(np.add.reduceat(weight[slot] ** 2, start))
-            y = np.add.reduceat(weighted[slot], start, axis=0) / np.maximum(norm * norm, 1e-9)[:, None]
-            passage = np.repeat(np.arange(len(start)), np.diff(np.append(start, len(slot))))
-            order = np.argsort(slot.astype(np.uint16), kind="stable")
-            by = slot[order]
-            head = np.flatnonzero(np.r_[True, by[1:] != by[:-1]])
-            out[by[head]] += np.add.reduceat(y[passage[order]], head, axis=0) * weight[by[head]][:, None]
+            slots, starts = _slot(hashes), np.append(_blocks(first, FITTED)[0], len(hashes))
+            for low in range(0, len(starts) - 1, PASSAGES):  # so few that their sums stay in cache
+                start = starts[low : low + PASSAGES + 1]
+                slot, size = slots[start[0] : start[-1]], np.diff(start)
+                start = start[:-1] - start[0]
+                y = np.zeros((len(start), SKETCH), np.float32)
+                for j in range(FITTED):
+                    some = np.flatnonzero(size > j)
+                    y[some] += weighted[slot[start[some] + j]]
+                y /= np.maximum(np.add.reduceat(weight[slot] ** 2, start), 1e-9)[:, None]
+                order = np.argsort(slot.astype(np.uint16), kind="stable")
+                by = slot[order]
+                head = np.flatnonzero(np.r_[True, by[1:] != by[:-1]])
+                out[by[head]] += np.add.reduceat(y[np.repeat(np.arange(len(start)), size)[order]], head, axis=0) * weight[by[head]][:, None]
         return out
 
-    share = min(1.0, FIT_ROWS / max(1, texts.count()))
-    sample = texts.where(F.pmod(F.xxhash64("text"), F.lit(1_000_000)) < int(share * 1_000_000)) if share < 1 else texts
-    z = sum_tables(sample.coalesce(FIT_TASKS), product, (FEATURES, SKETCH), dtype="float64", wire="float32")
+    z = sum_tables(texts.coalesce(FIT_TASKS), product, (FEATURES, SKETCH), dtype="float64", wire="float32")
     shift = np.finfo(np.float32).eps * np.linalg.norm(z)
     z = z + shift * omega
     middle = omega.T.astype(float) @ z

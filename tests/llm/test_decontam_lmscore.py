@@ -104,6 +104,15 @@ def test_short_and_edited_items(spark, sf_dir):
     assert all(hit[n, edited] >= 0.9 * 40 for n, edited, _ in made)
 
 
+def test_space_of_many_copies(spark):
+    """Over 10 000 rows, nearly all without words: the space comes from every row, so that the one leak is found."""
+    item = "seven green ships sailed past nine old towers before dawn"
+    rows = spark.range(12_000).selectExpr("id AS doc_id", f"CASE WHEN id = 77 THEN 'so it goes {item} and so on' ELSE '!' END AS text")
+    items = spark.createDataFrame([(1, item)], "item_id bigint, text string")
+    assert decontam.fit(rows) is not None
+    assert [(r.doc_id, r.item_id) for r in decontam.search(rows, items).collect()] == [(77, 1)]
+
+
 def test_decontam_odd(spark, odd, none):
     items = spark.createDataFrame([(1, "a a a a a a a a a a"), (2, "")], "item_id bigint, text string")
     assert {r.doc_id for r in decontam.search(odd, items).collect()} == {4}
