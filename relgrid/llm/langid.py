@@ -1,6 +1,7 @@
 """Language identification by compression.
 
-A language's model is a zstandard raw-content dictionary: whole training texts of that language, one after another.
+A language's model is a zstandard raw-content dictionary: pieces of SAMPLE_ROWS training texts of that language of whatever length, one after
+another, DICTIONARY_BYTES in all. Texts too long for their part give a piece from a place that their hash chooses.
 A text is lower-cased, runs of anything but letters become one space, and what is left is encoded in windows with every
 dictionary; the language whose dictionary gives the fewest bytes wins. Where the runner-up is within `margin` of the winner (relative to the winner's bytes), the text is rejected as undecided.
 
@@ -23,7 +24,7 @@ from pyspark.sql.window import Window
 
 from relgrid.llm.common import small_batches
 
-#: Bounds of the sample on which dictionaries are fitted, per language: so many texts of at most so many bytes, cut to one length for all.
+#: Bounds of the sample on which dictionaries are fitted, per language: so many texts, so many characters of each, and so many bytes in all.
 SAMPLE_ROWS, SAMPLE_BYTES, DICTIONARY_BYTES = 200, 8192, 1 << 17
 WINDOW = 4096
 LEVEL = 6
@@ -41,9 +42,9 @@ def plain(text: str) -> bytes:
 
 
 def fit(rows: DataFrame, text: str = "text", lang: str = "lang", sample_rows: int = SAMPLE_ROWS, sample_bytes: int = SAMPLE_BYTES) -> dict[str, bytes]:
-    """Raw-content dictionaries from labelled rows: of each language the `sample_rows` different texts with the smallest hashes."""
+    """Raw-content dictionaries from labelled rows: of each language the `sample_rows` different texts with the smallest hashes, each up to the length that lets all of them in."""
     spark = rows.sparkSession
-    known = rows.select(F.col(text).alias("t"), F.col(lang).alias("l")).where("l is not null and t is not null and octet_length(t) between 1 and " + str(int(sample_bytes)))
+    known = rows.select(F.col(text).alias("t"), F.col(lang).alias("l")).where("l is not null and t is not null and t <> ''")
     keyed = known.select("l", F.xxhash64("t").alias("h"))
     # In parts first, so that a language's final ranking reads PARTS x sample_rows rows however many tasks there are.
     first = keyed.distinct().withColumn("part", F.pmod("h", F.lit(PARTS)))
@@ -53,11 +54,25 @@ def fit(rows: DataFrame, text: str = "text", lang: str = "lang", sample_rows: in
     if not chosen:
         return {}
     keys = F.broadcast(spark.createDataFrame(chosen, "l string, h long"))
-    texts = known.withColumn("h", F.xxhash64("t")).join(keys, ["l", "h"]).groupBy("l", "h").agg(F.min("t").alias("t")).collect()
+    size = int(sample_bytes)
+    piece = F.expr(f"if(length(t) <= {size}, t, substring(t, 1 + cast(pmod(xxhash64(t, 'place'), length(t) - {size} + 1) AS int), {size}))")
+    texts = known.withColumn("h", F.xxhash64("t")).join(keys, ["l", "h"]).groupBy("l", "h").agg(F.min(piece).alias("t")).collect()
     out: dict[str, list[tuple[int, str]]] = {}
     for row in texts:
         out.setdefault(row.l, []).append((row.h, row.t))
-    return {name: b" ".join(plain(t) for _, t in sorted(found))[:DICTIONARY_BYTES] for name, found in sorted(out.items())}
+    return {name: _joined([(h, plain(t)) for h, t in sorted(found)]) for name, found in sorted(out.items())}
+
+
+def _joined(texts: list[tuple[int, bytes]]) -> bytes:
+    """All texts in one dictionary: what is longer than the length that fits gives a piece from a place that its hash chooses."""
+    left, limit = DICTIONARY_BYTES - len(texts), 0
+    for k, n in enumerate(sorted(len(t) for _, t in texts)):
+        limit = left // (len(texts) - k)
+        if n > limit:
+            break
+        left, limit = left - n, n
+    cut = [(h % (len(t) - limit + 1) if len(t) > limit else 0, t) for h, t in texts]
+    return b" ".join(t[a : a + limit] for a, t in cut)
 
 
 class Encoder:

@@ -30,6 +30,18 @@ def test_langid_odd(odd, none, docs):
     assert langid.classify(odd, {}).where("lang_pred <> 'und' or not rejected").count() == 0
 
 
+def test_langid_long_texts(docs):
+    """Languages whose labelled texts are all long have dictionaries, in which every sampled text has a part."""
+    filler = {"en": "the cat and the dog are here ", "fr": "le chat et le chien sont ici "}
+    name = lambda k: "".join(chr(97 + int(c)) for c in f"{k:03d}") + "zq"
+    train = docs([(k, f"{name(k)} {filler[lang]}" * 500, lang) for k in range(60) for lang in filler])
+    model = langid.fit(train)
+    assert sorted(model) == ["en", "fr"] and all(len(x) <= langid.DICTIONARY_BYTES for x in model.values())
+    assert all(name(k).encode() in x for k in range(60) for x in model.values())
+    found = docs([(1, "the dog and the cat are here", None), (2, "le chien et le chat sont ici", None)])
+    assert {r.doc_id: r.lang_pred for r in langid.classify(found, model, keep=[found.doc_id]).collect()} == {1: "en", 2: "fr"}
+
+
 def test_quality_held_out(spark, sf_dir):
     truth = {r.doc_id: r.quality for r in spark.read.parquet(f"{sf_dir}/labels.parquet").collect()}
     rows = queries.op9_quality(spark, sf_dir).collect()
