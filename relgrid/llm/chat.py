@@ -7,7 +7,7 @@ it depends on: a plain message or a call without dependencies has level 0, a cal
 than its call. Arguments are checked against the tools' schemas, and every message is written as canonical JSON (sorted keys, no spaces).
 
 Defined results: texts that are not such JSON, null and empty texts are plain messages. A result without a call, or a call without a result,
-is counted as unlinked and stays at level 0. Calls that depend on each other in a ring, or through more than DEPTH steps, get level -1. Repeated rows
+is counted as unlinked and stays at level 0. Calls that depend on each other in a ring, or on such calls, get level -1. Repeated rows
 are a row each, linked alike. A message with a null conversation is never linked.
 """
 
@@ -23,7 +23,6 @@ from pyspark.sql import types as T
 
 from relgrid.llm.common import small_batches, written
 
-DEPTH = 50
 CALLS = "struct<tool_calls:array<struct<id:string,name:string,arguments:string>>,tool_call_id:string>"
 
 
@@ -85,22 +84,31 @@ def _rendered(turn: int | None, role: str | None, text: str | None, level: int,
     return invalid, canonical(body)
 
 
+def _settle(table: pa.Table) -> pa.Table:
+    """Levels of one conversation's calls (conv, call, needs) in the order of what they need; -1 for what depends on a ring."""
+    needs: dict[str, list[str]] = {}
+    users: dict[str, list[str]] = {}
+    for call, need in zip(table["call"].to_pylist(), table["needs"].to_pylist(), strict=True):
+        needs.setdefault(call, []).append(need)
+        users.setdefault(need, []).append(call)
+    level = {n: 0 for n in users if n not in needs}
+    waiting, ready = {c: len(n) for c, n in needs.items()}, list(level)
+    for done in ready:
+        for call in users.get(done, ()):
+            waiting[call] -= 1
+            if not waiting[call]:
+                level[call] = 1 + max(level[n] for n in needs[call])
+                ready.append(call)
+    calls = list(needs)
+    return pa.table({"conv": table["conv"].slice(0, 1).combine_chunks().take(pa.array([0] * len(calls))), "call": pa.array(calls, pa.string()), "level": pa.array([level.get(c, -1) for c in calls], pa.int32())})
+
+
 def _levels(calls: DataFrame, links: DataFrame) -> DataFrame:
-    """(conv, call, level) for calls with dependencies (conv, call, needs); -1 in a ring."""
-    known = links.join(calls.select("conv", F.col("call").alias("needs")), ["conv", "needs"], "left_semi")
-    level = written(calls.join(known, ["conv", "call"], "left_anti").select("conv", "call", F.lit(0).alias("level")), "levels")
-    todo = written(known, "needs")
-    for _ in range(DEPTH):
-        if todo.isEmpty():
-            break
-        state = todo.join(level.select("conv", F.col("call").alias("needs"), "level"), ["conv", "needs"], "left")
-        done = state.groupBy("conv", "call").agg(F.max("level").alias("m"), F.sum(F.col("level").isNull().cast("int")).alias("open")).where("open = 0").select("conv", "call", (F.col("m") + 1).alias("level"))
-        done = written(done, "levels")
-        if done.isEmpty():
-            break
-        level = level.union(done)
-        todo = written(todo.join(done, ["conv", "call"], "left_anti"), "needs")
-    return level.union(todo.select("conv", "call").distinct().select("conv", "call", F.lit(-1).alias("level")))
+    """(conv, call, level) for calls with dependencies (conv, call, needs); -1 in a ring. One conversation's dependencies are settled in one task."""
+    known = written(links.join(calls.select("conv", F.col("call").alias("needs")), ["conv", "needs"], "left_semi").select("conv", "call", "needs"), "needs")
+    free = calls.join(known, ["conv", "call"], "left_anti").select("conv", "call", F.lit(0).alias("level"))
+    schema = T.StructType([T.StructField("conv", calls.schema["conv"].dataType), *T.StructType.fromDDL("call string, level int").fields])
+    return written(free.union(known.groupBy("conv").applyInArrow(_settle, schema)), "levels")
 
 
 def link(messages: DataFrame, tools: dict[str, dict] | None = None, conv_id: str = "conv_id", turn: str = "turn", role: str = "role", text: str = "text") -> DataFrame:

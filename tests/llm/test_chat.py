@@ -51,6 +51,14 @@ def test_linking(spark):
     assert chat.link(spark.createDataFrame([], SCHEMA)).count() == 0
 
 
+def test_long_chain(spark):
+    """A chain of more calls than any number of rounds that one would run, with a ring beside it."""
+    rows = [(1, k, "assistant", calls((f"c{k}", "get", {"city": f"${{c{k - 1}}}" if k else "x"}))) for k in range(300)]
+    rows += [(1, 300, "tool", result("c299", "y")), (1, 301, "assistant", calls(("a", "get", {"city": "${b}"}), ("b", "get", {"city": "${a}"})))]
+    found = {r.turn: r.level for r in chat.link(spark.createDataFrame(rows, SCHEMA)).collect()}
+    assert found == {**{k: k for k in range(301)}, 301: -1}
+
+
 def test_schema_checks():
     schema = {"type": "object", "properties": {"xs": {"type": "array", "items": {"type": ["integer", "null"]}}, "k": {"enum": ["a", "b"]}}}
     assert chat.schema_errors({"xs": [1, None], "k": "a", "more": 1}, schema) == []
