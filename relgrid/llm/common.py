@@ -4,7 +4,8 @@ from __future__ import annotations
 
 import uuid
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, Observation, SparkSession
+from pyspark.sql import functions as F
 
 from relgrid.plans.lineage import remove_at_exit, shared_dir
 
@@ -37,3 +38,24 @@ def small_batches(frame: DataFrame) -> DataFrame:
     if not 0 < int(digits or 0) <= BATCH_BYTES:
         conf.set(key, str(BATCH_BYTES))
     return frame
+
+
+#: A key is hot with more rows than HOT_ROWS and than a HOT_KEYS-th of all; so there are at most HOT_KEYS such keys, which may be broadcast.
+HOT_ROWS, HOT_KEYS = 200, 4096
+
+
+def hot_keys(counts: DataFrame, on: list[str]) -> DataFrame:
+    """(on, parts__) of the hot keys of a frame (on, n) that counts each key's rows; parts__: in how many parts a join should deal them."""
+    seen = Observation()
+    above = written(counts.select(*on, "n").observe(seen, F.sum("n").alias("n")).where(F.col("n") > HOT_ROWS), "hot")
+    most = max(HOT_ROWS, (seen.get["n"] or 0) // HOT_KEYS)
+    return above.where(F.col("n") > most).select(*on, F.ceil(F.col("n") / most).cast("int").alias("parts__"))
+
+
+def dealt_join(left: DataFrame, right: DataFrame, on: list[str], by: list[str], hot: DataFrame, how: str = "inner") -> DataFrame:
+    """left.join(right, on), inner or left: a hot key's rows on the left are dealt over its parts by the columns `by`, each with a copy of the key's rows on the right."""
+    many = F.broadcast(hot)
+    parts = F.coalesce("parts__", F.lit(1))
+    mine = left.join(many, on, "left").withColumn("part__", F.pmod(F.xxhash64(*by), parts).cast("int")).drop("parts__")
+    theirs = right.join(many, on, "left").withColumn("part__", F.explode(F.sequence(F.lit(0), parts - 1))).drop("parts__")
+    return mine.join(theirs, [*on, "part__"], how).drop("part__")

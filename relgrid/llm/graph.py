@@ -5,19 +5,20 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from relgrid.llm.common import written
+from relgrid.llm.common import dealt_join, hot_keys, written
 
 
 def components(edges: DataFrame, limit: int = 200) -> DataFrame:
     """(id, label): for each end of an edge (a, b), the smallest id that it is connected with.
 
     Each round takes the smallest label among the neighbours and then the label of that label, so paths shorten at least
-    as fast as by halving; every round is written to the shared folder. Aggregates are partial before each exchange, and joins can be split where one id is hot.
+    as fast as by halving; every round is written to the shared folder. Aggregates are partial before each exchange, and the edges of a hot id are dealt.
     """
     both = written(edges.select("a", "b").union(edges.select(F.col("b").alias("a"), F.col("a").alias("b"))).where("a <> b").distinct(), "edges")
     labels = written(both.groupBy(F.col("a").alias("id")).agg(F.min("b").alias("m")).select("id", F.least("id", "m").alias("label")), "labels")
+    hot = hot_keys(both.groupBy("b").agg(F.count("*").alias("n")), ["b"])
     for _ in range(limit):
-        near = both.join(labels.select(F.col("id").alias("b"), F.col("label").alias("near")), "b").groupBy(F.col("a").alias("id")).agg(F.min("near").alias("near"))
+        near = dealt_join(both, labels.select(F.col("id").alias("b"), F.col("label").alias("near")), ["b"], ["a"], hot).groupBy(F.col("a").alias("id")).agg(F.min("near").alias("near"))
         stepped = labels.join(near, "id").select("id", F.least("label", "near").alias("step"), F.col("label").alias("was"))
         jump = labels.select(F.col("id").alias("step"), F.col("label").alias("jump"))
         new = written(stepped.join(jump, "step", "left").select("id", F.least("step", F.coalesce("jump", "step")).alias("label"), "was"), "labels")

@@ -1,12 +1,13 @@
 """Exact Jaccard self-join of documents by their word n-grams, with set-relation skipping.
 
-Sets are ordered by one order of all n-grams, rare ones first (counts over all documents, kept in a table of fixed width; any
-total order gives right results, a good one gives short lists). With similarity >= t, two sets of which one has n members share one of the first
-n - ceil(t n) + 1 members of each. The index holds those, with size and position.
+Sets are ordered by one order of all n-grams, rare ones first (counts over all documents, kept in a table whose width follows the corpus;
+any total order gives right results, a good one gives short lists). With similarity >= t, two sets of which one has n members share
+one of the first n - ceil(t n) + 1 members of each. The index holds those, with size and position.
 
-Index lists by position: if a list's member is the first that two sets share, all members before it differ, so the
-positions add up to at most the difference that t allows, and what follows must hold the whole overlap. Members that fail
-this against each other are skipped without being compared.
+Block skipping: each list is cut into blocks by size (in steps of a ratio of 1 / t) and position (in eighths of a set's indexed
+part). If a list's member is the first that two sets share, all members before it differ, so the positions add up to at most the
+difference that t allows, and what follows must hold the whole overlap. A member is joined only with those blocks whose
+bounds allow that; the other blocks of the list are skipped unread, and within the blocks joined the same bounds are tested exactly.
 
 Before texts are fetched, pairs whose parity maps differ in more bits than t allows members to differ are dropped.
 
@@ -15,7 +16,8 @@ differences. For two sets that are both similar to one leader, the difference fo
 set: D(y, z) = D(y, L) xor D(z, L). So inside a leader's ball only those that the leader itself doesn't link are
 looked at again, by index lists over the differences, and only links that join two parts are written. Pairs are formed only for members that are unlike their leader.
 
-Sets that are equal are one class from the start, represented by the smallest id. Hashes are of 64 bits (of a set: 128).
+Sets that are equal are one class from the start, represented by the smallest id. Hashes are of 64 bits (of a set: 128), of whole words
+block by block, so that no two words are confused by their structure.
 
 Defined results: null, empty and blank texts have no n-grams and are linked with nothing, each its own component. With fewer than k
 words the whole sequence is the one n-gram. A null id gets a null component and links nothing. Rows that share an id
@@ -24,6 +26,7 @@ are one node, with the links of them all. Extra columns are not touched.
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
 
 import numpy as np
@@ -33,16 +36,20 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from relgrid.llm import graph
-from relgrid.llm.common import small_batches, written
+from relgrid.llm.common import dealt_join, hot_keys, small_batches, written
 from relgrid.llm.tables import sum_tables
 from relgrid.llm.vec import LOWER, SPACE, U64, mix, portions, shingle_hashes, utf8, word_hashes, word_spans
 
-COUNT_BITS = 23
+#: Slots of the count table, a byte each when broadcast: about one for every SLOT_BYTES bytes of text, between these powers of two.
+#: Beyond the last (64 MB), n-grams rarer than a 2^26th of all are ordered by hash; results stay the same.
+COUNT_BITS, SLOT_BYTES = (18, 26), 64
+#: Position blocks of a list for each size.
+POSITIONS = 8
 #: Bits of a set's parity map. Each member flips one bit, so two maps differ in no more bits than the sets do in members.
 MAP_BITS = 1024
 #: Beyond so many differing bits, large sets are taken to be outside a ball (links don't depend on that).
 MAP_FULL = 430
-#: A leader's ball holds the sets at least this similar to it (percent); rows of a ball that one task takes on.
+#: A leader's ball holds the sets at least this similar to it (percent; less where less makes a link); rows of a ball that one task takes on.
 BALL, BLOCK = 60, 1024
 #: Up to so many ids are broadcast (8 bytes each) to fetch texts; more are joined by shuffling.
 BROADCAST_IDS = 1_000_000
@@ -56,15 +63,10 @@ def shingles(column: pa.Array, k: int) -> tuple[np.ndarray, np.ndarray]:
     return shingle_hashes(word_hashes(buf, start, end), first, k)
 
 
-def _need(n: Column | np.ndarray | int, t: int) -> Column | np.ndarray | int:
-    """Members that a set of n must share at least: ceil(t n / 100)."""
-    return -(-(n * t) // 100)
-
-
 def _sets(docs: DataFrame, order: np.ndarray, k: int, t: int) -> DataFrame:
     """(id, n, s1, s2, prefix, map): size, 128-bit signature, the first members in the order, and the parity map."""
-    shared = docs.sparkSession.sparkContext.broadcast(order)  # 2^COUNT_BITS bytes
-    mask = U64((1 << COUNT_BITS) - 1)
+    shared = docs.sparkSession.sparkContext.broadcast(order)  # 2^26 bytes at most
+    mask = U64(len(order) - 1)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         rank = shared.value
@@ -93,25 +95,29 @@ def _sets(docs: DataFrame, order: np.ndarray, k: int, t: int) -> DataFrame:
 
 def _order(docs: DataFrame, k: int) -> np.ndarray:
     """For each slot of n-gram hashes, the logarithm of their count over all documents."""
+    total = docs.agg(F.sum(F.octet_length("text"))).first()[0] or 0
+    slots = 1 << min(max((total // SLOT_BYTES).bit_length(), COUNT_BITS[0]), COUNT_BITS[1])
 
     def fill(batches: Iterator[pa.RecordBatch]) -> np.ndarray:
-        out = np.zeros(1 << COUNT_BITS, np.int32)
+        out = np.zeros(slots, np.int32)
         for batch in portions(batches, limit=1 << 19):
             hashes, _ = shingles(batch.column(0), k)
-            np.add.at(out, (hashes & U64((1 << COUNT_BITS) - 1)).astype(np.int64), 1)
+            np.add.at(out, (hashes & U64(slots - 1)).astype(np.int64), 1)
         return out
 
-    return np.log2(sum_tables(docs.select("text"), fill, (1 << COUNT_BITS,)) + np.float32(1), dtype=np.float32).astype(np.uint8)
+    return np.log2(sum_tables(docs.select("text"), fill, (slots,)) + np.float32(1), dtype=np.float32).astype(np.uint8)
 
 
-def _compare(docs: DataFrame, pairs: DataFrame, k: int, t: int) -> DataFrame:
-    """For pairs (a, b) of ids: na, nb, d (size of the difference), linked, and diff (its members) if b is in a's ball."""
-    spark = docs.sparkSession
+def _compare(docs: DataFrame, pairs: DataFrame, k: int, t: int, ball: int) -> DataFrame:
+    """For pairs (a, b) of ids, written: na, nb, d (size of the difference), linked, and diff (its members) if b is in a's ball."""
     ids = pairs.select(F.col("a").alias("id")).union(pairs.select(F.col("b").alias("id"))).distinct()
     ids = written(ids, "ids")
     few = ids.count() <= BROADCAST_IDS
     texts = docs.join(F.broadcast(ids) if few else ids, "id", "left_semi")
-    joined = pairs.join(texts.select(F.col("id").alias("b"), F.col("text").alias("tb")), "b").join(texts.select(F.col("id").alias("a"), F.col("text").alias("ta")), "a")
+    joined = pairs
+    for end in ("b", "a"):
+        hot = hot_keys(pairs.groupBy(end).agg(F.count("*").alias("n")), [end])
+        joined = dealt_join(joined, texts.select(F.col("id").alias(end), F.col("text").alias("t" + end)), [end], ["a", "b"], hot)
     kind = docs.schema["id"].dataType.simpleString()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -127,7 +133,7 @@ def _compare(docs: DataFrame, pairs: DataFrame, k: int, t: int) -> DataFrame:
                 both = len(mine) + len(theirs)
                 linked = 100 * (both - len(diff)) >= t * (both + len(diff))
                 rows.append((len(mine), len(theirs), len(diff), linked))
-                diffs.append(diff.view(np.int64) if 100 * (both - len(diff)) >= BALL * (both + len(diff)) else None)
+                diffs.append(diff.view(np.int64) if 100 * (both - len(diff)) >= ball * (both + len(diff)) else None)
             columns = [batch.column(0), batch.column(1), *(pa.array(c, kd) for c, kd in zip(zip(*rows, strict=True), (pa.int64(), pa.int64(), pa.int64(), pa.bool_()), strict=True)), pa.array(diffs, pa.list_(pa.int64()))]
             yield pa.RecordBatch.from_arrays(columns, names=["a", "b", "na", "nb", "d", "linked", "diff"])
 
@@ -135,10 +141,14 @@ def _compare(docs: DataFrame, pairs: DataFrame, k: int, t: int) -> DataFrame:
 
 
 def _map_distance(pairs: DataFrame, sets: DataFrame) -> DataFrame:
-    """The pairs (a, b, ...) with na, nb and bits: in how many bits their parity maps differ."""
-    side = lambda x: sets.select(F.col("id").alias(x), F.col("n").alias("n" + x), F.col("map").alias("m" + x))
+    """The pairs (a, b), written, with na, nb and bits: in how many bits their parity maps differ."""
+    joined = pairs
+    for x in ("a", "b"):
+        hot = hot_keys(pairs.groupBy(x).agg(F.count("*").alias("n")), [x])
+        side = sets.select(F.col("id").alias(x), F.col("n").alias("n" + x), F.col("map").alias("m" + x))
+        joined = dealt_join(joined, side, [x], ["a", "b"], hot)
     bits = F.expr("aggregate(zip_with(ma, mb, (x, y) -> bit_count(x ^ y)), 0, (s, x) -> s + x)")
-    return pairs.join(side("a"), "a").join(side("b"), "b").withColumn("bits", bits).drop("ma", "mb")
+    return joined.withColumn("bits", bits).drop("ma", "mb")
 
 
 class _Parts:
@@ -188,8 +198,9 @@ def _within_balls(compared: DataFrame, t: int) -> DataFrame:
     """Links (a, b) between members of one ball of which the leader doesn't link both."""
     kind = compared.schema["a"].dataType.simpleString()
     members = compared.where("diff is not null").select(F.col("a").alias("leader"), F.col("b").alias("id"), F.col("nb").alias("n"), "linked", "diff")
-    sizes = members.groupBy("leader").agg(F.count("*").alias("m"), F.sum((~F.col("linked")).cast("long")).alias("outer")).where("outer > 0 and m > 1")
-    held = members.join(sizes, "leader")
+    sizes = written(members.groupBy("leader").agg(F.count("*").alias("m"), F.sum((~F.col("linked")).cast("long")).alias("outer")), "sizes")
+    hot = hot_keys(sizes.withColumnRenamed("m", "n"), ["leader"])
+    held = dealt_join(members, sizes.where("outer > 0 and m > 1"), ["leader"], ["id"], hot)
     blocks = lambda c: F.ceil(F.col(c) / BLOCK).cast("int")
     at = lambda n: F.pmod(F.xxhash64("id"), n).cast("int")
     # Groups (leader, i, j): the outer members of block i as the left side, all members of block j as the right side.
@@ -211,40 +222,47 @@ def _within_balls(compared: DataFrame, t: int) -> DataFrame:
         return pa.table({"a": pick(0), "b": pick(1)})
 
     columns = ["leader", "i", "j", "id", "n", "linked", "diff", "left"]
-    return left.select(columns).union(right.select(columns)).groupBy("leader", "i", "j").applyInArrow(run, f"a {kind}, b {kind}")
+    # Dealt by all three, or what the join has dealt by leader would do and hold a ball's groups in one task.
+    return left.select(columns).union(right.select(columns)).repartition("leader", "i", "j").groupBy("leader", "i", "j").applyInArrow(run, f"a {kind}, b {kind}")
 
 
-def join(rows: DataFrame, doc_id: str = "doc_id", text: str = "text", k: int = 3, percent: int = 90) -> DataFrame:
-    """(doc_id, n_shingles, component_id) of every row; two documents link at a Jaccard similarity of `percent` or more."""
-    t = percent
-    docs = small_batches(rows).select(F.col(doc_id).alias("id"), F.col(text).cast("string").alias("text"))
-    sets = written(_sets(docs, _order(docs, k), k, t), "sets")
-    usable = sets.where("n > 0 and id is not null")
-    first = usable.withColumn("r", F.row_number().over(Window.partitionBy("s1", "s2").orderBy("id"))).where("r = 1").drop("r")
-    listed = first.select("id", "n", F.posexplode("prefix").alias("pos", "token"))
-    leaders = listed.groupBy("token").agg(F.count("*").alias("m"), F.min(F.struct("id", "n")).alias("l")).where("m > 1").select("token", F.col("l.id").alias("leader"), F.col("l.n").alias("ln"))
-    lists = written(listed.join(leaders, "token"), "lists")
+def _size_step(t: int) -> float:
+    """Sets that link are at most one step apart: the logarithm of 100 / t, and a little for rounding."""
+    return math.log(100 / t) + 0.01
 
-    # Members that a leader may link, and those that may be in its ball.
-    reps = first.select("id", "n", "map")
-    pairs = lists.where("id <> leader and 100 * least(n, ln) >= %d * greatest(n, ln)" % BALL).select(F.col("leader").alias("a"), F.col("id").alias("b")).distinct()
-    total, smaller, larger = F.expr("na + nb"), F.least("na", "nb"), F.greatest("na", "nb")
-    may_link = (100 * smaller >= t * larger) & (F.col("bits") <= F.floor(total * (100 - t) / (100 + t)))
-    may_be_near = F.col("bits") <= F.least(F.floor(total * (100 - BALL) / (100 + BALL)), F.lit(MAP_FULL))
-    pairs = written(_map_distance(pairs, reps).where(may_link | may_be_near).select("a", "b"), "pairs")
-    compared = written(_compare(docs, pairs, k, t), "compared")
-    links = compared.where("linked").select("a", "b").union(_within_balls(compared, t))
 
-    # Pairs with a member outside the ball of the list's leader: by position, size and distance from the leader.
-    far = lists.join(compared.select(F.col("a").alias("leader"), F.col("b").alias("id"), "d", (F.col("diff").isNotNull()).alias("near")), ["leader", "id"], "left").where("id <> leader")
-    far = far.select("token", "id", "n", "pos", F.coalesce("near", F.lit(False)).alias("near"), F.coalesce("d", F.abs(F.col("n") - F.col("ln"))).alias("d"), F.col("d").isNotNull().alias("known"))
-    side = lambda c: far.select("token", *(F.col(x).alias(c + x) for x in ("id", "n", "pos", "near", "d", "known")))
+def _size_class(n: Column | str, t: int) -> Column:
+    return F.floor(F.log(F.col(n) if isinstance(n, str) else n) / _size_step(t)).cast("int")
+
+
+def _block_width(size_class: Column, t: int) -> Column:
+    """Positions in a block of the size class: an eighth of what its largest sets index."""
+    largest = F.exp((size_class + 1) * _size_step(t)) + 1
+    return F.greatest(F.ceil((largest * (100 - t) / 100 + 1) / POSITIONS), F.lit(1)).cast("int")
+
+
+def _blocks_met(t: int) -> Column:
+    """For a member (n, pos): all (c, i), size class and position block, that hold members which may link with it through this list."""
+    c = F.col("c")
+    largest = F.least(F.exp((c + 1) * _size_step(t)) + 1, F.col("n") * 100 / t)
+    differ = F.floor((F.col("n") + largest) * (100 - t) / (100 + t))
+    last = F.floor((differ - F.col("pos")) / _block_width(c, t)).cast("int")
+    return F.when(last >= 0, F.sequence(F.lit(0), F.least(last, F.lit(2 * POSITIONS))))
+
+
+def _far_pairs(far: DataFrame, t: int) -> DataFrame:
+    """(a, b) of list members, one of them outside the ball of the list's leader, that may link: blocks by size and position
+    decide what is joined, and then position, size, and distance from the leader of each pair."""
+    far = written(far.withColumn("c", _size_class("n", t)).withColumn("i", F.floor(F.col("pos") / _block_width(F.col("c"), t)).cast("int")), "far")
+    key = ["token", "c", "i"]
+    side = lambda f, p: f.select(*key, *(F.col(x).alias(p + x) for x in ("id", "n", "pos", "near", "d", "known")))
+    asking = far.where("not near").withColumn("c", F.explode(F.expr("array(c - 1, c, c + 1)"))).withColumn("i", F.explode(_blocks_met(t)))
+    hot = hot_keys(far.groupBy(key).agg(F.count("*").alias("n")), key)
     both = F.expr("un + vn")
     most = F.floor(both * (100 - t) / (100 + t))  # members that may differ
     need = F.ceil(both * t / (100 + t))
     fits = (
         (F.col("uid") != F.col("vid"))
-        & (~F.col("unear"))
         & (F.col("vnear") | (F.col("uid") < F.col("vid")))
         & (100 * F.least("un", "vn") >= t * F.greatest("un", "vn"))
         & (F.expr("upos + vpos") <= most)
@@ -252,17 +270,48 @@ def join(rows: DataFrame, doc_id: str = "doc_id", text: str = "text", k: int = 3
         & (~F.col("vknown") | (F.expr("ud - vd") <= most))
         & (~F.col("uknown") | (F.expr("vd - ud") <= most))
     )
-    rest = side("u").join(side("v"), "token").where(fits).select(F.least("uid", "vid").alias("a"), F.greatest("uid", "vid").alias("b")).distinct()
-    rest = written(_map_distance(rest, reps).where(may_link).select("a", "b"), "pairs")
-    if not rest.isEmpty():
-        links = links.union(_compare(docs, rest, k, t).where("linked").select("a", "b"))
-    labels = graph.components(links)
+    met = dealt_join(side(far, "v"), side(asking, "u"), key, ["vid"], hot).where(fits)
+    return met.select(F.least("uid", "vid").alias("a"), F.greatest("uid", "vid").alias("b")).distinct()
+
+
+def join(rows: DataFrame, doc_id: str = "doc_id", text: str = "text", k: int = 3, percent: int = 90) -> DataFrame:
+    """(doc_id, n_shingles, component_id) of every row; two documents link at a Jaccard similarity of `percent` (1 to 100) or more."""
+    t, ball = percent, min(BALL, percent)
+    docs = small_batches(rows).select(F.col(doc_id).alias("id"), F.col(text).cast("string").alias("text"))
+    sets = written(_sets(docs, _order(docs, k), k, t), "sets")
+    usable = sets.where("n > 0 and id is not null")
+    classes = written(usable.groupBy("s1", "s2").agg(F.min(F.struct("id", "n", "prefix", "map")).alias("f"), F.count("*").alias("copies")).select("s1", "s2", "f.*", "copies"), "classes")
+    listed = classes.select("id", "n", F.posexplode("prefix").alias("pos", "token"))
+    leaders = listed.groupBy("token").agg(F.count("*").alias("m"), F.min(F.struct("id", "n")).alias("l")).where("m > 1").select("token", "m", F.col("l.id").alias("leader"), F.col("l.n").alias("ln"))
+    leaders = written(leaders, "leaders")
+    hot = hot_keys(leaders.select("token", F.col("m").alias("n")), ["token"])
+    lists = written(dealt_join(listed, leaders.drop("m"), ["token"], ["id"], hot), "lists")
 
-    classes = usable.groupBy("s1", "s2").agg(F.min("id").alias("rep"))
-    # Written, so that the join deals both sides anew and can split a large group of copies.
-    named = written(classes.join(labels, classes.rep == labels.id, "left").select("s1", "s2", F.coalesce("label", "rep").alias("component_id")), "named")
+    # Members that a leader may link, and those that may be in its ball.
+    reps = classes.select("id", "n", "map")
+    pairs = lists.where("id <> leader and 100 * least(n, ln) >= %d * greatest(n, ln)" % ball).select(F.col("leader").alias("a"), F.col("id").alias("b")).distinct()
+    total, smaller, larger = F.expr("na + nb"), F.least("na", "nb"), F.greatest("na", "nb")
+    may_link = (100 * smaller >= t * larger) & (F.col("bits") <= F.floor(total * (100 - t) / (100 + t)))
+    may_be_near = F.col("bits") <= F.least(F.floor(total * (100 - ball) / (100 + ball)), F.lit(MAP_FULL))
+    pairs = written(_map_distance(written(pairs, "pairs"), reps).where(may_link | may_be_near).select("a", "b"), "pairs")
+    compared = written(_compare(docs, pairs, k, t, ball), "compared")
+    links = compared.where("linked").select("a", "b").union(_within_balls(compared, t))
+
+    near = compared.select(F.col("a").alias("leader"), F.col("b").alias("id"), "d", (F.col("diff").isNotNull()).alias("near"))
+    far = lists.where("id <> leader").join(near, ["leader", "id"], "left")
+    far = far.select("token", "id", "n", "pos", F.coalesce("near", F.lit(False)).alias("near"), F.coalesce("d", F.abs(F.col("n") - F.col("ln"))).alias("d"), F.col("d").isNotNull().alias("known"))
+    rest = written(_map_distance(written(_far_pairs(far, t), "pairs"), reps).where(may_link).select("a", "b"), "pairs")
+    if not rest.isEmpty():
+        links = links.union(_compare(docs, rest, k, t, ball).where("linked").select("a", "b"))
+    # An id whose rows hold different sets joins their classes.
+    of_many = usable.groupBy("id").agg(F.min(F.struct("s1", "s2")).alias("x"), F.max(F.struct("s1", "s2")).alias("y")).where("x <> y").select("id")
+    held = usable.join(of_many, "id", "left_semi").select(F.col("id").alias("b"), "s1", "s2").join(classes.select(F.col("id").alias("a"), "s1", "s2"), ["s1", "s2"])
+    labels = graph.components(links.union(held.select("a", "b")))
+
+    named = written(classes.join(labels, "id", "left").select("s1", "s2", F.coalesce("label", "id").alias("component_id"), "copies"), "named")
+    hot = hot_keys(named.select("s1", "s2", F.col("copies").alias("n")), ["s1", "s2"])
     light = sets.select(F.col("id").alias("doc_id"), F.col("n").alias("n_shingles"), "s1", "s2")
-    linked = light.where("n_shingles > 0 and doc_id is not null").join(named, ["s1", "s2"]).select("doc_id", "n_shingles", "component_id")
+    linked = dealt_join(light.where("n_shingles > 0 and doc_id is not null"), named.drop("copies"), ["s1", "s2"], ["doc_id"], hot).select("doc_id", "n_shingles", "component_id")
     alone = light.where("n_shingles = 0 or doc_id is null").select("doc_id", "n_shingles", F.when(F.col("n_shingles") == 0, F.col("doc_id")).alias("component_id"))
     return linked.union(alone)
 

@@ -1,3 +1,4 @@
+import math
 import random
 import re
 from collections import Counter, defaultdict
@@ -60,7 +61,7 @@ def near_copies(seed, n, words, edits):
     return {k: " ".join(t + passage * (rng.random() < 0.5)) for k, t in enumerate(made)}
 
 
-@pytest.mark.parametrize(("k", "percent", "words", "edits"), [(3, 90, 60, 3), (5, 80, 80, 4), (3, 50, 20, 4)])
+@pytest.mark.parametrize(("k", "percent", "words", "edits"), [(3, 90, 60, 3), (5, 80, 80, 4), (3, 50, 20, 4), (2, 40, 30, 8)])
 def test_near_copies(docs, k, percent, words, edits):
     texts = near_copies(k, 140, words, edits)
     rows = jaccard.join(docs([(i, t, None) for i, t in texts.items()]).repartition(5), k=k, percent=percent).collect()
@@ -69,6 +70,51 @@ def test_near_copies(docs, k, percent, words, edits):
     assert len({c for _, c in want.values()}) < len(texts)
 
 
+@pytest.mark.parametrize("percent", [40, 59, 80])
+def test_sizes_apart(docs, percent):
+    """Parts of a text, each a bit longer than the one before, so that sizes differ by all that a link lets."""
+    rng = random.Random(percent)
+    words = ["".join(rng.choice("abcdefgh") for _ in range(5)) for _ in range(900)]
+    texts = {k: " ".join(words[300 * g : 300 * g + n + 2]) for k, (g, n) in enumerate((g, n) for g in range(3) for n in (20, 21, 22, 36, 40, 55, 60, 100, 110, 111, 150, 200, 298))}
+    found = {r.doc_id: (r.n_shingles, r.component_id) for r in jaccard.join(docs([(i, t, None) for i, t in texts.items()]), percent=percent).collect()}
+    assert found == brute(texts, 3, percent)
+
+
+def test_long_words(docs):
+    """Words that polynomial hashes modulo a power of two take for equal."""
+    word = "a"
+    while len(word) < 2048:
+        word += word.translate(str.maketrans("ab", "ba"))
+    other = word.translate(str.maketrans("ab", "ba"))
+    texts = {1: word, 2: other, 3: f"x {word} y z", 4: f"x {other} y z", 5: word, 6: word[:65], 7: other[:65]}
+    found = {r.doc_id: (r.n_shingles, r.component_id) for r in jaccard.join(docs([(i, t, None) for i, t in texts.items()])).collect()}
+    assert found == brute(texts, 3, 90) and found[5][1] == 1 and found[2][1] == 2
+
+
+def test_blocks_meet():
+    """Whatever may link through a list is in a block that the member is joined with."""
+    for t in (40, 60, 80, 90, 99):
+        step = jaccard._size_step(t)
+        size_class = lambda n: math.floor(math.log(n) / step)  # noqa: B023, E731
+        width = lambda c: max(1, math.ceil(((math.exp((c + 1) * step) + 1) * (100 - t) / 100 + 1) / jaccard.POSITIONS))  # noqa: B023, E731
+        for n in (1, 2, 3, 9, 10, 11, 50, 99, 100, 101, 977):
+            for m in range(-(-n * t // 100), n * 100 // t + 1):
+                most = (n + m) * (100 - t) // (100 + t)
+                c = size_class(m)
+                assert abs(c - size_class(n)) <= 1
+                for pos in range(n - -(-n * t // 100) + 1):
+                    furthest = min(most - pos, m - -(-m * t // 100))
+                    if furthest >= 0:
+                        largest = min(math.exp((c + 1) * step) + 1, n * 100 / t)
+                        last = math.floor((math.floor((n + largest) * (100 - t) / (100 + t)) - pos) / width(c))
+                        assert furthest // width(c) <= min(last, 2 * jaccard.POSITIONS)
+
+
+def test_one_id_with_many_texts(docs):
+    rows = docs([(1, "one text of some length", None), (0, "another text of some length", None), (1, "another text of some length", None), (2, "a third one", None)])
+    assert sorted((r.doc_id, r.component_id) for r in jaccard.join(rows).collect()) == [(0, 0), (1, 0), (1, 0), (2, 2)]
+
+
 def test_ball_links():
     rng = np.random.default_rng(0)
     for _ in range(60):
