@@ -49,8 +49,8 @@ POSITIONS = 8
 MAP_BITS = 1024
 #: Beyond so many differing bits, large sets are taken to be outside a ball (links don't depend on that).
 MAP_FULL = 430
-#: A leader's ball holds the sets at least this similar to it (percent; less where less makes a link); rows of a ball that one task takes on.
-BALL, BLOCK = 60, 1024
+#: A leader's ball holds the sets at least this similar to it (percent; less where less makes a link); members of a ball that one task takes on from each side, or the root of the ball's size.
+BALL, BLOCK = 60, 128
 #: Up to so many ids are broadcast (8 bytes each) to fetch texts; more are joined by shuffling.
 BROADCAST_IDS = 1_000_000
 
@@ -201,7 +201,7 @@ def _within_balls(compared: DataFrame, t: int) -> DataFrame:
     sizes = written(members.groupBy("leader").agg(F.count("*").alias("m"), F.sum((~F.col("linked")).cast("long")).alias("outer")), "sizes")
     hot = hot_keys(sizes.withColumnRenamed("m", "n"), ["leader"])
     held = dealt_join(members, sizes.where("outer > 0 and m > 1"), ["leader"], ["id"], hot)
-    blocks = lambda c: F.ceil(F.col(c) / BLOCK).cast("int")
+    blocks = lambda c: F.ceil(F.col(c) / F.greatest(F.lit(BLOCK), F.sqrt("m"))).cast("int")
     at = lambda n: F.pmod(F.xxhash64("id"), n).cast("int")
     # Groups (leader, i, j): the outer members of block i as the left side, all members of block j as the right side.
     left = held.where(~F.col("linked")).withColumn("i", at(blocks("outer"))).withColumn("j", F.explode(F.sequence(F.lit(0), blocks("m") - 1))).withColumn("left", F.lit(True))

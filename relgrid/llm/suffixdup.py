@@ -4,14 +4,19 @@ Anchors. Of every window of LENGTH bytes, the stretch of GRAM bytes in it with t
 have their anchors at the same place, so a repeated window's anchor is repeated. An anchor's context is what the windows
 that have it as their anchor cover. About one place in seventy-five is an anchor; only these are shuffled.
 
-Contexts. A context that occurs twice as a whole makes all its bytes repeated. What is left are the contexts that occur once,
-around the edges of repeated stretches, whose bytes are fetched. In each anchor's group one context, of those that occur often if there are any, is the pivot. Prefix
-polynomial hashes and a binary search give every context's common extensions with it to both sides, and so the windows
-that both hold. A window that holds more than that can only be shared with contexts that differ from the pivot at the same place in the
-same way, which is where nearly all are alone. The others are taken on in smaller groups, and after PIVOTS rounds by a suffix sort
-(suffixes.py): suffixes of a group's contexts from one offset on are merge-sorted by such comparisons, and one shares most
-with a neighbour in that order. How far its best match reaches can only grow with the offset, so from the rightmost window each look at an order settles a stretch of windows
-at once. Each match that counts is verified byte by byte.
+Contexts. A context that occurs twice as a whole, by a 128-bit cryptographic digest of its bytes, makes all its bytes repeated. What is left are
+the contexts that occur once, around the edges of repeated stretches. A window holds the anchor and REACH more bytes, half of them or
+more on one side. So two contexts that share a window share the SIDE bytes before or after the anchor: contexts are grouped by anchor and
+the hash of these bytes, once for each side, and only where a group has several are bytes fetched.
+
+Suffix sort (suffixes.py). In each group the suffixes of its contexts from one offset on are merge-sorted: prefix polynomial hashes and a binary search find the common
+extension of two suffixes, which is then verified byte by byte, and put right if hashes collided. A suffix shares most
+with a neighbour in that order. How far its best match reaches can only grow with the offset, so from the rightmost window each look at an order
+settles a stretch of windows at once.
+
+Hot groups, of more than SPLIT contexts, are split before they are sorted. One context, of those that occur often if there are any, is the group's pivot, and the
+others are compared with it wherever they are. A window that holds more than both share can only be
+shared with contexts that differ from the pivot at the same place in the same way; these are the next groups.
 
 Results are those of texts, so equal texts get equal ones; a text of LENGTH bytes or more that occurs in two rows is removed
 whole. Defined results: null and empty texts, and texts of under LENGTH bytes, keep all their bytes. Matches never cross
@@ -21,14 +26,16 @@ texts. Where bytes are kept as text, those of a character that is cut in two are
 from __future__ import annotations
 
 from collections.abc import Iterator
+from functools import reduce
+from hashlib import blake2b
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from relgrid.llm.common import small_batches, written
+from relgrid.llm.common import dealt_join, hot_keys, small_batches, written
 from relgrid.llm.suffixes import Suffixes
 from relgrid.llm.vec import U64, mix, portions, prefix_hash, span_hash, utf8
 
@@ -36,8 +43,9 @@ LENGTH, GRAM = 200, 50
 REACH = LENGTH - GRAM  # bytes of a context before its anchor
 FRAME = REACH + LENGTH
 _CHUNK, _PLACE = 1 << 20, U64((1 << 24) - 1)
-#: Contexts that are settled together, at least, and rounds with pivots before the suffix sort.
-GROUPED, PIVOTS = 2_000, 3
+SIDE = REACH // 2
+#: Contexts that one sort takes on at least, contexts of a group that is split first, and rounds of splitting; groups are sorted as they are after these.
+GROUPED, SPLIT, ROUNDS = 2_000, 200, 12
 
 
 def _sliding_min(x: np.ndarray, width: int) -> np.ndarray:
@@ -52,10 +60,13 @@ def _sliding_min(x: np.ndarray, width: int) -> np.ndarray:
 
 
 def anchors(buf: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, ...]:
-    """(document, place in it, bytes of context before the place, bytes from it on, hash of the anchor, of the context) of all anchors."""
+    """(document, place in it, bytes of context before the place, bytes from it on, hash of the anchor, first and last byte of the context, left and right key) of all anchors.
+
+    A key is a hash of the anchor and the SIDE bytes beside it, 0 where the context has fewer there.
+    """
     sizes = np.diff(offsets)
     if len(buf) < LENGTH or not (sizes >= LENGTH).any():
-        return (np.zeros(0, np.int64),) * 6
+        return (np.zeros(0, np.int64),) * 9
     prefix = prefix_hash(buf)
     n = len(buf) - GRAM + 1
     grams = mix(span_hash(prefix, np.arange(n), np.arange(GRAM, GRAM + n)))
@@ -76,80 +87,45 @@ def anchors(buf: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, ...]:
     begin, end = window[head], window[np.append(head[1:], len(window)) - 1] + LENGTH
     place = place[head]
     doc = np.searchsorted(offsets, place, "right") - 1
-    context = mix(span_hash(prefix, begin, end) + (place - begin).astype(U64) * U64(0x9E3779B97F4A7C15) + (end - place).astype(U64) * U64(0xC2B2AE3D27D4EB4F))
-    return doc, place - offsets[doc], place - begin, end - place, grams[place].view(np.int64), context.view(np.int64)
+    stop = place + GRAM
+    left, right = place - begin >= SIDE, end - stop >= SIDE
+    name = mix(grams[place])
+    keys = (
+        np.where(left, mix(name ^ span_hash(prefix, np.where(left, place - SIDE, place), place)), U64(0)),
+        np.where(right, mix(name + span_hash(prefix, stop, np.where(right, stop + SIDE, stop))), U64(0)),
+    )
+    return doc, place - offsets[doc], place - begin, end - place, grams[place].view(np.int64), begin, end, keys[0].view(np.int64), keys[1].view(np.int64)
 
 
-def _check(frames: np.ndarray, x: np.ndarray, y: np.ndarray, first: np.ndarray, last: np.ndarray) -> None:
-    """Verifies that frames x and y agree from column first to column last (exclusive)."""
-    columns = np.arange(FRAME)
-    for at in range(0, len(x), 20_000):
-        some = slice(at, at + 20_000)
-        inside = (columns >= first[some, None]) & (columns < last[some, None])
-        if ((frames[x[some]] != frames[y[some]]) & inside).any():
-            raise RuntimeError("two different strings have one hash")
+def against_pivots(frames: np.ndarray, low: np.ndarray, high: np.ndarray, a: np.ndarray, b: np.ndarray, group: np.ndarray, others: np.ndarray, other_low: np.ndarray, other_high: np.ndarray) -> tuple[np.ndarray, np.ndarray, tuple[np.ndarray, ...]]:
+    """Contexts (rows of frames) against the pivots of their groups (rows of others), which are other contexts.
 
-
-def _pivot(frames: np.ndarray, suffixes: Suffixes, low: np.ndarray, high: np.ndarray, rank: np.ndarray, who: np.ndarray, group: np.ndarray, a: np.ndarray, b: np.ndarray) -> tuple[list[np.ndarray], tuple[np.ndarray, ...]]:
-    """One round over members: contexts `who` in ascending groups, asking for windows a to b (none if a > b).
-
-    Gives the stretches (context, first, last) shared with the group's pivot, the member of greatest rank, and the members of the
-    next round's groups with what they still ask for.
+    Gives the first and last window that each shares with its pivot (none if first > last), and for the next groups rows (context, group, first
+    and last window asked for): beyond the pivot's extension, to the right or left, with contexts that go on there with the same byte.
     """
-    order = np.lexsort((rank[who], group))
-    who, group, a, b = who[order], group[order], a[order], b[order]
-    last = np.flatnonzero(np.r_[group[1:] != group[:-1], True])
-    pivot_row = np.repeat(last, np.diff(np.r_[-1, last]))
-    rest = np.flatnonzero(np.arange(len(who)) != pivot_row)
-    x, y = who[rest], who[pivot_row[rest]]
-    middle = x * FRAME + REACH
-    right = suffixes.common(middle, y * FRAME + REACH, np.minimum(high[x], high[y]) - REACH)
-    left = suffixes.common_left(middle, y * FRAME + REACH, REACH - np.maximum(low[x], low[y]))
-    out = []
-    for owner, mine in ((x, rest), (y, pivot_row[rest])):
-        first, final = np.maximum(a[mine], REACH - left), np.minimum(b[mine], right - GRAM)
-        good = first <= final
-        _check(frames, x[good], y[good], first[good], final[good] + LENGTH)
-        out.append(np.unique(np.stack([owner[good], first[good], final[good]], 1), axis=0))
-    prefix = suffixes.prefix
+    n = len(frames)
+    suffixes = Suffixes(np.concatenate([frames.reshape(-1), others.reshape(-1)]))
+    middle = np.arange(n) * FRAME + REACH
+    right = suffixes.common(middle, middle + n * FRAME, np.minimum(high, other_high) - REACH)
+    left = suffixes.common_left(middle, middle + n * FRAME, REACH - np.maximum(low, other_low))
     parts = []
-    # Beyond the pivot's extension: members that go on there with the same byte. To the right, then to the left.
-    for side, more, key, na, nb in (
-        (0, right < high[x] - REACH, lambda i: span_hash(prefix, middle[i], middle[i] + right[i] + 1), np.maximum(a[rest], right - GRAM + 1), b[rest]),
-        (1, left < REACH - low[x], lambda i: span_hash(prefix, middle[i] - left[i] - 1, middle[i]), a[rest], np.minimum(b[rest], np.minimum(REACH - left - 1, right - GRAM))),
+    for side, more, key, first, last in (
+        (0, right < high - REACH, lambda i: span_hash(suffixes.prefix, middle[i], middle[i] + right[i] + 1), np.maximum(a, right - GRAM + 1), b),
+        (1, left < REACH - low, lambda i: span_hash(suffixes.prefix, middle[i] - left[i] - 1, middle[i]), a, np.minimum(b, np.minimum(REACH - left - 1, right - GRAM))),
     ):
         i = np.flatnonzero(more)
-        if not len(i):
-            continue
-        code = mix(key(i) + mix(group[rest[i]].astype(U64) * U64(2) + U64(side)) + (right if side == 0 else left)[i].astype(U64))
-        _, code = np.unique(code, return_inverse=True)
-        asks = na[i] <= nb[i]
-        n = np.bincount(code)
-        live = (n[code] > 1) & (np.bincount(code, asks) > 0)[code]
-        parts.append((x[i][live], code[live] * 2 + side, na[i][live], nb[i][live]))
-    joined = tuple(np.concatenate(c) for c in zip(*parts, strict=True)) if parts else (np.zeros(0, np.int64),) * 4
-    by = np.argsort(joined[1], kind="stable")
-    return out, tuple(c[by] for c in joined)
-
-
-def repeated_windows(frames: np.ndarray, low: np.ndarray, high: np.ndarray, group: np.ndarray, single: np.ndarray, pivots: int = PIVOTS) -> np.ndarray:
-    """(context, first, last): stretches of window offsets that are repeated, for the contexts that occur once.
+        code = mix(key(i) + mix(group[i].view(U64) * U64(2) + U64(side)) + (right if side == 0 else left)[i].astype(U64))
+        parts.append((i, code.view(np.int64), first[i], last[i]))
+    return REACH - left, right - GRAM, tuple(np.concatenate(c) for c in zip(*parts, strict=True))
+
+
+def repeated_windows(frames: np.ndarray, low: np.ndarray, high: np.ndarray, group: np.ndarray, a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """(context, first, last): stretches of windows between a and b that another context of the group holds; none are asked for if a > b.
 
     frames: contexts (rows of FRAME bytes, valid from low to high, the anchor at REACH), in ascending groups.
     """
-    suffixes = Suffixes(frames.reshape(-1))
-    rank = (high - low) + np.where(single, 0, FRAME)
-    members = (np.arange(len(low)), group, np.where(single, low, FRAME), np.where(single, high - LENGTH, -1))
-    out: list[np.ndarray] = []
-    for _ in range(pivots):
-        if len(members[0]):
-            found, members = _pivot(frames, suffixes, low, high, rank, *members)
-            out += found
-    if len(members[0]):
-        who, part, a, b = members
-        found = _settle(frames[who], low[who], high[who], part, a, b)
-        out += [np.stack([who[f[:, 0]], f[:, 1], f[:, 2]], 1) for f in found]
-    return np.concatenate(out) if out else np.zeros((0, 3), np.int64)
+    found = _settle(frames, low, high, group, a, b)
+    return np.concatenate(found) if found else np.zeros((0, 3), np.int64)
 
 
 def _settle(frames: np.ndarray, low: np.ndarray, high: np.ndarray, group: np.ndarray, a: np.ndarray, b: np.ndarray) -> list[np.ndarray]:
@@ -179,7 +155,6 @@ def _settle(frames: np.ndarray, low: np.ndarray, high: np.ndarray, group: np.nda
         if hit.any():
             xs, ys, os = x[hit], y[hit], at[hit]
             back = suffixes.common_left(xs * FRAME + os, ys * FRAME + os, os - np.maximum(np.maximum(low[xs], low[ys]), a[xs]))
-            _check(frames, xs, ys, os - back, os + LENGTH)
             out.append(np.stack([xs, os - back, os], 1))
             right[xs] = os - back - 1
         miss = x[~hit]
@@ -190,7 +165,13 @@ def _settle(frames: np.ndarray, low: np.ndarray, high: np.ndarray, group: np.nda
 
 def _keyed(rows: DataFrame) -> DataFrame:
     """(h1, h2, text) of texts that can hold a repeat."""
-    return rows.where(F.octet_length("text") >= LENGTH).select(F.xxhash64("text").alias("h1"), F.xxhash64(F.lit(1), "text").alias("h2"), "text")
+    return rows.where(F.octet_length("text") >= LENGTH).select(*_digest(), "text")
+
+
+def _digest() -> list[Column]:
+    """h1 and h2: the first 128 bits of the text's SHA-256 digest."""
+    half = lambda at: F.conv(F.substring(F.sha2("text", 256), at, 16), 16, -10).cast("long")
+    return [half(1).alias("h1"), half(17).alias("h2")]
 
 
 def _first_seen(batch: pa.RecordBatch, seen: set[tuple[int, int]]) -> pa.RecordBatch:
@@ -213,28 +194,39 @@ def _distinct_texts(texts: DataFrame) -> DataFrame:
     return texts.mapInArrow(run, "h1 bigint, h2 bigint, text string")
 
 
+OCCURRENCE = "anchor bigint, c1 bigint, c2 bigint, kl bigint, kr bigint, h1 bigint, h2 bigint, pos bigint, reach int"
+
+
 def _occurrences(texts: DataFrame, brief: bool) -> DataFrame:
-    """Anchors of all texts: with `brief` (anchor, hp), else (anchor, ctx, h1, h2, pos, reach). hp: a hash of text and place."""
+    """Anchors of all texts: with `brief` (anchor, hp), else OCCURRENCE: c1 and c2, a digest of the context; its keys by the left and right side;
+    its place, and its bytes before and from there. hp: a hash of text and place."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         seen: set[tuple[int, int]] = set()
         for batch in portions(batches, limit=1 << 19):
             batch = _first_seen(batch, seen)
             buf, offsets = utf8(batch.column(2))
-            doc, place, before, after, anchor, context = anchors(buf, offsets)
+            doc, place, before, after, anchor, begin, end, left, right = anchors(buf, offsets)
             h1, h2 = batch.column(0).to_numpy()[doc], batch.column(1).to_numpy()[doc]
             if brief:
                 hp = mix(mix(h1.view(U64) ^ mix(h2.view(U64))) + place.astype(U64))
                 yield pa.RecordBatch.from_arrays([pa.array(anchor, pa.int64()), pa.array(hp.view(np.int64), pa.int64())], names=["anchor", "hp"])
             else:
-                yield pa.RecordBatch.from_arrays([*(pa.array(x, pa.int64()) for x in (anchor, context, h1, h2, place)), pa.array(before * 256 + after, pa.int32())], names=["anchor", "ctx", "h1", "h2", "pos", "reach"])
+                raw = buf.tobytes()
+                digest = b"".join([blake2b(raw[a:b], digest_size=16, salt=bytes((x,))).digest() for a, b, x in zip(begin.tolist(), end.tolist(), before.tolist(), strict=True)])
+                c1, c2 = np.frombuffer(digest, np.int64).reshape(-1, 2).T
+                columns = [pa.array(x, pa.int64()) for x in (anchor, c1, c2, left, right, h1, h2, place)]
+                yield pa.RecordBatch.from_arrays([*columns, pa.array(before * 256 + after, pa.int32())], names=["anchor", "c1", "c2", "kl", "kr", "h1", "h2", "pos", "reach"])
+
+    return texts.mapInArrow(run, "anchor bigint, hp bigint" if brief else OCCURRENCE)
+
 
-    return texts.mapInArrow(run, "anchor bigint, hp bigint" if brief else "anchor bigint, ctx bigint, h1 bigint, h2 bigint, pos bigint, reach int")
+MEMBER = "g bigint, multi boolean, a int, b int, h1 bigint, h2 bigint, pos bigint, reach int, frame binary"
 
 
-def _edge_frames(texts: DataFrame, edges: DataFrame) -> DataFrame:
-    """The bytes of the contexts `edges`, each from one row of its text."""
-    wanted = edges.groupBy("h1", "h2").agg(F.collect_list(F.struct("anchor", "ctx", "multi", "pos", "reach")).alias("at"))  # as many as a text has anchors
+def _members(texts: DataFrame, edges: DataFrame) -> DataFrame:
+    """The contexts `edges` (g, right, multi, h1, h2, pos, reach) with their bytes, each from one row of its text, and the windows that they ask for (a to b, none if a > b)."""
+    wanted = edges.groupBy("h1", "h2").agg(F.collect_list(F.struct("g", "right", "multi", "pos", "reach")).alias("at"))  # as many as a text has anchors
     joined = _distinct_texts(texts).join(wanted, ["h1", "h2"])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -248,41 +240,105 @@ def _edge_frames(texts: DataFrame, edges: DataFrame) -> DataFrame:
             at = lists.flatten()
             row = np.repeat(np.arange(len(lists)), np.diff(lists.offsets.to_numpy()))
             place, reach = at.field("pos").to_numpy(), at.field("reach").to_numpy().astype(np.int64)
-            begin, size = offsets[row] + place - reach // 256, reach // 256 + reach % 256
+            before, size = reach // 256, reach // 256 + reach % 256
+            begin = offsets[row] + place - before
             ends = np.zeros(len(size) + 1, np.int64)
             np.cumsum(size, out=ends[1:])
             data = buf[np.repeat(begin - ends[:-1], size) + np.arange(ends[-1])]
             frames = pa.Array.from_buffers(pa.binary(), len(size), [None, pa.py_buffer(ends.astype(np.int32)), pa.py_buffer(data)])
+            right, multi = (at.field(c).to_numpy(zero_copy_only=False).astype(bool) for c in ("right", "multi"))
+            low = REACH - before
+            first = np.where(right, np.maximum(low, SIDE), low)
+            last = np.where(multi, -1, np.where(right, low + size - LENGTH, np.minimum(low + size - LENGTH, REACH - SIDE)))
             key = lambda k: batch.column(k).take(pa.array(row))  # noqa: B023, E731
-            yield pa.RecordBatch.from_arrays([at.field("anchor"), at.field("ctx"), at.field("multi"), key(0), key(1), at.field("pos"), at.field("reach"), frames], names=["anchor", "ctx", "multi", "h1", "h2", "pos", "reach", "frame"])
+            yield pa.RecordBatch.from_arrays([at.field("g"), at.field("multi"), pa.array(first, pa.int32()), pa.array(last, pa.int32()), key(0), key(1), at.field("pos"), at.field("reach"), frames], names=["g", "multi", "a", "b", "h1", "h2", "pos", "reach", "frame"])
 
-    return joined.select("h1", "h2", "text", "at").mapInArrow(run, "anchor bigint, ctx bigint, multi boolean, h1 bigint, h2 bigint, pos bigint, reach int, frame binary")
+    return written(joined.select("h1", "h2", "text", "at").mapInArrow(run, MEMBER), "members")
 
 
-def _edge_spans(frames: DataFrame) -> DataFrame:
-    """(h1, h2, a, b): repeated bytes found in contexts that occur once."""
+def _frames(reach: np.ndarray, column: pa.ChunkedArray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(frames, low, high) of contexts given by their bytes."""
+    low = REACH - reach.astype(np.int64) // 256
+    buf, offsets = _binary(column)
+    size = np.diff(offsets)
+    frames = np.zeros((len(low), FRAME), np.uint8)
+    frames.reshape(-1)[np.repeat(np.arange(len(low)) * FRAME + low - offsets[:-1], size) + np.arange(len(buf))] = buf
+    return frames, low, low + size
+
+
+SPANS = "h1 bigint, h2 bigint, a bigint, b bigint"
+
+
+def _spans(h1: np.ndarray, h2: np.ndarray, pos: np.ndarray, first: np.ndarray, last: np.ndarray) -> pa.RecordBatch:
+    """Bytes of windows first to last of contexts."""
+    return pa.RecordBatch.from_arrays([pa.array(x, pa.int64()) for x in (h1, h2, pos - REACH + first, pos - REACH + last + LENGTH)], names=["h1", "h2", "a", "b"])
+
+
+def _sizes(members: DataFrame) -> DataFrame:
+    """(g, n) of groups of several, of which one at least asks."""
+    return written(members.groupBy("g").agg(F.count("*").alias("n"), F.max((F.col("a") <= F.col("b")).cast("int")).alias("asks")).where("n > 1 and asks = 1").select("g", "n"), "sizes")
+
+
+def _split(members: DataFrame, sizes: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """(spans found, members of the next groups): every context of hot groups against the pivot of its group."""
+    hot = hot_keys(sizes, ["g"])
+    rank = F.struct("multi", F.expr("reach div 256 + reach % 256"), "h1", "h2", "pos")
+    place = ["h1", "h2", "pos", "reach"]
+    pivots = members.groupBy("g").agg(F.max(rank).alias("r")).select("g", *(F.col(f"r.{c}").alias("p_" + c) for c in place[:3]))
+    chosen = dealt_join(members, pivots, ["g"], place[:3], hot)
+    is_pivot = F.expr("h1 = p_h1 and h2 = p_h2 and pos = p_pos")
+    pivots = chosen.where(is_pivot).groupBy("g").agg(F.min(F.struct(*place, "a", "b", "frame")).alias("p")).select("g", *(F.col(f"p.{c}").alias("p_" + c) for c in (*place, "a", "b", "frame")))
+    both = written(dealt_join(members, pivots, ["g"], place[:3], hot).where(~is_pivot), "pairs")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in (x.slice(at, GROUPED) for x in batches for at in range(0, x.num_rows, GROUPED)):
+            rows = pa.Table.from_batches([batch])
+            get = lambda c: rows[c].to_numpy()  # noqa: B023, E731
+            mine, theirs = _frames(get("reach"), rows["frame"]), _frames(get("p_reach"), rows["p_frame"])
+            a, b = get("a").astype(np.int64), get("b").astype(np.int64)
+            first, last, (who, group, na, nb) = against_pivots(*mine, a, b, get("g"), *theirs)
+            spans = []
+            for p, x, y in (("", a, b), ("p_", get("p_a"), get("p_b"))):
+                from_, to = np.maximum(first, x), np.minimum(last, y)
+                good = from_ <= to
+                spans.append(_spans(get(p + "h1")[good], get(p + "h2")[good], get(p + "pos")[good], from_[good], to[good]))
+            found = pa.Table.from_batches(spans).group_by(["h1", "h2", "a", "b"]).aggregate([])
+            yield _tagged(found, pa.table({}), 0)
+            kept = rows.select(["multi", "h1", "h2", "pos", "reach", "frame"]).take(pa.array(who))
+            yield _tagged(pa.table({"a": pa.array(na), "b": pa.array(nb)}), kept.append_column("g", pa.array(group, pa.int64())), 1)
+
+    out = written(both.mapInArrow(run, f"kind int, {MEMBER}"), "split")
+    return out.where("kind = 0").select("h1", "h2", F.col("pos").alias("a"), (F.col("pos") + F.col("reach")).alias("b")), out.where("kind = 1").drop("kind")
+
+
+def _tagged(numbers: pa.Table, rest: pa.Table, kind: int) -> pa.RecordBatch:
+    """Spans (kind 0: pos is where it begins, reach its length) and members (kind 1) in one schema."""
+    n = numbers.num_rows
+    null = lambda t: pa.nulls(n, t)
+    if kind == 0:
+        columns = [null(pa.int64()), null(pa.bool_()), null(pa.int32()), null(pa.int32()), numbers["h1"], numbers["h2"], numbers["a"], pa.array(numbers["b"].to_numpy() - numbers["a"].to_numpy(), pa.int32()), null(pa.binary())]
+    else:
+        columns = [rest["g"], rest["multi"], numbers["a"].cast(pa.int32()), numbers["b"].cast(pa.int32()), rest["h1"], rest["h2"], rest["pos"], rest["reach"], rest["frame"]]
+    flat = [c.combine_chunks() if isinstance(c, pa.ChunkedArray) else c for c in columns]
+    flat = [c.chunk(0) if isinstance(c, pa.ChunkedArray) else c for c in flat]
+    return pa.RecordBatch.from_arrays([pa.array(np.full(n, kind), pa.int32()), *flat], names=["kind", "g", "multi", "a", "b", "h1", "h2", "pos", "reach", "frame"])
+
+
+def _sorted_spans(members: DataFrame) -> DataFrame:
+    """Repeated bytes that the suffix sort of each group finds."""
 
     def spans(rows: pa.Table) -> pa.RecordBatch:
-        anchor, ctx = rows["anchor"].to_numpy(), rows["ctx"].to_numpy()
-        pick = np.lexsort((ctx, anchor))
-        pick = pick[np.r_[True, (anchor[pick][1:] != anchor[pick][:-1]) | (ctx[pick][1:] != ctx[pick][:-1])]]  # a context once
-        rows, anchor = rows.take(pa.array(pick)), anchor[pick]
-        low = REACH - rows["reach"].to_numpy().astype(np.int64) // 256
-        buf, offsets = _binary(rows["frame"])
-        size = np.diff(offsets)
-        frames = np.zeros((len(anchor), FRAME), np.uint8)
-        frames.reshape(-1)[np.repeat(np.arange(len(anchor)) * FRAME + low - offsets[:-1], size) + np.arange(len(buf))] = buf
-        single = ~rows["multi"].to_numpy(zero_copy_only=False) if isinstance(rows["multi"], pa.Array) else ~rows["multi"].to_numpy()
-        group = np.cumsum(np.r_[0, anchor[1:] != anchor[:-1]])
-        found = repeated_windows(frames, low, low + size, group, single.astype(bool))
-        owner, begin = found[:, 0], rows["pos"].to_numpy()[found[:, 0]] - REACH
-        return pa.RecordBatch.from_arrays([pa.array(x, pa.int64()) for x in (rows["h1"].to_numpy()[owner], rows["h2"].to_numpy()[owner], begin + found[:, 1], begin + found[:, 2] + LENGTH)], names=["h1", "h2", "a", "b"])
+        get = lambda c: rows[c].to_numpy()
+        _, group = np.unique(get("g"), return_inverse=True)
+        found = repeated_windows(*_frames(get("reach"), rows["frame"]), group, get("a").astype(np.int64), get("b").astype(np.int64))
+        who = found[:, 0]
+        return _spans(get("h1")[who], get("h2")[who], get("pos")[who], found[:, 1], found[:, 2])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: list[pa.RecordBatch] = []
         n = 0
         for batch in (b.slice(at, GROUPED) for b in batches for at in range(0, b.num_rows, GROUPED)):
-            # Whole groups only: rows are sorted by anchor, so the last anchor's may go on in the next batch.
+            # Whole groups only: rows are sorted by group, so the last group may go on in the next batch.
             keys = batch.column(0).to_numpy()
             cut = int(np.searchsorted(keys, keys[-1]))
             if cut and n + cut >= GROUPED or (cut == 0 and held and n >= GROUPED and held[-1].column(0)[-1].as_py() != keys[0]):
@@ -294,7 +350,24 @@ def _edge_spans(frames: DataFrame) -> DataFrame:
         if held:
             yield spans(pa.Table.from_batches(held))
 
-    return frames.repartition("anchor").sortWithinPartitions("anchor").mapInArrow(run, "h1 bigint, h2 bigint, a bigint, b bigint")
+    return members.repartition("g").sortWithinPartitions("g").mapInArrow(run, SPANS)
+
+
+def _edge_spans(members: DataFrame) -> DataFrame:
+    """(h1, h2, a, b): repeated bytes found in contexts that occur once."""
+    out = []
+    for left in range(ROUNDS, -1, -1):
+        sizes = _sizes(members)
+        hot = sizes.where(F.col("n") > SPLIT)
+        if not left or hot.isEmpty():
+            out.append(_sorted_spans(members.join(sizes.select("g"), "g", "left_semi").select(*members.columns)))
+            break
+        small = sizes.where(F.col("n") <= SPLIT).select("g")
+        out.append(_sorted_spans(members.join(small, "g", "left_semi").select(*members.columns)))
+        large = dealt_join(members, hot.select("g", F.lit(True).alias("large")), ["g"], ["h1", "h2", "pos"], hot_keys(sizes, ["g"])).select(*members.columns)
+        found, members = _split(written(large, "large"), hot)
+        out.append(found)
+    return reduce(DataFrame.union, out)
 
 
 def _binary(column: pa.ChunkedArray) -> tuple[np.ndarray, np.ndarray]:
@@ -309,16 +382,21 @@ def _binary(column: pa.ChunkedArray) -> tuple[np.ndarray, np.ndarray]:
 def repeated(rows: DataFrame) -> DataFrame:
     """(h1, h2, spans): for each text of `rows` (column text) with repeated bytes, spans that cover them, in any order."""
     texts = _keyed(rows)
-    # Written, so that the join deals both sides anew and can split a hot anchor.
-    again = written(_occurrences(texts, True).groupBy("anchor").agg(F.min("hp").alias("x"), F.max("hp").alias("y")).where("x <> y").select("anchor"), "again")
-    found = written(_occurrences(texts, False).join(again, "anchor"), "anchors")
-    place = F.struct("h1", "h2", "pos", "reach")
-    contexts = written(found.groupBy("anchor", "ctx").agg((F.min(place) != F.max(place)).alias("multi"), F.min(place).alias("p")).select("anchor", "ctx", "multi", "p.*"), "contexts")
-    whole = found.join(contexts.where("multi").select("anchor", "ctx"), ["anchor", "ctx"]).select("h1", "h2", F.expr("pos - reach div 256").alias("a"), F.expr("pos + reach % 256").alias("b"))
-    mixed = contexts.groupBy("anchor").agg(F.count("*").alias("n"), F.min("multi").alias("all")).where("n > 1 and not all").select("anchor")
-    edges = _edge_spans(_edge_frames(texts, contexts.join(mixed, "anchor")))
-    copies = rows.where(F.octet_length("text") >= LENGTH).groupBy(F.xxhash64("text").alias("h1"), F.xxhash64(F.lit(1), "text").alias("h2")).count().where("count > 1").select("h1", "h2", F.lit(0).cast("long").alias("a"), F.lit(1 << 60).alias("b"))
-    return whole.union(edges).union(copies).groupBy("h1", "h2").agg(F.collect_set(F.struct("a", "b")).alias("spans"))  # as many as a text has anchors
+    again = written(_occurrences(texts, True).groupBy("anchor").agg(F.min("hp").alias("x"), F.max("hp").alias("y"), F.count("*").alias("n")).where("x <> y").select("anchor", "n"), "again")
+    place = ["h1", "h2", "pos"]
+    found = written(dealt_join(_occurrences(texts, False), again.select("anchor"), ["anchor"], place, hot_keys(again, ["anchor"])), "anchors")
+    one = F.struct(*place, "reach", "kl", "kr")
+    context = ["anchor", "c1", "c2"]
+    contexts = found.groupBy(context).agg((F.min(one) != F.max(one)).alias("multi"), F.min(one).alias("p"), F.count("*").alias("n")).select(*context, "multi", "n", "p.*")
+    contexts = written(contexts, "contexts")
+    often = contexts.where("multi").select(*context, "n")
+    whole = dealt_join(found, often.drop("n"), context, place, hot_keys(often, context)).select("h1", "h2", F.expr("pos - reach div 256").alias("a"), F.expr("pos + reach % 256").alias("b"))
+    sides = contexts.select("multi", *place, "reach", F.explode(F.expr("array(struct(kl as g, false as right), struct(kr as g, true as right))")).alias("s")).select("multi", *place, "reach", "s.*").where("g <> 0")
+    mixed = written(sides.groupBy("g").agg(F.count("*").alias("n"), F.min("multi").alias("all")).where("n > 1 and not all").select("g", "n"), "mixed")
+    edges = _edge_spans(_members(texts, dealt_join(sides, mixed.select("g"), ["g"], place, hot_keys(mixed, ["g"]))))
+    copies = rows.where(F.octet_length("text") >= LENGTH).groupBy(*_digest()).count().where("count > 1").select("h1", "h2", F.lit(0).cast("long").alias("a"), F.lit(1 << 60).alias("b"))
+    spans = whole.union(edges).union(copies).distinct()
+    return spans.groupBy("h1", "h2").agg(F.collect_list(F.struct("a", "b")).alias("spans"))  # as many as a text has anchors
 
 
 def merged(spans: list[dict] | None, size: int) -> list[tuple[int, int]]:
@@ -338,7 +416,7 @@ def removed(rows: DataFrame, text: str = "text") -> DataFrame:
     at = f"c{rows.columns.index(text)}"
     base = named.withColumn("text", F.coalesce(F.col(at).cast("string"), F.lit("")))
     spans = written(repeated(base.select("text")), "repeats")
-    keyed = base.withColumn("h1", F.xxhash64("text")).withColumn("h2", F.xxhash64(F.lit(1), "text")).drop("text")
+    keyed = base.select("*", *_digest()).drop("text")
     joined = keyed.join(spans, ["h1", "h2"], "left").drop("h1", "h2")
     return joined.toDF(*rows.columns, "repeats")
 

@@ -2,7 +2,8 @@
 
 A suffix is a place in a buffer with an end. Prefix polynomial hashes tell in constant time whether two stretches are
 equal, so a binary search finds the longest common extension of two suffixes, and a comparison costs a logarithm of
-their length. The sort is a bottom-up mergesort in which every element finds its rank in the neighbouring run by binary search, for
+their length. What the search finds is then compared byte by byte: equal stretches have equal hashes, so a collision can only make an
+extension too long, and the first byte that differs puts it right. The sort is a bottom-up mergesort in which every element finds its rank in the neighbouring run by binary search, for
 all runs of all groups together.
 """
 
@@ -10,7 +11,7 @@ from __future__ import annotations
 
 import numpy as np
 
-from relgrid.llm.vec import prefix_hash, span_hash
+from relgrid.llm.vec import U64, prefix_hash, span_hash
 
 
 class Suffixes:
@@ -18,6 +19,7 @@ class Suffixes:
 
     def __init__(self, buf: np.ndarray, prefix: np.ndarray | None = None) -> None:
         self.buf = buf
+        self.blocks = np.ndarray(len(buf), "<u8", np.concatenate([buf, np.zeros(8, np.uint8)]), strides=(1,))  # the eight bytes from each place on
         self.prefix = prefix_hash(buf) if prefix is None else prefix
 
     def common(self, a: np.ndarray, b: np.ndarray, most: np.ndarray) -> np.ndarray:
@@ -28,6 +30,8 @@ class Suffixes:
             same = span_hash(self.prefix, a, a + mid) == span_hash(self.prefix, b, b + mid)
             low = np.where(open_ & same, mid, low)
             high = np.where(open_ & ~same, mid - 1, high)
+        for k in self.unequal(a, b, low).tolist():
+            low[k] = np.argmax(self.buf[a[k] : a[k] + low[k]] != self.buf[b[k] : b[k] + low[k]])
         return low
 
     def common_left(self, a: np.ndarray, b: np.ndarray, most: np.ndarray) -> np.ndarray:
@@ -38,8 +42,22 @@ class Suffixes:
             same = span_hash(self.prefix, a - mid, a) == span_hash(self.prefix, b - mid, b)
             low = np.where(open_ & same, mid, low)
             high = np.where(open_ & ~same, mid - 1, high)
+        for k in self.unequal(a - low, b - low, low).tolist():
+            low[k] = np.argmax(self.buf[a[k] - low[k] : a[k]][::-1] != self.buf[b[k] - low[k] : b[k]][::-1])
         return low
 
+    def unequal(self, a: np.ndarray, b: np.ndarray, n: np.ndarray) -> np.ndarray:
+        """Which of the stretches of n bytes from places a and b are not equal, though their hashes are."""
+        found = []
+        for at in range(0, len(n), 20_000):
+            size = n[at : at + 20_000]
+            steps = -(-size // 8)
+            which = np.repeat(np.arange(len(size)), steps)
+            step = 8 * (np.arange(len(which)) - np.repeat(np.cumsum(steps) - steps, steps))
+            differ = self.blocks[a[at : at + 20_000][which] + step] ^ self.blocks[b[at : at + 20_000][which] + step]
+            found.append(at + np.unique(which[differ << (U64(8) * (8 - np.minimum(size[which] - step, 8)).astype(U64)) != 0]))
+        return np.concatenate(found) if found else np.zeros(0, np.int64)
+
     def before(self, a: np.ndarray, a_end: np.ndarray, b: np.ndarray, b_end: np.ndarray, ties: bool | np.ndarray) -> np.ndarray:
         """Whether suffix a sorts before suffix b; `ties`: the answer for equal ones."""
         room = np.minimum(a_end - a, b_end - b)

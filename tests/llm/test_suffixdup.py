@@ -5,7 +5,7 @@ from collections import Counter
 import numpy as np
 import pytest
 
-from relgrid.llm import queries, suffixdup
+from relgrid.llm import queries, suffixdup, suffixes, vec
 from relgrid.llm.suffixes import Suffixes
 
 
@@ -68,34 +68,74 @@ def test_suffix_sort():
         assert not others or common(texts[k], texts[who[k]]) == best[k]
 
 
-@pytest.mark.parametrize("pivots", [0, 1, 3])
-def test_windows_of_contexts(pivots):
-    rng = np.random.default_rng(pivots)
+def contexts(rng):
+    """(frames, low, high, group) of contexts in a few groups, different ones, edited here and there."""
     frame, length, reach, gram = suffixdup.FRAME, suffixdup.LENGTH, suffixdup.REACH, suffixdup.GRAM
+    n, g = int(rng.integers(2, 30)), int(rng.integers(1, 4))
+    group = np.sort(rng.integers(0, g, n))
+    base = rng.integers(97, 100, (g, frame)).astype(np.uint8)
+    frames = base[group].copy()
+    for k in range(n):
+        for _ in range(int(rng.integers(0, 3))):
+            frames[k, rng.integers(0, frame)] = rng.integers(97, 100)
+    frames[:, reach : reach + gram] = base[group][:, reach : reach + gram]
+    low = rng.integers(0, 100, n) * (rng.random(n) < 0.5)
+    high = np.maximum(low + length, frame - rng.integers(0, 100, n) * (rng.random(n) < 0.5))
+    for k in range(n):
+        frames[k, : low[k]] = frames[k, high[k] :] = 0
+    keys = [(group[k], low[k], high[k], frames[k].tobytes()) for k in range(n)]
+    keep = np.array([keys.index(x) == k for k, x in enumerate(keys)])
+    return frames[keep], low[keep], high[keep], group[keep]
+
+
+def shared(f, low, high, group, among):
+    """(context, window) of those that another context holds."""
+    length = suffixdup.LENGTH
+    return {(k, o) for k in among for o in range(low[k], high[k] - length + 1) if any(j != k and group[j] == group[k] and low[j] <= o and o + length <= high[j] and (f[j, o : o + length] == f[k, o : o + length]).all() for j in among)}
+
+
+@pytest.mark.parametrize("bits", [64, 10])
+def test_windows_of_contexts(bits, monkeypatch):
+    """With hashes of ten bits most are wrong, and what they say is put right."""
+    if bits < 64:
+        monkeypatch.setattr(suffixes, "span_hash", lambda *x: vec.mix(vec.span_hash(*x)) & vec.U64((1 << bits) - 1))
+    rng = np.random.default_rng(bits)
     for _ in range(15):
-        n, g = int(rng.integers(2, 30)), int(rng.integers(1, 4))
-        group = np.sort(rng.integers(0, g, n))
-        base = rng.integers(97, 100, (g, frame)).astype(np.uint8)
-        frames = base[group].copy()
-        for k in range(n):
-            for _ in range(int(rng.integers(0, 3))):
-                frames[k, rng.integers(0, frame)] = rng.integers(97, 100)
-        frames[:, reach : reach + gram] = base[group][:, reach : reach + gram]
-        low = rng.integers(0, 100, n) * (rng.random(n) < 0.5)
-        high = np.maximum(low + length, frame - rng.integers(0, 100, n) * (rng.random(n) < 0.5))
-        for k in range(n):
-            frames[k, : low[k]] = frames[k, high[k] :] = 0
-        keys = [(group[k], low[k], high[k], frames[k].tobytes()) for k in range(n)]
-        keep = np.array([keys.index(x) == k for k, x in enumerate(keys)])
-        multi = np.array([keys.count(x) > 1 for x in keys])[keep]
-        f, a, b, own = frames[keep], low[keep], high[keep], group[keep]
-        found = {(int(k), o) for k, x, y in suffixdup.repeated_windows(f, a, b, own, ~multi, pivots) for o in range(x, y + 1)}
-        want = set()
-        for k in np.flatnonzero(~multi):
-            for o in range(a[k], b[k] - length + 1):
-                if any(j != k and own[j] == own[k] and a[j] <= o and o + length <= b[j] and (f[j, o : o + length] == f[k, o : o + length]).all() for j in range(len(f))):
-                    want.add((int(k), o))
-        assert found == want
+        f, low, high, group = contexts(rng)
+        ask = np.where(rng.random(len(f)) < 0.8, high - suffixdup.LENGTH, -1)
+        found = {(int(k), o) for k, x, y in suffixdup.repeated_windows(f, low, high, group, low, ask) for o in range(x, y + 1)}
+        assert found == {(k, o) for k, o in shared(f, low, high, group, range(len(f))) if ask[k] >= 0}
+
+
+def test_splitting_by_pivots():
+    rng = np.random.default_rng(5)
+    for _ in range(15):
+        f, low, high, group = contexts(rng)
+        found = set()
+        for g in set(group.tolist()):
+            todo = [(np.flatnonzero(group == g), low[group == g], high[group == g] - suffixdup.LENGTH, 7)]
+            while todo:
+                who, a, b, number = todo.pop()
+                if len(who) < 2:
+                    continue
+                p, rest = who[0], slice(1, None)
+                x = who[rest]
+                same = lambda v: np.repeat(v[p : p + 1], len(x), 0)  # noqa: B023, E731
+                first, last, (i, code, na, nb) = suffixdup.against_pivots(f[x], low[x], high[x], a[rest], b[rest], np.full(len(x), number), same(f), same(low), same(high))
+                for k, s, t in zip(range(len(x)), first, last, strict=True):
+                    found |= {(int(x[k]), o) for o in range(max(s, a[rest][k]), min(t, b[rest][k]) + 1)} | {(int(p), o) for o in range(max(s, a[0]), min(t, b[0]) + 1)}
+                todo += [(x[i[code == c]], na[code == c], nb[code == c], c) for c in set(code.tolist())]
+        assert found == shared(f, low, high, group, range(len(f)))
+
+
+def test_hot_groups(docs, monkeypatch):
+    """A passage with different surroundings in more texts than one group's sort takes on."""
+    monkeypatch.setattr(suffixdup, "SPLIT", 8)
+    rng = random.Random(3)
+    make = lambda n: "".join(rng.choice("abcdefgh ") for _ in range(n))
+    passage, edges = make(260), [make(40) for _ in range(3)]
+    texts = {k: make(rng.randint(100, 250)) + rng.choice(edges)[rng.randint(0, 39) :] + passage + rng.choice(edges)[: rng.randint(0, 39)] + make(rng.randint(0, 250)) for k in range(90)}
+    assert digests(docs([(i, t, None) for i, t in texts.items()]).repartition(3)) == brute(texts)
 
 
 def test_odd_rows(odd, none):
