@@ -7,6 +7,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
 from relgrid.llm import chat, decontam, jaccard, langid, licenses, lmscore, media, packing, quality, suffixdup
 from relgrid.llm.common import documents
@@ -55,15 +56,48 @@ def op4_media(spark: SparkSession, sf_dir: str) -> DataFrame:
     return media.stored_features(documents(spark, sf_dir))
 
 
+#: The tools of op5_chat.
+TOOLS = {"measure": {"type": "object", "properties": {"bytes": {"type": "integer"}, "unit": {"enum": ["byte"]}, "after": {"type": "string"}}, "required": ["bytes", "unit"], "additionalProperties": False}}
+
+
+def tool_traffic(conversations: DataFrame) -> DataFrame:
+    """The conversations, and a tool's part in each: every answer is measured by a call (turn 100 and on) that names the one before in its conversation, and a user's
+    turn after an answer brings the call's result (turn 200 and on). Calls on texts whose length ends in 3 have a wrong unit, in 7 none, in 9 another tool."""
+    n = F.octet_length("text")
+    asked = conversations.where("role = 'assistant'").withColumn("before", F.lag("turn").over(Window.partitionBy("conv_id").orderBy("turn")))
+    unit = F.when(n % 10 == 3, F.lit("word")).when(n % 10 != 7, F.lit("byte"))
+    arguments = F.struct(F.concat(F.lit("${c"), "before", F.lit("}")).alias("after"), n.alias("bytes"), unit.alias("unit"))
+    call = F.struct(F.concat(F.lit("c"), "turn").alias("id"), F.when(n % 10 == 9, F.lit("weigh")).otherwise(F.lit("measure")).alias("name"), arguments.alias("arguments"))
+    calls = asked.select("conv_id", (F.col("turn") + 100).alias("turn"), "role", F.to_json(F.struct(F.array(call).alias("tool_calls"))).alias("text"))
+    answered = conversations.where("role = 'user'").join(asked.select("conv_id", (F.col("turn") + 1).alias("turn")), ["conv_id", "turn"], "left_semi")
+    result = F.concat(F.lit(' {"content": "measured", "tool_call_id": "c'), F.col("turn") - 1, F.lit('"}'))
+    results = answered.select("conv_id", (F.col("turn") + 200).alias("turn"), F.lit("tool").alias("role"), result.alias("text"))
+    return conversations.select("conv_id", "turn", "role", "text").union(calls).union(results)
+
+
 def op5_chat(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return chat.link(spark.read.parquet(f"{sf_dir}/conversations.parquet"))
+    return chat.link(tool_traffic(spark.read.parquet(f"{sf_dir}/conversations.parquet")), TOOLS)
 
 
-#: For conversations in which no message is a JSON object, as in the tables.
+#: For conversations in which no message is a JSON object by itself, as in the tables.
 OP5_SQL = """
-SELECT conv_id, turn, role, 0::INTEGER AS level, 0::BIGINT AS n_calls, 0::BIGINT AS n_linked, 0::BIGINT AS n_invalid,
-       to_json({'content': text, 'role': role, 'turn': turn})::VARCHAR AS message
-FROM conversations
+WITH asked AS (
+  SELECT conv_id, turn, strlen(text) AS n, lag(turn) OVER w AS before, row_number() OVER w - 1 AS depth
+  FROM conversations WHERE role = 'assistant' WINDOW w AS (PARTITION BY conv_id ORDER BY turn)
+), answered AS (
+  SELECT a.conv_id, u.turn, a.depth FROM asked a JOIN conversations u ON u.role = 'user' AND u.conv_id = a.conv_id AND u.turn = a.turn + 1
+), rows AS (
+  SELECT conv_id, turn, role, 0 AS level, 0 AS n_calls, 0 AS n_linked, 0 AS n_invalid, to_json({'content': text, 'role': role, 'turn': turn})::VARCHAR AS message FROM conversations
+  UNION ALL
+  SELECT conv_id, turn + 100, 'assistant', depth, 1, (EXISTS (SELECT 1 FROM answered r WHERE r.conv_id = a.conv_id AND r.turn = a.turn + 1))::BIGINT, (n % 10 IN (3, 7, 9))::BIGINT,
+    '{"content":null,"role":"assistant","tool_calls":[{"arguments":{' || coalesce('"after":"${c' || before || '}",', '') || '"bytes":' || n || CASE n % 10 WHEN 3 THEN ',"unit":"word"' WHEN 7 THEN '' ELSE ',"unit":"byte"' END || '},'
+    || CASE n % 10 WHEN 3 THEN '"errors":["$.unit: not one of the values"],' WHEN 7 THEN '"errors":["$.unit: missing"],' WHEN 9 THEN '"errors":["$: no such tool"],' ELSE '' END
+    || '"id":"c' || turn || '","name":"' || CASE n % 10 WHEN 9 THEN 'weigh' ELSE 'measure' END || '"}],"turn":' || turn + 100 || '}'
+  FROM asked a
+  UNION ALL
+  SELECT conv_id, turn + 200, 'tool', depth + 1, 0, 1, 0, '{"content":"measured","role":"tool","tool_call_id":"c' || turn - 1 || '","turn":' || turn + 200 || '}' FROM answered
+)
+SELECT conv_id, turn, role, level::INTEGER AS level, row_number() OVER (PARTITION BY conv_id ORDER BY level, turn) - 1 AS position, n_calls::BIGINT AS n_calls, n_linked::BIGINT AS n_linked, n_invalid::BIGINT AS n_invalid, message FROM rows
 """
 
 

@@ -59,6 +59,28 @@ def test_long_chain(spark):
     assert found == {**{k: k for k in range(301)}, 301: -1}
 
 
+def test_levels_in_rounds(spark, monkeypatch):
+    """Conversations with more dependencies than one task settles."""
+    monkeypatch.setattr(chat, "SETTLED", 3)
+    rows = [(1, k, "assistant", calls((f"c{k}", "get", {"city": f"${{c{k - 1}}} ${{c{k // 2}}}" if k else "x"}))) for k in range(6)]
+    rows += [(1, 10, "assistant", calls(("a", "get", {"city": "${b}"}), ("b", "get", {"city": "${a}"}))), (1, 11, "assistant", calls(("d", "get", {"city": "${a} ${c2}"})))]
+    rows += [(2, 0, "assistant", calls(("x", "get", {}))), (2, 1, "assistant", calls(("y", "get", {"n": "${x}"})))]
+    found = {(r.conv_id, r.turn): (r.level, r.position) for r in chat.link(spark.createDataFrame(rows, SCHEMA)).collect()}
+    assert found == {**{(1, k): (k, k) for k in range(6)}, (1, 10): (-1, 6), (1, 11): (-1, 7), (2, 0): (0, 0), (2, 1): (1, 1)}
+
+
+def test_one_rule_for_json(spark):
+    """White space before the brace, single quotes, other values than objects, clashing columns, a long conversation."""
+    rows = [(1, 0, "assistant", " \n" + calls(("c", "get", {"city": "x"}))), (1, 1, "tool", "\t" + result("c", 1)), (1, 2, "assistant", "{'tool_calls': []}"), (1, 3, "assistant", "[1]"), (1, 4, "tool", '{"tool_call_id": 7}'), (1, 5, "assistant", '{"tool_calls": [{"id": 7, "arguments": "{\\"n\\": \\"${c}\\"}"}, 3]}')]
+    rows += [(2, k, "user", "word " * 50) for k in range(500)]
+    frame = spark.createDataFrame(rows, SCHEMA).selectExpr("*", "1 AS level", "2 AS call", "3 AS conv", "4 AS position")
+    found = {(r.conv_id, r.turn): r for r in chat.link(frame).collect()}
+    one = [found[1, k] for k in range(6)]
+    assert [(r.level, r.n_calls, r.n_linked) for r in one] == [(0, 1, 1), (1, 0, 1), (0, 0, 0), (0, 0, 0), (2, 0, 1), (1, 2, 1)]
+    assert [r.position for r in one] == [0, 3, 1, 2, 5, 4] and json.loads(one[2].message)["content"] == "{'tool_calls': []}"
+    assert [found[2, k].position for k in range(500)] == list(range(500))
+
+
 def test_schema_checks():
     schema = {"type": "object", "properties": {"xs": {"type": "array", "items": {"type": ["integer", "null"]}}, "k": {"enum": ["a", "b"]}}}
     assert chat.schema_errors({"xs": [1, None], "k": "a", "more": 1}, schema) == []
@@ -72,4 +94,6 @@ def test_query(spark, sf_dir):
     frame = queries.op5_chat(spark, sf_dir)
     want = c.sql(queries.SQL["op5_chat"])
     assert frame.columns == want.columns
-    assert sorted(tuple(r) for r in frame.collect()) == sorted(want.fetchall())
+    found = frame.collect()
+    assert sorted(tuple(r) for r in found) == sorted(want.fetchall())
+    assert all(len({getattr(r, c) for r in found}) > 1 for c in ("level", "position", "n_calls", "n_linked", "n_invalid"))
