@@ -31,8 +31,8 @@ from relgrid.llm.tables import sum_tables
 from relgrid.llm.vec import LOWER, NON_WORD, U64, mix, portions, segments, utf8, word_hashes, word_spans
 
 FEATURES, RANK, SKETCH, ITEMS = 1 << 15, 64, 80, 5000
-#: Most tasks that fit the space, each sending one FEATURES x SKETCH table.
-FIT_TASKS = 64
+#: Tasks that fit the space, each sending one FEATURES x SKETCH table: all up to FIT_TASKS partitions, and beyond that one for every FIT_SHARE of them.
+FIT_TASKS, FIT_SHARE = 64, 4
 STEP, SCALES, FITTED, BLOCKS, PASSAGES = 8, (16, 32, 64), 32, 4096, 256  # words between windows, in windows, in the passages that the SVD sees; blocks and passages summed at once
 COSINE, SURE, LIKELY, ANSWER, MIN_WORDS = 0.6, 0.8, 0.65, 0.5, 5
 #: Bits of the filter on pairs of words, pairs looked at together, most pairs that a candidate must share, most places of one pair in an item.
@@ -98,7 +98,8 @@ def fit(rows: DataFrame, text: str = "text") -> Space | None:
                 out[by[head]] += np.add.reduceat(y[np.repeat(np.arange(len(start)), size)[order]], head, axis=0) * weight[by[head]][:, None]
         return out
 
-    z = sum_tables(texts.coalesce(FIT_TASKS), product, (FEATURES, SKETCH), dtype="float64", wire="float32")
+    few = max(FIT_TASKS, texts.rdd.getNumPartitions() // FIT_SHARE)  # grows with the input, so that no task has more than a few partitions
+    z = sum_tables(texts.coalesce(few), product, (FEATURES, SKETCH), dtype="float64", wire="float32")
     shift = np.finfo(np.float32).eps * np.linalg.norm(z)
     z = z + shift * omega
     middle = omega.T.astype(float) @ z
@@ -136,8 +137,8 @@ class Item:
     masks: dict
     answer: dict
     answer_n: int
-    slots: np.ndarray  # of up to 64 different words
-    untracked: int  # words beyond those
+    slots: np.ndarray  # up to 64 different ones of its words
+    untracked: int  # words beyond one for each of those
     vector: np.ndarray
 
 
@@ -171,13 +172,13 @@ class Index:
             answer = (tail if len(tail) else seq[-1:]).tolist()
             masks = _masks(seq.tolist())
             kept.append(seq)
-            tracked = list(masks)[:64]
-            self.items.append(Item(ident, len(seq), masks, _masks(answer), len(answer), _slot(np.array(tracked, U64)), len(seq) - len(tracked), _unit(space.vectors[_slot(seq)].sum(0)[None])[0]))
+            slots = np.unique(_slot(np.array(list(masks), U64)))[:64]
+            self.items.append(Item(ident, len(seq), masks, _masks(answer), len(answer), slots, len(seq) - len(slots), _unit(space.vectors[_slot(seq)].sum(0)[None])[0]))
             longest = SCALES[-1]
             for a in range(0, len(seq), longest):
                 part = seq[a : a + longest]
-                if a and len(part) < longest // 2:
-                    continue
+                if a and len(part) < longest // 2:  # a short end, with what is before it
+                    part = seq[-longest:]
                 scale = next((s for s in SCALES if len(part) <= 1.5 * s), longest)
                 parts[scale].append((len(self.items) - 1, space.vectors[_slot(part)].sum(0)))
         self.parts = {s: (np.array([i for i, _ in p]), _unit(np.stack([v for _, v in p]))) for s, p in parts.items() if p}

@@ -104,6 +104,55 @@ def test_short_and_edited_items(spark, sf_dir):
     assert all(hit[n, edited] >= 0.9 * 40 for n, edited, _ in made)
 
 
+def test_against_all_pairs(spark, sf_dir):
+    """Recall of edited items against the longest common subsequence with every stretch of every text."""
+    rng = random.Random(12)
+    rows = [r.text for r in spark.read.parquet(f"{sf_dir}/documents.parquet").collect() if len(words(r.text)) > 30][:60]
+    items = []
+    for n in (6, 9, 14, 20, 40, 90) * 4:
+        seq = words(rng.choice(rows))
+        at = rng.randrange(max(1, len(seq) - n))
+        seq = seq[at : at + n]
+        for k in rng.sample(range(len(seq)), rng.randint(0, len(seq) // 4)):
+            seq[k : k + rng.randint(0, 1)] = [f"other{k}"]
+        items.append(" ".join(seq))
+    column = decontam.pa.array(rows)
+    index = decontam.Index(decontam.fit(spark.createDataFrame([(t,) for t in rows], "text string")), list(range(len(items))), items)
+    hashes, first = decontam.words(column)
+    found = {(d, k) for d, k, *_ in index.matches(hashes, first)}
+    true = set()
+    for k, item in enumerate(index.items):
+        for d in range(len(rows)):
+            seq = hashes[first[d] : first[d + 1]].tolist()
+            for at in range(0, max(1, len(seq) - item.n), 3):
+                region = seq[at : at + item.n + item.n // 8]
+                share, answer = (decontam.lcs(m, n, region) / n for m, n in ((item.masks, item.n), (item.answer, item.answer_n)))
+                if share >= decontam.SURE or share >= decontam.LIKELY and answer >= decontam.ANSWER:
+                    true.add((d, k))
+                    break
+    print("recall", len(found & true) / len(true), len(true))
+    assert len(true) > 20 and len(found & true) >= 0.95 * len(true)
+
+
+def test_words_of_one_slot(spark):
+    """An item of which many words share a slot is not taken to be absent, nor is the end of a long one."""
+    pool = [f"w{k}" for k in range(60_000)]
+    slot = decontam._slot(decontam.words(decontam.pa.array([" ".join(pool)]))[0])
+    twins = [pool[k] for k in np.flatnonzero(np.bincount(slot, minlength=decontam.FEATURES)[slot] > 3)[:400]]
+    twins.sort(key=lambda w: slot[pool.index(w)])
+    long = [f"z{k}" for k in range(64 + 20)]
+    rows = spark.createDataFrame([(1, "it says " + " ".join(twins[:16]) + " there"), (2, " ".join(long[64:]) + " only the end"), (3, "before " + " ".join(long) + " after")], "doc_id bigint, text string")
+    items = spark.createDataFrame([(1, " ".join(twins[:16])), (2, " ".join(long))], "item_id bigint, text string")
+    assert {(r.doc_id, r.item_id) for r in decontam.search(rows, items).collect()} == {(1, 1), (3, 2)}
+
+
+@pytest.mark.parametrize("texts", [["the same seven words in every row"] * 2000, ["one row with a few words only"], ["", None, "!?"]])
+def test_spaces_of_little(spark, texts):
+    rows = spark.createDataFrame(list(enumerate(texts)), "doc_id bigint, text string").selectExpr("*", "1 AS item_id", "2 AS cosine")
+    items = spark.createDataFrame([(1, "same seven words in every row"), (2, "row with a few words only"), (3, None)], "item_id bigint, text string")
+    assert len(decontam.search(rows, items).collect()) == sum(t is not None and "words" in t for t in texts)
+
+
 def test_space_of_many_copies(spark):
     """Over 10 000 rows, nearly all without words: the space comes from every row, so that the one leak is found."""
     item = "seven green ships sailed past nine old towers before dawn"
