@@ -12,12 +12,15 @@ judged alike. Texts are encoded whole, in windows of `WINDOW` bytes, whatever th
 
 from __future__ import annotations
 
+import math
 import re
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import zstandard
+from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
@@ -28,7 +31,6 @@ from relgrid.llm.common import small_batches
 SAMPLE_ROWS, SAMPLE_BYTES, DICTIONARY_BYTES = 200, 8192, 1 << 17
 WINDOW = 4096
 LEVEL = 6
-PARTS = 32
 #: Rejected: a runner-up within this share of the winner's bytes.
 MARGIN = 0.004
 UNDECIDED = "und"
@@ -44,13 +46,14 @@ def plain(text: str) -> bytes:
 def fit(rows: DataFrame, text: str = "text", lang: str = "lang", sample_rows: int = SAMPLE_ROWS, sample_bytes: int = SAMPLE_BYTES) -> dict[str, bytes]:
     """Raw-content dictionaries from labelled rows: of each language the `sample_rows` different texts with the smallest hashes, each up to the length that lets all of them in."""
     spark = rows.sparkSession
-    known = rows.select(F.col(text).alias("t"), F.col(lang).alias("l")).where("l is not null and t is not null and t <> ''")
-    keyed = known.select("l", F.xxhash64("t").alias("h"))
-    # In parts first, so that a language's final ranking reads PARTS x sample_rows rows however many tasks there are.
-    first = keyed.distinct().withColumn("part", F.pmod("h", F.lit(PARTS)))
+    known = small_batches(rows).select(F.col(text).alias("t"), F.col(lang).alias("l")).where("l is not null and t is not null and t <> ''").select("t", F.col("l").cast("string").alias("l"))
+    keyed = _least(known.select("l", F.xxhash64("t").alias("h")), sample_rows)
+    groups = max(1, math.isqrt(known.rdd.getNumPartitions()))
+    # Among some tasks first and then among all, so that no task ranks more than the root of their number times sample_rows.
+    first = keyed.withColumn("part", F.pmod("task", F.lit(groups)))
     for by in (["l", "part"], ["l"]):
-        first = first.withColumn("r", F.row_number().over(Window.partitionBy(by).orderBy("h"))).where(F.col("r") <= sample_rows)
-    chosen = first.select("l", "h").collect()  # languages x sample_rows
+        first = first.withColumn("r", F.dense_rank().over(Window.partitionBy(by).orderBy("h"))).where(F.col("r") <= sample_rows).select("l", "h", "part").distinct()
+    chosen = first.select("l", "h").distinct().collect()  # languages x sample_rows
     if not chosen:
         return {}
     keys = F.broadcast(spark.createDataFrame(chosen, "l string, h long"))
@@ -63,6 +66,23 @@ def fit(rows: DataFrame, text: str = "text", lang: str = "lang", sample_rows: in
     return {name: _joined([(h, plain(t)) for h, t in sorted(found)]) for name, found in sorted(out.items())}
 
 
+def _least(rows: DataFrame, k: int) -> DataFrame:
+    """(l, h, task): of each task's rows (l, h) the k smallest different hashes of each language."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        least: dict[str, np.ndarray] = {}
+        for batch in batches:
+            table = pa.Table.from_batches([batch])
+            for name in pc.unique(table["l"]).to_pylist():
+                found = table.filter(pc.equal(table["l"], name))["h"].to_numpy()
+                least[name] = np.unique(np.concatenate([least.get(name, found[:0]), found]))[:k]
+        task = TaskContext.get().partitionId()
+        for name, found in least.items():
+            yield pa.RecordBatch.from_pydict({"l": pa.array([name] * len(found), pa.string()), "h": pa.array(found, pa.int64()), "task": pa.array([task] * len(found), pa.int32())})
+
+    return rows.mapInArrow(run, "l string, h bigint, task int")
+
+
 def _joined(texts: list[tuple[int, bytes]]) -> bytes:
     """All texts in one dictionary: what is longer than the length that fits gives a piece from a place that its hash chooses."""
     left, limit = DICTIONARY_BYTES - len(texts), 0

@@ -124,10 +124,12 @@ class Scanner:
         out = []
         for k, spans in windows.items():
             words, label, most, pattern = self.fuzzy[k]
+            seen = at = 0
             for a, b in spans:
                 for m in pattern.finditer(text, a, b):
                     edits = sum(m.fuzzy_counts)
-                    out.append(Match(label, text.count(" ", 0, m.start()) - 1, m[0].strip().count(" ") + 1, edits, 1.0 - edits / len(words)))
+                    seen, at = seen + text.count(" ", at, m.start()), m.start()
+                    out.append(Match(label, seen - 1, m[0].strip().count(" ") + 1, edits, 1.0 - edits / len(words)))
         return sorted(out, key=lambda x: (x.start, x.label, x.edits))
 
 

@@ -7,7 +7,7 @@ directory, takes the members that begin in its range, fetches each by its own of
 record batches of about `batch_bytes`. A member that can't be read gives a row with its error and no payload; the others are not affected.
 
 Defined results: null and empty texts are one row of 64 zero bytes. Rows with equal texts are members with equal bytes. An empty
-table is a directory without archives and reads as no rows. A null id is kept as null.
+table is a directory without archives and reads as no rows. Ids of any type keep it; a null id is kept as null.
 """
 
 from __future__ import annotations
@@ -22,6 +22,7 @@ import zipfile
 import zlib
 from collections.abc import Iterator
 from dataclasses import dataclass
+from urllib.parse import quote, unquote
 
 import numpy as np
 import pyarrow as pa
@@ -40,6 +41,9 @@ MANIFEST = "_manifest.json"
 DEFAULTS = {"split_bytes": 16 << 20, "batch_bytes": 4 << 20, "archive_bytes": 64 << 20, "attempts": 3}
 _HEADER = struct.Struct("<4s5H3I2H")  # of a ZIP member, before its name
 
+#: What a read that is cut short, lost or broken can raise.
+FAULTS = (OSError, EOFError, ValueError, IndexError, struct.error, zlib.error, zipfile.BadZipFile, pa.ArrowException)
+
 PNG_START = b"\x89PNG\r\n\x1a\n"
 
 
@@ -194,9 +198,7 @@ class ArchiveReader(DataSourceReader):
             return
         system, _ = _open(self.path)
         attempts = self.options["attempts"]
-        with system.open_input_file(partition.path) as f:
-            with zipfile.ZipFile(pa.PythonFile(f, "r") if not hasattr(f, "read") else f) as archive:
-                members = sorted((m.header_offset, m.filename, m.compress_size, m.CRC) for m in archive.infolist() if partition.start <= m.header_offset < partition.end)
+        members = self.directory(system, partition, attempts)
         held: list[tuple] = []
         size = 0
         for offset, name, length, crc in members:
@@ -209,6 +211,18 @@ class ArchiveReader(DataSourceReader):
         if held:
             yield self.batch(held)
 
+    def directory(self, system: pafs.FileSystem, partition: ByteRange, attempts: int) -> list[tuple]:
+        """(offset, name, bytes, checksum) of the members that begin in the range; an archive whose directory can't be read in any try stops the job."""
+        for k in range(attempts):
+            try:
+                with system.open_input_file(partition.path) as f, zipfile.ZipFile(f) as archive:
+                    return sorted((m.header_offset, m.filename, m.compress_size, m.CRC) for m in archive.infolist() if partition.start <= m.header_offset < partition.end)
+            except FAULTS as e:
+                if k + 1 == attempts:
+                    raise OSError(f"{partition.path}: {type(e).__name__}: {e}") from e
+                time.sleep(0.1 * 2**k)
+        return []
+
     def fetch(self, system: pafs.FileSystem, path: str, offset: int, length: int, crc: int, attempts: int) -> tuple[bytes | None, str | None]:
         """A member's bytes, read by its offset in a file opened for each try after the first."""
         error = None
@@ -227,7 +241,7 @@ class ArchiveReader(DataSourceReader):
                 if len(media) != length or zlib.crc32(media) != crc:
                     raise OSError("checksum")
                 return media, None
-            except OSError as e:
+            except FAULTS as e:
                 error = f"{type(e).__name__}: {e}"[:300]
         return None, error
 
@@ -264,7 +278,7 @@ class MediaArchive(DataSource):
 def store(rows: DataFrame, path: str, doc_id: str = "doc_id", text: str = "text") -> None:
     """Writes each row's payload to archives in the directory; members are named by id and unpadded size."""
     rows.sparkSession.dataSource.register(MediaArchive)
-    kept = small_batches(rows).select(F.coalesce(F.col(doc_id).cast("string"), F.lit("null")).alias("i"), F.coalesce(F.col(text).cast("string"), F.lit("")).cast("binary").alias("t"))
+    kept = small_batches(rows).select(F.coalesce(F.concat(F.lit("="), F.col(doc_id).cast("string")), F.lit("-")).alias("i"), F.coalesce(F.col(text).cast("string"), F.lit("")).cast("binary").alias("t"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -273,7 +287,7 @@ def store(rows: DataFrame, path: str, doc_id: str = "doc_id", text: str = "text"
                 names, media = [], []
                 for ident, value in zip(part.column(0).to_pylist(), part.column(1), strict=True):
                     raw = value.as_py()
-                    names.append(f"{ident}/{len(raw)}.png")
+                    names.append(f"{quote(ident, safe='=')}/{len(raw)}.png")
                     media.append(encode_png(raw + b"\0" * (-len(raw) % WIDTH or (0 if raw else WIDTH))))
                 yield pa.RecordBatch.from_arrays([pa.array(names, pa.string()), pa.array(media, pa.binary())], names=["name", "media"])
 
@@ -286,11 +300,11 @@ def load(spark: SparkSession, path: str) -> DataFrame:
     return spark.read.format("media_archive").load(path)
 
 
-OUT = "doc_id bigint, n_bytes bigint, payload_bytes bigint, payload_sha256 string, tail_crc32 bigint, media_bytes bigint, media_sha256 string, feature string, error string"
+OUT = "doc_id string, n_bytes bigint, payload_bytes bigint, payload_sha256 string, tail_crc32 bigint, media_bytes bigint, media_sha256 string, feature string, error string"
 
 
-def describe(members: DataFrame) -> DataFrame:
-    """The digests and features of stored members."""
+def describe(members: DataFrame, id_type: str = "bigint") -> DataFrame:
+    """The digests and features of stored members; a member that can't be read or decoded has its error and no more."""
 
     from pyspark.sql.pandas.types import to_arrow_schema
 
@@ -300,20 +314,23 @@ def describe(members: DataFrame) -> DataFrame:
         for batch in batches:
             rows = []
             for name, media, error in zip(batch.column(0).to_pylist(), batch.column(1), batch.column(2).to_pylist(), strict=True):
-                ident, _, size = name.removesuffix(".png").partition("/")
-                row = [None if ident == "null" else int(ident), int(size)]
+                ident, _, size = name.removesuffix(".png").rpartition("/")
+                row = [unquote(ident)[1:] if ident.startswith("=") else None, int(size)]
                 if error is None:
-                    raw = media.as_py()
-                    payload = decode_png(raw)
-                    row += [len(payload), hashlib.sha256(payload).hexdigest(), zlib.crc32(payload[-64:]), len(raw), hashlib.sha256(raw).hexdigest(), features(payload), None]
-                rows.append(row + [None] * (8 - len(row)) + ([error] if error is not None else []))
+                    try:
+                        raw = media.as_py()
+                        payload = decode_png(raw)
+                        row += [len(payload), hashlib.sha256(payload).hexdigest(), zlib.crc32(payload[-64:]), len(raw), hashlib.sha256(raw).hexdigest(), features(payload), None]
+                    except FAULTS as e:
+                        error = f"{type(e).__name__}: {e}"[:300]
+                rows.append(row if error is None else [*row, *[None] * 6, error])
             yield pa.RecordBatch.from_arrays([pa.array(c, kinds.field(k).type) for k, c in enumerate(zip(*rows, strict=True))], names=kinds.names)
 
-    return members.select("name", "media", "error").mapInArrow(run, OUT)
+    return members.select("name", "media", "error").mapInArrow(run, OUT).withColumn("doc_id", F.col("doc_id").cast(id_type))
 
 
 def stored_features(rows: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
     """Stores every row in the shared folder, reads it back and describes it."""
     path = scratch(rows.sparkSession, "media")
     store(rows, path, doc_id, text)
-    return describe(load(rows.sparkSession, path))
+    return describe(load(rows.sparkSession, path), rows.schema[doc_id].dataType.simpleString())

@@ -209,7 +209,8 @@ def train(rows: DataFrame, labels: DataFrame, doc_id: str = "doc_id", text: str
             x = text_features(batch.column(1)).astype("f8")
             yield pa.RecordBatch.from_arrays([batch.column(0).cast(pa.string()), batch.column(2), pa.array(list(x), pa.list_(pa.float64()))], names=["i", "y", "x"])
 
-    found = texts.select("i", "text", "y").mapInArrow(run, "i string, y int, x array<double>").toArrow().to_pandas()
+    # One row of an id, however often it is repeated.
+    found = texts.select("i", "text", "y").mapInArrow(run, "i string, y int, x array<double>").groupBy("i").agg(F.min(F.struct("y", "x")).alias("v")).select("i", "v.*").toArrow().to_pandas()
     if not len(found):
         return fit(np.zeros((0, len(FEATURES))), np.zeros(0))
     found = found.sort_values("i", kind="stable")

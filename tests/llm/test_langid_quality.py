@@ -1,6 +1,8 @@
+import re
 import zlib
 
 import numpy as np
+import zstandard
 
 from relgrid.llm import langid, quality, queries
 
@@ -42,6 +44,49 @@ def test_langid_long_texts(docs):
     assert {r.doc_id: r.lang_pred for r in langid.classify(found, model, keep=[found.doc_id]).collect()} == {1: "en", 2: "fr"}
 
 
+def test_langid_against_a_plain_loop(spark, sf_dir):
+    """Every text's language by compressing it with one dictionary after another."""
+    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    model = langid.fit(docs)
+    rows = docs.collect()
+    known = {}
+    for r in rows:
+        if r.lang and r.text:
+            known.setdefault(r.lang, set()).add(r.text)
+    hashes = {r.text: r.h for r in docs.selectExpr("text", "xxhash64(text) AS h").collect()}
+    assert sorted(model) == sorted(known)
+    for lang, texts in known.items():
+        chosen = sorted(texts, key=hashes.get)[: langid.SAMPLE_ROWS]
+        assert all(langid.plain(t[:40]).rsplit(b" ", 1)[0] in model[lang] for t in chosen if 40 < len(t) < 300)
+    press = {k: zstandard.ZstdCompressor(dict_data=zstandard.ZstdCompressionDict(d, dict_type=zstandard.DICT_TYPE_RAWCONTENT), level=langid.LEVEL, write_checksum=False, write_content_size=False, write_dict_id=False) for k, d in model.items()}
+    found = {r.doc_id: r for r in langid.classify(docs, model, keep=[docs.doc_id]).collect()}
+    for r in rows:
+        flat = " ".join(re.findall(r"[^\W\d_]+", (r.text or "").lower())).encode()
+        sizes = {k: sum(len(p.compress(flat[a : a + langid.WINDOW])) for a in range(0, len(flat), langid.WINDOW)) for k, p in press.items()}
+        got = found[r.doc_id]
+        if not flat:
+            assert (got.lang_pred, got.score, got.rejected) == ("und", 0, True)
+            continue
+        least, second = sorted(sizes.values())[:2]
+        assert got.lang_pred == min(k for k, v in sizes.items() if v == least) and got.rejected == (second - least < langid.MARGIN * least)
+        assert abs(got.score - 1 / sum(2 ** (-(v - least) / 4) for v in sizes.values())) < 1e-9
+
+
+def test_quality_against_a_plain_sum(spark, sf_dir):
+    """Every text's score by looking up its bins one at a time."""
+    docs = spark.read.parquet(f"{sf_dir}/documents.parquet").selectExpr("*", "1 AS score", "2 AS predicted", "3 AS y", "4 AS i")
+    labels = spark.read.parquet(f"{sf_dir}/labels.parquet")
+    model = quality.train(docs, labels)
+    again = quality.train(docs.union(docs).union(docs), labels)
+    assert all((a == b).all() for a, b in zip(model.tables, again.tables, strict=True))
+    found = {r.doc_id: r.score for r in quality.score(docs, model, keep=[docs.doc_id]).collect()}
+    for r in docs.collect():
+        x = quality.text_features(quality.pa.array([r.text]))[0]
+        at = lambda edges, v: sum(e <= v for e in edges)
+        total = model.bias + sum(t[at(e, v)] for t, e, v in zip(model.tables, model.edges, x, strict=True)) + sum(t[at(ea, x[a]), at(eb, x[b])] for a, b, ea, eb, t in model.pairs)
+        assert abs(found[r.doc_id] - 1 / (1 + np.exp(-total))) < 1e-9
+
+
 def test_quality_held_out(spark, sf_dir):
     truth = {r.doc_id: r.quality for r in spark.read.parquet(f"{sf_dir}/labels.parquet").collect()}
     rows = queries.op9_quality(spark, sf_dir).collect()

@@ -45,6 +45,25 @@ def test_members_fail_by_themselves(spark, docs, tmp_path):
     assert len(described) == 40 and sum(r.error is not None for r in described.values()) == 1
 
 
+def test_short_and_lost_archives(spark, docs, tmp_path):
+    """What is cut off in the middle of a header is an error of its members only; an archive without a directory stops the job."""
+    system = media.pafs.LocalFileSystem()
+    path = str(tmp_path / "short")
+    (tmp_path / "short").write_bytes(b"PK\x03\x04 short")
+    reader = media.ArchiveReader(str(tmp_path), dict(media.DEFAULTS, attempts=2))
+    for offset in (0, 5, 500):
+        got, error = reader.fetch(system, path, offset, 10, 0, 2)
+        assert got is None and error
+    with pytest.raises(OSError, match="short"):
+        reader.directory(system, media.ByteRange(path, 0, 100), 2)
+
+
+def test_ids_of_any_type(spark, tmp_path):
+    rows = spark.createDataFrame([("null", "a", 1), ("x/9 é", "b", 2), (None, "c", 3), ("", None, 4)], "doc_id string, text string, name int")
+    found = {r.doc_id: (r.n_bytes, r.error) for r in media.stored_features(rows).collect()}
+    assert found == {"null": (1, None), "x/9 é": (1, None), None: (1, None), "": (0, None)}
+
+
 def test_byte_ranges(spark, docs, tmp_path):
     rows = docs([(k, f"{k} " * 200, None) for k in range(300)])
     media.store(rows, str(tmp_path / "a"))
