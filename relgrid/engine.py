@@ -11,6 +11,7 @@ import threading
 import uuid
 from collections.abc import Callable, Iterable
 from dataclasses import dataclass, replace
+from functools import cached_property
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -22,7 +23,7 @@ from relgrid.functions.columns import COLUMNS, SCHEMA
 from relgrid.operators import graph, store
 from relgrid.operators.store import Mutation, Precondition, SubjectFilter, TupleFilter
 from relgrid.plans import lineage, policy
-from relgrid.plans.fixpoint import Evaluator, Limits
+from relgrid.plans.fixpoint import Evaluator, Limits, Prepared
 from relgrid.sources import artifact, text
 from relgrid.sources.text import PolicyText
 
@@ -59,12 +60,28 @@ class State:
     deleted: DataFrame
     inserted: DataFrame
     changes: int
+    #: Kinds of stored usersets, where they are known; those of dropped tuples may be among them.
+    kinds: frozenset | None = None
+    #: The base laid out by subject, where an artifact has that.
+    by_subject: DataFrame | None = None
+
+    @cached_property
+    def prepared(self) -> dict[int, Prepared]:
+        return {}
 
     @property
     def tuples(self) -> DataFrame:
         return store.overlay(self.base, self.deleted, self.inserted) if self.changes else self.base
 
 
+    @property
+    def subject_side(self) -> DataFrame:
+        """The tuples, from the table that a filter on subjects reads least of."""
+        if self.by_subject is None:
+            return self.tuples
+        return store.overlay(self.by_subject, self.deleted, self.inserted) if self.changes else self.by_subject
+
+
 class Engine:
     """Reads take `at`: None for the latest revision, or a token (or its text)."""
 
@@ -74,7 +91,7 @@ class Engine:
         self.states: dict[int, State] = {}
         self._write = threading.Lock()
         empty = spark.createDataFrame([], SCHEMA)
-        self._last = State(0, policy.Schema({}), policy.schema_hash(policy.Schema({})), empty, empty, empty, 0)
+        self._last = State(0, policy.Schema({}), policy.schema_hash(policy.Schema({})), empty, empty, empty, 0, frozenset())
 
     # -- revisions
 
@@ -104,7 +121,8 @@ class Engine:
 
     def evaluator(self, at: Token | str | None = None) -> Evaluator:
         state = self.state(at)
-        return Evaluator(state.schema, state.tuples, self.limits, self.missing)
+        known = state.prepared.setdefault(self.limits.fanout, Prepared(state.tuples, self.limits.fanout, None if state.kinds is None else set(state.kinds)))
+        return Evaluator(state.schema, state.tuples, self.limits, self.missing, known, state.subject_side)
 
     def tuples(self, at: Token | str | None = None) -> DataFrame:
         return self.state(at).tuples
@@ -187,12 +205,15 @@ class Engine:
         gone, new = store.changes(last.tuples, batch)
         inserted = lineage.cut(store.without(last.inserted, gone).unionByName(new))
         deleted = lineage.cut(store.without(last.deleted, new).unionByName(store.existing(last.base, gone)).distinct())
-        state = replace(last, inserted=inserted, deleted=deleted, changes=last.changes + size)
+        kinds = last.kinds
+        if kinds is not None:  # those of the new tuples, at most relations x relations
+            kinds |= {tuple(r) for r in new.where("subject_relation is not null").select("resource_type", "relation", "subject_type", "subject_relation").distinct().collect()}
+        state = replace(last, inserted=inserted, deleted=deleted, changes=last.changes + size, kinds=kinds)
         return self._publish(self._compacted(state) if state.changes >= store.COMPACT_AT else state)
 
     def _compacted(self, state: State) -> State:
         empty = self.spark.createDataFrame([], SCHEMA)
-        return replace(state, base=lineage.cut(state.tuples), deleted=empty, inserted=empty, changes=0)
+        return replace(state, base=lineage.cut(state.tuples), deleted=empty, inserted=empty, changes=0, by_subject=None)
 
     def compact(self) -> Token:
         """Rewrites the live tuples as the base of a new revision."""
@@ -214,7 +235,7 @@ class Engine:
         return store.query(self.tuples(at), by, limit)
 
     def reverse_query(self, by: SubjectFilter, at: Token | str | None = None) -> DataFrame:
-        return store.reverse_query(self.tuples(at), by)
+        return store.reverse_query(self.state(at).subject_side, by)
 
     def check(self, resource: Object, relation: str, subject: Subject, at: Token | str | None = None) -> bool:
         subject.queried()
@@ -247,9 +268,7 @@ class Engine:
 
     # -- policies and artifacts
 
-    def apply_policy_text(self, given: PolicyText) -> Token:
-        """Replaces schema and tuples; a tuple given twice stops it."""
-        schema, tuples = text.from_text(self.spark, given)
+    def _replaced(self, schema: policy.Schema, tuples: DataFrame) -> Token:
         tuples = lineage.cut(tuples)
         store.check_references(tuples, schema)
         if bad := store.duplicates(tuples).limit(1).collect():
@@ -259,13 +278,21 @@ class Engine:
             self.states = {}
             return self._publish(State(0, schema, "", tuples, empty, empty, 0))
 
+    def apply_policy_text(self, given: PolicyText) -> Token:
+        """Replaces schema and tuples; a tuple given twice stops it."""
+        return self._replaced(*text.from_text(self.spark, given))
+
+    def apply_policy_files(self, directory: str) -> Token:
+        """The same from files, as export_policy_files() writes them, read by tasks."""
+        return self._replaced(*text.from_files(self.spark, directory))
+
     def export_policy_text(self, at: Token | str | None = None) -> PolicyText:
+        """The policy as text of the driver: for what fits there. export_policy_files() has no such bound."""
         return text.to_text(self.state(at).schema, self.tuples(at))
 
     def export_policy_files(self, directory: str, at: Token | str | None = None) -> None:
-        if not directory:
-            text.write_files(PolicyText("", {}), directory)
-        text.write_files(self.export_policy_text(at), directory)
+        """schema.zed and relationships/<type>.zedtuples below a directory, lines in order; a type's file is a folder of ranges, written by tasks."""
+        text.write_files(self.state(at).schema, self.tuples(at), directory)
 
     def save_snapshot(self, path: str, profile: str = "full", compression: str = "zstd", at: Token | str | None = None) -> None:
         state = self.state(at)
@@ -277,7 +304,7 @@ class Engine:
         found = artifact.load(spark, path, **options)
         engine = cls(spark, profile=found.profile)
         engine._last = replace(engine._last, revision=found.revision - 1)
-        engine._publish(replace(engine._last, schema=found.schema, base=found.tuples))
+        engine._publish(replace(engine._last, schema=found.schema, base=found.tuples, kinds=None, by_subject=found.by_subject))
         return engine
 
 

@@ -11,7 +11,7 @@ from pyspark.sql.window import Window
 from relgrid.domain import Object, Subject
 from relgrid.errors import EvaluationError, SchemaError
 from relgrid.plans.fixpoint import MEMBER, Evaluator, Node
-from relgrid.plans.lineage import cut
+from relgrid.plans.lineage import cut, cut_observed
 from relgrid.plans.policy import Computed, Exclusion, Expression, Intersection, This, Union, ViaTuples
 
 REQUEST = ["resource_type", "resource_id", "relation", "subject_type", "subject_id", "subject_relation"]
@@ -26,19 +26,30 @@ def _one(evaluator: Evaluator, resource: Object, relations: list[str]) -> DataFr
 
 
 def check(evaluator: Evaluator, requests: DataFrame) -> DataFrame:
-    """The requests (six columns) with `allowed`. Requests of unknown relations are an error; repeated ones are answered each."""
+    """The requests (six columns) with `allowed`. Requests of unknown relations are an error, as are those that are not allowed and whose
+    exploration a guard cut; repeated ones are answered each."""
     asked = [(r.resource_type, r.relation) for r in requests.select("resource_type", "relation").distinct().collect()]  # relations of the schema
     inner = requests.withColumn("subject_relation", F.coalesce("subject_relation", F.lit("")))
-    pairs = inner.select(F.concat_ws("#", "resource_type", "relation").alias("g"), F.col("resource_id").alias("gid"), *MEMBER[1:])
-    found = evaluator.evaluate(asked, None, pairs)
+    key = F.concat_ws("#", "resource_type", "relation").alias("g")
+    found = evaluator.evaluate(asked, None, inner.select(key, F.col("resource_id").alias("gid"), *MEMBER[1:]))
     members = None
     for (kind, relation), m in found.items():
         m = m.select(F.lit(kind).alias("resource_type"), "resource_id", F.lit(relation).alias("relation"), *MEMBER[1:])
         members = m if members is None else members.union(m)
     if members is None:
         return requests.withColumn("allowed", F.lit(False))
-    out = inner.join(members.withColumn("allowed", F.lit(True)), REQUEST, "left")
-    return _external(out.select(*requests.columns, F.coalesce("allowed", F.lit(False)).alias("allowed")))
+    out = inner.join(members.distinct().withColumn("allowed", F.lit(True)), REQUEST, "left")
+    answers = out.select(*requests.columns, F.coalesce("allowed", F.lit(False)).alias("allowed"))
+    if evaluator.may_be_blocked:
+        answers = cut(answers)
+        _guard(evaluator, answers.where("not allowed").select(key, F.col("resource_id").alias("gid"), F.to_json(F.struct(REQUEST)).alias("root")).distinct(), asked)
+    return _external(answers)
+
+
+def _guard(evaluator: Evaluator, denied: DataFrame, nodes: list[Node]) -> None:
+    """denied: (g, gid, root) of what has no proof."""
+    if (found := evaluator.blocked(denied, nodes)) is not None:
+        raise EvaluationError(found[0], f"the guard on {found[0]} leaves undecided: {found[1]}")
 
 
 def _limited(frame: DataFrame, limit: int | None) -> DataFrame:
@@ -60,7 +71,7 @@ def lookup_resources(evaluator: Evaluator, subject: Subject, permission: str, re
 def _plain_subjects(evaluator: Evaluator) -> bool:
     """Whether a reached object has a plain subject other than a user, which no query can answer with."""
     rows = evaluator.tuples.where("subject_type <> 'user' and subject_relation is null").select(F.concat_ws("#", "resource_type", "relation").alias("g"), F.col("resource_id").alias("gid"))
-    return not rows.join(evaluator.reached, ["g", "gid"], "left_semi").isEmpty()
+    return not rows.join(evaluator.reached_objects(), ["g", "gid"], "left_semi").isEmpty()
 
 
 def lookup_subjects(evaluator: Evaluator, resource: Object, permission: str, subject_type: str, limit: int | None = None) -> DataFrame:
@@ -69,6 +80,7 @@ def lookup_subjects(evaluator: Evaluator, resource: Object, permission: str, sub
         raise SchemaError("namespace_not_found", f"no namespace {subject_type}")
     node = (resource.type, permission)
     found = evaluator.evaluate([node], None, _one(evaluator, resource, [permission]))[node]
+    evaluator.guard_subjects()
     if _plain_subjects(evaluator):
         raise EvaluationError("plain_subject", "an object other than a user is stored without a relation")
     wanted = (F.col("resource_id") == resource.id) & (F.col("subject_type") == subject_type) & ((F.col("subject_relation") == "") if subject_type == "user" else (F.col("subject_relation") != ""))
@@ -79,12 +91,18 @@ def lookup_permissions(evaluator: Evaluator, subject: Subject, resource: Object)
     """relation: those of the object that the subject has, in order of name."""
     subject.queried()
     relations = evaluator.schema.relations(resource.type)
-    found = evaluator.evaluate([(resource.type, r) for r in relations], [(subject.type, subject.id, subject.relation)], _one(evaluator, resource, relations))
+    nodes = [(resource.type, r) for r in relations]
+    found = evaluator.evaluate(nodes, [(subject.type, subject.id, subject.relation)], _one(evaluator, resource, relations))
     out = None
     for (_, relation), m in found.items():
         m = m.where(F.col("resource_id") == resource.id).select(F.lit(relation).alias("relation"))
         out = m if out is None else out.union(m)
-    return out.distinct().orderBy("relation")
+    out = out.distinct()
+    if evaluator.may_be_blocked:
+        out = cut(out)
+        denied = _one(evaluator, resource, relations).withColumn("root", F.substring_index("g", "#", -1)).join(out, F.col("root") == F.col("relation"), "left_anti")
+        _guard(evaluator, denied, nodes)
+    return out.orderBy("relation")
 
 
 def permissions_of(evaluator: Evaluator, subjects: DataFrame, resource_type: str) -> DataFrame:
@@ -102,6 +120,7 @@ def lookup_object_permissions(evaluator: Evaluator, resource: Object, subject_ty
     """relation, subjects (sorted array of texts): of each relation of the object that has any, the users or usersets of the type."""
     relations = evaluator.schema.relations(resource.type)
     found = evaluator.evaluate([(resource.type, r) for r in relations], None, _one(evaluator, resource, relations))
+    evaluator.guard_subjects()
     out = None
     for (_, relation), m in found.items():
         m = m.where((F.col("resource_id") == resource.id) & (F.col("subject_type") == subject_type) & ((F.col("subject_relation") == "") == (subject_type == "user")))
@@ -164,8 +183,7 @@ class _Expansion:
                 self._inner(at, "union")
                 rows = self.e._rows((kind, tupleset)).where("subject_relation is not null").select(F.col("resource_id").alias("id"), F.col("subject_type").alias("t"), F.col("subject_id").alias("via")).distinct()
                 found = at.join(rows, "id").withColumn("k", F.row_number().over(Window.partitionBy("root", "path").orderBy("t", "via")) - 1)
-                placed = cut(found.select("root", F.concat("path", F.lpad(F.col("k").cast("string"), 4, "0")).alias("path"), F.col("via").alias("id"), "active", "t", "k"))
-                self.guard(placed)
+                placed = self.placed(found.select("root", F.concat("path", F.lpad(F.col("k").cast("string"), 4, "0")).alias("path"), F.col("via").alias("id"), "active", "t", "k"))
                 for _, _, to, _ in [s for s in self.e.steps(node) if s[0] == "through" and s[1] == tupleset and s[2][1] == target]:
                     self._goto(placed.where(F.col("t") == to[0]).drop("t", "k"), to)
             case Union(operands) | Intersection(operands):
@@ -177,15 +195,17 @@ class _Expansion:
                 self.walk(child(at, 0), node, base)
                 self.walk(child(at, 1), node, exclude)
 
-    def guard(self, placed: DataFrame) -> None:
-        if not placed.where(F.col("k") >= min(self.e.limits.fanout, 10_000)).isEmpty():
+    def placed(self, frame: DataFrame, plain: str = "false") -> DataFrame:
+        """The frame, written, if no step has followed too many rows and none is `plain`."""
+        out, seen = cut_observed(frame, F.max("k").alias("k"), F.count_if(F.expr(plain)).alias("plain"))
+        if (seen["k"] or 0) >= min(self.e.limits.fanout, 10_000):
             raise EvaluationError("fanout", f"a step follows more than {self.e.limits.fanout} rows")
+        if seen["plain"]:
+            raise EvaluationError("plain_subject", "an object other than a user is stored without a relation")
+        return out
 
     def leaves(self, found: DataFrame) -> None:
-        placed = cut(found)
-        self.guard(placed)
-        if not placed.where("subject_type <> 'user' and subject_relation is null").isEmpty():
-            raise EvaluationError("plain_subject", "an object other than a user is stored without a relation")
+        placed = self.placed(found, "subject_type <> 'user' and subject_relation is null")
         kind = F.when(F.col("subject_relation").isNull(), "user").otherwise("userset")
         self.nodes.append(placed.select("root", F.concat("path", F.lpad(F.col("k").cast("string"), 4, "0")).alias("path"), kind.alias("kind"), F.col("subject_type").alias("type"), F.col("subject_id").alias("id"), F.col("subject_relation").alias("relation")))
 
@@ -196,12 +216,13 @@ class _Expansion:
         for depth in range(self.e.limits.depth + 2):
             todo, self.next = self.next, {}
             for n, frames in todo.items():
-                at = cut(frames[0] if len(frames) == 1 else frames[0].unionByName(frames[1]) if len(frames) == 2 else _union(frames))
                 ring = F.array_contains("active", key(n))
-                self._inner(at.where(ring), "union")
-                open_ = at.where(~ring).withColumn("active", F.array_append("active", key(n)))
-                if open_.isEmpty():
+                at, seen = cut_observed(_union(frames), F.count_if(ring).alias("rings"), F.count_if(~ring).alias("open"))
+                if seen["rings"]:
+                    self._inner(at.where(ring), "union")
+                if not seen["open"]:
                     continue
+                open_ = at.where(~ring).withColumn("active", F.array_append("active", key(n)))
                 if depth > self.e.limits.depth:
                     raise EvaluationError("depth", f"the tree is deeper than {self.e.limits.depth}")
                 self.walk(open_, n, self.e.schema.rewrite(*n))

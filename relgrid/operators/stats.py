@@ -20,20 +20,17 @@ INDEXES = {
 }
 
 
-def histogram(tuples: DataFrame, index: str) -> DataFrame:
-    """One row: index_name, keys, total, largest, and how many keys fall in each size bucket (b0 to b7)."""
-    sizes = tuples.groupBy(INDEXES[index]).agg(F.count("*").alias("n"))
+def histograms(tuples: DataFrame) -> DataFrame:
+    """A row for each index: index_name, keys, total, largest, and how many keys fall in each size bucket (b0 to b7). One scan and one shuffle for all of them."""
+    columns = INDEXES["resource_relation_subject"]
+    grouped = tuples.groupingSets(list(INDEXES.values()), *columns).agg(F.grouping_id().alias("id"), F.count("*").alias("n"))
+    mask = lambda key: sum(1 << (len(columns) - 1 - k) for k, c in enumerate(columns) if c not in key)
+    names = F.create_map(*(F.lit(x) for name, key in INDEXES.items() for x in (mask(key), name)))
     low = (0, *BUCKETS)
     counts = [F.count_if((F.col("n") > a) & (F.col("n") <= b)).alias(f"b{k}") for k, (a, b) in enumerate(zip(low, BUCKETS, strict=False))]
-    return sizes.agg(F.lit(index).alias("index_name"), F.count("*").alias("keys"), F.coalesce(F.sum("n"), F.lit(0)).alias("total"), F.coalesce(F.max("n"), F.lit(0)).alias("largest"), *counts, F.count_if(F.col("n") > BUCKETS[-1]).alias(f"b{len(BUCKETS)}"))
-
-
-def histograms(tuples: DataFrame) -> DataFrame:
-    out = None
-    for index in INDEXES:
-        row = histogram(tuples, index)
-        out = row if out is None else out.union(row)
-    return out
+    found = grouped.groupBy(names[F.col("id").cast("int")].alias("index_name")).agg(F.count("*").alias("keys"), F.sum("n").alias("total"), F.max("n").alias("largest"), *counts, F.count_if(F.col("n") > BUCKETS[-1]).alias(f"b{len(BUCKETS)}"))
+    every = tuples.sparkSession.createDataFrame([(n,) for n in INDEXES], "index_name string")
+    return every.join(found, "index_name", "left").na.fill(0)
 
 
 def delta_stats(base: DataFrame, deleted: DataFrame, inserted: DataFrame) -> DataFrame:

@@ -9,6 +9,10 @@ that the policy leaves keys undefined.
 Two restrictions are applied before anything is joined: to the subjects asked for, on the rows that introduce subjects (no
 operator changes one), and to the objects that the asked-for ones can reach, exclude sides included. Where pairs of object
 and subject are asked for, the subject travels with the object, so that no step makes more pairs than were asked for and their reach.
+Where the policy has no cycle, reached objects are found node by node, callers first; else in rounds, which the depth guard bounds.
+
+Guards follow one rule: a request is allowed if there is a proof within the depth; if there is none, and its exploration was cut by depth
+or met an object of which a step follows too many rows, it is an error; else it is denied.
 
 Inside, an absent subject relation is the empty string, so keys join as they are.
 """
@@ -26,6 +30,8 @@ from relgrid.plans.lineage import cut, cut_counted
 from relgrid.plans.policy import Computed, Exclusion, Expression, Intersection, Schema, This, Union, ViaTuples, leaves
 
 Node = tuple[str, str]
+#: Rounds after which what was found is written as one table.
+COMPACT = 8
 MEMBER = ["resource_id", "subject_type", "subject_id", "subject_relation"]
 
 
@@ -71,19 +77,48 @@ def parts(graph: dict[Node, set[Node]]) -> list[list[Node]]:
     return out
 
 
+class Prepared:
+    """What evaluations of one set of tuples share, found when first needed."""
+
+    def __init__(self, tuples: DataFrame, fanout: int, kinds: set[tuple[str, str, str, str]] | None = None) -> None:
+        self.tuples, self.limit, self.known = tuples, fanout, kinds
+        self._over: DataFrame | None | bool = False
+
+    @property
+    def kinds(self) -> set[tuple[str, str, str, str]]:
+        """(type, relation, subject type, subject relation) of stored usersets: at most relations x relations. More than there are do no harm."""
+        if self.known is None:
+            found = self.tuples.where("subject_relation is not null").select("resource_type", "relation", "subject_type", "subject_relation").distinct().collect()
+            self.known = {tuple(r) for r in found}
+        return self.known
+
+    @property
+    def over(self) -> DataFrame | None:
+        """(f, gid): relations "type#relation" and objects with more usersets than a step may follow; None if there are none."""
+        if self._over is False:
+            many = self.tuples.where("subject_relation is not null").groupBy("resource_type", "relation", "resource_id").agg(F.count("*").alias("n")).where(F.col("n") > self.limit)
+            table, n = cut_counted(many.select(F.concat_ws("#", "resource_type", "relation").alias("f"), F.col("resource_id").alias("gid")))
+            self._over = table if n else None
+        return self._over
+
+
 class Evaluator:
     """Members of relations over one set of tuples."""
 
-    def __init__(self, schema: Schema, tuples: DataFrame, limits: Limits | None = None, missing: str = "error") -> None:
+    def __init__(self, schema: Schema, tuples: DataFrame, limits: Limits | None = None, missing: str = "error", prepared: Prepared | None = None, by_subject: DataFrame | None = None) -> None:
         self.schema, self.limits, self.missing = schema, limits or Limits(), missing
         self.tuples = tuples
+        #: The same tuples, laid out by subject if there is such a table.
+        self.by_subject = tuples if by_subject is None else by_subject
         self.spark = tuples.sparkSession
-        # Kinds of stored usersets: at most relations x relations rows.
-        found = tuples.where("subject_relation is not null").select("resource_type", "relation", "subject_type", "subject_relation").distinct().collect()
+        self.prepared = prepared or Prepared(tuples, self.limits.fanout)
         self.stored: dict[Node, list[Node]] = {}
-        for row in found:
-            self.stored.setdefault((row.resource_type, row.relation), []).append((row.subject_type, row.subject_relation))
-        self.reached: DataFrame | None = None
+        for a, b, c, d in sorted(self.prepared.kinds):
+            self.stored.setdefault((a, b), []).append((c, d))
+        self.reached: dict[Node, DataFrame] | None = None
+        #: Nodes whose reached objects are those of one other node, as they are.
+        self.same_as: dict[Node, Node] = {}
+        self.was_cut = False
         self.pairs = False
         self.subjects: object = None
         self.members: dict[Node, DataFrame] = {}
@@ -122,29 +157,42 @@ class Evaluator:
 
     # -- rows
 
-    def _rows(self, node: Node) -> DataFrame:
-        """Stored rows of a node, of reached objects only."""
-        rows = self.tuples.where((F.col("resource_type") == node[0]) & (F.col("relation") == node[1]))
-        return rows
+    def _rows(self, node: Node, tuples: DataFrame | None = None) -> DataFrame:
+        """Stored rows of a node."""
+        return (self.tuples if tuples is None else tuples).where((F.col("resource_type") == node[0]) & (F.col("relation") == node[1]))
 
     def _restricted(self, rows: DataFrame, asked_by: Node) -> DataFrame:
         if self.reached is None:
             return rows
-        keys = self.reached.where((F.col("g") == "#".join(asked_by))).select(F.col("gid").alias("resource_id"))
+        keys = self.reached[asked_by].select(F.col("gid").alias("resource_id"))
         return rows.join(keys, "resource_id", "left_semi")
 
     def _asked(self, node: Node) -> DataFrame:
         """(resource_id, subject) of the pairs asked for on a node."""
-        return self.reached.where(F.col("g") == "#".join(node)).select(F.col("gid").alias("resource_id"), *MEMBER[1:])
+        return self.reached[node].select(F.col("gid").alias("resource_id"), *MEMBER[1:])
 
     def _asked_only(self, members: DataFrame, node: Node) -> DataFrame:
         if self.pairs:
             return members.join(self._asked(node), MEMBER, "left_semi")
         return self._restricted(members, node)
 
+    def _distinct(self, members: DataFrame) -> DataFrame:
+        """Pairs are only ever looked for, so repeated ones do no harm before the end."""
+        return members if self.pairs else members.distinct()
+
+    def reached_objects(self, nodes: list[Node] | None = None) -> DataFrame:
+        """(g, gid, and the subjects of pairs) of what was reached on nodes, of all by default."""
+        out = [f.select(F.lit("#".join(n)).alias("g"), *f.columns) for n, f in self.reached.items() if nodes is None or n in nodes]
+        return reduce(DataFrame.union, out)
+
     def _emitted(self, node: Node) -> DataFrame:
         """The subjects that a node's rows introduce: a user for every row of type user, and the userset where there is a relation."""
-        rows = self._restricted(self._rows(node), node)
+        few = isinstance(self.subjects, list) and not self.pairs
+        rows = self._rows(node, self.by_subject if few else self.tuples)
+        if few:  # reaches the scan, which what follows does not
+            named = [(F.col("subject_type") == t) & (F.col("subject_id") == i) for t, i, _ in self.subjects]
+            rows = rows.where(reduce(Column.__or__, named, F.lit(False)))
+        rows = self._restricted(rows, node)
         user = F.when(F.col("subject_type") == "user", F.struct("subject_type", "subject_id", F.lit("").alias("subject_relation")))
         userset = F.when(F.col("subject_relation").isNotNull(), F.struct("subject_type", "subject_id", "subject_relation"))
         subject = F.explode(F.array_compact(F.array(user, userset)))
@@ -166,36 +214,86 @@ class Evaluator:
 
     # -- restriction to reachable objects
 
-    def reach(self, keys: DataFrame, nodes: list[Node]) -> DataFrame:
-        """(g, gid): the keys (g "type#relation", gid) and all objects whose members they may need. Further columns, the subjects of pairs, go along."""
-        along = [c for c in keys.columns if c not in ("g", "gid")]
+    def reach(self, keys: DataFrame, nodes: list[Node]) -> dict[Node, DataFrame]:
+        """Of each node the (gid) of keys (g "type#relation", gid) and of all objects whose members they may need. Further columns, the subjects of pairs, go along."""
         graph = self.closure(nodes)
+        order = parts(graph)
+        longest: dict[Node, int] = {}
+        for part in order:
+            for n in part:
+                longest[n] = 1 + max((longest.get(x, 0) for x in graph[n] if x not in part), default=0)
+        if all(len(p) == 1 and p[0] not in graph[p[0]] for p in order) and max(longest.values()) <= self.limits.depth:
+            return self._reach_in_order(keys, nodes, [p[0] for p in reversed(order)])
+        self.shared = len(nodes) > 1  # what lies too deep for one node may have been asked for on another
+        seen, _ = self._reach_in_rounds(keys, graph)
+        return {n: seen.where(F.col("g") == "#".join(n)).drop("g") for n in graph}
+
+    def _reach_in_order(self, keys: DataFrame, nodes: list[Node], order: list[Node]) -> dict[Node, DataFrame]:
+        """A policy without cycles: each node once, after all that call it."""
+        keys, n = cut_counted(keys.distinct())
+        self.counters["reached"] = [n]
+        out: dict[Node, DataFrame] = {}
+        coming: dict[Node, list[tuple[DataFrame, Node | None]]] = {}
+        for node in order:
+            found = coming.get(node, [])
+            if node in nodes:
+                found = [*found, (keys.where(F.col("g") == "#".join(node)).drop("g"), None)]
+            same = {by for _, by in found}
+            frame = found[0][0]
+            steps = self.steps(node)
+            if len(same) == 1 and None not in same:
+                (self.same_as[node],) = same
+            elif len(found) > 1 or node not in nodes:
+                frame = reduce(DataFrame.union, [f for f, _ in found]).distinct()
+                if steps:  # what is used once is left in the plan
+                    frame, n = cut_counted(frame)
+                    self.counters["reached"].append(n)
+            out[node] = frame
+            for kind, relation, to, _ in steps:
+                if kind == "same":
+                    coming.setdefault(to, []).append((frame, node))
+                else:
+                    moved = frame.join(self._linked(node, relation, to, kind), "gid").drop("gid").withColumnRenamed("via", "gid").select(frame.columns)
+                    coming.setdefault(to, []).append((moved, None))
+        return out
+
+    def _linked(self, node: Node, relation: str, to: Node, kind: str) -> DataFrame:
+        return self._links(node, relation, to, kind).withColumnRenamed("resource_id", "gid")
+
+    def _reach_in_rounds(self, keys: DataFrame, graph: dict[Node, set[Node]]) -> tuple[DataFrame, DataFrame | None]:
+        """(g, gid, ...) of all that is reached within the depth, and what lay beyond, if anything."""
+        along = [c for c in keys.columns if c not in ("g", "gid")]
         moves, same = [], []
         for node in graph:
             for kind, relation, to, _ in self.steps(node):
                 if kind == "same":
                     same.append(("#".join(node), "#".join(to)))
                 else:
-                    moves.append(self._links(node, relation, to, kind).select(F.lit("#".join(node)).alias("g"), F.col("resource_id").alias("gid"), F.lit("#".join(to)).alias("h"), F.col("via").alias("hid")))
+                    moves.append(self._linked(node, relation, to, kind).select(F.lit("#".join(node)).alias("g"), "gid", F.lit("#".join(to)).alias("h"), F.col("via").alias("hid")))
         edges = reduce(DataFrame.union, moves) if moves else None
         stays = self.spark.createDataFrame(same, "g string, h string") if same else None
         seen, n = cut_counted(keys.select("g", "gid", *along).distinct())
         new, rows = seen, self.counters.setdefault("reached", [])
         rows.append(n)
-        for _ in range(10_000):
+        for depth in range(1, 1 << 30):
             found = []
             if edges is not None:
                 found.append(new.join(edges, ["g", "gid"]).select(F.col("h").alias("g"), F.col("hid").alias("gid"), *along))
             if stays is not None:
                 found.append(new.join(F.broadcast(stays), "g").select(F.col("h").alias("g"), "gid", *along))  # one row per pair of relations
             if not found:
-                return seen
+                return seen, None
             new, n = cut_counted(reduce(DataFrame.union, found).distinct().join(seen, ["g", "gid", *along], "left_anti"))
             rows.append(n)
             if not n:
-                return seen
+                return seen, None
+            if depth >= self.limits.depth:
+                self.was_cut = True
+                return seen, new
             seen = seen.union(new)
-        raise EvaluationError("depth", "objects did not stop being reached")
+            if depth % COMPACT == 0:
+                seen = cut(seen)
+        raise AssertionError
 
     # -- expressions
 
@@ -208,14 +306,16 @@ class Evaluator:
                 for to in sorted(set(self.stored.get(node, ()))):
                     if self.schema.has(*to) and to in known:
                         out.append(self._through(node, self._links(node, relation, to, "rows"), known[to]))
-                return reduce(DataFrame.union, out).distinct()
+                whole = reduce(DataFrame.union, out)
+                return whole if len(out) == 1 and not any(t == "user" for t, _ in self.stored.get(node, ())) else self._distinct(whole)
             case Computed(target):
-                return self._asked_only(known.get((kind, target), self._empty()), node)
+                found = known.get((kind, target), self._empty())
+                return found if self.same_as.get((kind, target)) == node else self._asked_only(found, node)
             case ViaTuples(tupleset, target):
                 out = [self._through(node, self._links(node, tupleset, to, "through"), known[to]) for k, r, to, _ in self.steps(node) if k == "through" and r == tupleset and to[1] == target and to in known]
-                return reduce(DataFrame.union, out, self._empty()).distinct()
+                return self._distinct(reduce(DataFrame.union, out)) if out else self._empty()
             case Union(operands):
-                return reduce(DataFrame.union, [self._expression(node, x, known, negative) for x in operands]).distinct()
+                return self._distinct(reduce(DataFrame.union, [self._expression(node, x, known, negative) for x in operands]))
             case Intersection(operands):
                 return reduce(DataFrame.intersect, [self._expression(node, x, known, negative) for x in operands])
             case Exclusion(base, exclude):
@@ -237,7 +337,7 @@ class Evaluator:
         for node in nodes:
             self.schema.rewrite(*node)
         self.subjects, self.reached, self.members, self.counters = subjects, None, {}, {}
-        self.pairs = False
+        self.pairs, self.same_as, self.was_cut, self.shared = False, {}, False, False
         if keys is not None:
             self.reached = self.reach(keys, nodes)
             self.pairs = "subject_id" in keys.columns
@@ -268,7 +368,7 @@ class Evaluator:
         inside = set(part)
         tag = lambda n, f: f.withColumn("g", F.lit("#".join(n)))
         outer = {n: m for n, m in self.members.items() if n not in inside}
-        seen, count = cut_counted(reduce(DataFrame.union, [tag(n, self._expression(n, self.schema.rewrite(*n), outer, outer)) for n in part]))
+        seen, count = cut_counted(reduce(DataFrame.union, [tag(n, self._expression(n, self.schema.rewrite(*n), outer, outer)) for n in part]).distinct())
         new, rows = seen, self.counters.setdefault("members", [])
         rows.append(count)
         moves, same = [], []
@@ -281,10 +381,11 @@ class Evaluator:
         links = cut(reduce(DataFrame.union, moves)) if moves else None
         stays = F.broadcast(self.spark.createDataFrame(same, "h string, g string")) if same else None
         by = ["g", *(MEMBER if self.pairs else MEMBER[:1])]
+        wanted = self.reached_objects(part).withColumnRenamed("gid", "resource_id") if self.reached is not None else None
 
         def only(f: DataFrame) -> DataFrame:
             """What was asked for."""
-            return f if self.reached is None else f.join(self.reached.withColumnRenamed("gid", "resource_id"), by, "left_semi").select(*MEMBER, "g")
+            return f if self.reached is None else f.join(wanted, by, "left_semi").select(*MEMBER, "g")
 
         for depth in range(1, 1 << 30):
             found = []
@@ -299,7 +400,7 @@ class Evaluator:
                 break
             if depth > self.limits.depth:
                 raise EvaluationError("depth", f"members of {part} were still found after {self.limits.depth} rounds")
-            seen = seen.union(new)
+            seen = cut(seen.union(new)) if depth % COMPACT == 0 else seen.union(new)
         for n in part:
             self.members[n] = seen.where(F.col("g") == "#".join(n)).select(MEMBER)
 
@@ -308,7 +409,7 @@ class Evaluator:
         known = {**self.members, **{n: self._empty() for n in part}}
         sizes = dict.fromkeys(part, 0)
         for _ in range(self.limits.depth + 1):
-            found = {n: cut_counted(self._expression(n, self.schema.rewrite(*n), known, negative)) for n in part}
+            found = {n: cut_counted(self._expression(n, self.schema.rewrite(*n), known, negative).distinct()) for n in part}
             grown = {n: count for n, (_, count) in found.items()}
             self.counters.setdefault("repeated", []).append(sum(grown.values()))
             known |= {n: f for n, (f, _) in found.items()}
@@ -334,6 +435,44 @@ class Evaluator:
 
     # -- guards
 
+    def followed(self, nodes: list[Node], every_row: bool = False) -> list[tuple[str, str, bool]]:
+        """(node, relation followed, whether rows of all kinds count) of the steps of nodes, as "type#relation"."""
+        out = set()
+        for node in nodes:
+            for e, _ in leaves(self.schema.rewrite(*node)):
+                if isinstance(e, This):
+                    out.add(("#".join(node), "#".join(node), every_row))
+                elif isinstance(e, ViaTuples):
+                    out.add(("#".join(node), f"{node[0]}#{e.tupleset}", False))
+        return sorted(out)
+
+    @property
+    def may_be_blocked(self) -> bool:
+        return self.was_cut or self.shared or self.prepared.over is not None
+
+    def blocked(self, keys: DataFrame, nodes: list[Node]) -> tuple[str, str] | None:
+        """(code, root) of a key (g, gid, root) whose exploration the guards cut, if there is one."""
+        over, graph = self.prepared.over, self.closure(nodes)
+        seen, beyond = self._reach_in_rounds(keys, graph)
+        if beyond is not None:
+            return "depth", beyond.first().root
+        steps = F.broadcast(self.spark.createDataFrame([(g, f) for g, f, _ in self.followed(list(graph))], "g string, f string"))  # pairs of relations
+        if over is not None and (found := seen.join(steps, "g").join(over, ["f", "gid"]).first()) is not None:
+            return "fanout", found.root
+        return None
+
+    def guard_subjects(self) -> None:
+        """Raises if the last evaluation's exploration was cut, or met an object with too many rows, of all kinds where they are the object's own."""
+        if self.was_cut:
+            raise EvaluationError("depth", f"objects were still reached after {self.limits.depth} rounds")
+        counts = []
+        for g, f, every in self.followed(list(self.reached), True):
+            node, step = tuple(g.split("#")), tuple(f.split("#"))
+            rows = self._restricted(self._rows(step), node)
+            counts.append((rows if every else rows.where("subject_relation is not null")).groupBy(F.lit(f).alias("f"), "resource_id").agg(F.count("*").alias("n")))
+        if counts and (found := reduce(DataFrame.union, counts).where(F.col("n") > self.limits.fanout).first()) is not None:
+            raise EvaluationError("fanout", f"{found.f} of {found.resource_id} has {found.n} rows; a step follows {self.limits.fanout} at most")
+
     def fanout(self, node: Node, usersets_only: bool = True) -> DataFrame:
         """(resource_id, n): rows of each object that a step follows."""
         rows = self._rows(node)

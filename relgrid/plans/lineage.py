@@ -6,7 +6,7 @@ import atexit
 import contextlib
 import uuid
 
-from pyspark.sql import DataFrame, Observation, SparkSession
+from pyspark.sql import Column, DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 
 
@@ -37,6 +37,12 @@ def cut(frame: DataFrame) -> DataFrame:
 
 def cut_counted(frame: DataFrame) -> tuple[DataFrame, int]:
     """cut(), and the number of rows, counted as they are written."""
+    out, seen = cut_observed(frame, F.count(F.lit(1)).alias("n"))
+    return out, seen["n"]
+
+
+def cut_observed(frame: DataFrame, *measures: Column) -> tuple[DataFrame, dict]:
+    """cut(), and aggregates of the rows, taken as they are written."""
     seen = Observation()
-    out = cut(frame.observe(seen, F.count(F.lit(1)).alias("n")))
-    return out, seen.get["n"]
+    out = cut(frame.observe(seen, *measures))
+    return out, seen.get

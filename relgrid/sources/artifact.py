@@ -23,6 +23,8 @@ class Loaded:
     tuples: DataFrame
     revision: int
     profile: str
+    #: The tuples laid out by subject, which profile full has.
+    by_subject: DataFrame | None = None
 
 
 def _files(spark: SparkSession, path: str) -> object:
@@ -93,4 +95,7 @@ def load(spark: SparkSession, path: str, validation: str = "full", integrity: st
             raise ArtifactError("duplicate", "a tuple is stored twice")
         if not invalid_rows(tuples).isEmpty() or not broken_references(tuples, schema).isEmpty():
             raise ArtifactError("invalid_rows", "a tuple breaks the rules or is not in the schema")
-    return Loaded(schema, tuples, found["revision"], found["profile"])
+    by_subject = spark.read.schema(SCHEMA).parquet(f"{path}/by_subject") if found["profile"] == "full" else None
+    if by_subject is not None and integrity == "checksum" and checksum(by_subject) != found["checksum"]:
+        raise ArtifactError("checksum", "the tuples by subject are not those that were saved")
+    return Loaded(schema, tuples, found["revision"], found["profile"], by_subject)

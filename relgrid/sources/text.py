@@ -44,8 +44,18 @@ def read_tuples(spark: SparkSession, path: str) -> DataFrame:
 
 
 def from_text(spark: SparkSession, text: PolicyText) -> tuple[policy.Schema, DataFrame]:
-    lines = [(line,) for contents in text.files.values() for line in contents.splitlines()]
-    return policy.compile_policy(text.schema), checked(parse_lines(spark.createDataFrame(lines, "line string")))
+    for relative in text.files:
+        if not relative or os.path.isabs(relative) or ".." in relative.replace("\\", "/").split("/"):
+            raise PolicyTextError("path", f"not a path inside the policy: {relative!r}")
+    files = spark.createDataFrame([(contents,) for contents in text.files.values()], "contents string")
+    return policy.compile_policy(text.schema), checked(parse_lines(files.select(F.explode(F.split("contents", "\r\n|\r|\n")).alias("line"))))
+
+
+def from_files(spark: SparkSession, directory: str) -> tuple[policy.Schema, DataFrame]:
+    """Schema and tuples of exported files."""
+    schema = "\n".join(r.value for r in spark.read.text(f"{directory}/{SCHEMA_FILE}").collect())
+    lines = spark.read.option("recursiveFileLookup", "true").text(f"{directory}/{TUPLE_FOLDER}")
+    return policy.compile_policy(schema), checked(parse_lines(lines))
 
 
 def export_lines(tuples: DataFrame) -> DataFrame:
@@ -65,19 +75,23 @@ def to_text(schema: policy.Schema, tuples: DataFrame) -> PolicyText:
     return PolicyText(policy.text(schema), {f"{TUPLE_FOLDER}/{r.resource_type}{TUPLE_SUFFIX}": r.contents for r in groups})
 
 
-def write_files(text: PolicyText, directory: str) -> None:
-    """Writes policy text below a directory of the driver."""
+def write_files(schema: policy.Schema, tuples: DataFrame, directory: str) -> None:
+    """Writes a policy below a directory: the schema's text, and for each resource type a folder with its lines in ranges of their order."""
     if not directory:
         raise PolicyTextError("path", "an export needs a directory")
-    for relative in text.files:
-        if not relative or os.path.isabs(relative) or ".." in relative.replace("\\", "/").split("/"):
-            raise PolicyTextError("path", f"not a path inside the directory: {relative!r}")
-    os.makedirs(os.path.join(directory, TUPLE_FOLDER), exist_ok=True)
-    for relative, contents in {SCHEMA_FILE: text.schema, **text.files}.items():
-        target = os.path.join(directory, relative)
-        os.makedirs(os.path.dirname(target), exist_ok=True)
-        with open(target, "w", encoding="utf-8", newline="") as f:
-            f.write(contents)
+    spark = tuples.sparkSession
+    make = spark._jvm.org.apache.hadoop.fs.Path
+    folder = make(f"{directory}/{TUPLE_FOLDER}")
+    system = folder.getFileSystem(spark._jsc.hadoopConfiguration())
+    system.delete(folder, True)
+    write_lines(tuples, f"{directory}/{TUPLE_FOLDER}")
+    for kind in schema.namespaces:
+        part = make(f"{directory}/{TUPLE_FOLDER}/resource_type={kind}")
+        if system.exists(part):
+            system.rename(part, make(f"{directory}/{TUPLE_FOLDER}/{kind}{TUPLE_SUFFIX}"))
+    out = system.create(make(f"{directory}/{SCHEMA_FILE}"), True)
+    out.write(bytearray(policy.text(schema).encode()))
+    out.close()
 
 
 def write_lines(tuples: DataFrame, path: str) -> None:

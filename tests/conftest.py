@@ -17,6 +17,7 @@ def spark(tmp_path_factory):
         SparkSession.builder.master("local[4]")
         .config("spark.sql.shuffle.partitions", "2")
         .config("spark.default.parallelism", "2")
+        .config("spark.sql.codegen.wholeStage", "false")  # plans of a few rows run sooner than they compile
         .config("spark.ui.enabled", "false")
         .config("spark.driver.memory", "4g")
         .config("spark.sql.session.timeZone", "UTC")
