@@ -203,7 +203,8 @@ class Engine:
         if not size:
             return self._publish(last)
         gone, new = store.changes(last.tuples, batch)
-        inserted = lineage.cut(store.without(last.inserted, gone).unionByName(new))
+        # What comes back to the base is no longer deleted; the rest of the new is inserted.
+        inserted = lineage.cut(store.without(last.inserted, gone).unionByName(store.without(new, last.deleted)))
         deleted = lineage.cut(store.without(last.deleted, new).unionByName(store.existing(last.base, gone)).distinct())
         kinds = last.kinds
         if kinds is not None:  # those of the new tuples, at most relations x relations
@@ -278,6 +279,10 @@ class Engine:
             self.states = {}
             return self._publish(State(0, schema, "", tuples, empty, empty, 0))
 
+    def replace_all(self, dsl: str, tuples: DataFrame) -> Token:
+        """A policy and a frame of tuples in place of what there was; a tuple given twice stops it."""
+        return self._replaced(policy.compile_policy(dsl), tuples.select(COLUMNS))
+
     def apply_policy_text(self, given: PolicyText) -> Token:
         """Replaces schema and tuples; a tuple given twice stops it."""
         return self._replaced(*text.from_text(self.spark, given))

@@ -87,3 +87,12 @@ def is_user() -> Column:
 
 def is_plain_object() -> Column:
     return (F.col("subject_type") != "user") & F.col("subject_relation").isNull()
+
+
+def parse_token(value: Column) -> Column:
+    """revision, schema_hash and datastore of a token's text, hexadecimal digits in lower case; null if it is none."""
+    pattern = r"\Arg1:([1-9][0-9]{0,19}):([0-9a-fA-F]{64}):([0-9a-fA-F]{32})\z"
+    part = lambda k: F.regexp_extract(value, pattern, k)
+    revision = F.when(value.rlike(pattern), part(1).cast("decimal(20,0)"))
+    found = F.struct(revision.alias("revision"), F.lower(part(2)).alias("schema_hash"), F.lower(part(3)).alias("datastore"))
+    return F.when(revision < F.lit(str(1 << 64)).cast("decimal(20,0)"), found)

@@ -450,16 +450,21 @@ class Evaluator:
     def may_be_blocked(self) -> bool:
         return self.was_cut or self.shared or self.prepared.over is not None
 
-    def blocked(self, keys: DataFrame, nodes: list[Node]) -> tuple[str, str] | None:
-        """(code, root) of a key (g, gid, root) whose exploration the guards cut, if there is one."""
+    def undecided(self, keys: DataFrame, nodes: list[Node]) -> DataFrame:
+        """(root, code) of the keys (g, gid, root) whose exploration the guards cut."""
         over, graph = self.prepared.over, self.closure(nodes)
         seen, beyond = self._reach_in_rounds(keys, graph)
-        if beyond is not None:
-            return "depth", beyond.first().root
+        out = [] if beyond is None else [beyond.select("root", F.lit("depth").alias("code"))]
         steps = F.broadcast(self.spark.createDataFrame([(g, f) for g, f, _ in self.followed(list(graph))], "g string, f string"))  # pairs of relations
-        if over is not None and (found := seen.join(steps, "g").join(over, ["f", "gid"]).first()) is not None:
-            return "fanout", found.root
-        return None
+        if over is not None:
+            out.append(seen.join(steps, "g").join(over, ["f", "gid"]).select("root", F.lit("fanout").alias("code")))
+        none = self.spark.createDataFrame([], "root string, code string")
+        return reduce(DataFrame.union, out, none).groupBy("root").agg(F.min("code").alias("code"))
+
+    def blocked(self, keys: DataFrame, nodes: list[Node]) -> tuple[str, str] | None:
+        """(code, root) of a key (g, gid, root) whose exploration the guards cut, if there is one."""
+        found = self.undecided(keys, nodes).first()
+        return None if found is None else (found.code, found.root)
 
     def guard_subjects(self) -> None:
         """Raises if the last evaluation's exploration was cut, or met an object with too many rows, of all kinds where they are the object's own."""

@@ -30,9 +30,19 @@ def remove_at_exit(spark: SparkSession, path: str) -> str:
 
 def cut(frame: DataFrame) -> DataFrame:
     """The frame as a table written in the shared folder: plans stay short, and a lost executor costs a reread."""
+    return frame.sparkSession.read.schema(frame.schema).parquet(written(frame))
+
+
+def written(frame: DataFrame, by: tuple[str, ...] = ()) -> str:
+    """The path of a table with the frame's rows in the shared folder, in a folder for each value of the columns `by`."""
     path = remove_at_exit(frame.sparkSession, f"{shared_dir(frame.sparkSession)}/round-{uuid.uuid4().hex}")
-    frame.write.parquet(path)
-    return frame.sparkSession.read.schema(frame.schema).parquet(path)
+    frame.write.partitionBy(*by).parquet(path)
+    return path
+
+
+def exists(spark: SparkSession, path: str) -> bool:
+    where = spark._jvm.org.apache.hadoop.fs.Path(path)
+    return where.getFileSystem(spark._jsc.hadoopConfiguration()).exists(where)
 
 
 def cut_counted(frame: DataFrame) -> tuple[DataFrame, int]:

@@ -2,20 +2,23 @@
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from relgrid import fixtures
-from relgrid.domain import Object, Subject
+from relgrid.domain import Object, Subject, Tuple
+from relgrid.engine import Engine, Tenants
+from relgrid.errors import RelgridError
 from relgrid.functions import columns as fn
-from relgrid.functions.columns import COLUMNS
+from relgrid.functions.columns import COLUMNS, SCHEMA
 from relgrid.operators import graph, stats, store
-from relgrid.operators.store import SubjectFilter, TupleFilter
+from relgrid.operators.store import Mutation, SubjectFilter, TupleFilter
 from relgrid.plans import lineage, policy
-from relgrid.plans.fixpoint import MEMBER, Evaluator
-from relgrid.sources import text
+from relgrid.plans.fixpoint import MEMBER, Evaluator, Limits, Prepared
+from relgrid.sources import artifact, text
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 SQL: dict[str, str] = {}
@@ -36,18 +39,55 @@ def with_members(sql: str) -> str:
     return f", {fixtures.MEMBERS_SQL} {sql}"
 
 
+_STORED: dict[tuple[str, str], str] = {}
+
+
 def _tuples(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return fixtures.tuples(spark, sf_dir)
+    """The tuples as an engine stores them: a table by type and relation in the shared folder, written once in a session."""
+    key = (spark.sparkContext.applicationId, sf_dir)
+    if key not in _STORED or not lineage.exists(spark, _STORED[key]):
+        _STORED[key] = lineage.written(fixtures.tuples(spark, sf_dir), ("resource_type", "relation"))
+    return spark.read.schema(SCHEMA).parquet(_STORED[key]).select(COLUMNS)
+
+
+def _evaluator(spark: SparkSession, sf_dir: str, limits: Limits | None = None) -> Evaluator:
+    return Evaluator(policy.compile_policy(fixtures.POLICY), _tuples(spark, sf_dir), limits)
+
+
+#: For groups and nations with more subjects than the guard lets a lookup follow.
+WIDE = Limits(fanout=1 << 40)
+
 
+def _engine(spark: SparkSession, sf_dir: str, **options: object) -> Engine:
+    engine = Engine(spark, **options)
+    engine.replace_all(fixtures.POLICY, _tuples(spark, sf_dir))
+    return engine
 
-def _evaluator(spark: SparkSession, sf_dir: str) -> Evaluator:
-    return Evaluator(policy.compile_policy(fixtures.POLICY), _tuples(spark, sf_dir))
+
+def _outcome(f: Callable[[], object]) -> str:
+    """What a call ends with: ok, or its error's code."""
+    try:
+        f()
+    except RelgridError as e:
+        return e.code
+    return "ok"
+
+
+def _values(*rows: tuple) -> str:
+    text = lambda v: "NULL" if v is None else str(v) if isinstance(v, int) else "'" + v.replace("'", "''") + "'"
+    return ", ".join("(" + ", ".join(map(text, row)) + ")" for row in rows)
 
 
 def _members(f: DataFrame) -> DataFrame:
     return f.withColumn("subject_relation", F.nullif("subject_relation", F.lit("")))
 
 
+_ORDERS_OF = """SELECT resource_id FROM (
+  SELECT resource_id FROM t WHERE resource_type = 'order' AND relation = 'owner' AND subject_id = '{u}'
+  UNION SELECT p.resource_id FROM t p JOIN nv ON p.resource_type = 'order' AND p.relation = 'parent' AND p.subject_id = nv.n AND nv.st = 'user' AND nv.si = '{u}') o
+  WHERE NOT EXISTS (SELECT 1 FROM t b WHERE b.resource_type = 'order' AND b.relation = 'banned' AND b.resource_id = o.resource_id AND b.subject_id = '{u}')"""
+
+
 # -- sources and sinks
 
 
@@ -60,11 +100,12 @@ def rel01_tuple_text(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query("SELECT resource_type, count(*) AS n, count(DISTINCT line) AS n_distinct FROM line GROUP BY resource_type")
 def rel02_policy_import(spark: SparkSession, sf_dir: str) -> DataFrame:
-    parsed = text.checked(text.parse_lines(_tuples(spark, sf_dir).select(fn.format_relationship().alias("line"))))
-    store.check_references(parsed, policy.compile_policy(fixtures.POLICY))
-    if not store.duplicates(parsed).isEmpty():
-        raise ValueError("a tuple is given twice")
-    return parsed.withColumn("line", fn.format_relationship()).groupBy("resource_type").agg(F.count("*").alias("n"), F.count_distinct("line").alias("n_distinct"))
+    """Exported to files, and taken in from them by another engine."""
+    path = f"{lineage.shared_dir(spark)}/policy-{uuid.uuid4().hex}"
+    _engine(spark, sf_dir).export_policy_files(lineage.remove_at_exit(spark, path))
+    engine = Engine(spark)
+    engine.apply_policy_files(path)
+    return engine.tuples().withColumn("line", fn.format_relationship()).groupBy("resource_type").agg(F.count("*").alias("n"), F.count_distinct("line").alias("n_distinct"))
 
 
 @query("SELECT * FROM (VALUES ('group','member'),('nation','banned'),('nation','can_view'),('nation','editor'),('nation','parent'),('nation','viewer'),('order','banned'),('order','can_edit'),('order','can_view'),('order','owner'),('order','owner_view'),('order','parent'),('order','viewer'),('part','can_view'),('part','parent'),('part','viewer'),('region','viewer')) v(namespace, relation)")
@@ -109,11 +150,7 @@ def rel08_snapshot_as_of(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query()
 def rel09_artifact_round_trip(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Saved with every profile's layout, validated on reading (sources/artifact.py); the rows are those saved."""
-    import uuid
-
-    from relgrid.sources import artifact
-
-    path = f"{lineage.shared_dir(spark)}/artifact-{uuid.uuid4().hex}"
+    path = lineage.remove_at_exit(spark, f"{lineage.shared_dir(spark)}/artifact-{uuid.uuid4().hex}")
     artifact.save(path, policy.compile_policy(fixtures.POLICY), _tuples(spark, sf_dir), 1)
     return artifact.load(spark, path).tuples
 
@@ -121,6 +158,38 @@ def rel09_artifact_round_trip(spark: SparkSession, sf_dir: str) -> DataFrame:
 SQL["rel09_artifact_round_trip"] = f"WITH {fixtures.SQL} SELECT {TUPLE} FROM t"
 
 
+@query(f"SELECT * FROM (VALUES {_values(('as saved', 'full', 'checksum', 'ok'), ('as saved', 'trusted', 'external', 'ok'), ('as saved', 'full', 'external', 'options'), ('as saved', 'half', 'checksum', 'options'), ('trusted, for low latency', 'trusted', 'checksum', 'options'), ('rows added', 'full', 'checksum', 'checksum'), ('rows added', 'trusted', 'external', 'ok'), ('rows twice', 'full', 'checksum', 'duplicate'), ('rows twice', 'trusted', 'checksum', 'ok'), ('not in the schema', 'full', 'checksum', 'invalid_rows'), ('nothing', 'full', 'checksum', 'missing'))}) v(artifact, validation, integrity, outcome)")
+def rel11_validation_modes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What loading an artifact ends with, for artifacts that are whole and broken."""
+    schema, t = policy.compile_policy(fixtures.POLICY), _tuples(spark, sf_dir)
+    base = lineage.remove_at_exit(spark, f"{lineage.shared_dir(spark)}/artifacts-{uuid.uuid4().hex}")
+    strange = t.where("resource_type = 'region'").withColumn("relation", F.lit("unheard_of"))
+    for name, rows in {"as saved": t, "rows added": t, "rows twice": t.union(t), "not in the schema": t.union(strange)}.items():
+        artifact.save(f"{base}/{name}", schema, rows, 1, "check_only")
+    strange.write.mode("append").parquet(f"{base}/rows added/tuples")
+    asked = [(a, v, i, False) for a in ("as saved", "rows added", "rows twice", "not in the schema", "nothing") for v, i in (("full", "checksum"), ("trusted", "external"), ("trusted", "checksum"), ("full", "external"), ("half", "checksum"))]
+    wanted = {("as saved", "full", "checksum"), ("as saved", "trusted", "external"), ("as saved", "full", "external"), ("as saved", "half", "checksum"), ("rows added", "full", "checksum"), ("rows added", "trusted", "external"), ("rows twice", "full", "checksum"), ("rows twice", "trusted", "checksum"), ("not in the schema", "full", "checksum"), ("nothing", "full", "checksum")}
+    out = [(a, v, i, _outcome(lambda a=a, v=v, i=i: artifact.load(spark, f"{base}/{a}", v, i))) for a, v, i, _ in asked if (a, v, i) in wanted]
+    out.append(("trusted, for low latency", "trusted", "checksum", _outcome(lambda: artifact.load(spark, f"{base}/as saved", "trusted", latency=True))))
+    return spark.createDataFrame(out, "artifact string, validation string, integrity string, outcome string")
+
+
+@query(with_members(f"""SELECT profile, by_subject, outcome, (SELECT count(*) FROM t WHERE subject_type = 'user' AND subject_id = 'c1') AS tuples_of_c1,
+  CASE WHEN outcome = 'ok' THEN (SELECT count(*) FROM ({_ORDERS_OF.format(u='c1')})) END AS orders_of_c1 FROM (VALUES ('full', true, 'ok'), ('check_only', false, 'unsupported'), ('check_and_object_audit', false, 'unsupported')) v(profile, by_subject, outcome)"""))
+def rel12_index_profiles(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What a loaded artifact can do by its profile, and whether its tuples are read by subject."""
+    saved, out = _engine(spark, sf_dir), []
+    for profile in artifact.PROFILES:
+        path = lineage.remove_at_exit(spark, f"{lineage.shared_dir(spark)}/artifact-{uuid.uuid4().hex}")
+        saved.save_snapshot(path, profile)
+        engine = Engine.load_snapshot(spark, path)
+        tuples = engine.reverse_query(SubjectFilter("user", "c1"))
+        orders = lambda engine=engine: engine.lookup_resources(Subject.user("c1"), "can_view", "order", 1 << 30)
+        outcome = _outcome(orders)
+        out.append((profile, any("/by_subject/" in f for f in tuples.inputFiles()), outcome, tuples.count(), orders().count() if outcome == "ok" else None))
+    return spark.createDataFrame(out, "profile string, by_subject boolean, outcome string, tuples_of_c1 long, orders_of_c1 long")
+
+
 @query("SELECT o_orderpriority AS benchmark, max(o_orderkey) AS run, max_by(o_totalprice, o_orderkey) AS value FROM orders GROUP BY o_orderpriority")
 def rel15_history_upsert(spark: SparkSession, sf_dir: str) -> DataFrame:
     orders = spark.read.parquet(f"{sf_dir}/orders.parquet").select(F.col("o_orderpriority").alias("benchmark"), F.col("o_orderkey").alias("run"), F.col("o_totalprice").alias("value"))
@@ -243,7 +312,7 @@ def rel33_any_all(spark: SparkSession, sf_dir: str) -> DataFrame:
   UNION ALL SELECT 'can_view', 'user:' || si FROM nv WHERE n = '0' AND st = 'user'
   UNION ALL SELECT 'parent', 'user:' || si FROM rv JOIN t ON t.resource_type = 'nation' AND t.resource_id = '0' AND t.relation = 'parent' AND t.subject_id = rv.r WHERE st = 'user') GROUP BY relation"""))
 def rel34_subjects_by_permission(spark: SparkSession, sf_dir: str) -> DataFrame:
-    found = graph.lookup_object_permissions(_evaluator(spark, sf_dir), Object("nation", "0"), "user")
+    found = graph.lookup_object_permissions(_evaluator(spark, sf_dir, WIDE), Object("nation", "0"), "user")
     return found.select("relation", F.size("subjects").cast("long").alias("n"), F.md5(F.array_join("subjects", ",")).alias("subjects_md5"))
 
 
@@ -269,6 +338,28 @@ def rel38_delta_stats(spark: SparkSession, sf_dir: str) -> DataFrame:
     return stats.delta_stats(t, t.where("resource_type = 'nation' and relation = 'banned'"), t.where("resource_type = 'order' and relation = 'banned'"))
 
 
+@query("SELECT depth AS round, count(*) AS rows FROM (WITH RECURSIVE w AS (SELECT resource_id AS p, 0 AS depth FROM t WHERE resource_type = 'part' AND relation = 'viewer' AND subject_id = 's1' UNION ALL SELECT a.resource_id, depth + 1 FROM t a JOIN w ON a.resource_type = 'part' AND a.relation = 'parent' AND a.subject_id = w.p) SELECT * FROM w) GROUP BY depth UNION ALL SELECT max(length(p_partkey::VARCHAR)), 0 FROM part WHERE p_partkey::VARCHAR LIKE '1%'")
+def rel39_counters(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Rows found in each round of a recursive evaluation; the last finds none."""
+    evaluator = _evaluator(spark, sf_dir)
+    evaluator.evaluate([("part", "can_view")], [("user", "s1", None)])
+    return spark.createDataFrame(list(enumerate(evaluator.counters["members"])), "round int, rows long").withColumn("round", F.col("round").cast("int"))
+
+
+@query("SELECT resource_type AS namespace, line, row_number() OVER (PARTITION BY resource_type ORDER BY line) - 1 AS ordinal FROM line")
+def rel45_canonical_order(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every exported line with its place in its file."""
+    groups = text.export_groups(_tuples(spark, sf_dir)).withColumn("lines", F.split(F.expr("substring(contents, 1, length(contents) - 1)"), "\n"))
+    return groups.select(F.col("resource_type").alias("namespace"), F.posexplode("lines").alias("ordinal", "line")).select("namespace", "line", F.col("ordinal").cast("long").alias("ordinal"))
+
+
+@query("SELECT namespace, relation, row_number() OVER (PARTITION BY namespace ORDER BY relation) - 1 AS ordinal FROM (VALUES ('order','viewer'),('order','parent'),('order','owner_view'),('order','owner'),('order','can_view'),('order','can_edit'),('order','banned'),('nation','viewer'),('nation','parent'),('nation','editor'),('nation','can_view'),('nation','banned'),('part','viewer'),('part','parent'),('part','can_view'),('group','member'),('region','viewer')) v(namespace, relation)")
+def rel42_sorted_relations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Relations of each namespace in byte order of their names."""
+    schema = policy.compile_policy(fixtures.POLICY)
+    return spark.createDataFrame([(n, r, k) for n in schema.namespaces for k, r in enumerate(schema.relations(n))], "namespace string, relation string, ordinal long")
+
+
 @query("SELECT o_orderpriority, o_totalprice AS value FROM (SELECT o_orderpriority, o_totalprice, row_number() OVER (PARTITION BY o_orderpriority ORDER BY o_totalprice) - 1 AS r, floor(0.95 * (count(*) OVER (PARTITION BY o_orderpriority) - 1)) AS wanted FROM orders) WHERE r = wanted")
 def rel40_nearest_rank(spark: SparkSession, sf_dir: str) -> DataFrame:
     return stats.nearest_rank(spark.read.parquet(f"{sf_dir}/orders.parquet"), ["o_orderpriority"], "o_totalprice", 0.95)
@@ -285,12 +376,6 @@ def rel43_query_limit(spark: SparkSession, sf_dir: str) -> DataFrame:
     return store.query(_tuples(spark, sf_dir), TupleFilter("order"))
 
 
-_ORDERS_OF = """SELECT resource_id FROM (
-  SELECT resource_id FROM t WHERE resource_type = 'order' AND relation = 'owner' AND subject_id = '{u}'
-  UNION SELECT p.resource_id FROM t p JOIN nv ON p.resource_type = 'order' AND p.relation = 'parent' AND p.subject_id = nv.n AND nv.st = 'user' AND nv.si = '{u}') o
-  WHERE NOT EXISTS (SELECT 1 FROM t b WHERE b.resource_type = 'order' AND b.relation = 'banned' AND b.resource_id = o.resource_id AND b.subject_id = '{u}')"""
-
-
 @query(with_members(f"SELECT resource_id, true AS truncated FROM ({_ORDERS_OF.format(u='s1')}) ORDER BY resource_id LIMIT 50"))
 def rel44_lookup_limit(spark: SparkSession, sf_dir: str) -> DataFrame:
     return graph.lookup_resources(_evaluator(spark, sf_dir), Subject.user("s1"), "can_view", "order", 50)
@@ -349,6 +434,38 @@ def rel55_identifier_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return docs.select("doc_id", fn.is_name(F.col("source")).alias("name_ok"), fn.is_id(F.col("text")).alias("id_ok"), fn.is_tenant(F.col("lang")).alias("tenant_ok"))
 
 
+#: Tokens made of order keys: some with digits in upper case, some with a part cut short, some with revision 0 or one too large.
+_TOKEN_SQL = "'rg1:' || CASE WHEN o_orderkey % 11 = 0 THEN '0' WHEN o_orderkey % 13 = 0 THEN '18446744073709551616' WHEN o_orderkey % 17 = 0 THEN '18446744073709551615' ELSE o_orderkey::VARCHAR END || ':' || CASE WHEN o_orderkey % 5 = 0 THEN upper(sha256(o_orderkey::VARCHAR)) ELSE sha256(o_orderkey::VARCHAR) END || ':' || CASE WHEN o_orderkey % 7 = 0 THEN substring(md5(o_orderkey::VARCHAR), 2) ELSE md5(o_orderkey::VARCHAR) END"
+
+
+@query(f"SELECT token, CASE WHEN ok THEN split_part(token, ':', 2) END AS revision, CASE WHEN ok THEN sha256(k::VARCHAR) END AS schema_hash, CASE WHEN ok THEN md5(k::VARCHAR) END AS datastore FROM (SELECT o_orderkey AS k, {_TOKEN_SQL} AS token, o_orderkey <> 0 AND o_orderkey % 7 <> 0 AND o_orderkey % 11 <> 0 AND o_orderkey % 13 <> 0 AS ok FROM orders)")
+def rel56_tokens(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Texts of tokens and what they hold."""
+    k = F.col("o_orderkey")
+    key = k.cast("string")
+    revision = F.when(k % 11 == 0, "0").when(k % 13 == 0, str(1 << 64)).when(k % 17 == 0, str((1 << 64) - 1)).otherwise(key)
+    digest = F.when(k % 5 == 0, F.upper(F.sha2(key, 256))).otherwise(F.sha2(key, 256))
+    store_id = F.when(k % 7 == 0, F.substring(F.md5(key), 2, 31)).otherwise(F.md5(key))
+    tokens = spark.read.parquet(f"{sf_dir}/orders.parquet").select(F.concat(F.lit("rg1:"), revision, F.lit(":"), digest, F.lit(":"), store_id).alias("token"))
+    return tokens.withColumn("p", fn.parse_token(F.col("token"))).select("token", F.col("p.revision").cast("string").alias("revision"), "p.schema_hash", "p.datastore")
+
+
+@query(f"SELECT * FROM (VALUES {_values(('as text and back', 1), ('namespaces in another order', 1), ('relations in another order', 1), ('operands in another order', 0), ('a relation more', 0), ('nothing', 0))}) v(policy, same)")
+def rel57_schema_hash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Whether changes to a policy change its hash."""
+    whole = policy.compile_policy(fixtures.POLICY)
+    turned = {**whole.namespaces["order"], "can_edit": policy.Exclusion(policy.Computed("banned"), policy.Computed("owner"))}
+    made = {
+        "as text and back": policy.compile_policy(policy.text(whole)),
+        "namespaces in another order": policy.Schema(dict(reversed(whole.namespaces.items()))),
+        "relations in another order": policy.Schema({n: dict(reversed(r.items())) for n, r in whole.namespaces.items()}),
+        "operands in another order": policy.Schema({**whole.namespaces, "order": turned}),
+        "a relation more": policy.Schema({**whole.namespaces, "part": {**whole.namespaces["part"], "more": None}}),
+        "nothing": policy.Schema({}),
+    }
+    return spark.createDataFrame([(k, int(policy.schema_hash(v) == policy.schema_hash(whole))) for k, v in made.items()], "policy string, same int")
+
+
 # -- graph queries
 
 
@@ -362,6 +479,39 @@ def rel60_check(spark: SparkSession, sf_dir: str) -> DataFrame:
     return graph.check(_evaluator(spark, sf_dir), requests).select("resource_id", "subject_id", "allowed")
 
 
+@query(with_members("""SELECT q.rid AS resource_id, q.st AS subject_type, q.si AS subject_id, q.sr AS subject_relation, (ow.resource_id IS NOT NULL OR v.n IS NOT NULL) AND b.resource_id IS NULL AS allowed FROM (
+    SELECT o_orderkey::VARCHAR AS rid, 'user' AS st, 'c' || o_custkey AS si, NULL::VARCHAR AS sr FROM orders
+    UNION ALL SELECT o_orderkey::VARCHAR, 'user', 's' || (o_orderkey % 10), NULL FROM orders
+    UNION ALL SELECT o_orderkey::VARCHAR, 'user', 'c' || (o_custkey * 7 % 1000), NULL FROM orders
+    UNION ALL SELECT o_orderkey::VARCHAR, 'group', s, 'member' FROM orders JOIN seg ON o_orderkey % 5 = k) q
+  LEFT JOIN (SELECT * FROM t WHERE resource_type = 'order' AND relation = 'owner') ow ON ow.resource_id = q.rid AND ow.subject_type = q.st AND ow.subject_id = q.si
+  LEFT JOIN (SELECT resource_id, subject_id AS n FROM t WHERE resource_type = 'order' AND relation = 'parent') p ON p.resource_id = q.rid
+  LEFT JOIN nv v ON v.n = p.n AND v.st = q.st AND v.si = q.si AND v.sr IS NOT DISTINCT FROM q.sr
+  LEFT JOIN (SELECT * FROM t WHERE resource_type = 'order' AND relation = 'banned') b ON b.resource_id = q.rid AND b.subject_type = q.st AND b.subject_id = q.si"""))
+def rel60_check_mixed(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """May these view each order: its customer, an editor of some nation, some other customer (often a stranger, sometimes the same one again), and a segment's members as a set?"""
+    orders, customers = (spark.read.parquet(f"{sf_dir}/{t}.parquet") for t in ("orders", "customer"))
+    segments = customers.select(F.lower("c_mktsegment").alias("s")).distinct()
+    numbered = segments.agg(F.array_sort(F.collect_list("s")).alias("names")).select(F.posexplode("names").alias("k", "s"))  # five rows
+    user = lambda x: ("user", x, F.lit(None).cast("string"))
+    subjects = [user(F.concat(F.lit("c"), "o_custkey")), user(F.concat(F.lit("s"), F.col("o_orderkey") % 10)), user(F.concat(F.lit("c"), F.col("o_custkey") * 7 % 1000)), ("group", F.col("s"), F.lit("member"))]
+    known = orders.join(F.broadcast(numbered), F.col("o_orderkey") % 5 == F.col("k"))
+    array = F.array(*(F.struct(F.lit(t).alias("subject_type"), i.alias("subject_id"), r.alias("subject_relation")) for t, i, r in subjects))
+    requests = known.select(F.lit("order").alias("resource_type"), F.col("o_orderkey").cast("string").alias("resource_id"), F.lit("can_view").alias("relation"), F.explode(array).alias("s")).select("resource_type", "resource_id", "relation", "s.*")
+    return graph.check(_evaluator(spark, sf_dir), requests).drop("resource_type", "relation")
+
+
+@query("""SELECT root, path, kind, type, id, relation FROM (
+  SELECT n_nationkey::VARCHAR AS root, x.path, x.kind, NULL AS type, NULL AS id, NULL AS relation FROM nation, (VALUES ('', 'exclusion'), ('0000', 'union'), ('00000000', 'union'), ('00000001', 'union'), ('00000002', 'union'), ('0001', 'union')) x(path, kind)
+  UNION ALL SELECT resource_id, CASE relation WHEN 'editor' THEN '00000000' ELSE '0001' END || lpad((row_number() OVER (PARTITION BY resource_id, relation ORDER BY subject_id) - 1)::VARCHAR, 4, '0'), 'user', subject_type, subject_id, NULL FROM t WHERE resource_type = 'nation' AND relation IN ('editor', 'banned')
+  UNION ALL SELECT resource_id, '000000020000', 'union', NULL, NULL, NULL FROM t WHERE resource_type = 'nation' AND relation = 'parent'
+  UNION ALL SELECT p.resource_id, '000000020000' || lpad((row_number() OVER (PARTITION BY p.resource_id ORDER BY v.subject_id) - 1)::VARCHAR, 4, '0'), 'userset', v.subject_type, v.subject_id, v.subject_relation FROM t p JOIN t v ON p.resource_type = 'nation' AND p.relation = 'parent' AND v.resource_type = 'region' AND v.relation = 'viewer' AND v.resource_id = p.subject_id)""")
+def rel61_expand_nations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Trees with links to regions, and sets of members as leaves."""
+    nations = spark.read.parquet(f"{sf_dir}/nation.parquet").select(F.col("n_nationkey").cast("string").alias("id"))
+    return graph.expand(_evaluator(spark, sf_dir, WIDE), nations, "nation", "can_view")
+
+
 @query("""SELECT root, path, kind, type, id, relation FROM (
   SELECT DISTINCT resource_id AS root, x.path, x.kind, NULL AS type, NULL AS id, NULL AS relation FROM t, (VALUES ('', 'exclusion'), ('0000', 'union'), ('0001', 'union')) x(path, kind) WHERE resource_type = 'order' AND relation = 'owner'
   UNION ALL SELECT resource_id, CASE relation WHEN 'owner' THEN '0000' ELSE '0001' END || lpad((row_number() OVER (PARTITION BY resource_id, relation ORDER BY subject_id) - 1)::VARCHAR, 4, '0'), 'user', subject_type, subject_id, NULL FROM t WHERE resource_type = 'order' AND relation IN ('owner', 'banned'))""")
@@ -382,12 +532,12 @@ def rel62_lookup_resources_recursive(spark: SparkSession, sf_dir: str) -> DataFr
 
 @query(with_members("SELECT st AS subject_type, si AS subject_id, sr AS subject_relation, false AS truncated FROM nv WHERE n = '0' AND st = 'user'"))
 def rel63_lookup_subjects(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return graph.lookup_subjects(_evaluator(spark, sf_dir), Object("nation", "0"), "can_view", "user")
+    return graph.lookup_subjects(_evaluator(spark, sf_dir, WIDE), Object("nation", "0"), "can_view", "user")
 
 
 @query(with_members("SELECT st AS subject_type, si AS subject_id, sr AS subject_relation, false AS truncated FROM nv WHERE n = '0' AND st = 'group'"))
 def rel63_lookup_subject_sets(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return graph.lookup_subjects(_evaluator(spark, sf_dir), Object("nation", "0"), "can_view", "group")
+    return graph.lookup_subjects(_evaluator(spark, sf_dir, WIDE), Object("nation", "0"), "can_view", "group")
 
 
 @query(with_members("""SELECT resource_id, relation, subject_type, subject_id, subject_relation FROM (
@@ -420,10 +570,30 @@ def rel66_recursion(spark: SparkSession, sf_dir: str) -> DataFrame:
     return e.evaluate([("part", "can_view")])[("part", "can_view")].where("subject_relation = ''").groupBy("resource_id").agg(F.count("*").alias("n"))
 
 
-@query("SELECT resource_type, relation, max(n) AS largest, count(*) FILTER (n > 1) AS over FROM (SELECT resource_type, relation, resource_id, count(*) AS n FROM t WHERE subject_relation IS NOT NULL GROUP BY ALL) GROUP BY resource_type, relation")
+@query("SELECT depth, CASE WHEN depth <= (SELECT max(length(p_partkey::VARCHAR)) FROM part WHERE p_partkey = (SELECT max(p_partkey) FROM part)) THEN 'depth' ELSE 'ok' END AS outcome FROM (VALUES (1), (2), (3), (4), (5), (6), (7), (50)) v(depth)")
+def rel67_depth_guard(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What a check of a stranger on the part with the longest chain of parents ends with, by the depth allowed."""
+    last = spark.read.parquet(f"{sf_dir}/part.parquet").agg(F.max("p_partkey")).first()[0]
+    t, schema = _tuples(spark, sf_dir), policy.compile_policy(fixtures.POLICY)
+    request = spark.createDataFrame([("part", str(last), "can_view", "user", "nobody", None)], SCHEMA)
+    prepared = Prepared(t, Limits().fanout)
+    ask = lambda depth: graph.check(Evaluator(schema, t, Limits(depth=depth), prepared=prepared), request).collect()
+    return spark.createDataFrame([(d, _outcome(lambda d=d: ask(d))) for d in (1, 2, 3, 4, 5, 6, 7, 50)], "depth int, outcome string")
+
+
+#: Nations with up to three regions as viewers, under a guard that lets two be followed.
+_WIDE_SQL = "SELECT n_nationkey, n_nationkey % 4 AS k FROM nation"
+
+
+@query(f"SELECT n_nationkey::VARCHAR AS resource_id, CASE WHEN k = 3 THEN 'fanout' ELSE 'ok' END AS outcome FROM ({_WIDE_SQL})")
 def rel68_fanout_guard(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = _tuples(spark, sf_dir).where(fn.is_userset()).groupBy("resource_type", "relation", "resource_id").agg(F.count("*").alias("n"))
-    return rows.groupBy("resource_type", "relation").agg(F.max("n").alias("largest"), F.count_if(F.col("n") > 1).alias("over"))
+    """What a check of a stranger on each nation ends with, where a step may follow two usersets."""
+    nations = spark.read.parquet(f"{sf_dir}/nation.parquet")
+    wide = nations.select(F.lit("nation").alias("resource_type"), F.col("n_nationkey").cast("string").alias("resource_id"), F.lit("viewer").alias("relation"), F.lit("region").alias("subject_type"), F.explode(F.expr("slice(array('0', '1', '2'), 1, cast(n_nationkey % 4 as int))")).alias("subject_id"), F.lit("viewer").alias("subject_relation"))
+    evaluator = Evaluator(policy.compile_policy(fixtures.POLICY), _tuples(spark, sf_dir).unionByName(wide), Limits(fanout=2))
+    keys = nations.select(F.lit("nation#can_view").alias("g"), F.col("n_nationkey").cast("string").alias("gid"), F.col("n_nationkey").cast("string").alias("root"))
+    undecided = evaluator.undecided(keys, [("nation", "can_view")])
+    return keys.select("root").join(undecided, "root", "left").select(F.col("root").alias("resource_id"), F.coalesce("code", F.lit("ok")).alias("outcome"))
 
 
 # -- writes
@@ -453,19 +623,106 @@ def rel72_conflicts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return store.conflicts(t, op(stored, "create").union(op(stored.withColumn("relation", F.lit("viewer")), "delete")).union(op(stored, "touch")))
 
 
-@query("SELECT count(*) AS n, count(DISTINCT line) AS n_distinct FROM line")
+@query(f"SELECT {TUPLE} FROM t WHERE NOT (resource_type = 'order' AND relation = 'banned') UNION ALL SELECT resource_type, resource_id, 'viewer', subject_type, subject_id, subject_relation FROM t WHERE resource_type = 'order' AND relation = 'banned'")
+def rel75_engine_batch(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The same batch through the engine, as one revision."""
+    engine = _engine(spark, sf_dir)
+    engine.write_frame(_batch(_tuples(spark, sf_dir)))
+    return engine.tuples()
+
+
+@query(f"SELECT * FROM (VALUES {_values(('apply', 'ok', 'a:r,a:s,b:r'), ('apply one again', 'ok', 'a:r,b:r'), ('delete a relation in use', 'in_use', 'a:r,b:r'), ('delete a namespace in use', 'in_use', 'a:r,b:r'), ('delete what is not there', 'namespace_not_found', 'a:r,b:r'), ('replace what tuples need', 'relation_not_found', 'a:r,b:r'), ('delete a namespace', 'ok', 'a:r'), ('replace', 'ok', 'a:r,c:q'), ('delete a relation', 'ok', 'a:r'), ('a target that is not there', 'computed_not_found', 'a:r'))}) v(step, outcome, relations)")
+def rel76_schema_changes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What changes of the schema end with, and the relations after each."""
+    engine, out = Engine(spark), []
+    steps = {
+        "apply": lambda: (engine.apply_schema("namespace a { relation r {} relation s {} } namespace b { relation r {} }"), engine.create("a:1#r@user:u")),
+        "apply one again": lambda: engine.apply_schema("namespace a { relation r {} }"),
+        "delete a relation in use": lambda: engine.delete_relation("a", "r"),
+        "delete a namespace in use": lambda: engine.delete_namespace("a"),
+        "delete what is not there": lambda: engine.delete_namespace("z"),
+        "replace what tuples need": lambda: engine.replace_schema("namespace b { relation r {} }"),
+        "delete a namespace": lambda: engine.delete_namespace("b"),
+        "replace": lambda: engine.replace_schema("namespace a { relation r {} } namespace c { relation q {} }"),
+        "delete a relation": lambda: engine.delete_relation("c", "q"),
+        "a target that is not there": lambda: engine.apply_schema('namespace d { relation r { rewrite computed_userset(relation: "x") } }'),
+    }
+    for name, step in steps.items():
+        outcome = _outcome(step)
+        out.append((name, outcome, ",".join(f"{n}:{r}" for n, r in sorted(engine.state().schema.pairs()))))
+    return spark.createDataFrame(out, "step string, outcome string, relations string")
+
+
+@query(f"SELECT * FROM (VALUES {_values((1, 'expired', None), (2, 'expired', None), (3, 'ok', 2), (4, 'ok', 3), (5, 'ok', 4), (6, 'unavailable', None), (0, 'wrong_datastore', None), (-1, 'schema_mismatch', None))}) v(revision, outcome, tuples)")
+def rel79_retention(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What reads by token end with, of an engine that keeps three revisions; 0 is another engine's token, -1 one with another schema."""
+    engine = Engine(spark, retained=3)
+    tokens = {1: engine.apply_schema("namespace d { relation v {} }"), **{k: engine.touch(f"d:{k}#v@user:u") for k in range(2, 6)}}
+    last = tokens[5]
+    tokens |= {6: type(last)(6, last.schema_hash, last.datastore), 0: Engine(spark).token(), -1: type(last)(5, "0" * 64, last.datastore)}
+    out = [(k, _outcome(lambda t=t: engine.state(t)), engine.tuples(t).count() if k in (3, 4, 5) else None) for k, t in tokens.items()]
+    return spark.createDataFrame(out, "revision int, outcome string, tuples int")
+
+
+@query(f"SELECT * FROM (VALUES {_values(('create', 'ok', '1'), ('create again', 'exists', '1'), ('touch again', 'ok', '1'), ('touch', 'ok', '1,2'), ('delete', 'ok', '2'), ('delete again', 'not_found', '2'), ('one key twice', 'duplicate_mutation', '2'), ('an unknown relation', 'relation_not_found', '2'), ('nothing', 'ok', '2'), ('malformed', 'malformed', '2'))}) v(step, outcome, objects)")
+def rel80_single_writes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What single writes end with, and the objects stored after each."""
+    engine, out = Engine(spark), []
+    engine.apply_schema("namespace d { relation v {} }")
+    touch = lambda t: Mutation("touch", Tuple.parse(t))
+    steps = {
+        "create": lambda: engine.create("d:1#v@user:u"),
+        "create again": lambda: engine.create("d:1#v@user:u"),
+        "touch again": lambda: engine.touch("d:1#v@user:u"),
+        "touch": lambda: engine.touch("d:2#v@user:u"),
+        "delete": lambda: engine.delete("d:1#v@user:u"),
+        "delete again": lambda: engine.delete("d:1#v@user:u"),
+        "one key twice": lambda: engine.write([touch("d:3#v@user:u"), touch("d:3#v@user:u")]),
+        "an unknown relation": lambda: engine.create("d:3#w@user:u"),
+        "nothing": lambda: engine.write([]),
+        "malformed": lambda: engine.create("d:3#v"),
+    }
+    for name, step in steps.items():
+        outcome = _outcome(step)
+        out.append((name, outcome, ",".join(sorted(r.resource_id for r in engine.tuples().select("resource_id").collect()))))
+    return spark.createDataFrame(out, "step string, outcome string, objects string")
+
+
+@query("SELECT count(*) AS n, count(DISTINCT line) AS n_distinct, count(*) FILTER (line LIKE '%#banned@%') AS banned FROM line")
 def rel81_compaction(spark: SparkSession, sf_dir: str) -> DataFrame:
-    t = _tuples(spark, sf_dir)
-    banned = t.where("relation = 'banned'")
-    compact = lineage.cut(store.overlay(store.overlay(t, banned, t.limit(0)), t.limit(0), banned))
-    return compact.withColumn("line", fn.format_relationship()).agg(F.count("*").alias("n"), F.count_distinct("line").alias("n_distinct"))
+    """All bans deleted and brought back, and the base rewritten: the tuples are those there were."""
+    engine, banned = _engine(spark, sf_dir), _tuples(spark, sf_dir).where("relation = 'banned'")
+    for op in ("delete", "create"):
+        engine.write_frame(banned.select(F.lit(op).alias("op"), *COLUMNS))
+    engine.compact()
+    if engine.state().changes:
+        raise ValueError("the base was not rewritten")
+    return engine.tuples().withColumn("line", fn.format_relationship()).agg(F.count("*").alias("n"), F.count_distinct("line").alias("n_distinct"), F.count_if(F.col("relation") == "banned").alias("banned"))
+
+
+@query(f"SELECT * FROM (VALUES {_values(('none yet', ''), ('asked for, not made', ''), ('one made', 'north'), ('the same one', 'north'), ('another', 'north,south'), ('malformed', 'north,south'))}) v(step, tenants)")
+def rel50_tenant_map(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The names known after each step."""
+    tenants, out = Tenants(lambda: Engine(spark)), []
+    steps = {"none yet": lambda: None, "asked for, not made": lambda: tenants.get("north"), "one made": lambda: tenants.get_or_create("north"), "the same one": lambda: tenants.get_or_create("north"), "another": lambda: tenants.get_or_create("south"), "malformed": lambda: tenants.get_or_create("a b")}
+    for name, step in steps.items():
+        _outcome(step)
+        out.append((name, ",".join(tenants.tenants())))
+    return spark.createDataFrame(out, "step string, tenants string")
 
 
 @query("SELECT tenant, resource_type, count(*) AS n FROM (SELECT resource_type, 'tenant' || (strlen(subject_id) % 3) AS tenant FROM t) GROUP BY tenant, resource_type")
 def rel82_tenants(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Tuples under a leading tenant column."""
-    t = _tuples(spark, sf_dir).withColumn("tenant", F.concat(F.lit("tenant"), F.octet_length("subject_id") % 3))
-    return t.where(fn.is_tenant(F.col("tenant"))).groupBy("tenant", "resource_type").agg(F.count("*").alias("n"))
+    """An engine for each tenant, with its share of the tuples."""
+    tenants, t = Tenants(lambda: Engine(spark)), _tuples(spark, sf_dir)
+    out = None
+    for k in range(3):
+        engine = tenants.get_or_create(f"tenant{k}")
+        engine.replace_all(fixtures.POLICY, t.where(F.octet_length("subject_id") % 3 == k))
+    for name in tenants.tenants():
+        rows = tenants.get(name).tuples().groupBy(F.lit(name).alias("tenant"), "resource_type").agg(F.count("*").alias("n"))
+        out = rows if out is None else out.union(rows)
+    return out
 
 
 def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:

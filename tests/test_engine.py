@@ -226,6 +226,11 @@ def test_writes(spark):
     assert e.write([]).revision == before.revision + 5
     e.compact()
     assert ids(e.tuples()) == ["1"]
+    e.delete("d:1#v@user:a")
+    e.create("d:1#v@user:a")  # back in the base, and there once
+    assert ids(e.tuples()) == ["1"]
+    e.delete("d:1#v@user:a")
+    assert ids(e.tuples()) == []
 
 
 def test_preconditions_and_caps(spark):
