@@ -3,16 +3,18 @@
 Both are word bigram models with the same smoothing, over the same words: the background counts every document, the target those
 marked as target. A word's loss is -log2 P(word | word before), with the bigram count smoothed towards the unigram share by a Dirichlet prior. A
 document's score is the mean over its words of target loss less background loss: the lower, the more it is like the target.
+A document is scored by what the other documents hold: its own words and bigrams are taken off the counts of each model that read it. With them,
+a target document is known by heart, and its score tells that it is in the target rather than what it is like.
 
 Words and bigrams are counted exactly, each under its own 64-bit hash, and the models are as large as the corpus makes them:
 
 1. Documents are written in chunks of about CHUNK bytes. Each chunk sends its different words and bigrams with their counts to
    ranges of hashes, which grow in number with the corpus; so a common word is one entry a chunk, and no range is hot.
 2. A range adds up its chunks' counts and sends every chunk the totals of what it sent, in the same order.
-3. Each chunk is joined with its totals, which are all that its documents' losses need. Nothing is gathered or broadcast but sums.
+3. Each chunk is joined with its totals, which are all that its documents' losses need beside their own counts. Nothing is gathered or broadcast but sums.
 
-Defined results: null and empty texts have 0 words and null losses. Without target documents the target model is
-uniform. Repeated rows count as often as they occur. Texts are read whole.
+Defined results: null and empty texts have 0 words and null losses. Without (other) target documents the target model is
+uniform. Repeated rows count as often as they occur, and each is scored by the others. Texts are read whole.
 """
 
 from __future__ import annotations
@@ -131,6 +133,12 @@ def _of_chunk(table: pa.Table, kind: int) -> np.ndarray:
     return np.concatenate([np.zeros((2, 0)), *(unpack(raw).reshape(2, -1) for _, raw in rows)], axis=1)
 
 
+def _own(ident: np.ndarray, doc: np.ndarray) -> np.ndarray:
+    """How often each place's key (a small number) occurs in the place's document."""
+    _, at, n = np.unique(doc * (int(ident.max(initial=0)) + 1) + ident, return_inverse=True, return_counts=True)
+    return n[at]
+
+
 def score(rows: DataFrame, target_ids: DataFrame, doc_id: str = "doc_id", text: str = "text", keep: list[Column] | None = None) -> DataFrame:
     """Every row's `keep` columns with n_words, target_loss, background_loss and score; target_ids: one column of ids."""
     ids = target_ids.select(F.col(target_ids.columns[0]).alias("id__")).where("id__ is not null").distinct()
@@ -151,14 +159,20 @@ def score(rows: DataFrame, target_ids: DataFrame, doc_id: str = "doc_id", text:
         for body in left["body"].to_pylist():
             batch = _rows(body)
             word, pair, has, first = keys(batch.column(width))
-            single = _of_chunk(right, 0)[:, np.unique(word, return_inverse=True)[1]]
+            n = np.diff(first)
+            doc = np.repeat(np.arange(len(n)), n)
+            read = np.stack([np.ones(len(n), bool), _marked(batch)])  # which model read which document
+            own = read[:, doc]
+            ident = np.unique(word, return_inverse=True)[1]
+            single = _of_chunk(right, 0)[:, ident] - own * _own(ident, doc)
+            ident = np.unique(pair[has], return_inverse=True)[1]
             seen, context = np.zeros_like(single), np.zeros_like(single)
-            seen[:, has] = _of_chunk(right, 1)[:, np.unique(pair[has], return_inverse=True)[1]]
+            seen[:, has] = _of_chunk(right, 1)[:, ident] - own[:, has] * _own(ident, doc[has])
             context[:, 1:] = single[:, :-1]
             context[:, ~has] = 0
+            share = (single + UNSEEN) / (mass - read * n)[:, doc]
             total = np.zeros((2, len(word) + 1))
-            np.cumsum(-np.log2((seen + PRIOR * (single + UNSEEN) / mass) / (context + PRIOR)), axis=1, out=total[:, 1:])
-            n = np.diff(first)
+            np.cumsum(-np.log2((seen + PRIOR * share) / (context + PRIOR)), axis=1, out=total[:, 1:])
             mean = (total[:, first[1:]] - total[:, first[:-1]]) / np.maximum(n, 1)
             none = n == 0
             columns = [pa.array(n, pa.int64()), *(pa.array(x, pa.float64(), mask=none) for x in (mean[1], mean[0], mean[1] - mean[0]))]

@@ -170,7 +170,7 @@ def test_decontam_odd(spark, odd, none):
 
 
 def test_lm_scores(spark, docs):
-    """Against dictionaries of counts."""
+    """Against dictionaries of the other documents' counts."""
     rng = random.Random(2)
     good, bad = "sun moon star sky".split(), "rust dust mud sun".split()
     texts = {k: " ".join(rng.choice(good if k % 2 else bad) for _ in range(rng.randint(1, 30))) for k in range(60)}
@@ -196,9 +196,9 @@ def test_lm_scores(spark, docs):
 
         return loss
 
-    on_target, on_all = model(target), model(texts)
     for k, t in texts.items():
         r = rows[k]
+        on_target, on_all = model(target - {k}), model(texts.keys() - {k})
         if not t:
             assert (r.n_words, r.target_loss, r.score) == (0, None, None)
             continue
@@ -208,6 +208,22 @@ def test_lm_scores(spark, docs):
     assert max(rows[k].score for k in long if k % 2) < min(rows[k].score for k in long if not k % 2)
 
 
+def test_lm_scores_by_the_others(spark, docs):
+    """A target document that no other is like scores as if it were in no target; one that occurs twice is known to the model."""
+    rng = random.Random(8)
+    text = lambda letter: " ".join(f"{letter}{rng.randrange(400)}" for _ in range(120))
+    texts = {k: text("ab"[k % 2]) for k in range(200)} | {300: text("x"), 301: text("y")}
+    texts[302] = texts[303] = text("z")
+    frame = docs([(k, t, None) for k, t in texts.items()])
+    ids = spark.createDataFrame([(k,) for k in range(0, 100, 2)] + [(300,)], "doc_id bigint")
+    rows = {r.doc_id: r for r in lmscore.score(frame, ids, keep=[frame.doc_id]).collect()}
+    assert abs(rows[300].score - rows[301].score) < 0.1 and rows[302].score == rows[303].score
+    assert rows[302].background_loss < min(r.background_loss for k, r in rows.items() if k < 302) - 1
+    outside = [rows[k].score for k in range(100, 200, 2)]  # like the target, not in it
+    inside = [rows[k].score for k in range(0, 100, 2)]
+    assert max(outside) < min(rows[k].score for k in range(1, 200, 2)) and abs(sum(outside) - sum(inside)) / 50 < 0.2
+
+
 def test_lm_odd(spark, odd, none):
     ids = spark.createDataFrame([], "doc_id bigint")
     assert lmscore.score(odd, ids, keep=[odd.doc_id]).count() == 7 and lmscore.score(none, ids).count() == 0
@@ -224,11 +240,12 @@ def test_lm_many_words(spark, docs):
         pairs.update(zip(seq, seq[1:], strict=False))
     assert len(single) > lmscore.VOCABULARY
     total = sum(single.values()) + lmscore.UNSEEN * len(single)
-    share = lambda w: (single[w] + lmscore.UNSEEN) / total
     frame = docs([(k, t, None) for k, t in texts.items()]).repartition(3)
     rows = lmscore.score(frame, spark.createDataFrame([], "doc_id bigint"), keep=[frame.doc_id]).collect()
     assert len(rows) == len(texts)
     for r in rows[:20]:
         seq = seqs[r.doc_id]
-        loss = -math.log2(share(seq[0])) - sum(math.log2((pairs[a, b] + lmscore.PRIOR * share(b)) / (single[a] + lmscore.PRIOR)) for a, b in zip(seq, seq[1:], strict=False))
+        own, pair = Counter(seq), Counter(zip(seq, seq[1:], strict=False))
+        share = lambda w: (single[w] - own[w] + lmscore.UNSEEN) / (total - len(seq))  # noqa: B023, E731
+        loss = -math.log2(share(seq[0])) - sum(math.log2((pairs[a, b] - pair[a, b] + lmscore.PRIOR * share(b)) / (single[a] - own[a] + lmscore.PRIOR)) for a, b in zip(seq, seq[1:], strict=False))
         assert r.n_words == len(seq) and math.isclose(r.background_loss, loss / len(seq), rel_tol=1e-6)
