@@ -204,8 +204,8 @@ class Engine:
             return self._publish(last)
         gone, new = store.changes(last.tuples, batch)
         # What comes back to the base is no longer deleted; the rest of the new is inserted.
-        inserted = lineage.cut(store.without(last.inserted, gone).unionByName(store.without(new, last.deleted)))
-        deleted = lineage.cut(store.without(last.deleted, new).unionByName(store.existing(last.base, gone)).distinct())
+        inserted = lineage.cut(store.without(last.inserted, gone).unionByName(store.without(new, last.deleted)), lasting=True)
+        deleted = lineage.cut(store.without(last.deleted, new).unionByName(store.existing(last.base, gone)).distinct(), lasting=True)
         kinds = last.kinds
         if kinds is not None:  # those of the new tuples, at most relations x relations
             kinds |= {tuple(r) for r in new.where("subject_relation is not null").select("resource_type", "relation", "subject_type", "subject_relation").distinct().collect()}
@@ -214,7 +214,7 @@ class Engine:
 
     def _compacted(self, state: State) -> State:
         empty = self.spark.createDataFrame([], SCHEMA)
-        return replace(state, base=lineage.cut(state.tuples), deleted=empty, inserted=empty, changes=0, by_subject=None)
+        return replace(state, base=lineage.cut(state.tuples, lasting=True), deleted=empty, inserted=empty, changes=0, by_subject=None)
 
     def compact(self) -> Token:
         """Rewrites the live tuples as the base of a new revision."""
@@ -270,7 +270,7 @@ class Engine:
     # -- policies and artifacts
 
     def _replaced(self, schema: policy.Schema, tuples: DataFrame) -> Token:
-        tuples = lineage.cut(tuples)
+        tuples = lineage.cut(tuples, lasting=True)
         store.check_references(tuples, schema)
         if bad := store.duplicates(tuples).limit(1).collect():
             raise StoreError("exists", f"given twice: {bad[0]}")

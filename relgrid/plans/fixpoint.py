@@ -97,7 +97,7 @@ class Prepared:
         """(f, gid): relations "type#relation" and objects with more usersets than a step may follow; None if there are none."""
         if self._over is False:
             many = self.tuples.where("subject_relation is not null").groupBy("resource_type", "relation", "resource_id").agg(F.count("*").alias("n")).where(F.col("n") > self.limit)
-            table, n = cut_counted(many.select(F.concat_ws("#", "resource_type", "relation").alias("f"), F.col("resource_id").alias("gid")))
+            table, n = cut_counted(many.select(F.concat_ws("#", "resource_type", "relation").alias("f"), F.col("resource_id").alias("gid")), lasting=True)
             self._over = table if n else None
         return self._over
 

@@ -46,7 +46,7 @@ def _tuples(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The tuples as an engine stores them: a table by type and relation in the shared folder, written once in a session."""
     key = (spark.sparkContext.applicationId, sf_dir)
     if key not in _STORED or not lineage.exists(spark, _STORED[key]):
-        _STORED[key] = lineage.written(fixtures.tuples(spark, sf_dir), ("resource_type", "relation"))
+        _STORED[key] = lineage.written(fixtures.tuples(spark, sf_dir), ("resource_type", "relation"), lasting=True)
     return spark.read.schema(SCHEMA).parquet(_STORED[key]).select(COLUMNS)
 
 
