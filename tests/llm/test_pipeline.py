@@ -1,8 +1,11 @@
+from pathlib import Path
+
 import public_tokenizers
 from tokenizers import Tokenizer
 
 import corpus_pipeline
 from relgrid.llm import langid
+from relgrid.plans.lineage import shared_dir
 from tests.llm.test_jaccard import brute as components
 from tests.llm.test_suffixdup import brute as repeats
 
@@ -46,7 +49,10 @@ def test_stages_against_brute_force(spark, sf_dir, tmp_path):
 
 
 def test_run(spark, sf_dir):
+    folder = Path(shared_dir(spark).removeprefix("file:"))
+    before = set(folder.glob("*"))
     rows = corpus_pipeline.run(spark, sf_dir)
+    assert [p.name[:16] for p in set(folder.glob("*")) - before] == ["relgrid-pipeline"]  # no stage's intermediate tables
     assert rows.columns[:3] == ["doc_id", "start", "length"] and rows.count() > 0
 
 
