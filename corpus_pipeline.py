@@ -18,6 +18,7 @@ from pyspark.sql import DataFrame, SparkSession
 from relgrid.llm import decontam, jaccard, langid, packing, suffixdup
 from relgrid.llm.common import scratch
 from relgrid.llm.queries import documents, tokenizer_path
+from relgrid.plans.lineage import temporary
 
 
 def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -53,11 +54,12 @@ ORACLE_SQL: str | None = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """All stages over `documents`, each written to the shared folder and reread."""
+    """All stages over `documents`, each written to the shared folder and reread. A stage's own intermediate tables go when it is written."""
     docs = documents(spark, sf_dir)
     base = scratch(spark, "pipeline")
     for name, stage in STAGES:
-        out = stage(spark, docs, sf_dir)
-        out.write.parquet(f"{base}/{name}")
+        with temporary(spark):
+            out = stage(spark, docs, sf_dir)
+            out.write.parquet(f"{base}/{name}")
         docs = spark.read.schema(out.schema).parquet(f"{base}/{name}")
     return docs
