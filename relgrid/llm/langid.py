@@ -5,7 +5,11 @@ another, DICTIONARY_BYTES in all. Texts too long for their part give a piece fro
 A text is lower-cased, runs of anything but letters become one space, and what is left is encoded in windows with every
 dictionary; the language whose dictionary gives the fewest bytes wins. Where the runner-up is within `margin` of the winner (relative to the winner's bytes), the text is rejected as undecided.
 
-Defined results: a null, empty or letterless text is `und` with score 0 and rejected. Equal byte totals go to the
+A short text often finds no match in any dictionary, and whole bytes are too coarse to tell its margin. Where languages are within RESOLUTION bytes
+of the winner, and the margin is under that, these are told apart by a finer measure: the text is encoded behind each of CARRIERS pieces of a language's
+dictionary, and what it adds to them is summed up, so that letters count as matches do. The margin is then FINER times as wide.
+
+Defined results: a null, empty or letterless text is `und` with score 0 and rejected. Equal totals go to the
 language that is first in alphabetical order. With no training rows every text is `und`. Repeated rows are
 judged alike. Texts are encoded whole, in windows of `WINDOW` bytes, whatever their length.
 """
@@ -33,6 +37,8 @@ WINDOW = 4096
 LEVEL = 6
 #: Rejected: a runner-up within this share of the winner's bytes.
 MARGIN = 0.004
+#: The finer measure of short texts.
+RESOLUTION, CARRIERS, CARRIER_BYTES, FINER = 3, 16, 1024, 5
 UNDECIDED = "und"
 _LETTER = re.compile(r"[^\W\d_]")
 _OTHER = re.compile(r"[\W\d_]+")
@@ -105,6 +111,11 @@ class Encoder:
             ready = zstandard.ZstdCompressionDict(content, dict_type=zstandard.DICT_TYPE_RAWCONTENT)
             ready.precompute_compress(level=level)
             self.press.append(zstandard.ZstdCompressor(dict_data=ready, level=level, write_checksum=False, write_content_size=False, write_dict_id=False))
+        self.bare = zstandard.ZstdCompressor(level=level, write_checksum=False, write_content_size=False)
+        self.carriers = []
+        for content in dictionaries.values():
+            pieces = [content[at : at + CARRIER_BYTES] for at in (k * len(content) // CARRIERS for k in range(CARRIERS))]
+            self.carriers.append((pieces, sum(len(self.bare.compress(piece)) for piece in pieces)))
 
     def sizes(self, text: bytes) -> np.ndarray:
         out = np.zeros(len(self.press), np.int64)
@@ -114,18 +125,31 @@ class Encoder:
                 out[k] += len(press.compress(part))
         return out
 
+    def added(self, text: bytes, language: int) -> int:
+        """The bytes that the text adds to the carriers of a language."""
+        pieces, alone = self.carriers[language]
+        windows = [text[at : at + WINDOW] for at in range(0, len(text), WINDOW)]
+        return sum(len(self.bare.compress(piece + b" " + part)) for part in windows for piece in pieces) - alone * len(windows)
+
     def judge(self, text: str | None, margin: float) -> tuple[str, float, bool]:
         """(language, score, rejected)."""
         if not text or not self.names or not _LETTER.search(text):
             return UNDECIDED, 0.0, True
-        sizes = self.sizes(plain(text))
-        best = int(sizes.argmin())
-        odds = np.exp2(-np.minimum((sizes - sizes[best]) * 0.25, 60.0))
-        score = float(1.0 / odds.sum())
-        if len(sizes) == 1:
-            return self.names[0], score, False
-        second = int(np.partition(sizes, 1)[1])
-        return self.names[best], score, second - sizes[best] < margin * sizes[best]
+        if len(self.names) == 1:
+            return self.names[0], 1.0, False
+        flat = plain(text)
+        sizes = self.sizes(flat)
+        least = int(sizes.min())
+        extra, slack = sizes - least, margin * least
+        rivals = np.flatnonzero(extra < RESOLUTION)
+        if slack < RESOLUTION and len(rivals) > 1:
+            added = np.array([self.added(flat, k) for k in rivals])
+            extra[rivals] = apart = added - added.min()
+            slack = FINER * margin * max(int(added.min()), 1)
+        else:
+            apart = extra
+        score = float(1.0 / np.exp2(-np.minimum(extra * 0.25, 60.0)).sum())
+        return self.names[int(extra.argmin())], score, bool(np.partition(apart, 1)[1] < slack)
 
 
 def classify(rows: DataFrame, dictionaries: dict[str, bytes], text: str = "text", margin: float = MARGIN, keep: list[Column] | None = None) -> DataFrame:

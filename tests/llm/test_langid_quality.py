@@ -59,7 +59,10 @@ def test_langid_against_a_plain_loop(spark, sf_dir):
         chosen = sorted(texts, key=hashes.get)[: langid.SAMPLE_ROWS]
         assert all(langid.plain(t[:40]).rsplit(b" ", 1)[0] in model[lang] for t in chosen if 40 < len(t) < 300)
     press = {k: zstandard.ZstdCompressor(dict_data=zstandard.ZstdCompressionDict(d, dict_type=zstandard.DICT_TYPE_RAWCONTENT), level=langid.LEVEL, write_checksum=False, write_content_size=False, write_dict_id=False) for k, d in model.items()}
+    bare = zstandard.ZstdCompressor(level=langid.LEVEL, write_checksum=False, write_content_size=False)
+    carriers = {k: [d[n * len(d) // langid.CARRIERS :][: langid.CARRIER_BYTES] for n in range(langid.CARRIERS)] for k, d in model.items()}
     found = {r.doc_id: r for r in langid.classify(docs, model, keep=[docs.doc_id]).collect()}
+    finer = 0
     for r in rows:
         flat = " ".join(re.findall(r"[^\W\d_]+", (r.text or "").lower())).encode()
         sizes = {k: sum(len(p.compress(flat[a : a + langid.WINDOW])) for a in range(0, len(flat), langid.WINDOW)) for k, p in press.items()}
@@ -68,8 +71,31 @@ def test_langid_against_a_plain_loop(spark, sf_dir):
             assert (got.lang_pred, got.score, got.rejected) == ("und", 0, True)
             continue
         least, second = sorted(sizes.values())[:2]
-        assert got.lang_pred == min(k for k, v in sizes.items() if v == least) and got.rejected == (second - least < langid.MARGIN * least)
-        assert abs(got.score - 1 / sum(2 ** (-(v - least) / 4) for v in sizes.values())) < 1e-9
+        extra, slack = {k: v - least for k, v in sizes.items()}, langid.MARGIN * least
+        rivals = [k for k, v in extra.items() if v < langid.RESOLUTION]
+        if slack < langid.RESOLUTION and len(rivals) > 1:
+            sums = {k: sum(len(bare.compress(c + b" " + flat)) - len(bare.compress(c)) for c in carriers[k]) for k in rivals}
+            fewest, second = sorted(sums.values())[:2]
+            extra |= {k: v - fewest for k, v in sums.items()}
+            least, slack = fewest, langid.FINER * langid.MARGIN * max(fewest, 1)
+            finer += 1
+        assert got.lang_pred == min(k for k, v in extra.items() if v == 0) and got.rejected == (second - least < slack)
+        assert abs(got.score - 1 / sum(2 ** (-v / 4) for v in extra.values())) < 1e-9
+    assert finer
+
+
+def test_langid_short_texts():
+    """Texts without a match in any dictionary are told by their letters; a tie of those is rejected."""
+    rng = np.random.default_rng(0)
+    word = lambda letters, n: "".join(rng.choice(list(letters), n))
+    model = {k: " ".join(word(k, n) for n in rng.integers(3, 9, 9000)).encode() for k in ("abcdefghijklm", "nopqrstuvwxyz")}
+    encoder = langid.Encoder(model)
+    for k in model:
+        for text in (word(k, n) for n in range(3, 12)):
+            assert encoder.judge(f"{text}.", langid.MARGIN)[::2] == (k, False)
+    same = langid.Encoder(dict.fromkeys(model, model["abcdefghijklm"]))
+    assert same.judge("fade", langid.MARGIN) == ("abcdefghijklm", 0.5, True)
+    assert langid.Encoder({"a": b"", "b": b"x"}).judge("fade", langid.MARGIN)[0] in ("a", "b")
 
 
 def test_quality_against_a_plain_sum(spark, sf_dir):
