@@ -116,8 +116,7 @@ def rel03_policy_dsl(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query("SELECT resource_type, md5(string_agg(line, chr(10) ORDER BY line) || chr(10)) AS contents_md5, count(*) AS n_lines FROM line GROUP BY resource_type")
 def rel05_policy_export(spark: SparkSession, sf_dir: str) -> DataFrame:
-    groups = text.export_groups(_tuples(spark, sf_dir))
-    return groups.select("resource_type", F.md5("contents").alias("contents_md5"), (F.size(F.split("contents", "\n")) - 1).cast("long").alias("n_lines"))
+    return text.export_digests(_tuples(spark, sf_dir))
 
 
 @query("SELECT resource_type, line FROM line")

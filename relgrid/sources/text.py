@@ -2,9 +2,13 @@
 
 from __future__ import annotations
 
+import hashlib
 import os
+from collections.abc import Iterator
 from dataclasses import dataclass
 
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -65,11 +69,63 @@ def export_lines(tuples: DataFrame) -> DataFrame:
 
 
 def export_groups(tuples: DataFrame) -> DataFrame:
-    """(resource_type, contents): the file of each type. For exports that fit in a row; export_lines() has no such bound."""
+    """(resource_type, contents): the file of each type. For exports that fit in a row; export_lines() and export_digests() have no such bound."""
     lines = tuples.select("resource_type", format_relationship().alias("line"))
     return lines.groupBy("resource_type").agg(F.concat(F.array_join(F.array_sort(F.collect_list("line")), "\n"), F.lit("\n")).alias("contents"))
 
 
+def export_digests(tuples: DataFrame) -> DataFrame:
+    """(resource_type, contents_md5, n_lines) of the file of each type. Ranges of lines are sorted by tasks and packed in compressed chunks;
+    a digest is sequential, so one task takes a type's chunks in order, and holds a batch of them at a time."""
+    lines = export_lines(tuples).where("line is not null").select("resource_type", F.concat("line", F.lit("\n")).alias("line"))
+    chunks = lines.mapInArrow(_packed, "resource_type string, part int, k long, n long, size long, chunk binary")
+    placed = chunks.repartition("resource_type").sortWithinPartitions("resource_type", "part", "k")
+    return placed.mapInArrow(_digested, "resource_type string, contents_md5 string, n_lines long")
+
+
+def _packed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """A row for each type in each batch: the lines, which lie one after another in the column's buffer."""
+    from pyspark import TaskContext
+
+    part, k = TaskContext.get().partitionId(), 0
+    names = ["resource_type", "part", "k", "n", "size", "chunk"]
+    for batch in batches:
+        if not batch.num_rows:
+            continue
+        kinds = batch.column(0)
+        data, at = _line_bytes(batch.column(1))
+        ends = pc.run_end_encode(kinds).run_ends.to_pylist()
+        for low, high in zip([0, *ends], ends, strict=False):
+            start, size = at[low], at[high] - at[low]
+            chunk = pa.compress(data.slice(start, size), codec="zstd", asbytes=True)
+            columns = [[kinds[low].as_py()], pa.array([part], pa.int32()), [k], [high - low], [size], pa.array([chunk], pa.binary())]
+            yield pa.RecordBatch.from_arrays([c if isinstance(c, pa.Array) else pa.array(c) for c in columns], names=names)
+            k += 1
+
+
+def _line_bytes(lines: pa.Array) -> tuple[pa.Buffer, list[int]]:
+    """The buffer of a string column, and where in it its values begin, and the last one ends."""
+    _, offsets, data = lines.buffers()
+    kind = pa.int64() if pa.types.is_large_string(lines.type) else pa.int32()
+    return data, pa.Array.from_buffers(kind, len(lines) + 1, [None, offsets], offset=lines.offset).to_pylist()
+
+
+def _digested(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    kind = digest = None
+    n = 0
+    row = lambda: pa.RecordBatch.from_arrays([pa.array([kind]), pa.array([digest.hexdigest()]), pa.array([n])], names=["resource_type", "contents_md5", "n_lines"])
+    for batch in batches:
+        for at in range(batch.num_rows):
+            if (new := batch.column(0)[at].as_py()) != kind or digest is None:
+                if digest is not None:
+                    yield row()
+                kind, digest, n = new, hashlib.md5(), 0
+            digest.update(pa.decompress(batch.column(5)[at].as_buffer(), decompressed_size=batch.column(4)[at].as_py(), codec="zstd"))
+            n += batch.column(3)[at].as_py()
+    if digest is not None:
+        yield row()
+
+
 def to_text(schema: policy.Schema, tuples: DataFrame) -> PolicyText:
     groups = export_groups(tuples).orderBy("resource_type").collect()
     return PolicyText(policy.text(schema), {f"{TUPLE_FOLDER}/{r.resource_type}{TUPLE_SUFFIX}": r.contents for r in groups})
