@@ -348,8 +348,7 @@ def rel39_counters(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("SELECT resource_type AS namespace, line, row_number() OVER (PARTITION BY resource_type ORDER BY line) - 1 AS ordinal FROM line")
 def rel45_canonical_order(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every exported line with its place in its file."""
-    groups = text.export_groups(_tuples(spark, sf_dir)).withColumn("lines", F.split(F.expr("substring(contents, 1, length(contents) - 1)"), "\n"))
-    return groups.select(F.col("resource_type").alias("namespace"), F.posexplode("lines").alias("ordinal", "line")).select("namespace", "line", F.col("ordinal").cast("long").alias("ordinal"))
+    return text.numbered_lines(_tuples(spark, sf_dir)).select(F.col("resource_type").alias("namespace"), "line", "ordinal")
 
 
 @query("SELECT namespace, relation, row_number() OVER (PARTITION BY namespace ORDER BY relation) - 1 AS ordinal FROM (VALUES ('order','viewer'),('order','parent'),('order','owner_view'),('order','owner'),('order','can_view'),('order','can_edit'),('order','banned'),('nation','viewer'),('nation','parent'),('nation','editor'),('nation','can_view'),('nation','banned'),('part','viewer'),('part','parent'),('part','can_view'),('group','member'),('region','viewer')) v(namespace, relation)")

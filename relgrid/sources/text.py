@@ -11,10 +11,11 @@ import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
 from relgrid.errors import PolicyTextError
 from relgrid.functions.columns import COLUMNS, format_relationship, parse_relationship
-from relgrid.plans import policy
+from relgrid.plans import lineage, policy
 
 #: The names of exported files.
 SCHEMA_FILE, TUPLE_FOLDER, TUPLE_SUFFIX = "schema.zed", "relationships", ".zedtuples"
@@ -74,6 +75,16 @@ def export_groups(tuples: DataFrame) -> DataFrame:
     return lines.groupBy("resource_type").agg(F.concat(F.array_join(F.array_sort(F.collect_list("line")), "\n"), F.lit("\n")).alias("contents"))
 
 
+def numbered_lines(tuples: DataFrame) -> DataFrame:
+    """(resource_type, line, ordinal): every line with its place in its type's file. The ranges are written once; what is gathered is a count for each of them."""
+    lines = lineage.cut(export_lines(tuples).where("line is not null").withColumn("at", F.monotonically_increasing_id()))  # the number of the range, and below it that of the row in it
+    counts = lines.groupBy("resource_type", F.shiftright("at", 33).alias("part")).agg(F.min("at").alias("low"), F.count("*").alias("n"))
+    before = F.sum("n").over(Window.partitionBy("resource_type").orderBy("part").rowsBetween(Window.unboundedPreceding, -1))
+    ranges = counts.select("resource_type", "part", (F.coalesce(before, F.lit(0)) - F.col("low")).alias("shift"))
+    found = lines.withColumn("part", F.shiftright("at", 33)).join(F.broadcast(ranges), ["resource_type", "part"])
+    return found.select("resource_type", "line", (F.col("at") + F.col("shift")).alias("ordinal"))
+
+
 def export_digests(tuples: DataFrame) -> DataFrame:
     """(resource_type, contents_md5, n_lines) of the file of each type. Ranges of lines are sorted by tasks and packed in compressed chunks;
     a digest is sequential, so one task takes a type's chunks in order, and holds a batch of them at a time."""

@@ -32,3 +32,16 @@ def test_digests_of_a_type_in_many_chunks(spark):
     want = {(k, hashlib.md5(("\n".join(v) + "\n").encode()).hexdigest(), len(v)) for k, v in _files(tuples).items()}
     assert {tuple(r) for r in found.collect()} == want
     assert text.export_digests(tuples.limit(0)).collect() == []
+
+
+def test_ordinals_of_a_type_in_many_ranges(spark):
+    tuples = _orders(spark, 5_000).repartition(5)
+    found = text.numbered_lines(tuples)
+    _no_gathering(found)
+    want = sorted((k, line, n) for k, v in _files(tuples).items() for n, line in enumerate(v))
+    assert sorted(tuple(r) for r in found.collect()) == want
+    spark.conf.set("spark.sql.adaptive.enabled", "false")
+    try:
+        assert sorted(tuple(r) for r in text.numbered_lines(tuples).collect()) == want and text.numbered_lines(tuples.limit(0)).collect() == []
+    finally:
+        spark.conf.set("spark.sql.adaptive.enabled", "true")
