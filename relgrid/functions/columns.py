@@ -25,27 +25,34 @@ def is_tenant(c: Column) -> Column:
     return F.coalesce(c.rlike(rf"\A{TENANT}+\z") & (F.octet_length(c) <= TENANT_BYTES), F.lit(False))
 
 
+#: A name and an id within their lengths, which are also those in bytes: both are ASCII. Each ends where its characters do, so nothing is tried twice.
+_NAME, _ID = rf"[A-Za-z][A-Za-z0-9_]{{0,{NAME_BYTES - 1}}}+", rf"{ID}{{1,{ID_BYTES}}}+"
+_SUBJECT = rf"{_NAME}:{_ID}(?:#{_NAME})?"
+
+
+def _subject_parts(c: Column) -> tuple[Column, Column, Column]:
+    """Type, id and relation (or null) of a text known to be a subject."""
+    rest = F.substring_index(c, ":", -1)
+    return F.substring_index(c, ":", 1), F.substring_index(rest, "#", 1), F.when(F.contains(rest, F.lit("#")), F.substring_index(rest, "#", -1))
+
+
 def parse_object(c: Column) -> Column:
     """struct(type, id), null where the text isn't type:id."""
-    part = lambda k: F.regexp_extract(c, rf"\A({NAME}):({ID}+)\z", k)
-    good = is_name(part(1)) & is_id(part(2))
-    return F.when(good, F.struct(part(1).alias("type"), part(2).alias("id")))
+    return F.when(c.rlike(rf"\A{_NAME}:{_ID}\z"), F.struct(F.substring_index(c, ":", 1).alias("type"), F.substring_index(c, ":", -1).alias("id")))
 
 
 def parse_subject(c: Column) -> Column:
     """struct(type, id, relation), null where the text isn't type:id or type:id#relation."""
-    part = lambda k: F.regexp_extract(c, rf"\A({NAME}):({ID}+?)(?:#({NAME}))?\z", k)
-    relation = F.nullif(part(3), F.lit(""))
-    good = is_name(part(1)) & is_id(part(2)) & (relation.isNull() | is_name(relation))
-    return F.when(good, F.struct(part(1).alias("type"), part(2).alias("id"), relation.alias("relation")))
+    kind, ident, relation = _subject_parts(c)
+    return F.when(c.rlike(rf"\A{_SUBJECT}\z"), F.struct(kind.alias("type"), ident.alias("id"), relation.alias("relation")))
 
 
 def parse_relationship(c: Column) -> Column:
-    """struct of the six columns, null where the text is no tuple."""
-    part = lambda k: F.regexp_extract(c, rf"\A({NAME}):({ID}+)#({NAME})@({NAME}):({ID}+?)(?:#({NAME}))?\z", k)
-    relation = F.nullif(part(6), F.lit(""))
-    good = (F.octet_length(c) <= TUPLE_BYTES) & is_name(part(1)) & is_id(part(2)) & is_name(part(3)) & is_name(part(4)) & is_id(part(5)) & (relation.isNull() | is_name(relation))
-    return F.when(good, F.struct(*(part(k + 1).alias(n) for k, n in enumerate(COLUMNS[:5])), relation.alias("subject_relation")))
+    """struct of the six columns, null where the text is no tuple. One expression decides, and the parts are cut at its separators, which no part can hold."""
+    left, right = F.substring_index(c, "@", 1), F.substring_index(c, "@", -1)
+    parts = F.substring_index(left, ":", 1), F.substring_index(F.substring_index(left, "#", 1), ":", -1), F.substring_index(left, "#", -1), *_subject_parts(right)
+    good = (F.octet_length(c) <= TUPLE_BYTES) & c.rlike(rf"\A{_NAME}:{_ID}#{_NAME}@{_SUBJECT}\z")
+    return F.when(good, F.struct(*(p.alias(n) for p, n in zip(parts, COLUMNS, strict=True))))
 
 
 def format_relationship() -> Column:

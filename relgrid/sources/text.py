@@ -19,6 +19,8 @@ from relgrid.plans import lineage, policy
 
 #: The names of exported files.
 SCHEMA_FILE, TUPLE_FOLDER, TUPLE_SUFFIX = "schema.zed", "relationships", ".zedtuples"
+#: What may stand around a line: what \s is to a Java expression.
+SPACE = " \t\n\x0b\f\r"
 
 
 @dataclass(frozen=True)
@@ -31,15 +33,16 @@ class PolicyText:
 
 def parse_lines(lines: DataFrame) -> DataFrame:
     """(line, and the six columns, null if the line is no tuple) of lines that are not blank and no comments."""
-    trimmed = lines.select(F.regexp_replace(F.col(lines.columns[0]), r"\A\s+|\s+\z", "").alias("line"))
+    trimmed = lines.select(F.trim(F.col(lines.columns[0]), F.lit(SPACE)).alias("line"))
     kept = trimmed.where((F.col("line") != "") & ~F.col("line").startswith("#") & ~F.col("line").startswith("//"))
     return kept.withColumn("t", parse_relationship(F.col("line"))).select("line", *(F.col(f"t.{c}").alias(c) for c in COLUMNS))
 
 
 def checked(parsed: DataFrame) -> DataFrame:
     """The tuples of parse_lines(), if every line is one."""
-    if bad := parsed.where("resource_type is null").select("line").limit(1).collect():
-        raise PolicyTextError("line", f"not a tuple: {bad[0].line[:200]!r}")
+    bad = parsed.where("resource_type is null").agg(F.min("line")).first()[0]  # by all tasks at once, while a limit starts with one
+    if bad is not None:
+        raise PolicyTextError("line", f"not a tuple: {bad[:200]!r}")
     return parsed.select(COLUMNS)
 
 
