@@ -195,17 +195,17 @@ class Engine:
         live = lineage.cut(one.select(F.when(F.col("gone"), "delete").otherwise("touch").alias("op"), *COLUMNS))
         with self._write:
             store.check_references(live.where("op = 'touch'").select(COLUMNS), self._last.schema)
-            known = store.existing(self._last.tuples, live.where("op = 'delete'").select(COLUMNS)).withColumn("op", F.lit("delete"))
+            known = store.existing(store.near(self._last.tuples, live), live.where("op = 'delete'").select(COLUMNS)).withColumn("op", F.lit("delete"))
             return self._apply(live.where("op = 'touch'").unionByName(known), live.count())
 
     def _apply(self, batch: DataFrame, size: int) -> Token:
         last = self._last
         if not size:
             return self._publish(last)
-        gone, new = store.changes(last.tuples, batch)
+        gone, new = store.changes(store.near(last.tuples, batch), batch)
         # What comes back to the base is no longer deleted; the rest of the new is inserted.
         inserted = lineage.cut(store.without(last.inserted, gone).unionByName(store.without(new, last.deleted)), lasting=True)
-        deleted = lineage.cut(store.without(last.deleted, new).unionByName(store.existing(last.base, gone)).distinct(), lasting=True)
+        deleted = lineage.cut(store.without(last.deleted, new).unionByName(store.existing(store.near(last.base, batch), gone)).distinct(), lasting=True)
         kinds = last.kinds
         if kinds is not None:  # those of the new tuples, at most relations x relations
             kinds |= {tuple(r) for r in new.where("subject_relation is not null").select("resource_type", "relation", "subject_type", "subject_relation").distinct().collect()}
@@ -270,10 +270,10 @@ class Engine:
     # -- policies and artifacts
 
     def _replaced(self, schema: policy.Schema, tuples: DataFrame) -> Token:
-        tuples = lineage.cut(tuples, lasting=True)
+        tuples, n = lineage.cut_counted(tuples, lasting=True)
         store.check_references(tuples, schema)
-        if bad := store.duplicates(tuples).limit(1).collect():
-            raise StoreError("exists", f"given twice: {bad[0]}")
+        if bad := store.repeated(tuples, n):
+            raise StoreError("exists", f"given twice: {bad}")
         with self._write:
             empty = self.spark.createDataFrame([], SCHEMA)
             self.states = {}

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from dataclasses import dataclass
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Row
 from pyspark.sql import functions as F
 
 from relgrid.domain import Tuple
@@ -95,19 +95,21 @@ def as_of(base: DataFrame, log: DataFrame, revision: int) -> DataFrame:
     return overlay(base, last, last.where("op <> 'delete'"))
 
 
+def unknown_reference(schema: Schema) -> Column:
+    """Whether a row's relation, or its userset's relation, is not in the schema. The schema's pairs are in the expression, so no row moves."""
+    pairs = [f"{n}#{r}" for n, r in schema.pairs()]
+    known = lambda kind, relation: F.coalesce(F.concat(kind, F.lit("#"), relation).isin(pairs), F.lit(False))
+    return ~known("resource_type", "relation") | (F.col("subject_relation").isNotNull() & ~known("subject_type", "subject_relation"))
+
+
 def broken_references(tuples: DataFrame, schema: Schema) -> DataFrame:
     """Tuples of which the relation, or the userset's relation, is not in the schema."""
-    rel = tuples.sparkSession.createDataFrame(schema.pairs() or [], "n string, r string")
-    known = F.broadcast(rel)  # as many rows as the schema has relations
-    a = tuples.join(known, (tuples.resource_type == rel.n) & (tuples.relation == rel.r), "left_anti")
-    users = tuples.where("subject_relation is not null")
-    b = users.join(known, (users.subject_type == rel.n) & (users.subject_relation == rel.r), "left_anti")
-    return a.unionByName(b).distinct()
+    return tuples.where(unknown_reference(schema)).distinct()
 
 
 def check_references(tuples: DataFrame, schema: Schema) -> None:
-    if bad := broken_references(tuples, schema).select(F.expr(KEY_TEXT)).limit(1).collect():
-        raise SchemaError("relation_not_found", f"a relation of {bad[0][0]} is not in the schema")
+    if (bad := tuples.where(unknown_reference(schema)).agg(F.min(F.expr(KEY_TEXT)), F.count("*").alias("n")).first()).n:
+        raise SchemaError("relation_not_found", f"a relation of {bad[0]} is not in the schema")
 
 
 @dataclass(frozen=True)
@@ -134,6 +136,14 @@ def failed_precondition(tuples: DataFrame, preconditions: list[Precondition]) ->
     return next((p for k, p in enumerate(preconditions) if found[k] != p.must_match), None)
 
 
+def near(tuples: DataFrame, batch: DataFrame) -> DataFrame:
+    """The tuples of the types and relations in a batch, among which are all that its rows can be the same as. The pairs are gathered: at most as many as the schema has."""
+    pairs = [(r.resource_type, r.relation) for r in batch.select("resource_type", "relation").distinct().collect()]
+    kind, relation = F.col("resource_type"), F.col("relation")
+    some = kind.isin(list({k for k, _ in pairs})) & relation.isin(list({r for _, r in pairs}))  # reaches the scan
+    return tuples.where(some & F.concat(kind, F.lit("#"), relation).isin([f"{k}#{r}" for k, r in pairs]))
+
+
 def conflicts(tuples: DataFrame, batch: DataFrame) -> DataFrame:
     """Operations (op and six columns) that can't be done: creates of stored tuples, deletes of missing ones."""
     return _match(batch.where("op = 'create'"), tuples, "left_semi").unionByName(_match(batch.where("op = 'delete'"), tuples, "left_anti"))
@@ -144,6 +154,19 @@ def duplicates(batch: DataFrame) -> DataFrame:
     return batch.groupBy(COLUMNS).count().where("count > 1").select(COLUMNS)
 
 
+#: Rows whose digests one task counts.
+COUNTED = 500_000
+
+
+def repeated(tuples: DataFrame, n: int) -> Row | None:
+    """A tuple that is stored more than once, of n; None if there is none. Digests of the rows are counted, in as many tasks as the rows need;
+    only where one repeats are rows compared, so the answer is exact."""
+    digests = tuples.select(F.xxhash64(*COLUMNS).alias("h")).repartition(-(-n // COUNTED) or 1, "h")
+    if digests.groupBy("h").count().agg(F.max("count").alias("most")).first().most in (None, 1):
+        return None
+    return duplicates(tuples).first()
+
+
 def changes(tuples: DataFrame, batch: DataFrame) -> tuple[DataFrame, DataFrame]:
     """(deleted, inserted) of a valid batch."""
     return batch.where("op = 'delete'").select(COLUMNS), without(batch.where("op <> 'delete'").select(COLUMNS), tuples)
@@ -160,5 +183,5 @@ def validate_batch(tuples: DataFrame, batch: DataFrame, preconditions: list[Prec
         raise StoreError("too_many_mutations", f"{n} operations; at most {BATCH_LIMIT}")
     if bad := duplicates(batch).select(F.expr(KEY_TEXT)).limit(1).collect():
         raise StoreError("duplicate_mutation", f"two operations on {bad[0][0]}")
-    if bad := conflicts(tuples, batch).select("op", F.expr(KEY_TEXT)).limit(1).collect():
+    if bad := conflicts(near(tuples, batch), batch).select("op", F.expr(KEY_TEXT)).limit(1).collect():
         raise StoreError("exists" if bad[0][0] == "create" else "not_found", f"{bad[0][0]} of {bad[0][1]}")
