@@ -32,6 +32,8 @@ from relgrid.plans.policy import Computed, Exclusion, Expression, Intersection,
 Node = tuple[str, str]
 #: Rounds after which what was found is written as one table.
 COMPACT = 8
+#: Slots in which usersets are counted before they are counted by object.
+SLOTS = 1 << 20
 MEMBER = ["resource_id", "subject_type", "subject_id", "subject_relation"]
 
 
@@ -96,7 +98,13 @@ class Prepared:
     def over(self) -> DataFrame | None:
         """(f, gid): relations "type#relation" and objects with more usersets than a step may follow; None if there are none."""
         if self._over is False:
-            many = self.tuples.where("subject_relation is not null").groupBy("resource_type", "relation", "resource_id").agg(F.count("*").alias("n")).where(F.col("n") > self.limit)
+            sets, key = self.tuples.where("subject_relation is not null"), ("resource_type", "relation", "resource_id")
+            # Objects share slots, so where no slot has more, no object has; that takes no row for each object.
+            most = sets.groupBy(F.pmod(F.xxhash64(*key), F.lit(SLOTS)).alias("slot")).count().agg(F.max("count").alias("most")).first().most
+            if (most or 0) <= self.limit:
+                self._over = None
+                return None
+            many = sets.groupBy(*key).agg(F.count("*").alias("n")).where(F.col("n") > self.limit)
             table, n = cut_counted(many.select(F.concat_ws("#", "resource_type", "relation").alias("f"), F.col("resource_id").alias("gid")), lasting=True)
             self._over = table if n else None
         return self._over
@@ -205,9 +213,10 @@ class Evaluator:
         return out if self.subjects is None else out.join(self.subjects, MEMBER[1:], "left_semi").select(MEMBER)
 
     def _links(self, asked_by: Node, relation: str, to: Node, kind: str) -> DataFrame:
-        """(resource_id, via): from an object to the object whose members count for it."""
+        """(resource_id, via): from an object to the object whose members count for it. Rows with different relations of one subject give a link each, which does no
+        harm: what follows links keeps different results only."""
         rows = self._rows((asked_by[0], relation)).where((F.col("subject_type") == to[0]) & (F.col("subject_relation") == to[1] if kind == "rows" else F.col("subject_relation").isNotNull()))
-        return self._restricted(rows, asked_by).select("resource_id", F.col("subject_id").alias("via")).distinct()
+        return self._restricted(rows, asked_by).select("resource_id", F.col("subject_id").alias("via"))
 
     def _empty(self) -> DataFrame:
         return self.spark.createDataFrame([], "resource_id string, subject_type string, subject_id string, subject_relation string")

@@ -43,3 +43,16 @@ def test_a_batch_meets_only_tuples_of_its_relations(spark):
     batch = _frame(spark, [("order", "9", "owner", "user", "u", None), ("nation", "1", "banned", "user", "u", None)])
     assert sorted(r.resource_id for r in store.near(_frame(spark, ROWS), batch).collect()) == ["1", "2"]
     assert store.near(_frame(spark, ROWS), batch.limit(0)).collect() == []
+
+
+def test_links_are_read_without_a_shuffle(spark):
+    e = Evaluator(policy.compile_policy(fixtures.POLICY), _frame(spark, ROWS))
+    links = e._links(("order", "can_view"), "parent", ("nation", "can_view"), "through")
+    assert "Aggregate" not in links._jdf.queryExecution().optimizedPlan().toString() and links.collect() == [("1", "1")]
+
+
+def test_wide_objects_are_found_though_slots_are_shared(spark, monkeypatch):
+    monkeypatch.setattr(fixpoint, "SLOTS", 1)
+    sets = [("order", str(k % 5), "parent", "nation", str(k), "can_view") for k in range(5)]
+    assert Prepared(_frame(spark, sets), 5).over is None and Prepared(_frame(spark, sets), 1).over is None and Prepared(_frame(spark, []), 1).over is None
+    assert [tuple(r) for r in Prepared(_frame(spark, [*sets, ("order", "3", "parent", "nation", "9", "can_view")]), 1).over.collect()] == [("order#parent", "3")]
