@@ -64,11 +64,16 @@ def format_subject() -> Column:
     return F.expr("concat(subject_type, ':', subject_id, coalesce(concat('#', subject_relation), ''))")
 
 
-def invalid_rows(tuples: DataFrame) -> DataFrame:
-    """Rows of which a column breaks the identifier rules."""
+def invalid() -> Column:
+    """Whether a column of a row breaks the identifier rules."""
     relation = F.col("subject_relation")
     good = is_name(F.col("resource_type")) & is_id(F.col("resource_id")) & is_name(F.col("relation")) & is_name(F.col("subject_type")) & is_id(F.col("subject_id")) & (relation.isNull() | is_name(relation))
-    return tuples.where(~good)
+    return ~good
+
+
+def invalid_rows(tuples: DataFrame) -> DataFrame:
+    """Rows of which a column breaks the identifier rules."""
+    return tuples.where(invalid())
 
 
 # Three-valued membership as booleans, null being conditional.

@@ -9,8 +9,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from relgrid.errors import ArtifactError
-from relgrid.functions.columns import COLUMNS, SCHEMA, invalid_rows
-from relgrid.operators.store import broken_references
+from relgrid.functions.columns import COLUMNS, SCHEMA, invalid
+from relgrid.operators.store import repeated, unknown_reference
 from relgrid.plans import policy
 
 FORMAT = 1
@@ -47,7 +47,8 @@ def save(path: str, schema: policy.Schema, tuples: DataFrame, revision: int, pro
     laid_out = tuples.select(COLUMNS).repartitionByRange("resource_type", "relation", "resource_id").sortWithinPartitions("resource_type", "relation", "resource_id", "subject_type", "subject_id")
     laid_out.write.mode("overwrite").option("compression", compression).parquet(f"{path}/tuples")
     if profile == "full":
-        by_subject = tuples.select(COLUMNS).repartitionByRange("subject_type", "subject_id").sortWithinPartitions("subject_type", "subject_id")
+        # Ranges by all columns, so that the tuples of one subject spread as well.
+        by_subject = tuples.select(COLUMNS).repartitionByRange("subject_type", "subject_id", "subject_relation", "resource_type", "relation", "resource_id").sortWithinPartitions("subject_type", "subject_id")
         by_subject.write.mode("overwrite").option("compression", compression).parquet(f"{path}/by_subject")
     stored = spark.read.schema(SCHEMA).parquet(f"{path}/tuples")
     manifest = {"format": FORMAT, "schema": policy.text(schema), "schema_hash": policy.schema_hash(schema), "revision": revision, "profile": profile, "checksum": checksum(stored)}
@@ -91,9 +92,9 @@ def load(spark: SparkSession, path: str, validation: str = "full", integrity: st
     if integrity == "checksum" and checksum(tuples) != found["checksum"]:
         raise ArtifactError("checksum", "the tuples are not those that were saved")
     if validation == "full":
-        if not tuples.groupBy(COLUMNS).count().where("count > 1").isEmpty():
+        if repeated(tuples, int(found["checksum"].split(":")[0])) is not None:  # the checksum, which was compared, begins with the number of rows
             raise ArtifactError("duplicate", "a tuple is stored twice")
-        if not invalid_rows(tuples).isEmpty() or not broken_references(tuples, schema).isEmpty():
+        if tuples.agg(F.coalesce(F.bool_or(invalid() | unknown_reference(schema)), F.lit(False))).first()[0]:
             raise ArtifactError("invalid_rows", "a tuple breaks the rules or is not in the schema")
     by_subject = spark.read.schema(SCHEMA).parquet(f"{path}/by_subject") if found["profile"] == "full" else None
     if by_subject is not None and integrity == "checksum" and checksum(by_subject) != found["checksum"]:

@@ -45,6 +45,22 @@ def test_a_batch_meets_only_tuples_of_its_relations(spark):
     assert store.near(_frame(spark, ROWS), batch.limit(0)).collect() == []
 
 
+def test_tuples_of_one_subject_spread_over_files(spark, tmp_path):
+    rows = spark.range(4000).select(F.lit("order").alias("resource_type"), F.col("id").cast("string").alias("resource_id"), F.lit("parent").alias("relation"), F.lit("nation").alias("subject_type"), F.lit("1").alias("subject_id"), F.lit("can_view").alias("subject_relation"))
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
+    try:
+        artifact.save(str(tmp_path / "a"), policy.compile_policy(fixtures.POLICY), rows, 1)
+    finally:
+        spark.conf.unset("spark.sql.adaptive.coalescePartitions.enabled")
+    sizes = [r["count"] for r in spark.read.parquet(str(tmp_path / "a/by_subject")).groupBy(F.input_file_name()).count().collect()]
+    assert sum(sizes) == 4000 and max(sizes) < 3600
+    assert artifact.load(spark, str(tmp_path / "a")).tuples.count() == 4000
+    artifact.save(str(tmp_path / "b"), policy.compile_policy(fixtures.POLICY), rows.limit(5).withColumn("resource_id", F.lit("a/b")), 1, "check_only")
+    with pytest.raises(ArtifactError) as e:
+        artifact.load(spark, str(tmp_path / "b"))
+    assert e.value.code == "duplicate"
+
+
 def test_links_are_read_without_a_shuffle(spark):
     e = Evaluator(policy.compile_policy(fixtures.POLICY), _frame(spark, ROWS))
     links = e._links(("order", "can_view"), "parent", ("nation", "can_view"), "through")
