@@ -26,7 +26,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from relgrid.llm.common import small_batches
+from relgrid.llm.common import lean, small_batches
 from relgrid.llm.tables import sum_tables
 from relgrid.llm.vec import LOWER, NON_WORD, U64, mix, portions, segments, utf8, word_hashes, word_spans
 
@@ -339,7 +339,7 @@ def search(rows: DataFrame, items: DataFrame, doc_id: str = "doc_id", text: str
     out = spark.createDataFrame([], schema)
     for idents, texts in _item_blocks(items, item_id, item_text) if space else ():
         shared = spark.sparkContext.broadcast(Index(space, idents, texts))  # ITEMS items
-        out = out.union(docs.mapInArrow(_finder(shared, schema), schema))
+        out = out.union(docs.mapInArrow(lean(_finder(shared, schema)), schema))
     return out
 
 
@@ -374,5 +374,5 @@ def clean(rows: DataFrame, items: DataFrame, text: str = "text", item_id: str =
                 keep[[m[0] for m in index.matches(*words(batch.column(at)))]] = False
                 yield batch.filter(pa.array(keep))
 
-        rows = rows.mapInArrow(run, rows.schema)
+        rows = rows.mapInArrow(lean(run), rows.schema)
     return rows

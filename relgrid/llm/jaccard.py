@@ -36,7 +36,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from relgrid.llm import graph
-from relgrid.llm.common import dealt_join, hot_keys, small_batches, written
+from relgrid.llm.common import dealt_join, hot_keys, lean, small_batches, written
 from relgrid.llm.tables import sum_tables
 from relgrid.llm.vec import LOWER, SPACE, U64, mix, portions, shingle_hashes, utf8, word_hashes, word_spans
 
@@ -90,7 +90,7 @@ def _sets(docs: DataFrame, order: np.ndarray, k: int, t: int) -> DataFrame:
             flat = pa.ListArray.from_arrays(np.concatenate([[0], np.cumsum([len(p) for p in prefix])]).astype(np.int32), pa.array(np.concatenate(prefix) if prefix else np.zeros(0, np.int64)))
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(n, pa.int64()), pa.array(s1, pa.int64()), pa.array(s2, pa.int64()), flat, pa.array(maps, pa.list_(pa.int64()))], names=["id", "n", "s1", "s2", "prefix", "map"])
 
-    return docs.mapInArrow(run, f"id {docs.schema['id'].dataType.simpleString()}, n bigint, s1 bigint, s2 bigint, prefix array<bigint>, map array<bigint>")
+    return docs.mapInArrow(lean(run), f"id {docs.schema['id'].dataType.simpleString()}, n bigint, s1 bigint, s2 bigint, prefix array<bigint>, map array<bigint>")
 
 
 def _order(docs: DataFrame, k: int) -> np.ndarray:
@@ -137,7 +137,7 @@ def _compare(docs: DataFrame, pairs: DataFrame, k: int, t: int, ball: int) -> Da
             columns = [batch.column(0), batch.column(1), *(pa.array(c, kd) for c, kd in zip(zip(*rows, strict=True), (pa.int64(), pa.int64(), pa.int64(), pa.bool_()), strict=True)), pa.array(diffs, pa.list_(pa.int64()))]
             yield pa.RecordBatch.from_arrays(columns, names=["a", "b", "na", "nb", "d", "linked", "diff"])
 
-    return joined.select("a", "b", "ta", "tb").mapInArrow(run, f"a {kind}, b {kind}, na bigint, nb bigint, d bigint, linked boolean, diff array<bigint>")
+    return joined.select("a", "b", "ta", "tb").mapInArrow(lean(run), f"a {kind}, b {kind}, na bigint, nb bigint, d bigint, linked boolean, diff array<bigint>")
 
 
 def _map_distance(pairs: DataFrame, sets: DataFrame) -> DataFrame:

@@ -24,7 +24,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from relgrid.llm.common import small_batches
+from relgrid.llm.common import lean, small_batches
 from relgrid.llm.vec import portions
 
 WINDOW, END, BUFFER, CHECKED, AGAIN, LONG_WORD = 2048, 1, 1024, 50, 64, 2000
@@ -223,4 +223,4 @@ def pack(rows: DataFrame, tokenizer: str, doc_id: str = "doc_id", text: str = "t
         if out:
             yield batch_of(out)
 
-    return kept.mapInArrow(run, schema)
+    return kept.mapInArrow(lean(run), schema)

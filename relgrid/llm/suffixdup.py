@@ -35,7 +35,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from relgrid.llm.common import dealt_join, hot_keys, small_batches, written
+from relgrid.llm.common import dealt_join, hot_keys, lean, small_batches, written
 from relgrid.llm.suffixes import Suffixes
 from relgrid.llm.vec import U64, mix, portions, prefix_hash, span_hash, utf8
 
@@ -191,7 +191,7 @@ def _distinct_texts(texts: DataFrame) -> DataFrame:
         for batch in batches:
             yield _first_seen(batch, seen)
 
-    return texts.mapInArrow(run, "h1 bigint, h2 bigint, text string")
+    return texts.mapInArrow(lean(run), "h1 bigint, h2 bigint, text string")
 
 
 OCCURRENCE = "anchor bigint, c1 bigint, c2 bigint, kl bigint, kr bigint, h1 bigint, h2 bigint, pos bigint, reach int"
@@ -218,7 +218,7 @@ def _occurrences(texts: DataFrame, brief: bool) -> DataFrame:
                 columns = [pa.array(x, pa.int64()) for x in (anchor, c1, c2, left, right, h1, h2, place)]
                 yield pa.RecordBatch.from_arrays([*columns, pa.array(before * 256 + after, pa.int32())], names=["anchor", "c1", "c2", "kl", "kr", "h1", "h2", "pos", "reach"])
 
-    return texts.mapInArrow(run, "anchor bigint, hp bigint" if brief else OCCURRENCE)
+    return texts.mapInArrow(lean(run), "anchor bigint, hp bigint" if brief else OCCURRENCE)
 
 
 MEMBER = "g bigint, multi boolean, a int, b int, h1 bigint, h2 bigint, pos bigint, reach int, frame binary"
@@ -253,7 +253,7 @@ def _members(texts: DataFrame, edges: DataFrame) -> DataFrame:
             key = lambda k: batch.column(k).take(pa.array(row))  # noqa: B023, E731
             yield pa.RecordBatch.from_arrays([at.field("g"), at.field("multi"), pa.array(first, pa.int32()), pa.array(last, pa.int32()), key(0), key(1), at.field("pos"), at.field("reach"), frames], names=["g", "multi", "a", "b", "h1", "h2", "pos", "reach", "frame"])
 
-    return written(joined.select("h1", "h2", "text", "at").mapInArrow(run, MEMBER), "members")
+    return written(joined.select("h1", "h2", "text", "at").mapInArrow(lean(run), MEMBER), "members")
 
 
 def _frames(reach: np.ndarray, column: pa.ChunkedArray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -307,7 +307,7 @@ def _split(members: DataFrame, sizes: DataFrame) -> tuple[DataFrame, DataFrame]:
             kept = rows.select(["multi", "h1", "h2", "pos", "reach", "frame"]).take(pa.array(who))
             yield _tagged(pa.table({"a": pa.array(na), "b": pa.array(nb)}), kept.append_column("g", pa.array(group, pa.int64())), 1)
 
-    out = written(both.mapInArrow(run, f"kind int, {MEMBER}"), "split")
+    out = written(both.mapInArrow(lean(run), f"kind int, {MEMBER}"), "split")
     return out.where("kind = 0").select("h1", "h2", F.col("pos").alias("a"), (F.col("pos") + F.col("reach")).alias("b")), out.where("kind = 1").drop("kind")
 
 
@@ -350,7 +350,7 @@ def _sorted_spans(members: DataFrame) -> DataFrame:
         if held:
             yield spans(pa.Table.from_batches(held))
 
-    return members.repartition("g").sortWithinPartitions("g").mapInArrow(run, SPANS)
+    return members.repartition("g").sortWithinPartitions("g").mapInArrow(lean(run), SPANS)
 
 
 def _edge_spans(members: DataFrame) -> DataFrame:
@@ -441,7 +441,7 @@ def cut(frame: DataFrame, text: str, outputs: str, make: object) -> DataFrame:
             columns = [pa.array(c, kinds.field(k).type) for k, c in enumerate(zip(*made, strict=True))] if made else [pa.array([], f.type) for f in kinds]
             yield pa.RecordBatch.from_arrays([*(batch.column(k) for k in range(width)), *columns], names=[*batch.schema.names[:width], *kinds.names])
 
-    return frame.mapInArrow(run, T.StructType([*fields, *added.fields]))
+    return frame.mapInArrow(lean(run), T.StructType([*fields, *added.fields]))
 
 
 def cleaned(rows: DataFrame, text: str = "text", n_chars: str = "n_chars") -> DataFrame:

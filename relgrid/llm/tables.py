@@ -14,6 +14,8 @@ import pyarrow as pa
 import zstandard
 from pyspark.sql import DataFrame
 
+from relgrid.llm.common import lean
+
 SLICES = 32
 
 
@@ -47,6 +49,6 @@ def sum_tables(rows: DataFrame, fill: Callable[[Iterator[pa.RecordBatch]], np.nd
 
     kind = "k int, b binary"
     out = np.zeros(length, dtype)
-    for row in rows.mapInArrow(emit, kind).repartition(SLICES, "k").mapInArrow(add, kind).collect():
+    for row in rows.mapInArrow(lean(emit), kind).repartition(SLICES, "k").mapInArrow(lean(add), kind).collect():
         out[cuts[row.k] : cuts[row.k + 1]] = np.frombuffer(zstandard.ZstdDecompressor().decompress(row.b), dtype)
     return out.reshape(shape)
