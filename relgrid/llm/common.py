@@ -65,16 +65,21 @@ def lean(run: Task) -> Task:
 HOT_ROWS, HOT_KEYS = 200, 4096
 
 
-def hot_keys(counts: DataFrame, on: list[str]) -> DataFrame:
-    """(on, parts__) of the hot keys of a frame (on, n) that counts each key's rows; parts__: in how many parts a join should deal them."""
+def hot_keys(counts: DataFrame, on: list[str]) -> DataFrame | None:
+    """(on, parts__) of the hot keys of a frame (on, n) that counts each key's rows; parts__: in how many parts a join should deal them. None if no key is hot."""
     seen = Observation()
-    above = written(counts.select(*on, "n").observe(seen, F.sum("n").alias("n")).where(F.col("n") > HOT_ROWS), "hot")
+    above = written(counts.select(*on, "n").observe(seen, F.sum("n").alias("n"), F.max("n").alias("top")).where(F.col("n") > HOT_ROWS), "hot")
     most = max(HOT_ROWS, (seen.get["n"] or 0) // HOT_KEYS)
+    if (seen.get["top"] or 0) <= most:
+        return None
     return above.where(F.col("n") > most).select(*on, F.ceil(F.col("n") / most).cast("int").alias("parts__"))
 
 
-def dealt_join(left: DataFrame, right: DataFrame, on: list[str], by: list[str], hot: DataFrame, how: str = "inner") -> DataFrame:
-    """left.join(right, on), inner or left: a hot key's rows on the left are dealt over its parts by the columns `by`, each with a copy of the key's rows on the right."""
+def dealt_join(left: DataFrame, right: DataFrame, on: list[str], by: list[str], hot: DataFrame | None, how: str = "inner") -> DataFrame:
+    """left.join(right, on), inner or left: a hot key's rows on the left are dealt over its parts by the columns `by`, each with a copy of the key's rows on the right.
+    Without hot keys it is that plain join, which spares the plan two broadcasts."""
+    if hot is None:
+        return left.join(right, on, how)
     many = F.broadcast(hot)
     parts = F.coalesce("parts__", F.lit(1))
     mine = left.join(many, on, "left").withColumn("part__", F.pmod(F.xxhash64(*by), parts).cast("int")).drop("parts__")
