@@ -33,8 +33,10 @@ from relgrid.llm.vec import LOWER, NON_WORD, U64, mix, portions, segments, utf8,
 FEATURES, RANK, SKETCH, ITEMS = 1 << 15, 64, 80, 5000
 #: Tasks that fit the space, each sending one FEATURES x SKETCH table: all up to FIT_TASKS partitions, and beyond that one for every FIT_SHARE of them.
 FIT_TASKS, FIT_SHARE = 64, 4
-STEP, SCALES, FITTED, BLOCKS, PASSAGES = 8, (16, 32, 64), 32, 4096, 256  # words between windows, in windows, in the passages that the SVD sees; blocks and passages summed at once
+STEP, SCALES, FITTED, BLOCKS, PASSAGES = 8, (16, 32, 64), 32, 4096, 4096  # words between windows, in windows, in the passages that the SVD sees; blocks and passages summed at once
 COSINE, SURE, LIKELY, ANSWER, MIN_WORDS = 0.6, 0.8, 0.65, 0.5, 5
+#: Runs of rows summed together, so few that their sums stay in cache, and rows of a run that are added one by one to those of other runs.
+RUNS, ROUNDS = 512, 64
 #: Bits of the filter on pairs of words, pairs looked at together, most pairs that a candidate must share, most places of one pair in an item.
 FILTER, PAIRS, SHARED, PLACES = 1 << 22, 1 << 20, 4, 4
 
@@ -59,6 +61,41 @@ class Space:
     singular: np.ndarray
 
 
+def _sums(table: np.ndarray, index: np.ndarray, start: np.ndarray, size: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """(runs, sums) in parts that hold each run once: the sums of table[index] over runs of index, given by their starts and sizes (1 at least).
+    Runs go by size, so that their next rows are added to a leading part of the sums."""
+    order = np.argsort(-size, kind="stable")
+    for low in range(0, len(order), RUNS):
+        runs = order[low : low + RUNS]
+        head, less = start[runs], -size[runs]
+        out = table.take(index[head], axis=0)
+        longer = np.searchsorted(less, -np.arange(1, ROUNDS + 1)).tolist()  # how many runs have more than 1, 2, ... rows
+        for j, n in enumerate(longer[:-1], 1):
+            if not n:
+                break
+            out[:n] += table.take(index[head[:n] + j], axis=0)
+        for k in range(longer[-1]):
+            rest = table.take(index[head[k] + ROUNDS : head[k] - less[k]], axis=0)
+            out[k] += np.ones(len(rest), table.dtype) @ rest  # rounds less than `sum`
+        yield runs, out
+
+
+def _add_passages(out: np.ndarray, slot: np.ndarray, start: np.ndarray, size: np.ndarray, weight: np.ndarray, weighted: np.ndarray) -> None:
+    """Adds A'(A Omega) of some passages to `out`. slot: of their words; weighted: the weights' rows of Omega."""
+    y = np.empty((len(start), SKETCH), np.float32)
+    for some, sums in _sums(weighted, slot, start, size):
+        y[some] = sums
+    y /= np.maximum(np.add.reduceat(weight[slot] ** 2, start), 1e-9)[:, None]
+    order = np.argsort(slot.astype(np.uint16), kind="stable")
+    by = slot[order]
+    head = np.flatnonzero(np.r_[True, by[1:] != by[:-1]])
+    passage = segments(size)[order]
+    for some, sums in _sums(y, passage, head, np.diff(np.append(head, len(by)))):
+        own = by[head[some]]
+        sums *= weight[own][:, None]
+        out[own] += sums
+
+
 def fit(rows: DataFrame, text: str = "text") -> Space | None:
     """The latent space of all rows' passages; None if there are no words."""
     texts = small_batches(rows).select(F.col(text).cast("string").alias("text"))
@@ -83,19 +120,9 @@ def fit(rows: DataFrame, text: str = "text") -> Space | None:
         for batch in portions(batches, limit=1 << 19):
             hashes, first = words(batch.column(0))
             slots, starts = _slot(hashes), np.append(_blocks(first, FITTED)[0], len(hashes))
-            for low in range(0, len(starts) - 1, PASSAGES):  # so few that their sums stay in cache
+            for low in range(0, len(starts) - 1, PASSAGES):
                 start = starts[low : low + PASSAGES + 1]
-                slot, size = slots[start[0] : start[-1]], np.diff(start)
-                start = start[:-1] - start[0]
-                y = np.zeros((len(start), SKETCH), np.float32)
-                for j in range(FITTED):
-                    some = np.flatnonzero(size > j)
-                    y[some] += weighted[slot[start[some] + j]]
-                y /= np.maximum(np.add.reduceat(weight[slot] ** 2, start), 1e-9)[:, None]
-                order = np.argsort(slot.astype(np.uint16), kind="stable")
-                by = slot[order]
-                head = np.flatnonzero(np.r_[True, by[1:] != by[:-1]])
-                out[by[head]] += np.add.reduceat(y[np.repeat(np.arange(len(start)), size)[order]], head, axis=0) * weight[by[head]][:, None]
+                _add_passages(out, slots[start[0] : start[-1]], start[:-1] - start[0], np.diff(start), weight, weighted)
         return out
 
     few = max(FIT_TASKS, texts.rdd.getNumPartitions() // FIT_SHARE)  # grows with the input, so that no task has more than a few partitions
@@ -109,7 +136,8 @@ def fit(rows: DataFrame, text: str = "text") -> Space | None:
     left, spread, _ = np.linalg.svd(z @ (basis[:, keep] / np.sqrt(values[keep])), full_matrices=False)
     singular = np.sqrt(np.maximum(spread**2 - shift, 0))[:RANK]
     use = singular > singular[0] * 1e-6
-    return Space((left[:, :RANK][:, use] / singular[use] * weight[:, None]).astype(np.float32), singular[use])
+    vectors = left[:, :RANK][:, use] / singular[use] * weight[:, None]
+    return Space(np.ascontiguousarray(vectors, np.float32), singular[use])  # in rows: `take` copies any other order whole
 
 
 def _blocks(first: np.ndarray, size: int) -> tuple[np.ndarray, np.ndarray]:
@@ -253,23 +281,23 @@ class Index:
             doc = low + segments(np.diff(block[low : high + 1]))
             ends = block[doc + 1]
             size = np.minimum(first[doc + 1] - start[a:b], STEP)
-            sums = self.space.vectors[slot[start[a:b]]]
-            for j in range(1, STEP):
-                some = np.flatnonzero(size > j)
-                sums[some] += self.space.vectors[slot[start[a:b][some] + j]]
+            sums = np.empty((b - a, self.space.vectors.shape[1]), np.float32)
+            for some, part in _sums(self.space.vectors, slot, start[a:b], size):
+                sums[some] = part
             blocks = 1
             for scale in SCALES:
                 while blocks < scale // STEP:
                     longer = sums.copy()
-                    inside = here[:-blocks] + blocks < ends[:-blocks]
-                    longer[:-blocks][inside] += sums[blocks:][inside]
+                    longer[:-blocks] += sums[blocks:]
+                    last = np.flatnonzero(here[:-blocks] + blocks >= ends[:-blocks])  # nothing of their document follows
+                    longer[last] = sums[last]
                     sums, blocks = longer, blocks * 2
                 if scale not in self.parts:
                     continue
                 owner, vectors = self.parts[scale]
                 at = np.flatnonzero((here + blocks <= ends) | (here == block[doc]))
                 near = _unit(sums[at]) @ vectors.T
-                w, i = np.nonzero(near >= COSINE)
+                w, i = np.divmod(np.flatnonzero(near >= COSINE), len(owner))
                 d = doc[at[w]]
                 out.append((d, owner[i], start[a:b][at[w]] - first[d], np.full(len(w), scale), near[w, i]))
         return tuple(np.concatenate(c) for c in zip(*out, strict=True))

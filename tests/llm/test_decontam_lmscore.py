@@ -1,6 +1,7 @@
 import math
 import random
 import re
+import time
 from collections import Counter
 
 import numpy as np
@@ -77,6 +78,93 @@ def test_singular_values(corpus):
     assert abs(space.singular[0] - true[0]) < 0.1 * true[0] and (space.singular <= true[: len(space.singular)] * 1.01).all()
 
 
+def made_words(seed, sizes, distinct=30_000):
+    """Texts of so many words each, some words frequent and most rare."""
+    rng = np.random.default_rng(seed)
+    made = np.minimum(rng.zipf(1.3, int(np.sum(sizes))), distinct)
+    ends = np.cumsum(sizes)
+    return [" ".join(f"w{k}" for k in made[end - n : end]) for n, end in zip(sizes, ends, strict=True)]
+
+
+def products(spark, monkeypatch, texts):
+    """The function that counts a task's part of A'(A Omega), as `fit` makes it, and what it gives for the texts."""
+    batch = decontam.pa.RecordBatch.from_pydict({"text": decontam.pa.array(texts, decontam.pa.string())})
+    fills = []
+
+    def local(rows, fill, shape, **_):
+        fills.append(fill)
+        return fill(iter([batch])).reshape(shape)
+
+    monkeypatch.setattr(decontam, "sum_tables", local)
+    decontam.fit(spark.createDataFrame([("any",)], "text string"))
+    return lambda: fills[1](iter([batch]))
+
+
+def test_product_of_passages(spark, monkeypatch):
+    """Against dense matrices: words that repeat often in a text and over texts, empty texts, and passages of every length."""
+    texts = made_words(1, [*range(70), 5000, 0, 3]) + ["same " * 9000, "", None]
+    out = products(spark, monkeypatch, texts)()
+    hashes, first = decontam.words(decontam.pa.array(texts, decontam.pa.string()))
+    slot = decontam._slot(hashes)
+    weight = np.log1p(len(slot) / decontam.FITTED / (1.0 + np.bincount(slot, minlength=decontam.FEATURES)))
+    start, _ = decontam._blocks(first, decontam.FITTED)
+    passage = np.repeat(np.arange(len(start)), np.diff(np.append(start, len(slot))))
+    used, column = np.unique(slot, return_inverse=True)
+    a = np.zeros((len(start), len(used)))
+    np.add.at(a, (passage, column), weight[slot])
+    a /= np.sqrt(np.add.reduceat(weight[slot] ** 2, start))[:, None]
+    omega = np.random.default_rng(11).standard_normal((decontam.FEATURES, decontam.SKETCH)).astype(np.float32)
+    true = a.T @ (a @ omega[used])
+    assert np.abs(out[used] - true).max() < 1e-4 * np.abs(true).max() and not np.delete(out, used, 0).any()
+
+
+def test_candidates_of_every_window(spark):
+    """Against a loop over windows: texts of no words, of less than a window, and up to its end."""
+    rng = random.Random(3)
+    texts = made_words(2, [rng.choice([0, 1, 7, 8, 9, 15, 16, 17, 31, 40, 64, 65, 200]) for _ in range(120)], 300)
+    long = [t for t in texts if len(t.split()) == 200]
+    items = [" ".join(t.split()[8:][:n]) for t in long for n in (12, 30, 70)]
+    index = decontam.Index(decontam.fit(spark.createDataFrame([(t,) for t in texts], "text string")), list(range(len(items))), items)
+    hashes, first = decontam.words(decontam.pa.array(texts))
+    true = {}
+    for d in range(len(texts)):
+        n = int(first[d + 1] - first[d])
+        for scale, (owner, vectors) in index.parts.items():
+            for at in range(0, n, decontam.STEP):
+                if at == 0 or at + scale <= -(-n // decontam.STEP) * decontam.STEP:
+                    own = hashes[first[d] + at : first[d] + min(n, at + scale)]
+                    near = vectors @ decontam._unit(index.space.vectors[decontam._slot(own)].sum(0)[None])[0]
+                    for k in np.flatnonzero(near >= decontam.COSINE - 1e-3):
+                        true[d, int(owner[k]), at, scale] = max(float(near[k]), true.get((d, int(owner[k]), at, scale), 0))
+    found = {}
+    for *key, cosine in zip(*(c.tolist() for c in index.candidates(hashes, first)), strict=True):
+        found[tuple(key)] = max(cosine, found.get(tuple(key), 0))
+    assert len(found) > 100 and {k for k, c in true.items() if c >= decontam.COSINE + 1e-3} <= found.keys() <= true.keys()
+    assert all(abs(found[k] - true[k]) < 1e-4 for k in found)
+
+
+def test_costs(spark, monkeypatch):
+    """CPU time of the fit's product and of the windows' cosines, as a multiple of that of hashing the same words (22 when sums were made by `reduceat` and from vectors in columns)."""
+    texts = made_words(3, [200] * 3000)
+    column = decontam.pa.array(texts)
+    with monkeypatch.context() as patch:
+        product = products(spark, patch, texts)
+    index = decontam.Index(decontam.fit(spark.createDataFrame([(t,) for t in texts[:1000]], "text string")), list(range(200)), [" ".join(t.split()[:40]) for t in texts[:200]])
+    hashes, first = decontam.words(column)
+
+    def seconds(run):
+        took = []
+        for _ in range(3):
+            before = time.thread_time()
+            run()
+            took.append(time.thread_time() - before)
+        return min(took)
+
+    ratio = (seconds(product) + seconds(lambda: index.candidates(hashes, first))) / seconds(lambda: decontam.words(column))
+    print("times the cost of hashing", ratio)
+    assert ratio < 14
+
+
 def test_short_and_edited_items(spark, sf_dir):
     """Recall of items of every length from MIN_WORDS words on, as they are and with a fifth of the words replaced, in texts of the table."""
     rng = random.Random(9)
